@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing
+from . import decontamination, mixing, token_output
 from .common import read
 
 
@@ -57,5 +57,16 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_
 FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op3_decontaminate": op3_decontaminate}
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_output.write_tokens(read(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+    return token_output.read_tokens(spark, path)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op3_decontaminate": op3_decontaminate, "op7_tokens": op7_tokens}
 SQL: dict[str, str] = {"op1_mix": OP1_SQL, "op3_decontaminate": OP3_SQL}
