@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, token_output
+from . import decontamination, mixing, simhash, token_output
 from .common import read
 
 
@@ -68,5 +68,9 @@ def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_tokens(spark, path)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op3_decontaminate": op3_decontaminate, "op7_tokens": op7_tokens}
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op3_decontaminate": op3_decontaminate, "op7_tokens": op7_tokens, "op8_simhash": op8_simhash}
 SQL: dict[str, str] = {"op1_mix": OP1_SQL, "op3_decontaminate": OP3_SQL}
