@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, simhash, token_output
+from . import decontamination, licenses, mixing, pu, rules, simhash, token_output
 from .common import read
+from .textstats import training_fold
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,5 +73,25 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op3_decontaminate": op3_decontaminate, "op7_tokens": op7_tokens, "op8_simhash": op8_simhash}
-SQL: dict[str, str] = {"op1_mix": OP1_SQL, "op3_decontaminate": OP3_SQL}
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ruled = rules.apply_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = pu.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out(), "score", "predicted")
+
+
+def held_out():
+    """crc32 of doc_id as text, mod 5, is 0; a null doc_id is never learnt from and counts as held out."""
+    return F.coalesce(~training_fold(), F.lit(True)).alias("held_out")
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.concat_ws(",", "base_labels").alias("base_labels"), F.concat_ws(",", "labels").alias("labels"), "score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op3_decontaminate": op3_decontaminate, "op5_licenses": op5_licenses, "op7_tokens": op7_tokens, "op8_simhash": op8_simhash, "op9_rules": op9_rules, "op10_quality": op10_quality}
+SQL: dict[str, str] = {"op1_mix": OP1_SQL, "op3_decontaminate": OP3_SQL, "op5_licenses": licenses.oracle()}
