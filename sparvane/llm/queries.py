@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, mixing, pu, rules, simhash, token_output
+from . import decontamination, licenses, mixing, pu, rules, simhash, token_output, toxicity
 from .common import read
 from .textstats import training_fold
 
@@ -93,5 +93,12 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.concat_ws(",", "base_labels").alias("base_labels"), F.concat_ws(",", "labels").alias("labels"), "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op3_decontaminate": op3_decontaminate, "op5_licenses": op5_licenses, "op7_tokens": op7_tokens, "op8_simhash": op8_simhash, "op9_rules": op9_rules, "op10_quality": op10_quality}
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out(), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op3_decontaminate": op3_decontaminate, "op4_toxicity": op4_toxicity, "op5_licenses": op5_licenses, "op7_tokens": op7_tokens, "op8_simhash": op8_simhash, "op9_rules": op9_rules, "op10_quality": op10_quality}
 SQL: dict[str, str] = {"op1_mix": OP1_SQL, "op3_decontaminate": OP3_SQL, "op5_licenses": licenses.oracle()}
