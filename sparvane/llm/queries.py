@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, mixing, pu, rules, simhash, token_output, toxicity
+from . import decontamination, licenses, mixing, pii, pu, rules, simhash, token_output, toxicity
 from .common import read
 from .textstats import training_fold
 
@@ -100,5 +100,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op3_decontaminate": op3_decontaminate, "op4_toxicity": op4_toxicity, "op5_licenses": op5_licenses, "op7_tokens": op7_tokens, "op8_simhash": op8_simhash, "op9_rules": op9_rules, "op10_quality": op10_quality}
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(read(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_pii": op2_pii, "op3_decontaminate": op3_decontaminate, "op4_toxicity": op4_toxicity, "op5_licenses": op5_licenses, "op7_tokens": op7_tokens, "op8_simhash": op8_simhash, "op9_rules": op9_rules, "op10_quality": op10_quality}
 SQL: dict[str, str] = {"op1_mix": OP1_SQL, "op3_decontaminate": OP3_SQL, "op5_licenses": licenses.oracle()}
