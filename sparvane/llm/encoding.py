@@ -13,7 +13,7 @@ from itertools import chain
 
 import numpy as np
 
-_MOST = 400_000
+_MOST = 2_000_000
 _SLICE = 1 << 22
 
 
@@ -29,51 +29,68 @@ class Encoder:
         pre = d.get("pre_tokenizer") or {}
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.chunked = bool(plain and not d.get("normalizer") and not d.get("post_processor") and not d.get("truncation"))
-        newline = self._ids(["\n"])[0]
-        self.newline = int(np.frombuffer(newline, self.dtype)[0]) if self.chunked else -1
+        self.marks = dict(zip("\n.,", self._ids(["\n", ".", ","]), strict=True))
+        newline = self.marks["\n"]
         self.chunked &= len(newline) == self.dtype.itemsize
+        self.newline = int(np.frombuffer(newline, self.dtype)[0]) if self.chunked else -1
         self.known: dict[str, bytes | None] = {}
+        self.bare: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _lines(self, chunks: list[str], lead: str) -> list[bytes]:
+        """The ids of lead + chunk for chunks without line breaks or outer white space, many to a call, parted by line breaks."""
+        out: list[bytes] = []
+        width, rows = self.dtype.itemsize, [chunks[at : at + 64] for at in range(0, len(chunks), 64)]
+        for row, data in zip(rows, self._ids([lead + f"\n{lead}".join(r) for r in rows]), strict=True):
+            cuts = (np.flatnonzero(np.frombuffer(data, self.dtype) == self.newline) * width).tolist()
+            if len(cuts) == len(row) - 1:
+                out += [data[x:y] for x, y in zip([0, *(c + width for c in cuts)], [*cuts, len(data)], strict=True)]
+            else:
+                out += self._ids([lead + x for x in row])
+        return out
+
     def _learn(self, chunks: list[str]) -> None:
-        """Chunks stand for a space and themselves; None marks those that can't be cut out."""
-        loose = [x for x in chunks if not x or x != x.strip()]
-        self.known.update(dict.fromkeys(loose))
-        plain = [x for x in chunks if x and x == x.strip()]
-        broken = [x for x in plain if "\n" in x]
-        single = [x for x in plain if "\n" not in x]
-        for at in range(0, len(single), 4096):
-            part = single[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(" " + "\n ".join(part), add_special_tokens=False).ids, self.dtype)
-            cuts = np.flatnonzero(ids == self.newline)
-            if len(cuts) != len(part) - 1:
-                broken += part
-                continue
-            data, width = ids.tobytes(), self.dtype.itemsize
-            ends = [*(cuts * width).tolist(), len(data)]
-            starts = [0, *(e + width for e in ends[:-1])]
-            self.known.update(zip(part, (data[a:b] for a, b in zip(starts, ends, strict=True)), strict=True))
-        for at in range(0, len(broken), 4096):
-            part = broken[at : at + 4096]
-            self.known.update(zip(part, self._ids([" " + x for x in part]), strict=True))
+        """Chunks stand for a space and themselves; None marks those that can't be cut out.
+
+        A line break between two other characters is a piece of its own, and so is a
+        stop or comma after letters: chunks with those are put together from parts.
+        """
+        known, bare, marks = self.known, self.bare, self.marks
+        sound = [x for x in chunks if x and x == x.strip()]
+        known.update(dict.fromkeys(set(chunks).difference(sound)))
+        lines = {x: x.split("\n") for x in sound if "\n" in x}
+        odd = [x for x, p in lines.items() if any(not y or y != y.strip() for y in p)]
+        for x in odd:
+            del lines[x]
+        single = {x for x in sound if "\n" not in x}.union(p[0] for p in lines.values()).difference(known)
+        stops = [x for x in single if x[-1] in ".," and x[:-1].isalpha()]
+        stems = {x[:-1] for x in stops}.difference(known)
+        plain = list(single.difference(stops) | stems)
+        known.update(zip(plain, self._lines(plain, " "), strict=True))
+        known.update((x, known[x[:-1]] + marks[x[-1]]) for x in stops)
+        tails = list({y for p in lines.values() for y in p[1:]}.difference(bare))
+        bare.update(zip(tails, self._lines(tails, ""), strict=True))
+        known.update((x, known[p[0]] + b"".join(marks["\n"] + bare[y] for y in p[1:])) for x, p in lines.items())
+        known.update(zip(odd, self._ids([" " + x for x in odd]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of self.dtype."""
         if not self.chunked:
             return self._ids(texts)
         out: list[bytes | None] = []
-        for at in range(0, len(texts), 512):
-            out += self._chunked(texts[at : at + 512])
+        for at in range(0, len(texts), 64):
+            out += self._chunked(texts[at : at + 64])
         whole = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
             out[i] = x
         return out
 
     def _chunked(self, texts: list[str]) -> list[bytes | None]:
-        if len(self.known) > _MOST:
+        if len(self.known) + len(self.bare) > _MOST:
             self.known.clear()
+            self.bare.clear()
         if any(len(t) > _SLICE for t in texts):
             return [b"".join(y) if len(t) > _SLICE and None not in (y := [self._one(s) for s in _slices(t)]) else None if len(t) > _SLICE else self._one(t) for t in texts]
         parts = [t.split(" ") for t in texts]
