@@ -152,6 +152,45 @@ def _finder(phrases, shard_words: int, cut: bool):
     return find
 
 
+def _keeper(phrases, shard_words: int):
+    """Passes on the rows of documents without occurrences."""
+
+    def keep(batches):
+        shard, held, size = _Shard(phrases.value), [], 0
+
+        def clean():
+            mask = pa.array([not spans for _, _, spans, _, _ in shard.search()], pa.bool_())
+            at = 0
+            for b in held:
+                yield b.filter(mask.slice(at, len(b)))
+                at += len(b)
+
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary())
+            for i in range(len(batch)):
+                shard.add(None, texts[i].as_py() or b"")
+                shard.docs[-1] = (*shard.docs[-1][:2], b"")
+            held.append(batch)
+            size += batch.nbytes
+            if shard.size >= shard_words or size >= 1 << 25:
+                yield from clean()
+                shard, held, size = _Shard(phrases.value), [], 0
+        if held:
+            yield from clean()
+
+    return keep
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 1 << 20, block_bytes: int = 1 << 24) -> DataFrame:
+    """docs without the rows in which a benchmark window occurs; null texts stay."""
+    ship(docs.sparkSession)
+    fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    out = docs
+    for block in _blocks(benchmark, window, block_bytes):
+        out = out.mapInArrow(_keeper(block, shard_words), fields)
+    return out
+
+
 def _blocks(benchmark: DataFrame, window: int, block_bytes: int):
     """The benchmark's phrases, broadcast in blocks of bounded size."""
     sc = benchmark.sparkSession.sparkContext

@@ -56,13 +56,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
         prints = np.array([fingerprint(texts[i].as_py() or b"") for i in range(len(batch))], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(prints.view(np.int64))], ["doc_id", "digest", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp), fp the 64 bits as a signed long, one row for each row of docs."""
+    """(doc_id, digest, fp), one row for each row of docs: fp the 64 bits as a signed long, digest a hash of the text."""
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, digest long, fp long")
 
 
 def embed(fp: np.ndarray) -> np.ndarray:
@@ -230,6 +231,17 @@ def components(edges: DataFrame, least: str = "x") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _named(docs: DataFrame, most: int, block: int) -> DataFrame:
+    """(doc_id, digest, fp, component_id, root) for each row; root is a fingerprint of the component."""
+    prints = materialize(fingerprints(docs), "simhash")
+    per = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    groups = components(links(per, most, block)).withColumnRenamed("node", "fp")
+    # a component is named by its least doc_id, whatever the order of its fingerprints
+    roots = per.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    names = roots.groupBy("root").agg(F.min("first").alias("component_id"))
+    return prints.join(roots.join(names, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, most: int = 3, block: int = 20_000) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row for each row of docs.
 
@@ -237,12 +249,18 @@ def near_duplicates(docs: DataFrame, most: int = 3, block: int = 20_000) -> Data
     other. component_id is the smallest doc_id that links reach; null where only rows
     without doc_id are reached. Equal rows get equal results; no rows give none.
     """
-    prints = materialize(fingerprints(docs), "simhash")
-    per = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    per = materialize(per, "simhash-distinct")
-    groups = components(links(per, most, block)).withColumnRenamed("node", "fp")
-    # a component is named by its least doc_id, whatever the order of its fingerprints
-    roots = per.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = roots.join(names, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = _named(docs, most, block)
+    return named.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, most: int = 3, block: int = 20_000) -> DataFrame:
+    """docs with one row of each component: that of the smallest doc_id (null last), then of the least text hash."""
+    named = materialize(_named(docs, most, block).select("root", "doc_id", "digest"), "simhash-named")
+    kept = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("k"), F.count(F.lit(1)).alias("_n"))
+    kept = materialize(kept.select(F.col("k.doc_id").alias("_id"), F.col("k.digest").alias("_digest"), "_n"), "simhash-kept")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_digest"))
+    out = docs.join(kept.select("_id", "_digest"), same, "left_semi")
+    again = named.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left_semi")
+    if not again.isEmpty():  # rows of one id and one text are one document
+        out = out.withColumn("_digest", F.xxhash64("text")).dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    return out
