@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from .plans import relational, retrieval, statistics
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = relational.QUERIES | statistics.QUERIES | retrieval.QUERIES
+SQL: dict[str, str] = relational.SQL | statistics.SQL | retrieval.SQL
