@@ -62,17 +62,21 @@ def quantile_edges(df: DataFrame, value: str, bins: int = 8) -> list[float]:
 
 
 def discretize(df: DataFrame, value: str, out: str, bins: int = 8) -> DataFrame:
-    """Number of inner quantile edges at or below the value; with two edges or fewer, whether it exceeds the median (NaN counts as 0)."""
-    v = F.nanvl(F.col(value).cast("double"), F.lit(0.0))
-    clean = df.withColumn("_v", F.coalesce(v, F.lit(0.0)))
+    """Number of inner quantile edges at or below the value; with two edges or fewer, whether it exceeds the median.
+
+    Null, NaN and infinite values take no part in the edges and get code 0.
+    """
+    x = F.col(value).cast("double")
+    finite = F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+    clean = df.withColumn("_v", finite)
     edges = quantile_edges(clean, "_v", bins)
-    if len(edges) <= 2:
-        middle = clean.agg(F.percentile("_v", 0.5)).first()[0]
-        code = (F.col("_v") > F.lit(middle)).cast("int")
+    if len(edges) <= 1:
+        code = F.lit(0)
+    elif len(edges) == 2:
+        code = (F.col("_v") > F.lit(clean.agg(F.percentile("_v", 0.5)).first()[0])).cast("int")
     else:
-        inner = F.array(*map(F.lit, edges[1:-1]))
-        code = F.size(F.filter(inner, lambda e: e <= F.col("_v")))
-    return clean.withColumn(out, code).drop("_v")
+        code = F.size(F.filter(F.array(*map(F.lit, edges[1:-1])), lambda e: e <= F.col("_v")))
+    return clean.withColumn(out, F.when(F.col("_v").isNull(), F.lit(0)).otherwise(code)).drop("_v")
 
 
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -88,7 +92,7 @@ def mutual_information(pairs: DataFrame, group: Sequence[str] = (), a: str = "a"
         "px": F.sum("n").over(Window.partitionBy(*group, a)) / total,
         "py": F.sum("n").over(Window.partitionBy(*group, b)) / total,
     })
-    term = F.col("p") * F.log2(F.col("p") / (F.col("px") * F.col("py") + F.lit(1e-12)) + F.lit(1e-12))
+    term = F.col("p") * F.log2(F.col("p") / (F.col("px") * F.col("py") + F.lit(1e-12)))
     mi = F.greatest(F.lit(0.0), F.sum(term))
     return joint.groupBy(*group).agg(mi.alias("mutual_information")) if group else joint.agg(mi.alias("mutual_information"))
 

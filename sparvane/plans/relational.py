@@ -57,7 +57,7 @@ _PARTS = """SELECT l_orderkey AS img_id,
   coalesce(bool_or(l_linenumber = 1), false) AS left_eye, coalesce(bool_or(l_linenumber = 3), false) AS right_eye,
   coalesce(bool_or(l_linenumber = 2), false) AS beak, coalesce(bool_or(l_linenumber IN (4, 5)), false) AS leg,
   max(l_extendedprice) FILTER (l_linenumber = 2) AS beak_x, max(l_extendedprice) FILTER (l_linenumber = 4) AS tail_x,
-  max(l_quantity) FILTER (l_linenumber = 4) AS leg_l, max(l_quantity) FILTER (l_linenumber = 5) AS leg_r FROM lineitem GROUP BY l_orderkey"""
+  arg_max(l_quantity, l_extendedprice) FILTER (l_linenumber = 4) AS leg_l, arg_max(l_quantity, l_extendedprice) FILTER (l_linenumber = 5) AS leg_r FROM lineitem GROUP BY l_orderkey"""
 
 
 def _parts(spark, sf_dir):

@@ -94,7 +94,7 @@ def crosstab(spark, sf_dir):
     return S.crosstab(_t(spark, sf_dir, "lineitem").withColumnRenamed("l_linenumber", "l_shipmode_code"), "l_returnflag", "l_shipmode_code")
 
 
-_MI = """SELECT {g} round(greatest(0, sum(p * log2(p / (px * py + 1e-12) + 1e-12))), 6) AS mutual_information FROM (SELECT {g} n / sum(n) OVER ({w}) AS p,
+_MI = """SELECT {g} round(greatest(0, sum(p * log2(p / (px * py + 1e-12)))), 6) AS mutual_information FROM (SELECT {g} n / sum(n) OVER ({w}) AS p,
  sum(n) OVER (PARTITION BY {g} a) / sum(n) OVER ({w}) AS px, sum(n) OVER (PARTITION BY {g} b) / sum(n) OVER ({w}) AS py FROM (SELECT {g} a, b, count(*) AS n FROM {src} GROUP BY ALL)) {by}"""
 
 
@@ -119,7 +119,7 @@ def _info_sql() -> str:
 g AS (SELECT attribute, unnest(list_distinct(quantile_cont(x, [0, 0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 1]))) AS e FROM l GROUP BY attribute),
 k AS (SELECT attribute, list(e) FILTER (e > lo AND e < hi) AS es FROM (SELECT *, min(e) OVER (PARTITION BY attribute) AS lo, max(e) OVER (PARTITION BY attribute) AS hi FROM g) GROUP BY attribute),
 d AS (SELECT attribute, b, x, len(list_filter(es, lambda q: q <= x)) AS a FROM l JOIN k USING (attribute)),
-m AS ({_MI.format(g="attribute,", w="PARTITION BY attribute", by="GROUP BY attribute", src="d").replace("round(greatest(0, ", "greatest(0, ").replace("+ 1e-12))), 6)", "+ 1e-12)))")}),
+m AS ({_MI.format(g="attribute,", w="PARTITION BY attribute", by="GROUP BY attribute", src="d").replace("round(greatest(0, ", "greatest(0, ").replace("+ 1e-12)))), 6)", "+ 1e-12))))")}),
 c AS (SELECT attribute, b, count(*) AS n, avg(x) AS mu, var_pop(x) AS s FROM l GROUP BY ALL),
 f AS (SELECT attribute, sum(n * (mu - t) ** 2) / sum(n * s) AS fisher_score FROM (SELECT *, sum(n * mu) OVER (PARTITION BY attribute) / sum(n) OVER (PARTITION BY attribute) AS t FROM c) GROUP BY attribute),
 z AS (SELECT attribute, fisher_score, mutual_information, (fisher_score - min(fisher_score) OVER ()) / (max(fisher_score) OVER () - min(fisher_score) OVER ()) AS fn,
