@@ -70,13 +70,13 @@ def class_prototypes(spark, sf_dir):
     return p.select("label", "n", F.posexplode("prototype").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
-@query(f"""SELECT label, round(s, 7) AS score, row_number() OVER (ORDER BY s DESC, label)::INTEGER AS rank, round(s - lead(s) OVER (ORDER BY s DESC, label), 7) AS margin FROM
-(SELECT label, list_dot_product(p, q) / ((sqrt(list_dot_product(p, p)) + 1e-8) * (sqrt(list_dot_product(q, q)) + 1e-8)) AS s FROM ({_PROTO}), {_Q})""")
+@query(f"""SELECT label, round(s, 6) AS score, row_number() OVER (ORDER BY s DESC, label)::INTEGER AS rank, round(s - lead(s) OVER (ORDER BY s DESC, label), 6) AS margin FROM
+(SELECT label, list_dot_product(p, q) / ((sqrt(list_dot_product(p, p)) + 1e-8) * (sqrt(list_dot_product(q, q)) + 1e-8)) AS s FROM (SELECT label, list_transform(p, lambda x: x / (sqrt(list_dot_product(p, p)) + 1e-8)) AS p FROM ({_PROTO})), {_Q})""")
 def prototype_scores(spark, sf_dir):
     """J14, V14, W4."""
     e = _e(spark, sf_dir)
     s = V.prototype_scores(V.prototypes(e), _vector(e, 0))
-    return s.select("label", F.round("score", 7).alias("score"), "rank", F.round("margin", 7).alias("margin"))
+    return s.select("label", F.round("score", 6).alias("score"), "rank", F.round("margin", 6).alias("margin"))
 
 
 _KNN = """SELECT src, dst, s, row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) AS rank FROM (SELECT a.vec_id AS src, b.vec_id AS dst,
