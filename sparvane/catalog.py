@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import relational, retrieval, statistics
+from .plans import relational, retrieval, statistics, storage
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = relational.QUERIES | statistics.QUERIES | retrieval.QUERIES
-SQL: dict[str, str] = relational.SQL | statistics.SQL | retrieval.SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = relational.QUERIES | statistics.QUERIES | retrieval.QUERIES | storage.QUERIES
+SQL: dict[str, str] = relational.SQL | statistics.SQL | retrieval.SQL | storage.SQL
