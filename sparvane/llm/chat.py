@@ -84,7 +84,7 @@ def format_chat(turns: DataFrame, tokenizer: str, loss_roles: tuple[str, ...] =
         definition = spark.sparkContext.broadcast(f.read())
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     schema = "conv_id long, turn long, role string, text string, ids array<int>, n_ids long, text_at long, n_loss long"
-    coded = rows.mapInArrow(_encode(definition, loss_roles), schema)
+    coded = materialize(rows.mapInArrow(_encode(definition, loss_roles), schema), "chat-turns")
     placed = ordered_prefix_sums(coded, ["conv_id"], ["turn", "role", "text"], "n_ids", "start")
     first = F.col("start") + F.col("text_at")
     return materialize(placed.select("conv_id", "start", "ids", first.alias("loss_start"), (first + F.col("n_loss")).alias("loss_end")), "chat")
@@ -92,10 +92,11 @@ def format_chat(turns: DataFrame, tokenizer: str, loss_roles: tuple[str, ...] =
 
 def _read(definition):
     def run(batches):
-        tool = encoder(definition.value).tokenizer
+        encoding = encoder(definition.value)
+        tool = encoding.tokenizer
         base = tool.get_vocab_size()
         decode = lambda ids: tool.decode(ids, skip_special_tokens=False)
-        line = len(encoder(definition.value).encode(["\n"])[0]) // encoder(definition.value).dtype.itemsize
+        line = len(encoding.encode(["\n"])[0]) // encoding.dtype.itemsize
         empty = True
         conv = turns = said = loss = loss_chars = chars = None
 

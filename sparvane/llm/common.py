@@ -36,7 +36,7 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(archive)
     sc.setLocalProperty(_SHIPPED, "1")
     # Arrow batches by bytes too: a batch of long texts stays small
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

@@ -13,8 +13,11 @@ from itertools import chain
 
 import numpy as np
 
-_MOST = 2_000_000
+from .held import held
+
+_MOST = 600_000
 _SLICE = 1 << 22
+_SEEN = 1 << 24
 
 
 class Encoder:
@@ -35,6 +38,7 @@ class Encoder:
         self.newline = int(np.frombuffer(newline, self.dtype)[0]) if self.chunked else -1
         self.known: dict[str, bytes | None] = {}
         self.bare: dict[str, bytes] = {}
+        self.seen = np.zeros(_SEEN, bool)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -88,16 +92,31 @@ class Encoder:
         return out
 
     def _chunked(self, texts: list[str]) -> list[bytes | None]:
-        if len(self.known) + len(self.bare) > _MOST:
-            self.known.clear()
+        if len(self.bare) > _MOST // 8:
             self.bare.clear()
         if any(len(t) > _SLICE for t in texts):
             return [b"".join(y) if len(t) > _SLICE and None not in (y := [self._one(s) for s in _slices(t)]) else None if len(t) > _SLICE else self._one(t) for t in texts]
         parts = [t.split(" ") for t in texts]
         rest = [p[1:] for p in parts]
-        self._learn(list(set(chain.from_iterable(rest)).difference(self.known)))
+        every = set(chain.from_iterable(rest))
+        fresh = list(every.difference(self.known))
+        if len(self.known) >= _MOST and 2 * len(fresh) > len(every):  # other texts than it was filled by
+            self.known.clear()
+            self.seen[:] = False
+            fresh = list(every)
+        self._learn(fresh)
         first = self._ids([p[0] for p in parts])
-        return [self._join(p, f, r) for p, f, r in zip(parts, first, rest, strict=True)]
+        out = [self._join(p, f, r) for p, f, r in zip(parts, first, rest, strict=True)]
+        self._forget(fresh)
+        return out
+
+    def _forget(self, fresh: list[str]) -> None:
+        """Most chunks never come again: only those whose hash was met before stay, and none beyond _MOST."""
+        at = np.fromiter(map(hash, fresh), np.int64, len(fresh)) & (_SEEN - 1)
+        full = len(self.known) >= _MOST + len(fresh)
+        for i in range(len(fresh)) if full else np.flatnonzero(~self.seen[at]).tolist():
+            del self.known[fresh[i]]
+        self.seen[at] = True
 
     def _join(self, parts: list[str], first: bytes, rest: list[str]) -> bytes | None:
         if rest and parts[0] != parts[0].rstrip():
@@ -130,12 +149,6 @@ def _slices(text: str):
         start = end
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
 def encoder(definition: str) -> Encoder:
     """This process's encoder of a tokenizer definition, with what it has learnt so far."""
-    key = hash(definition)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(definition)
-    return _ENCODERS[key]
+    return held(("encoder", hash(definition)), lambda: Encoder(definition))

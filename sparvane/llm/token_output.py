@@ -38,6 +38,7 @@ def _segments(definition, end_id: int, segment_tokens: int):
             return pa.RecordBatch.from_arrays(row, names)
 
         for batch in batches:
+            tool = encoder(definition.value)
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), tool.encode(texts), strict=True):
                 held.append(np.frombuffer(data + end, tool.dtype))
@@ -52,7 +53,7 @@ def _segments(definition, end_id: int, segment_tokens: int):
     return write
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 2, segment_tokens: int = 1 << 21) -> str:
+def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 2, segment_tokens: int = 1 << 20) -> str:
     """Write the ids of every text, end_id after each document, and return where.
 
     `tokenizer` is a definition file of the tokenizers library, read on the driver. A null

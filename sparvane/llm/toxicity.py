@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, ship
+from .held import held
 from .textstats import sample_by_hash, training_fold
 
 CLASSES = 64
@@ -30,7 +31,7 @@ _EDGE = ".,;:?()[]{}<>\"'`«»“”„‘’…&%#*^=~/\\-_–—¿¡"
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 #: three or more single characters with one separator each between them
 _SPACED = re.compile(r"(?<!\S)(?:\S[ ._*-]){2,}\S(?!\S)")
-_MOST = 1_000_000
+_MOST = 300_000
 
 
 def _classes() -> np.ndarray:
@@ -101,24 +102,28 @@ class Decoder:
         return [("", DROP_SIGN if not spaced else 0.1), (" ", BREAK)]
 
     def decode(self, text: str, spaced: bool = False) -> str:
-        """The best reading; spaces part its words."""
+        """The best reading; spaces part its words. A state is the last two classes read; readings are linked backwards."""
         costs, k2 = self.costs, CLASSES
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for i in range(len(text)):
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            options = self.options(text, i, spaced)
-            for (a, b), (cost, out) in states.items():
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            options = [(x, more, _class(x) if x else -1) for x, more in self.options(text, i, spaced)]
+            for (a, b), (cost, path) in states.items():
                 base = (a * k2 + b) * k2
-                for x, more in options:
-                    if x:
-                        c = 0 if x == " " else _class(x)
-                        key, total = (b, c), cost + more + costs[base + c]
+                for x, more, c in options:
+                    if c >= 0:
+                        key, total, way = (b, c), cost + more + costs[base + c], (path, x)
                     else:
-                        key, total = (a, b), cost + more
+                        key, total, way = (a, b), cost + more, path
                     if key not in new or total < new[key][0]:
-                        new[key] = (total, out + x)
+                        new[key] = (total, way)
             states = new
-        return min((cost + costs[(a * k2 + b) * k2], out) for (a, b), (cost, out) in states.items())[1]
+        path = min(((cost + costs[(a * k2 + b) * k2], (a, b), way) for (a, b), (cost, way) in states.items()), key=lambda s: s[:2])[2]
+        out = []
+        while path is not None:
+            path, x = path
+            out.append(x)
+        return "".join(reversed(out))
 
     def token(self, token: str) -> str:
         """The reading of a lower-case token without white space."""
@@ -203,15 +208,8 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-_SCORERS: dict[tuple, Scorer] = {}
-
-
 def _scorer(model: Model) -> Scorer:
-    key = (hash(model.costs.tobytes()), tuple(model.grams[:50]), model.bias)
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(model)
-    return _SCORERS[key]
+    return held(("scorer", hash(model.costs.tobytes()), tuple(model.grams), model.bias), lambda: Scorer(model))
 
 
 def _logistic(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, width: int, rounds: int = 500, decay: float = 2e-4) -> tuple[np.ndarray, float]:
@@ -221,7 +219,7 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, width: int, rou
     for t in range(1, rounds + 1):
         z = np.bincount(rows, w[cols], len(y)) + w[-1]
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        grad = np.bincount(cols, g[rows], width + 1)
+        grad = np.bincount(cols, g[rows], width + 1).astype(float)
         grad[:-1] += decay * w[:-1]
         grad[-1] = g.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
@@ -261,7 +259,9 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_gram
     words = seen.select("toxic", F.explode("words").alias("w")).groupBy("w").agg(F.sum((F.col("toxic") == 1).cast("int")).alias("a"), F.sum((F.col("toxic") != 1).cast("int")).alias("b"))
     size = F.length("w")
     starts = F.transform(F.expr("filter(array(3, 4, 5, 6), n -> length(w) >= n)"), lambda k: F.concat(F.lit("^"), F.substring(F.col("w"), F.lit(1), k)))
-    inner = [F.when(size >= k, F.transform(F.sequence(F.lit(1), size - k + 1), lambda i, k=k: F.substring(F.col("w"), i, F.lit(k)))).otherwise(F.array().cast("array<string>")) for k in (4, 5)]
+    none = F.array().cast("array<string>")
+    parts = lambda k: F.transform(F.sequence(F.lit(1), size - k + 1), lambda i: F.substring(F.col("w"), i, F.lit(k)))
+    inner = [F.when(size >= k, parts(k)).otherwise(none) for k in (4, 5)]
     grams = words.select(F.explode(F.array_distinct(F.concat(starts, F.array(F.concat(F.lit("^"), "w", F.lit("$"))), *inner))).alias("g"), "a", "b")
     sums = grams.groupBy("g").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter(F.col("a") >= support)
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
@@ -296,8 +296,8 @@ def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        scorer = _scorer(shared.value)
         for batch in batches:
+            scorer = _scorer(shared.value)
             got = scorer.score([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(got)], [*names, "score"])
 
