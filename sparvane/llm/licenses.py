@@ -43,7 +43,8 @@ def gram_hash(words: Column, at: Column, k: int) -> Column:
 
 def template_grams(spark: SparkSession, k: int = 3, templates=TEMPLATES) -> DataFrame:
     """(template, label, t_len, t_pos, hash): a row for each k-gram of each template."""
-    rows = spark.createDataFrame([(i, label, text.split()) for i, (label, text) in enumerate(templates)], "template int, label string, t_words array<string>")
+    notices = F.array(*[F.struct(F.lit(i).alias("template"), F.lit(label).alias("label"), F.split(F.lit(text), " ").alias("t_words")) for i, (label, text) in enumerate(templates)])
+    rows = spark.range(1).select(F.inline(notices))
     at = F.explode(F.sequence(F.lit(0), F.size("t_words") - k))
     rows = rows.filter(F.size("t_words") >= k).withColumn("t_pos", at)
     return rows.select("template", "label", F.size("t_words").alias("t_len"), "t_pos", gram_hash(F.col("t_words"), F.col("t_pos"), k).alias("hash"))

@@ -41,11 +41,13 @@ class Model:
 
 
 def _edges(x: np.ndarray, bins: int) -> list[np.ndarray]:
-    # midway between values, so that a value never falls on an edge
+    # even shares, finer in both tails, where odd texts lie; midway between values, so that a value never falls on an edge
+    tails = np.array([0.005, 0.01, 0.02, 0.03, 0.05, 0.08])
+    shares = np.concatenate((np.arange(1, bins) / bins, tails, 1 - tails))
     out = []
     for col in x.T:
         v = np.unique(col)
-        want = np.unique(np.quantile(col, np.arange(1, bins) / bins))
+        want = np.unique(np.quantile(col, shares))
         at = np.searchsorted(v, want, side="right")
         at = np.unique(at[at < len(v)])
         out.append((v[at] + v[at - 1]) / 2)
@@ -62,7 +64,7 @@ def _descend(model: Model, p: np.ndarray, u: np.ndarray, step, rounds: int, deca
         g[-1] = gp.sum() + gu.sum()
         g[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w = w - 0.15 * (1 - 0.9 * t / rounds) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
 
 
@@ -85,7 +87,7 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, sure: float = 0
     return float(np.clip(qu[enough][at] / qp[enough][at], 0.02, 0.98))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, bins: int = 16, rounds: int = 400, decay: float = 1e-4, seed: int = 11) -> Model:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, bins: int = 16, rounds: int = 2000, decay: float = 1e-6, seed: int = 11) -> Model:
     """The model of least non-negative risk. Without rows of either kind every score is a half."""
     width = positive.shape[1] if positive.ndim == 2 else len(RATIOS)
     if not len(positive) or not len(unlabelled):
@@ -99,7 +101,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, bins: int = 16, rounds: in
     if in_p.all() or not in_p.any() or in_u.all() or not in_u.any():
         prior = 0.5
     else:
-        first = _descend(model, p[in_p], u[in_u], _plain, rounds // 2, decay)
+        first = _descend(model, p[in_p], u[in_u], _plain, rounds // 10, 1e-4)
         score = lambda b: _sigmoid(first[b].sum(axis=1) + first[-1])
         prior = estimate_prior(score(p[~in_p]), score(u[~in_u]))
 
