@@ -13,29 +13,33 @@ def flag(value: str | None, default: bool = False) -> bool:
 
 @dataclass(frozen=True)
 class Speed:
-    """How much work a tier-2 fit does."""
+    """How much work tier 2 does; a sample of 0 takes all pixels."""
 
     exact_colours: bool
     colour_sample: int
     colour_rounds: int
+    word_sample: int
     patch_stride: int
     mixture: int
-    codebook_pixels: int
 
 
-# Profiles by name.
+# Profiles by name, the weights of parts, attributes that search leaves out.
 SPEEDS = {
-    "quality": Speed(True, 4096, 30, 8, 64, 500_000),
-    "balanced": Speed(True, 2048, 20, 10, 64, 300_000),
-    "fast": Speed(False, 1024, 10, 12, 48, 150_000),
+    "quality": Speed(True, 0, 20, 0, 8, 64),
+    "balanced": Speed(False, 1800, 16, 4000, 10, 64),
+    "fast": Speed(False, 1200, 12, 2500, 12, 48),
 }
+PART_WEIGHTS = {"head": 0.35, "breast": 0.30, "back_wing": 0.15, "tail": 0.10, "leg": 0.10}
+NOT_SEARCHED = ("cattr_fg_aspect_ratio", "cattr_centroid_x", "cattr_centroid_y")
 
 
 @dataclass(frozen=True)
 class Config:
     root: str = "."
     min_images: int = 500
-    weights: tuple[float, float, float] = (0.15, 0.70, 0.15)
+    relax: bool = False
+    weights: tuple[float, float, float] = (2.0, 1.0, 1.0)
+    pca_dim: int = 448
     dims: tuple[int, int, int] = (512, 256, 512)
     hu_weight: float = 1.0
     fit_rows: int = 2800

@@ -299,7 +299,7 @@ def lloyd(x: np.ndarray, k: int, rounds: int = 20) -> tuple[np.ndarray, np.ndarr
     return centres, labels
 
 
-def dominant_colours(r: Raster, exact: bool = True, sample: int = 2048, rounds: int = 20) -> np.ndarray:
+def dominant_colours(r: Raster, exact: bool = True, sample: int = 0, rounds: int = 20) -> np.ndarray:
     """24 numbers: three colours by weight, as HSV and as L*a*b*, each with its share.
 
     Colours are k-means centres, or with exact=False the fullest cells of an 8x8x8 cube.
@@ -385,6 +385,8 @@ class RegionModel:
     high: np.ndarray
     boxes: dict[str, tuple[int, int, int, int]]
     exact_colours: bool = True
+    colour_sample: int = 0
+    colour_rounds: int = 20
 
 
 def region_banks(r: Raster) -> dict[str, np.ndarray]:
@@ -398,7 +400,7 @@ def region(r: Raster, m: RegionModel) -> np.ndarray:
     pattern = unit_sum(np.concatenate([uniform_lbp(r.gray, k + 1)[m.patterns[k]] for k in range(3)]))
     moments = np.clip((lab_moments(r) - m.low) / (m.high - m.low + 1e-8), 0, 1).reshape(3, 4)
     moments[:, 2:] = np.clip(moments[:, 2:] * 6 - 3, -3, 3) / 3
-    return np.concatenate([colour, dominant_colours(r, m.exact_colours), pattern, orientation_36(r), moments.ravel()])
+    return np.concatenate([colour, dominant_colours(r, m.exact_colours, m.colour_sample, m.colour_rounds), pattern, orientation_36(r), moments.ravel()])
 
 
 def regions(r: Raster, m: RegionModel) -> tuple[np.ndarray, np.ndarray]:

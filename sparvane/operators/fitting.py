@@ -169,10 +169,11 @@ class Tier2:
     reduce: tuple[Pca, Pca, Pca]
     final: Pca
     stride: int
+    word_sample: int
 
     def blocks(self, r: K.Raster) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         whole, parts = K.regions(r, self.region)
-        words = K.colour_words(r, self.codebook, self.region.boxes, self.idf)
+        words = K.colour_words(r, self.codebook, self.region.boxes, self.idf, self.word_sample)
         local = K.patches(r.gray / 255.0, stride=self.stride)
         return whole, words, K.fisher_vector(local, self.mixture), K.layout(r), parts
 
@@ -211,12 +212,12 @@ def fit_tier2(images: DataFrame, boxes: dict, speed: Speed, dims: tuple[int, int
         return np.sort(np.array([r[0] for r in rows]))
 
     limits = vector_moments(banks, "moments").orderBy("pos").select("low", "high").toPandas()
-    region = K.RegionModel(best("colour", 48), (best("lbp1", 21), best("lbp2", 21), best("lbp3", 22)), limits["low"].to_numpy(), limits["high"].to_numpy(), boxes, speed.exact_colours)
+    region = K.RegionModel(best("colour", 48), (best("lbp1", 21), best("lbp2", 21), best("lbp3", 22)), limits["low"].to_numpy(), limits["high"].to_numpy(), boxes, speed.exact_colours, speed.colour_sample, speed.colour_rounds)
 
     def pixels(batches):
         for b in batches:
             for _, r in _rasters(b):
-                yield pd.DataFrame({"v": list(K.spread_rows(r.lab.reshape(-1, 3), per_image))})
+                yield pd.DataFrame({"v": list(K.spread_rows(r.lab[K.foreground(r)], per_image))})
 
     def local(batches):
         for b in batches:
@@ -229,13 +230,13 @@ def fit_tier2(images: DataFrame, boxes: dict, speed: Speed, dims: tuple[int, int
     def present(batches):
         for b in batches:
             for i, r in _rasters(b):
-                hit = K.colour_words(r, codebook, boxes, np.ones(len(codebook))).reshape(len(K.PARTS), -1) > 0
+                hit = K.colour_words(r, codebook, boxes, np.ones(len(codebook)), speed.word_sample).reshape(len(K.PARTS), -1) > 0
                 yield pd.DataFrame({"img_id": i, "word": np.flatnonzero(hit.any(axis=0)).astype(np.int32)})
 
     n = pool.count()
     seen = {r[0]: r[1] for r in pool.mapInPandas(present, "img_id int, word int").groupBy("word").agg(F.countDistinct("img_id")).collect()}
     idf = np.log((n + 1) / (np.array([seen.get(i, 0) for i in range(len(codebook))]) + 1))
-    raw = Tier2(region, codebook, idf, mixture, None, (None, None, None), None, speed.patch_stride)  # type: ignore[arg-type]
+    raw = Tier2(region, codebook, idf, mixture, None, (None, None, None), None, speed.patch_stride, speed.word_sample)  # type: ignore[arg-type]
 
     def blocks(batches):
         for b in batches:
@@ -248,7 +249,7 @@ def fit_tier2(images: DataFrame, boxes: dict, speed: Speed, dims: tuple[int, int
     joined = np.concatenate([*(p.apply(np.stack(rows[c])) for p, c in zip(reduce, "abc", strict=True)), np.stack(rows["d"])], axis=1)
     for df in (wide, banks, pool):
         df.unpersist()
-    return Tier2(region, codebook, idf, mixture, None, reduce, pca_of(joined, final_dim), speed.patch_stride)
+    return Tier2(region, codebook, idf, mixture, None, reduce, pca_of(joined, final_dim), speed.patch_stride, speed.word_sample)
 
 
 def encode_tier2(images: DataFrame, model: Tier2) -> DataFrame:

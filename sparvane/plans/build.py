@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Config
+from ..config import NOT_SEARCHED, Config
 from ..functions import kernels
 from ..operators import fitting, retrieval, statistics, store
 from ..sources import annotations, images, tables
@@ -51,8 +51,8 @@ def build(spark: SparkSession, config: Config, photos: DataFrame, out: str) -> d
 
     def metadata() -> DataFrame:
         ids = posture.attribute_ids(t["attributes"])
-        chosen = posture.selected(posture.scored(t["master"], t["attribute_labels"], t["parts"], ids), least=config.min_images)
-        return posture.facing(chosen, t["parts"])
+        chosen = posture.selected(posture.scored(t["master"], t["attribute_labels"], t["parts"], ids), least=config.min_images, relax=config.relax)
+        return posture.facing(chosen, t["parts"], t["master"])
 
     meta = steps("metadata", config.root, metadata)
     crops = steps("crops", config.root, lambda: images.cropped(meta.join(photos, "filepath").select("img_id", photos["height"].alias("height"), photos["width"].alias("width"), "rgb", "x", "y", meta["width"].alias("w"), meta["height"].alias("h"), "hflip")))
@@ -65,10 +65,10 @@ def build(spark: SparkSession, config: Config, photos: DataFrame, out: str) -> d
         return fitting.encode_tier2(crops, fitting.fit_tier2(crops, boxes, config.profile, config.dims, config.fit_rows))
 
     tier2 = steps("tier2", (config.root, config.speed, config.dims, config.fit_rows), two)
-    names = [c for c in one.columns if c.startswith("cattr_")]
+    names = [c for c in one.columns if c.startswith("cattr_") and c not in NOT_SEARCHED]
     blocks = {"t1": one.select("img_id", F.array(*names).alias("vec")), "t2": tier2.select("img_id", F.col("embedding").alias("vec")), "t3": three}
     hu = [names.index(f"cattr_hu{i}") for i in (1, 2, 3)]
-    both = steps("fused", (config.root, config.speed, config.weights, config.hu_weight), lambda: fused(blocks, dict(zip(("t1", "t2", "t3"), config.weights, strict=True)), boost=(hu, config.hu_weight)))
+    both = steps("fused", (config.root, config.speed, config.weights, config.hu_weight, config.pca_dim), lambda: fused(blocks, dict(zip(("t1", "t2", "t3"), config.weights, strict=True)), {"t2": config.pca_dim}, (hu, config.hu_weight)))
     labelled = tier2.join(meta.select("img_id", "class_id"), "img_id")
     return {
         "metadata": meta, "tier1": one, "tier2": tier2, "tier3": three, "fused": both,

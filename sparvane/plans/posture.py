@@ -9,7 +9,7 @@ from ..functions.text import matches_any, output_name
 from ..operators import relational as R
 
 # Keywords of the attribute signal, landmark ids and limits of the predicate.
-KEYWORDS = ("perching", "perched", "sitting", "standing", "upright", "side", "profile")
+KEYWORDS = ("perch", "perching", "sitting", "fly", "flying", "flight", "upright")
 EYES, BEAK, TAIL, LEGS, WINGS = (7, 11), 2, 14, (8, 12), (9, 13)
 MOST_RATIO, LEAST_DX, DY, LEAST_LEG_Y, MOST_BOX_RATIO = 1.7, 0.55, (0.26, 0.45), 0.62, 2.0
 
@@ -36,8 +36,8 @@ def scored(master: DataFrame, attribute_labels: DataFrame, parts: DataFrame, ids
     out = out.withColumns({
         "bbox_ratio": R.ratio(F.col("width"), F.col("height")),
         "bbox_area": F.col("width") * F.col("height"),
-        "beak_tail_dx_norm": R.normalized_offset(F.col(f"_x{BEAK}"), F.col(f"_x{TAIL}"), F.col("width")),
-        "beak_tail_dy_norm": R.normalized_offset(F.col(f"_y{BEAK}"), F.col(f"_y{TAIL}"), F.col("height")),
+        "beak_tail_dx_norm": R.normalized_offset(F.col(f"_x{BEAK}"), F.col(f"_x{TAIL}"), F.when(F.col("height") > 0, F.col("width"))),
+        "beak_tail_dy_norm": R.normalized_offset(F.col(f"_y{BEAK}"), F.col(f"_y{TAIL}"), F.when(F.col("width") > 0, F.col("height"))),
         "leg_y_norm_max": R.largest_offset([F.col(f"_y{i}") for i in LEGS], F.col("y"), F.col("height")),
         "wing_span_norm": R.normalized_offset(F.col(f"_x{WINGS[0]}"), F.col(f"_x{WINGS[1]}"), F.col("width")),
     })
@@ -54,21 +54,26 @@ def scored(master: DataFrame, attribute_labels: DataFrame, parts: DataFrame, ids
     return out.withColumn("likely_perching", F.coalesce(test, F.lit(False))).drop(*[f"_{k}" for k in picks])
 
 
-def selected(scores: DataFrame, blocked: DataFrame | None = None, least: int = 500, relaxed: int = 8000) -> DataFrame:
-    """Likely rows without blocked file names; the smallest box ratios instead where fewer than `least` are likely."""
+def selected(scores: DataFrame, blocked: DataFrame | None = None, least: int = 500, relax: bool = False, relaxed: int = 8000) -> DataFrame:
+    """Likely rows without blocked file names. With relax, the smallest box ratios instead where fewer than `least` are likely."""
     likely = scores.filter("likely_perching").withColumn("filename", output_name(F.col("img_id"), F.col("filepath")))
     if blocked is not None:
         likely = R.exclude(likely, "filename", blocked)
-    if likely.limit(least).count() >= least:
+    if not relax or likely.limit(least).count() >= least:
         return likely
     return R.smallest(scores, "bbox_ratio", "img_id", max(least, relaxed)).withColumn("filename", output_name(F.col("img_id"), F.col("filepath")))
 
 
-def facing(selected: DataFrame, parts: DataFrame) -> DataFrame:
-    """selected with hflip: own landmarks (beak right of tail), else the class's majority, else false."""
+def facing(selected: DataFrame, parts: DataFrame, pool: DataFrame | None = None) -> DataFrame:
+    """selected with hflip, which turns every image to the right.
+
+    An image faces right where its beak is right of its tail; without these landmarks its
+    class's majority in `pool` (by default selected) decides, and without that nothing is turned.
+    """
     n = F.col("part_id")
     seen = parts.filter("visible = 1").withColumn("_at", F.monotonically_increasing_id())
     own = R.last_value_per_key(seen, "img_id", {"_b": (n == BEAK, F.col("x")), "_t": (n == TAIL, F.col("x"))}, "_at").select("img_id", (F.col("_b") > F.col("_t")).alias("_right"))
-    marked = selected.join(own, "img_id", "left")
-    most = R.majority(marked, "class_id", F.col("_right"), "_most")
-    return marked.join(R.small(most), "class_id", "left").withColumn("hflip", F.coalesce("_right", "_most", F.lit(False))).drop("_right", "_most")
+    every = (selected if pool is None else pool).select("img_id", "class_id").join(own, "img_id")
+    most = R.majority(every, "class_id", F.col("_right"), "_most")
+    marked = selected.join(own, "img_id", "left").join(R.small(most), "class_id", "left")
+    return marked.withColumn("hflip", F.coalesce(~F.col("_right"), ~F.col("_most"), F.lit(False))).drop("_right", "_most")

@@ -58,8 +58,10 @@ def test_blocklist_and_relaxed_fallback(spark, root):
     s = posture.scored(t["master"], t["attribute_labels"], t["parts"], [1])
     blocked = spark.createDataFrame([("00001_p1.png",)], "f string")
     assert posture.selected(s, blocked, least=1).count() == 10
-    assert posture.selected(s, blocked, least=11, relaxed=5).count() == 11
-    assert all(r.hflip for r in posture.facing(posture.selected(s, least=1), t["parts"]).collect())
+    assert posture.selected(s, blocked, least=11, relaxed=5).count() == 10 and posture.selected(s, blocked, least=11, relax=True, relaxed=5).count() == 11
+    assert not any(r.hflip for r in posture.facing(posture.selected(s, least=1), t["parts"]).collect())  # beaks are right of tails already
+    left = t["parts"].withColumn("x", -F.col("x")).filter("img_id <> 1")
+    assert all(r.hflip for r in posture.facing(posture.selected(s, least=1), left, t["master"]).collect())  # the first by its class
 
 
 def test_missing_file_is_named(spark, tmp_path):
