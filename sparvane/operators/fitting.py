@@ -268,3 +268,26 @@ def encode_tier2(images: DataFrame, model: Tier2) -> DataFrame:
             yield pd.DataFrame(rows, columns=["img_id", "embedding", "parts"])
 
     return images.select("img_id", "height", "width", "rgb").mapInPandas(run, "img_id int, embedding array<float>, parts array<array<float>>")
+
+
+def save_tier2(spark, model: Tier2, path: str) -> None:
+    """A model as a table of named arrays (name, shape, values): no code is stored and none runs on loading."""
+    m = model.region
+    arrays = {"colours": m.colours, **{f"patterns{i}": p for i, p in enumerate(m.patterns)}, "low": m.low, "high": m.high, "codebook": model.codebook, "idf": model.idf}
+    arrays |= {f"box_{k}": np.array(v) for k, v in m.boxes.items()}
+    arrays |= {"weights": model.mixture.weights, "means": model.mixture.means, "variances": model.mixture.variances}
+    for name, p in (*((f"pca{i}", p) for i, p in enumerate(model.reduce)), ("final", model.final)):
+        arrays |= {f"{name}_mean": p.mean, f"{name}_axes": p.axes}
+    arrays["settings"] = np.array([m.exact_colours, m.colour_sample, m.colour_rounds, model.stride, model.word_sample])
+    rows = [(k, list(v.shape), [float(x) for x in v.ravel()]) for k, v in arrays.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, values array<double>").write.mode("overwrite").parquet(path)
+
+
+def load_tier2(spark, path: str) -> Tier2:
+    a = {r["name"]: np.array(r["values"]).reshape(r["shape"]) for r in spark.read.parquet(path).toLocalIterator()}
+    ids = lambda k: a[k].astype(np.int64)
+    exact, sample, rounds, stride, words = a["settings"].astype(int).tolist()
+    boxes = {k.removeprefix("box_"): tuple(v.astype(int).tolist()) for k, v in a.items() if k.startswith("box_")}
+    region = K.RegionModel(ids("colours"), tuple(ids(f"patterns{i}") for i in range(3)), a["low"], a["high"], boxes, bool(exact), sample, rounds)
+    pca = lambda k: Pca(a[f"{k}_mean"], a[f"{k}_axes"])
+    return Tier2(region, a["codebook"], a["idf"], K.Mixture(a["weights"], a["means"], a["variances"]), None, tuple(pca(f"pca{i}") for i in range(3)), pca("final"), stride, words)

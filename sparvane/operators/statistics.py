@@ -134,7 +134,9 @@ def binary_pivot(facts: DataFrame, key: str, column: str, values: Sequence, flag
 
 def correlations(df: DataFrame, left: Sequence[str], right: Sequence[str]) -> DataFrame:
     """Pearson correlation of each left with each right column, in one pass: (a, b, r), 0 where a side is constant."""
-    aggs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.coalesce(F.nanvl(F.corr(a, b), F.lit(0.0)), F.lit(0.0)).alias("r")) for a in left for b in right]
+    spread = F.stddev_pop
+    r = lambda a, b: F.when((spread(a) > 1e-12) & (spread(b) > 1e-12), F.try_divide(F.covar_pop(a, b), spread(a) * spread(b))).otherwise(F.lit(0.0))
+    aggs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r(a, b).alias("r")) for a in left for b in right]
     return df.agg(F.array(*aggs).alias("c")).select(F.inline("c"))
 
 
