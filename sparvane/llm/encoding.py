@@ -17,7 +17,8 @@ from .held import held
 
 _MOST = 600_000
 _SLICE = 1 << 22
-_SEEN = 1 << 24
+_SEEN = 1 << 23
+_GROUP = 1 << 15
 
 
 class Encoder:
@@ -39,6 +40,7 @@ class Encoder:
         self.known: dict[str, bytes | None] = {}
         self.bare: dict[str, bytes] = {}
         self.seen = np.zeros(_SEEN, bool)
+        self.missed = 0.0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -84,8 +86,15 @@ class Encoder:
         if not self.chunked:
             return self._ids(texts)
         out: list[bytes | None] = []
-        for at in range(0, len(texts), 64):
-            out += self._chunked(texts[at : at + 64])
+        group: list[str] = []
+        size = 0
+        for text in texts:  # small groups: their chunks stay in the processor's cache from one pass to the next
+            group.append(text)
+            size += len(text)
+            if size >= _GROUP:
+                out += self._chunked(group)
+                group, size = [], 0
+        out += self._chunked(group)
         whole = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
             out[i] = x
@@ -100,9 +109,11 @@ class Encoder:
         rest = [p[1:] for p in parts]
         every = set(chain.from_iterable(rest))
         fresh = list(every.difference(self.known))
-        if len(self.known) >= _MOST and 2 * len(fresh) > len(every):  # other texts than it was filled by
+        self.missed += 0.01 * (len(fresh) / max(1, len(every)) - self.missed)
+        if len(self.known) >= _MOST and self.missed > 0.7:  # other texts than it was filled by
             self.known.clear()
             self.seen[:] = False
+            self.missed = 0.0
             fresh = list(every)
         self._learn(fresh)
         first = self._ids([p[0] for p in parts])
@@ -111,7 +122,9 @@ class Encoder:
         return out
 
     def _forget(self, fresh: list[str]) -> None:
-        """Most chunks never come again: only those whose hash was met before stay, and none beyond _MOST."""
+        """Beyond half of _MOST, only chunks whose hash was met before stay, as most never come again; beyond _MOST none."""
+        if len(self.known) < _MOST // 2:
+            return
         at = np.fromiter(map(hash, fresh), np.int64, len(fresh)) & (_SEEN - 1)
         full = len(self.known) >= _MOST + len(fresh)
         for i in range(len(fresh)) if full else np.flatnonzero(~self.seen[at]).tolist():

@@ -23,7 +23,7 @@ import zlib
 
 import numpy as np
 
-MAGIC, SCALE, LANES, BLOCK = b"SVT1", 20, 256, 1 << 17
+MAGIC, SCALE, LANES, BLOCK = b"SVT1", 20, 512, 1 << 17
 _HEAD = struct.Struct("<4s7IQ")
 _LOW = np.uint64(1 << 31)
 _POINT = np.dtype([("first", "<u8"), ("words", "<u4"), ("crc", "<u4")])
