@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Speed
 from ..functions import kernels as K
+from ..ship import ship
 from .relational import hash_rank
 
 
@@ -77,6 +78,7 @@ def fit_pca(pool: DataFrame, vec: str, dim: int) -> Pca | None:
 
 def apply_pca(df: DataFrame, vec: str, model: Pca | None, out: str) -> DataFrame:
     """df with the projected column; the column itself without a model."""
+    ship(df.sparkSession)
     if model is None:
         return df.withColumn(out, F.col(vec).cast("array<double>"))
     fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes if c != out)
@@ -111,6 +113,7 @@ def fit_mixture(points: DataFrame, vec: str, k: int, rounds: int = 20, floor: fl
 
     Starts from k-means centres of at most init_rows vectors.
     """
+    ship(points.sparkSession)
     points = points.select(vec).persist()
     first = np.stack(points.limit(init_rows).toPandas()[vec].to_numpy()).astype(np.float64)
     k = min(k, len(first))
@@ -197,6 +200,7 @@ def fit_tier2(images: DataFrame, boxes: dict, speed: Speed, dims: tuple[int, int
     """
     from .statistics import vector_moments
 
+    ship(images.sparkSession)
     pool = images.orderBy(hash_rank("img_id", 42), "img_id").limit(most).persist()
     names = ("colour", "lbp1", "lbp2", "lbp3", "moments")
 
@@ -254,6 +258,7 @@ def fit_tier2(images: DataFrame, boxes: dict, speed: Speed, dims: tuple[int, int
 
 def encode_tier2(images: DataFrame, model: Tier2) -> DataFrame:
     """(img_id, embedding, parts); images that can't be encoded give no row."""
+    ship(images.sparkSession)
     shared = images.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..ship import ship
 
 FLAT = "img_id int, height int, width int, rgb binary"
 
 
 def read_images(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """(path, height, width, rgb): decoded by the JVM; files that don't decode are left out."""
+    ship(spark)
     raw = spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", pattern).load(folder)
     out = raw.select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("n"), F.col("image.data").alias("data"))
 
@@ -49,6 +51,7 @@ def cropped(images: DataFrame, side: int = K.SIDE) -> DataFrame:
                 out.append((r.img_id, side, side, np.ascontiguousarray(K.box_image(rgb, r.x, r.y, r.w, r.h, side, bool(r.hflip))).tobytes()))
             yield pd.DataFrame(out, columns=["img_id", "height", "width", "rgb"])
 
+    ship(images.sparkSession)
     return images.select("img_id", "height", "width", "rgb", "x", "y", "w", "h", "hflip").mapInPandas(run, FLAT)
 
 
@@ -67,6 +70,7 @@ def extract(images: DataFrame, kernel: Callable[[K.Raster], np.ndarray], name: s
                 vecs.append(np.asarray(vec, np.float32))
             yield pd.DataFrame({"img_id": np.array(ids, np.int32), name: pd.Series(vecs, dtype=object)})
 
+    ship(images.sparkSession)
     return images.select("img_id", "height", "width", "rgb").mapInPandas(run, f"img_id int, `{name}` array<float>")
 
 
