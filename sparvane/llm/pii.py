@@ -2,7 +2,8 @@
 
 Base rules find seed entities of four kinds. Every token run that holds a digit or an @ is
 a candidate: an instance (its surface) that stands in lexical patterns (the word before it, or
-the label joined to it, or the word after it; each with the candidate's shape). Scores go around the graph of
+the label joined to it, or the word after it). A pattern is read in two ways: with the candidate's
+shape, and as a word alone, which reaches formats that no rule knows. Scores go around the graph of
 patterns and instances: a pattern is as sure as the share of its occurrences that are
 known instances of a kind, an instance as sure as its sure patterns together; sure
 instances are known in the next round. Candidates that end up known become spans.
@@ -26,6 +27,7 @@ RULES = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?: [^\s0-9@]*+[0-9@]\S*+)*+"
+_SALTS = 16
 _OPEN, _SHUT = "(\\[<{\"'“„«", ")\\]>}\"'”“»,;:!?."
 
 
@@ -91,7 +93,8 @@ def _candidates(spans: DataFrame) -> DataFrame:
     own = spans.filter("kind = ''")
     label = F.regexp_extract("match", r"^([A-Za-z_]+[=:]+)[^=:\s]", 1)
     own = own.withColumn("label", label).withColumn("match", F.substring(F.col("match"), F.length("label") + 1, F.length("match")))
-    lead = F.length(F.regexp_extract("match", f"^[{_OPEN}]*+", 0))
+    # a bracket around the first digits of several, as in (017) 555-7713, belongs to the surface
+    lead = F.length(F.regexp_extract("match", rf"^(?:(?!\([0-9]++\)[ /.-]?[0-9])[{_OPEN}])*+", 0))
     own = own.withColumn("start", F.col("start") + F.length("label") + lead).withColumn("match", F.substring(F.col("match"), lead + 1, F.length("match")))
     surface = F.regexp_replace("match", f"[{_SHUT}]++$", "")
     own = own.withColumn("surface", surface).withColumn("end", F.col("start") + F.char_length("surface")).filter("surface <> ''")
@@ -100,23 +103,67 @@ def _candidates(spans: DataFrame) -> DataFrame:
     return own.select("row", "start", "end", "surface", shape.alias("shape"), left.alias("left"), F.lower("right").alias("right"))
 
 
-def bootstrap(candidates: DataFrame, base: DataFrame, rounds: int = 3, sure: float = 0.8, support: int = 3) -> DataFrame:
+def _may(surface: Column, kind: str) -> Column:
+    """Whether a surface could be of a kind though it has no format of the kind's rule: a coarse type only."""
+    digits = F.length(F.regexp_replace(surface, "[^0-9]", ""))
+    like = {
+        "email": surface.rlike(r"^[^\s@,;:/<>()]++@[^\s@,;:/<>()]++$"),
+        "ip": surface.rlike(r"^[0-9A-Fa-fx]*+(?:[^\s0-9A-Za-z@]++[0-9A-Fa-f]*+){2,}+$"),
+        "card": digits.between(7, 19),
+        "phone": digits.between(7, 15),
+    }[kind]
+    return like & ~surface.rlike(f"^(?:{RULES[kind]})$") & (F.lit(kind == "email") | ~F.contains(surface, F.lit("@")))
+
+
+def _by_word(edges: DataFrame, known: DataFrame, sure: float, support: int, unknown: float) -> DataFrame:
+    """(word, kind, p) of sure words. Known instances of other kinds, surfaces that cannot be of the kind and those that its
+    rule refused count against it; unknown surfaces that could be count for a share `unknown`."""
+    n, own = F.col("n"), F.coalesce("kind", F.lit(""))
+    sums = []
+    for i, k in enumerate(KINDS):
+        hit, may = own == k, (own == "") & (F.col("may").bitwiseAND(1 << i) > 0)
+        mass = F.sum(F.when(hit, n * F.col("confidence")).otherwise(0.0))
+        against = F.sum(F.when(hit, 0.0).when(may, n * unknown).otherwise(n))
+        sums.append(F.struct(F.lit(k).alias("kind"), mass.alias("mass"), against.alias("against"), F.count(F.when(hit, 1)).alias("seen")))
+    each = edges.join(known, "surface", "left").groupBy("word").agg(F.array(*sums).alias("s")).select("word", F.explode("s").alias("s"))
+    p = F.col("s.mass") / (F.col("s.mass") + F.col("s.against"))
+    return each.filter(F.col("s.seen") >= support).select("word", "s.kind", p.alias("p")).filter(F.col("p") >= sure)
+
+
+def bootstrap(candidates: DataFrame, base: DataFrame, rounds: int = 3, sure: float = 0.8, support: int = 3, unknown: float = 0.1) -> DataFrame:
     """(surface, kind, confidence) of instances that are no seeds but known after some rounds.
 
-    A pattern counts where `support` distinct known instances or more stand in it.
+    A pattern counts where `support` distinct known instances or more stand in it. What only a word
+    speaks for needs its shape's evidence too: the shape's surfaces must stand in sure words at
+    least a quarter as often as the kind's known instances do, else confidence falls in proportion.
     """
     seeds = candidates.join(base.select("row", "start", "end", "kind"), ["row", "start", "end"]).groupBy("surface").agg(F.min("kind").alias("kind"))
     known = materialize(seeds.withColumn("confidence", F.lit(1.0)), "pii-known")
     seeds = known
     sides = F.explode(F.array(F.concat(F.lit("<"), "left"), F.concat(F.lit(">"), "right")))
     edges = candidates.select("surface", "shape", sides.alias("word")).filter("length(word) > 1")
-    edges = materialize(edges.groupBy("word", "shape", "surface").agg(F.count(F.lit(1)).alias("n")), "pii-edges")
+    edges = edges.groupBy("word", "shape", "surface").agg(F.count(F.lit(1)).alias("n"))
+    may = sum((F.when(_may(F.col("surface"), k), 1 << i).otherwise(0) for i, k in enumerate(KINDS)), F.lit(0))
+    edges = materialize(edges.withColumn("may", may).withColumn("salt", F.pmod(F.hash("surface"), F.lit(_SALTS))), "pii-edges")
     totals = edges.groupBy("word", "shape").agg(F.sum("n").alias("total"))
+    shapes = edges.select("shape", "surface").distinct().groupBy("shape").agg(F.count(F.lit(1)).alias("all"))
+    doubt = F.sum(F.log1p(-F.least(F.col("p"), F.lit(0.999))))
+    bit = sum((F.when(F.col("kind") == k, 1 << i).otherwise(0) for i, k in enumerate(KINDS)), F.lit(0))
     for _ in range(rounds):
         held = edges.join(known, "surface").groupBy("word", "shape", "kind").agg(F.sum(F.col("n") * F.col("confidence")).alias("mass"), F.count(F.lit(1)).alias("seen"))
         patterns = held.filter(F.col("seen") >= support).join(totals, ["word", "shape"]).withColumn("p", F.col("mass") / F.col("total")).filter(F.col("p") >= sure)
-        doubt = F.sum(F.log1p(-F.least(F.col("p"), F.lit(0.999))))
         scored = edges.join(patterns.select("word", "shape", "kind", "p"), ["word", "shape"]).groupBy("surface", "kind").agg((1 - F.exp(doubt)).alias("confidence"))
+        words = _by_word(edges, known, sure, support, unknown).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        inside = edges.join(words, ["word", "salt"]).groupBy("surface", "shape", "may", "kind").agg((1 - F.exp(doubt)).alias("confidence"))
+        inside = materialize(inside, "pii-inside")
+        own = known.groupBy("kind").agg(F.count(F.lit(1)).alias("known"))
+        share = inside.join(known.select("surface", "kind"), ["surface", "kind"]).groupBy("kind").agg(F.count(F.lit(1)).alias("in")).join(own, "kind")
+        share = share.select("kind", (F.col("in") / F.col("known")).alias("share"))
+        fits = inside.groupBy("shape", "kind").agg(F.count(F.lit(1)).alias("in")).join(shapes, "shape").join(F.broadcast(share), "kind")
+        fits = fits.select("shape", "kind", F.least(F.lit(1.0), 4 * F.col("in") / F.col("all") / F.col("share")).alias("fit"))
+        wide = inside.filter(F.col("may").bitwiseAND(bit) > 0).join(fits, ["shape", "kind"])
+        wide = wide.select("surface", "kind", (F.col("confidence") * F.col("fit")).alias("confidence"))
+        scored = scored.unionByName(wide)
         best = scored.filter(F.col("confidence") >= sure).groupBy("surface").agg(F.max(F.struct("confidence", "kind")).alias("b")).select("surface", "b.kind", "b.confidence")
         known = materialize(seeds.unionByName(best.join(seeds, "surface", "left_anti")), "pii-known")
     return known.join(seeds, "surface", "left_anti")
@@ -126,16 +173,20 @@ def find(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, base, spans), one row for each row of docs: arrays of (start, rank, end, kind) in order.
 
     Offsets are code points, ends exclusive. base holds the rules' spans, spans those and
-    what bootstrapping adds where no base span overlaps. Null and empty texts have none.
+    what bootstrapping adds where no base span overlaps, or where it holds one of its kind that cuts a word in
+    two (an e-mail with a letter that the rule doesn't take). Null and empty texts have none.
     Equal rows get equal results; rows are told apart by place, not by doc_id.
     """
     rows, located = _located(docs)
     located = materialize(located, "pii-spans")
     base = located.filter("kind <> ''").filter(_holds(F.col("kind"), F.col("match")))
     candidates = _candidates(located)
-    fresh = candidates.join(bootstrap(candidates, base, **options), "surface").select("row", "start", "end", "kind")
-    overlap = base.select(F.col("row").alias("_row"), F.col("start").alias("_start"), F.col("end").alias("_end"))
-    fresh = fresh.join(overlap, (F.col("row") == F.col("_row")) & (F.col("start") < F.col("_end")) & (F.col("end") > F.col("_start")), "left_anti")
+    fresh = candidates.join(bootstrap(candidates, base, **options), "surface").select("row", "start", "end", "kind", "surface")
+    overlap = base.select(F.col("row").alias("_row"), F.col("start").alias("_start"), F.col("end").alias("_end"), F.col("kind").alias("_kind"))
+    inside = (F.col("_kind") == F.col("kind")) & (F.col("_start") >= F.col("start")) & (F.col("_end") <= F.col("end"))
+    ends = F.concat(F.when(F.col("_start") > F.col("start"), F.substring("surface", F.col("_start") - F.col("start"), F.lit(1))).otherwise(""), F.substring("surface", F.col("_end") - F.col("start") + 1, F.lit(1)))
+    cut = inside & ends.rlike(r"[\p{L}\p{M}\p{N}]")
+    fresh = fresh.join(overlap, (F.col("row") == F.col("_row")) & (F.col("start") < F.col("_end")) & (F.col("end") > F.col("_start")) & ~cut, "left_anti").drop("surface")
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     both = base.select("row", "kind", "start", "end", F.lit(True).alias("rule")).unionByName(fresh.withColumn("rule", F.lit(False)))
     both = both.withColumn("s", F.struct("start", rank.alias("rank"), "end", "kind"))

@@ -60,6 +60,26 @@ def test_contexts_find_what_rules_miss(spark):
     assert {r.doc_id for r in found if len(r.spans) > len(r.base)} == set(range(0, 200, 20))
 
 
+def test_contexts_find_formats_no_seed_has(spark):
+    rng = random.Random(7)
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    new = {
+        "phone": [f"(017) 555-{d(4)}" for _ in range(15)] + [f"0{d(2)}/{d(7)}" for _ in range(5)],
+        "email": [f"jörg{i}@mail.example.com" for i in range(10)] + [f"rené{i}@localhost" for i in range(10)],
+        "ip": [f"fe80::{i + 1}ff:fe23:45{i}" for i in range(20)],
+        "card": [f"4{d(3)}/{d(4)}/{d(4)}/{d(4)}" for _ in range(20)],
+    }
+    seeds = {"phone": lambda i: f"+1 (743) 555-{1000 + i}", "email": lambda i: f"ann.{i}@mail.example.com", "ip": lambda i: f"10.1.{i}.7", "card": lambda i: card(rng, True)}
+    texts = [(f"please use {k} {x} from now", k, x) for k, xs in new.items() for x in xs]
+    other = [f"please use {k} {seeds[k](i)} from now" for k in new for i in range(40)]
+    other += [f"please use {k} {n} times now" for k in new for n in range(2)]
+    other += [f"written on {i % 28 + 1:02}/{i % 12 + 1:02}/{2000 + i % 20} by hand" for i in range(400)] + ["please use phone 12/11/2031 in time"]
+    other += [f"order {d(8)} is sent" for _ in range(50)]
+    rows = list(enumerate([x[0] for x in texts] + other))
+    added = {(r.doc_id, s.kind, rows[r.doc_id][1][s.start : s.end]) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect() for s in r.spans if s not in r.base}
+    assert added == {(i, k, x) for i, (_, k, x) in enumerate(texts)}
+
+
 def test_plan_stays_in_the_jvm(edge_docs):
     plan = pii.find(edge_docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
