@@ -4,7 +4,8 @@ A character trigram model is counted over all documents. What a reader may have
 a disguised word is a lattice: a digit or sign may stand for letters or nothing, a letter drawn
 out may be one, a sign or space between letters may be nothing or a word's end. Viterbi
 decoding takes the reading of least channel cost plus model cost. Words of letters alone
-with no letter three times in a row have one reading and are left as they are. Restored
+with no letter twice in a row have one reading and are left as they are; doubled letters are undone
+only where the model gains more than that costs. Numbers are no words. Restored
 words are scored by character n-grams with weights learnt from labelled documents.
 """
 
@@ -27,8 +28,11 @@ CLASSES = 64
 # What a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¥": "y", "¢": "c"}
 SUBSTITUTE, DROP_LEET, DROP_SIGN, DROP_REPEAT, BREAK, DROP_LAST = 1.5, 9.0, 0.7, 0.3, 1.0, 0.5
+#: for a word whose doubled letters are undone, and for each of them
+DOUBLED, DROP_DOUBLE = 6.0, 1.5
 _EDGE = ".,;:?()[]{}<>\"'`«»“”„‘’…&%#*^=~/\\-_–—¿¡"
-_TRIPLE = re.compile(r"([^\W\d_])\1\1")
+_DOUBLE = re.compile(r"([^\W_@$!|+])\1|([@$!|+])\2")
+_NUMBER = re.compile(r"[+$€£¥¢]*[0-9][0-9.,:;/()%*-]*[+$€£¥¢!]*")
 #: three or more single characters with one separator each between them
 _SPACED = re.compile(r"(?<!\S)(?:\S[ ._*-]){2,}\S(?!\S)")
 _MOST = 300_000
@@ -90,24 +94,32 @@ class Decoder:
     def __init__(self, costs: np.ndarray):
         self.costs = costs.tolist()
 
-    def options(self, text: str, i: int, spaced: bool) -> list[tuple[str, float]]:
+    def options(self, text: str, i: int, spaced: bool, doubled: bool = False) -> list[tuple[str, float]]:
         ch = text[i]
         if _class(ch):
             if i and text[i - 1] == ch and (text[i - 2 : i - 1] == ch or text[i + 1 : i + 2] == ch):
                 return [(ch, 0.0), ("", DROP_REPEAT)]
+            if doubled and i and text[i - 1] == ch:
+                return [(ch, 0.0), ("", DROP_DOUBLE)]
             return [(ch, 0.0)]
         if ch in LEET:
             drop = DROP_LAST if ch == "!" and not text[i:].strip("!.,?") else DROP_SIGN if ch * 3 in text[max(0, i - 2) : i + 3] else DROP_LEET
+            if doubled and i and text[i - 1] == ch:
+                drop = min(drop, DROP_DOUBLE)
             return [*((x, SUBSTITUTE) for x in LEET[ch]), ("", drop)]
         return [("", DROP_SIGN if not spaced else 0.1), (" ", BREAK)]
 
     def decode(self, text: str, spaced: bool = False) -> str:
-        """The best reading; spaces part its words. A state is the last two classes read; readings are linked backwards."""
+        """The best reading; spaces part its words."""
+        return self.best(text, spaced)[1]
+
+    def best(self, text: str, spaced: bool = False, doubled: bool = False) -> tuple[float, str]:
+        """The cost of the best reading, and the reading. A state is the last two classes read; readings are linked backwards."""
         costs, k2 = self.costs, CLASSES
         states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for i in range(len(text)):
             new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-            options = [(x, more, _class(x) if x else -1) for x, more in self.options(text, i, spaced)]
+            options = [(x, more, _class(x) if x else -1) for x, more in self.options(text, i, spaced, doubled)]
             for (a, b), (cost, path) in states.items():
                 base = (a * k2 + b) * k2
                 for x, more, c in options:
@@ -118,21 +130,29 @@ class Decoder:
                     if key not in new or total < new[key][0]:
                         new[key] = (total, way)
             states = new
-        path = min(((cost + costs[(a * k2 + b) * k2], (a, b), way) for (a, b), (cost, way) in states.items()), key=lambda s: s[:2])[2]
+        total, _, path = min(((cost + costs[(a * k2 + b) * k2], (a, b), way) for (a, b), (cost, way) in states.items()), key=lambda s: s[:2])
         out = []
         while path is not None:
             path, x = path
             out.append(x)
-        return "".join(reversed(out))
+        return total, "".join(reversed(out))
 
     def token(self, token: str) -> str:
         """The reading of a lower-case token without white space."""
         core = token.strip(_EDGE)
-        if core.isalpha() and not _TRIPLE.search(core):
-            return core
-        if sum(map(str.isalpha, core)) < 2:
-            return ""
-        return self.decode(core)
+        if core.isalpha():
+            if not _DOUBLE.search(core):
+                return core
+        elif sum(map(str.isalpha, core)) < 2:
+            signs = LEET.keys() & set(core)
+            if not signs or len(set(core)) < 2 or _NUMBER.fullmatch(core):
+                return ""
+        cost, reading = self.best(core)
+        if _DOUBLE.search(core):
+            other, undone = self.best(core, doubled=True)
+            if other + DOUBLED < cost:
+                return undone
+        return reading
 
     def restore(self, text: str) -> str:
         """A text's words as read, single spaces between."""

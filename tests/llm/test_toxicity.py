@@ -22,6 +22,28 @@ def test_plain_words_have_one_reading(decoder):
     assert decoder.restore("The Moron, see (idiot).\nBooks") == "the moron see idiot books"
 
 
+@pytest.fixture(scope="module")
+def rude(spark):
+    text = "the idiot and the moron had a stupid clown that is shit and an ass so see the good book and all the letters of a happy week " * 50
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    return toxicity.Decoder(toxicity.model_costs(toxicity.count_trigrams(df)))
+
+
+@pytest.mark.parametrize("seen,meant", [("5h17", "shit"), ("1d107", "idiot"), ("a55", "ass"), ("@$$", "ass"), ("iidiioott", "idiot"), ("mmoorroonn", "moron"), ("sshhiitt", "shit"), ("11d1100tt", "idiot")])
+def test_readings_of_few_letters_and_doubled_letters(rude, seen, meant):
+    assert rude.restore(seen) == meant
+
+
+@pytest.mark.parametrize("seen", ["42", "1,000.50", "$100", "12/05/2024", "+1", "555-1234", "|", "@", "$$$", "!!!", "++"])
+def test_numbers_and_lone_signs_are_no_words(rude, seen):
+    assert rude.restore(seen) == ""
+
+
+def test_doubled_letters_of_words_stay(rude):
+    text = "see the good book and all the letters of a happy week"
+    assert rude.restore(text) == text
+
+
 def test_trigram_counts(spark):
     n = toxicity.count_trigrams(spark.createDataFrame([(1, "abc"), (2, "ab")], "doc_id long, text string")).reshape(64, 64, 64)
     assert n[1, 2, 3] == 1 and n[0, 1, 2] == 2 and n[2, 0, 0] >= 1
