@@ -27,14 +27,15 @@ from .textstats import sample_by_hash, training_fold
 CLASSES = 64
 # What a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¥": "y", "¢": "c"}
-SUBSTITUTE, DROP_LEET, DROP_SIGN, DROP_REPEAT, BREAK, DROP_LAST = 1.5, 9.0, 0.7, 0.3, 1.0, 0.5
+SUBSTITUTE, DROP_LEET, DROP_SIGN, DROP_REPEAT, BREAK, DROP_LAST, WIDE = 1.5, 9.0, 0.7, 0.3, 1.0, 0.5, 4.0
 #: for a word whose doubled letters are undone, and for each of them
 DOUBLED, DROP_DOUBLE = 6.0, 1.5
 _EDGE = ".,;:?()[]{}<>\"'`«»“”„‘’…&%#*^=~/\\-_–—¿¡"
 _DOUBLE = re.compile(r"([^\W_@$!|+])\1|([@$!|+])\2")
 _NUMBER = re.compile(r"[+$€£¥¢]*[0-9][0-9.,:;/()%*-]*[+$€£¥¢!]*")
-#: three or more single characters with one separator each between them
-_SPACED = re.compile(r"(?<!\S)(?:\S[ ._*-]){2,}\S(?!\S)")
+_ONE, _GAP = r"(?:[^\W_]|[@$!|+€£¥¢])", re.compile(r"[\s._*-]+")
+#: three or more single characters parted by white space or signs, in punctuation or not
+_SPACED = re.compile(rf"(?<!\S)[{re.escape(_EDGE)}]*+({_ONE}(?:[\s._*-]++{_ONE}){{2,}})[{re.escape(_EDGE)}!]*(?!\S)")
 _MOST = 300_000
 
 
@@ -107,6 +108,8 @@ class Decoder:
             if doubled and i and text[i - 1] == ch:
                 drop = min(drop, DROP_DOUBLE)
             return [*((x, SUBSTITUTE) for x in LEET[ch]), ("", drop)]
+        if spaced and ch == "\n":  # a gap wider than others, likely a word's end
+            return [("", WIDE), (" ", 0.1)]
         return [("", DROP_SIGN if not spaced else 0.1), (" ", BREAK)]
 
     def decode(self, text: str, spaced: bool = False) -> str:
@@ -154,10 +157,19 @@ class Decoder:
                 return undone
         return reading
 
+    def _run(self, m: re.Match) -> str:
+        if not re.search(r"[^\W\d_]|[@$!|+€£¥¢]", m[1]):
+            return m[0]  # numbers are no words
+        least = min(map(len, _GAP.findall(m[1])))
+        return self.decode(_GAP.sub(lambda g: " " if len(g[0]) == least else "\n", m[1]), True)
+
+    def joined(self, text: str) -> str:
+        """A text in lower case with runs of single characters read as words."""
+        return _SPACED.sub(self._run, text.lower())
+
     def restore(self, text: str) -> str:
         """A text's words as read, single spaces between."""
-        text = _SPACED.sub(lambda m: self.decode(m[0], True), text.lower())
-        return " ".join(filter(None, map(self.token, text.split())))
+        return " ".join(filter(None, map(self.token, self.joined(text).split())))
 
 
 def ngrams(word: str) -> set[str]:
@@ -210,8 +222,7 @@ class Scorer:
         for at in range(0, len(texts), 256):
             sets = []
             for t in texts[at : at + 256]:
-                t = _SPACED.sub(lambda m: self.decoder.decode(m[0], True), t.lower())
-                sets.append(set(t.split()))
+                sets.append(set(self.decoder.joined(t).split()))
             if len(self.clean) > _MOST:
                 self.clean.clear()
                 self.hot.clear()
@@ -264,7 +275,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_gram
         for batch in batches:
             out = []
             for t in batch.column("text").to_pylist():
-                tokens = set(_SPACED.sub(lambda m: decoder.decode(m[0], True), (t or "").lower()).split())
+                tokens = set(decoder.joined(t or "").split())
                 for x in tokens:
                     if x not in known:
                         known[x] = decoder.token(x)

@@ -44,6 +44,20 @@ def test_doubled_letters_of_words_stay(rude):
     assert rude.restore(text) == text
 
 
+@pytest.mark.parametrize("seen,meant", [
+    ("s t u p i d.", "stupid"), ("a s t u p i d, idiot", "a stupid idiot"), ("s t u p i d! see", "stupid see"), ('"s t u p i d"', "stupid"), ("(s.t.u.p.i.d)", "stupid"),
+    ("s  t  u  p  i  d", "stupid"), ("s\tt\tu\tp\ti\td", "stupid"), ("s\nt\nu\np\ni\nd", "stupid"), ("s - t - u - p - i - d", "stupid"),
+    ("s t u p i d   c l o w n", "stupid clown"), ("s t  u p i d", "stupid"), ("the 5 7 u p 1 d?", "the stupid"), ("1  2\n3", ""),
+])
+def test_readings_of_spaced_words(rude, seen, meant):
+    assert rude.restore(seen) == meant
+
+
+def test_spaced_runs_take_linear_time(rude):
+    for text in ("a " * 30_000 + "ab", "a" + " -" * 50_000, "a." * 30_000 + "bc", "-" * 100_000, "a " * 2 + "\n" * 100_000):
+        assert isinstance(rude.restore(text), str)
+
+
 def test_trigram_counts(spark):
     n = toxicity.count_trigrams(spark.createDataFrame([(1, "abc"), (2, "ab")], "doc_id long, text string")).reshape(64, 64, 64)
     assert n[1, 2, 3] == 1 and n[0, 1, 2] == 2 and n[2, 0, 0] >= 1
