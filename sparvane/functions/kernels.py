@@ -469,10 +469,14 @@ class Mixture:
     means: np.ndarray
     variances: np.ndarray
 
-    def responsibilities(self, x: np.ndarray) -> np.ndarray:
+    def log_joint(self, x: np.ndarray) -> np.ndarray:
+        """Log of weight times density, a column per component."""
         inverse = 1 / self.variances
         log = -0.5 * ((x**2) @ inverse.T - 2 * x @ (self.means * inverse).T + ((self.means**2) * inverse + np.log(2 * np.pi * self.variances)).sum(axis=1))
-        log = log + np.log(self.weights + 1e-300)
+        return log + np.log(self.weights + 1e-300)
+
+    def responsibilities(self, x: np.ndarray) -> np.ndarray:
+        log = self.log_joint(x)
         log -= log.max(axis=1, keepdims=True)
         p = np.exp(log)
         return p / p.sum(axis=1, keepdims=True)

@@ -108,31 +108,42 @@ def fit_codebook(points: DataFrame, vec: str, k: int, rounds: int = 20, seed: in
     return centres[np.lexsort(centres.T[::-1])]
 
 
-def fit_mixture(points: DataFrame, vec: str, k: int, rounds: int = 20, floor: float = 1e-6, tolerance: float = 1e-4, init_rows: int = 5000) -> K.Mixture:
+def fit_mixture(points: DataFrame, vec: str, k: int, rounds: int = 100, floor: float = 1e-6, tolerance: float = 1e-4, starts: int = 2) -> K.Mixture:
     """Diagonal Gaussian mixture by EM. A round sends k*(2d+1) numbers from each task to the driver, however many rows.
 
-    Starts from k-means centres of at most init_rows vectors.
+    Each start takes k-means centres and variances of all rows; the likeliest end is kept.
     """
+    from .statistics import vector_moments
+
     ship(points.sparkSession)
     points = points.select(vec).persist()
-    first = np.stack(points.limit(init_rows).toPandas()[vec].to_numpy()).astype(np.float64)
-    k = min(k, len(first))
-    centres, _ = K.lloyd(first, k)
-    model = K.Mixture(np.full(k, 1 / k), centres, np.tile(first.var(axis=0) + floor, (k, 1)))
-    last = -np.inf
+    spread = np.array([r[0] for r in vector_moments(points, vec).orderBy("pos").select("variance").collect()])
+    ends = [_expect(points, vec, fit_codebook(points, vec, k, seed=42 + i), spread + floor, rounds, floor, tolerance) for i in range(starts)]
+    points.unpersist()
+    return max(ends, key=lambda e: e[0])[1]
+
+
+def _expect(points: DataFrame, vec: str, centres: np.ndarray, spread: np.ndarray, rounds: int, floor: float, tolerance: float) -> tuple[float, K.Mixture]:
+    """(log-likelihood in the last round, mixture) of EM from centres."""
+    k = len(centres)
+    model = K.Mixture(np.full(k, 1 / k), centres, np.tile(spread, (k, 1)))
+    likelihood, last = -np.inf, -np.inf
     for _ in range(rounds):
         def step(batches, model=model):
-            total = None
+            total, fit = None, 0.0
             for b in batches:
                 if len(b):
                     x = np.stack(b[vec].to_numpy()).astype(np.float64)
                     q = model.responsibilities(x)
                     own = np.concatenate([q.sum(0)[:, None], q.T @ x, q.T @ (x * x)], axis=1)
                     total = own if total is None else total + own
+                    fit += float(np.logaddexp.reduce(model.log_joint(x), axis=1).sum())
             if total is not None:
-                yield pd.DataFrame({"t": [total.ravel()]})
+                yield pd.DataFrame({"t": [total.ravel()], "l": [fit]})
 
-        sums = sum(np.asarray(r["t"]) for r in points.mapInPandas(step, "t array<double>").toLocalIterator())
+        sums, likelihood = 0.0, 0.0
+        for r in points.mapInPandas(step, "t array<double>, l double").toLocalIterator():
+            sums, likelihood = sums + np.asarray(r["t"]), likelihood + r["l"]
         t = np.asarray(sums).reshape(k, -1)
         n, d = np.maximum(t[:, 0], 1e-12), (t.shape[1] - 1) // 2
         means = t[:, 1 : d + 1] / n[:, None]
@@ -142,8 +153,7 @@ def fit_mixture(points: DataFrame, vec: str, k: int, rounds: int = 20, floor: fl
         if moved < tolerance or moved == last:
             break
         last = moved
-    points.unpersist()
-    return model
+    return likelihood, model
 
 
 def fit_boxes(parts: DataFrame, metadata: DataFrame) -> dict[str, tuple[int, int, int, int]]:

@@ -106,6 +106,6 @@ def kmeans_codebook(spark, sf_dir):
 
 @query(None)
 def diagonal_mixture(spark, sf_dir):
-    """M3: EM with sums of bounded size from each task."""
-    m = fitting.fit_mixture(_t(spark, sf_dir, "embeddings"), "embedding", 8, rounds=5)
+    """M3: EM to its tolerance, from k-means of all rows, with sums of bounded size from each task."""
+    m = fitting.fit_mixture(_t(spark, sf_dir, "embeddings"), "embedding", 8)
     return spark.createDataFrame([(i, float(w), [float(x) for x in c]) for i, (w, c) in enumerate(zip(m.weights, m.means, strict=True))], "component int, weight double, mean array<double>")

@@ -114,6 +114,17 @@ def test_mixture_finds_two_clusters(spark):
     assert sorted(np.round(m.means[:, 0])) == [-4, 4] and m.weights.sum() == pytest.approx(1)
 
 
+def test_mixture_starts_from_all_rows(spark):
+    """Rows stored by class: the first 6,000 all belong to one."""
+    rng = np.random.default_rng(2)
+    where = [(0, 0), (30, 0), (34, 0), (30, 4)]
+    x = np.concatenate([rng.normal(c, 0.5, (n, 2)) for c, n in zip(where, (6000, 300, 300, 300), strict=True)])
+    df = spark.createDataFrame([(list(map(float, r)),) for r in x], "v array<double>")
+    m = fitting.fit_mixture(df.coalesce(1), "v", 4)
+    assert all(np.abs(m.means - c).sum(axis=1).min() < 0.3 for c in where)
+    assert np.allclose(np.sort(m.weights), [300 / 6900] * 3 + [6000 / 6900], atol=1e-3)
+
+
 def test_store_round_trip(spark, tmp_path):
     meta = spark.createDataFrame([(i, f"{i}.jpg", 1, "a.b") for i in (5, 3, 9)], "img_id int, filename string, class_id int, class_name string")
     attrs = spark.createDataFrame([(3, 1, 0), (5, 0, 1)], "img_id int, attr_1 int, attr_2 int")
