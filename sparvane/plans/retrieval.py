@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieval as V
 from ..operators import vectors
+from . import tuning
 from .relational import _t
 
 QUERIES: dict = {}
@@ -220,7 +221,7 @@ def power_root_norm(spark, sf_dir):
 
 
 def weight_tuning(spark, sf_dir):
-    """Recall@K and mAP over a grid of block weights."""
+    """Recall@K and mAP over three weights of one block; `weight_grid` has all axes of M8."""
     e = _e(spark, sf_dir).select("vec_id", "label", F.slice("embedding", 1, 16).alias("a"), F.slice("embedding", 17, 48).alias("b"))
     grid = [(x, 1.0) for x in (0.5, 1.0, 2.0)]
     t = V.tune(e, ["a", "b"], grid)
@@ -243,6 +244,15 @@ def _tune_sql() -> str:
 SQL["weight_tuning"] = _tune_sql()
 
 
+def weight_grid(spark, sf_dir):
+    """M8: the reference's 3 x 4 x 5 runs and the baseline; three slices as tiers, PCA to an eighth, 3/16 and a quarter of tier 2 (64, 96, 128 of 512)."""
+    tiers = _e(spark, sf_dir).select(F.col("vec_id").alias("id"), "label", F.slice("embedding", 1, 16).alias("t1"), F.slice("embedding", 17, 32).alias("t2"), F.slice("embedding", 49, 16).alias("t3"))
+    return tuning.grid(tiers, (4, 6, 8), (1.0, 1.25, 1.5, 1.75), (2.0, 2.5, 3.0, 3.5, 4.0), [2, 3, 4])
+
+
+QUERIES["weight_grid"] = weight_grid
+
+
 @query("""SELECT label, n, margin_rank::INTEGER AS margin_rank FROM (SELECT label, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, label) AS margin_rank FROM embeddings GROUP BY 1)""")
 def class_sizes(spark, sf_dir):
     """W1 over classes."""

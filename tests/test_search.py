@@ -1,7 +1,10 @@
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparvane import catalog
 from sparvane.config import SPEEDS
 from sparvane.functions import kernels as K
 from sparvane.operators import fitting, retrieval
@@ -51,6 +54,33 @@ def test_grid(corpus):
     assert len(runs) == 5 and sum(r.best for r in runs) == 1 and max(r.mean_ap for r in runs) == pytest.approx(next(r.mean_ap for r in runs if r.best))
 
 
+def test_registered_grid_is_whole(spark):
+    """All 60 runs and the baseline, against brute force."""
+    data = "/root/testdata/sf0.001"
+    got = {(r.pca_dim, r.hu_weight, r.tier1_weight): r for r in catalog.QUERIES["weight_grid"](spark, data).collect()}
+    e = spark.read.parquet(f"{data}/embeddings.parquet").orderBy("vec_id").toPandas()
+    x, label, ids = np.stack(e["embedding"]).astype(float), e["label"].to_numpy(), e["vec_id"].to_numpy()
+    sd = x.std(axis=0)
+    z = (x - x.mean(axis=0)) / np.where(sd < 1e-8, 1, sd)
+    grid = [(0, 1.0, 1.0), *itertools.product((4, 6, 8), (1.0, 1.25, 1.5, 1.75), (2.0, 2.5, 3.0, 3.5, 4.0))]
+    assert set(got) == set(grid) and len(got) == 61
+    want = {}
+    for d, h, w in grid:
+        a, b = z[:, :16] * w, z[:, 16:48]
+        a[:, 2:5] *= h
+        v = np.concatenate([a, fitting.pca_of(b, d).apply(b) if d else b, z[:, 48:]], axis=1)
+        v = v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-8)
+        s = v @ v.T
+        np.fill_diagonal(s, -1)
+        aps = []
+        for i in range(len(s)):
+            at = np.flatnonzero(label[np.lexsort((ids, -s[i]))] == label[i])
+            aps.append(np.mean(np.arange(1, len(at) + 1) / (at + 1)))
+        want[d, h, w] = np.mean(aps)
+    assert all(got[k].mean_ap == pytest.approx(want[k], abs=1e-6) for k in grid)
+    assert [k for k in grid if got[k].best] == [max(grid, key=lambda k: got[k].mean_ap)]
+
+
 def test_component_association(corpus):
     df = corpus.select(F.get("tier2", 0).alias("a"), F.lit(1.0).alias("constant"), "tier2")
     rows = {r.attribute: r for r in tuning.component_association(df, ["a", "constant"], "tier2", 3).collect()}
