@@ -26,12 +26,14 @@ def grid(
     scored = scored.persist()
     runs = [(0, 1.0, 1.0), *itertools.product(dims, hu, first)]
     reduced = {d: fitting.apply_pca(scored, "t2", fitting.fit_pca(scored, "t2", d), "p") for d in {r[0] for r in runs}}
-    out = None
+    rows, schema = [], None  # a row per run: collected, so that no plan holds all runs
     for i, (d, h, w) in enumerate(runs):
         vec = F.concat(retrieval.boost(F.transform("t1", lambda x: x * F.lit(w)), hu_places, h), F.col("p"), F.col("t3").cast("array<double>"))
         fused = reduced[d].select(F.col("id").alias("vec_id"), "label", retrieval.normalized(vec).alias("embedding"))
         one = retrieval.summary(retrieval.evaluate(fused, fused, ks), ks).select(F.lit(i).alias("run"), F.lit(d).alias("pca_dim"), F.lit(h).alias("hu_weight"), F.lit(w).alias("tier1_weight"), "*")
-        out = one if out is None else out.unionByName(one)
+        rows, schema = [*rows, *one.collect()], one.schema
+    scored.unpersist()
+    out = tiers.sparkSession.createDataFrame(rows, schema)
     order = Window.orderBy(F.desc(F.round("mean_ap", 12)), "run")  # a row per run
     return out.withColumn("best", F.row_number().over(order) == 1)
 
