@@ -45,25 +45,27 @@ def unescape_role(role: str) -> str:
 
 def _encode(definition, loss_roles: tuple[str, ...]):
     def run(batches):
-        tool = encoder(definition.value)
+        tool = encoder(definition.value, controls=False)
         base = tool.tokenizer.get_vocab_size()
         headers: dict[str, np.ndarray] = {}
-        line = np.frombuffer(tool.encode(["\n"])[0], tool.dtype).astype(np.int32)
+        line = tool.encode(pa.array(["\n"]))[0].astype(np.int32)
         for batch in batches:
             roles = [r or "" for r in batch.column("role").to_pylist()]
-            texts = tool.encode([escape(t or "") for t in batch.column("text").to_pylist()])
+            texts, at = tool.encode(pa.array([escape(t or "") for t in batch.column("text").to_pylist()], pa.string()))
+            texts = texts.astype(np.int32)
             for r in set(roles).difference(headers):
-                headers[r] = np.frombuffer(tool.encode([escape_role(r) + "\n"])[0], tool.dtype).astype(np.int32)
-            ids, at, size = [], [], []
-            for role, data in zip(roles, texts, strict=True):
-                text, head = np.frombuffer(data, tool.dtype).astype(np.int32), headers[role]
-                ids.append(np.concatenate(([base], head, text, [base + 1], line)).astype(np.int32))
-                at.append(1 + len(head))
-                size.append(len(text) if role in loss_roles else 0)
-            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
+                headers[r] = tool.encode(pa.array([escape_role(r) + "\n"]))[0].astype(np.int32)
+            ids, first, size = [], [], []
+            for role, a, b in zip(roles, at[:-1].tolist(), at[1:].tolist(), strict=True):
+                head = headers[role]
+                ids += [[base], head, texts[a:b], [base + 1], line]
+                first.append(1 + len(head))
+                size.append(b - a if role in loss_roles else 0)
+            lengths = np.array(first) + np.diff(at) + 1 + len(line)
+            ends = np.cumsum([0, *lengths.tolist()]).astype(np.int32)
+            flat = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)
             columns = [batch.column(c) for c in ("conv_id", "turn", "role", "text")]
-            columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(np.diff(ends).astype(np.int64)), pa.array(at, pa.int64()), pa.array(size, pa.int64())]
+            columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(np.diff(ends).astype(np.int64)), pa.array(first, pa.int64()), pa.array(size, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["conv_id", "turn", "role", "text", "ids", "n_ids", "text_at", "n_loss"])
 
     return run
@@ -85,18 +87,16 @@ def format_chat(turns: DataFrame, tokenizer: str, loss_roles: tuple[str, ...] =
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     schema = "conv_id long, turn long, role string, text string, ids array<int>, n_ids long, text_at long, n_loss long"
     coded = materialize(rows.mapInArrow(_encode(definition, loss_roles), schema), "chat-turns")
-    placed = ordered_prefix_sums(coded, ["conv_id"], ["turn", "role", "text"], "n_ids", "start")
+    placed = ordered_prefix_sums(coded, ["conv_id"], ["turn", "role", "text"], "n_ids", "start", coarse=["turn", "role", F.left("text", F.lit(32))])
     first = F.col("start") + F.col("text_at")
     return materialize(placed.select("conv_id", "start", "ids", first.alias("loss_start"), (first + F.col("n_loss")).alias("loss_end")), "chat")
 
 
 def _read(definition):
     def run(batches):
-        encoding = encoder(definition.value)
-        tool = encoding.tokenizer
-        base = tool.get_vocab_size()
-        decode = lambda ids: tool.decode(ids, skip_special_tokens=False)
-        line = len(encoding.encode(["\n"])[0]) // encoding.dtype.itemsize
+        tool = encoder(definition.value, controls=False)
+        base, decode = tool.tokenizer.get_vocab_size(), tool.decode
+        line = len(tool.encode(pa.array(["\n"]))[0])
         empty = True
         conv = turns = said = loss = loss_chars = chars = None
 

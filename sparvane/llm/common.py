@@ -85,13 +85,14 @@ def prefix_sums(
     return df.withColumn(out, F.col("_base") + F.col("_in")).drop("_part", "_base", "_in", *[f"_r_{k}" for k in keys])
 
 
-def ordered_prefix_sums(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
+def ordered_prefix_sums(df: DataFrame, group: list[str], order: list[str], value: str, out: str, coarse: list[str | Column] | None = None) -> DataFrame:
     """Exclusive prefix sums of `value` in each group along `order`, however large a group is.
 
-    Rows are range-partitioned by group and order, so a large group spans partitions: sums
-    within a partition, plus those of the group's partitions before.
+    Rows are range-partitioned by group and `coarse` (by default `order`), so a large group spans partitions: sums
+    within a partition, plus those of the group's partitions before. `coarse` must never fall
+    along `order`; it is what the driver gets a sample of, so long texts go in by their first characters.
     """
-    spread = df.repartitionByRange(*group, *order).withColumn("_pid", F.spark_partition_id())
+    spread = df.repartitionByRange(*group, *(coarse or order)).withColumn("_pid", F.spark_partition_id())
     spread = materialize(spread, "ordered")
     keys = ["_pid", *group]
     before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,167 +1,182 @@
-"""Whole texts to token ids with the tokenizers library, each distinct chunk encoded once.
+"""Whole texts to token ids with the tokenizers library, each distinct chunk of a batch encoded once.
 
-A byte-level tokenizer without normaliser cuts a text at every single space that has no
-white space beside it, whatever stands around; so a text's ids are those of its chunks.
-Other tokenizers, and texts with wider white space, are encoded whole.
+The regular expression of a byte-level tokenizer never lets a piece go on from other
+characters into white space. So a text's ids are those of its chunks: white space (none at the
+text's start) with the characters that follow it, signs after ASCII letters apart. A batch is cut by masks over its UTF-8 bytes, Arrow
+numbers its distinct chunks, the library encodes those that a bounded cache does not
+hold, and Arrow puts the texts' ids together. Other tokenizers encode texts whole.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 from .held import held
 
-_MOST = 600_000
-_SLICE = 1 << 22
-_SEEN = 1 << 23
-_GROUP = 1 << 15
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+# characters that some rule takes for white space, and as the numbers that their last three UTF-8 bytes make
+_BLANK = set(map(chr, (*range(9, 14), 0x20, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
+_WIDE = np.array(sorted(int.from_bytes(c.encode()[-3:], "big") for c in _BLANK))
+_LAST = np.zeros(256, bool)
+_LAST[_WIDE & 0xFF] = True
+# a piece ends between these and those, whatever stands around
+_WORD, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
+_WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_SIGN[[*b'!"#$%&()*+,-./:;=?@[\\]^_`{}~']] = True
+_GROUP = 1 << 12
+
+# a byte-level vocabulary writes printable bytes as themselves and the others, in order, as the characters from 256
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {chr(b): b for b in _PRINTED} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)).difference(_PRINTED)))}
+
+
+class Cache:
+    """Chunk -> ids, at most `most` bytes of both, what came up lately first.
+
+    Half of the room is for the young generation; when it is full it becomes the old
+    one, and what the old one held and nobody asked for since is gone.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.size = most // 2, 0
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def put(self, keys: list[bytes], values: list[bytes]) -> None:
+        for at in range(0, len(keys), 1000):
+            some = keys[at : at + 1000], values[at : at + 1000]
+            size = sum(len(b"".join(x)) for x in some) + 160 * len(some[0])  # two objects' heads and a place in the table
+            if self.size + size > self.most:
+                self.young, self.old, self.size = {}, self.young, 0
+            self.young.update(zip(*some, strict=True))
+            self.size += size
+
+    def get(self, keys: list[bytes]) -> list[bytes | None]:
+        out = list(map(self.young.get, keys))
+        again = [i for i, x in enumerate(out) if x is None and keys[i] in self.old]
+        for i in again:
+            out[i] = self.old[keys[i]]
+        self.put([keys[i] for i in again], [out[i] for i in again])
+        return out
 
 
 class Encoder:
-    def __init__(self, definition: str):
+    """`controls`: whether a text's own strings of the tokenizer's special tokens give those tokens, as the library's call does."""
+
+    def __init__(self, definition: str, controls: bool = True, cache_bytes: int = 96 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not controls
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         d = json.loads(definition)
         pre = d.get("pre_tokenizer") or {}
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        self.chunked = bool(plain and not d.get("normalizer") and not d.get("post_processor") and not d.get("truncation"))
-        self.marks = dict(zip("\n.,", self._ids(["\n", ".", ","]), strict=True))
-        newline = self.marks["\n"]
-        self.chunked &= len(newline) == self.dtype.itemsize
-        self.newline = int(np.frombuffer(newline, self.dtype)[0]) if self.chunked else -1
-        self.known: dict[str, bytes | None] = {}
-        self.bare: dict[str, bytes] = {}
-        self.seen = np.zeros(_SEEN, bool)
-        self.missed = 0.0
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _lines(self, chunks: list[str], lead: str) -> list[bytes]:
-        """The ids of lead + chunk for chunks without line breaks or outer white space, many to a call, parted by line breaks."""
-        out: list[bytes] = []
-        width, rows = self.dtype.itemsize, [chunks[at : at + 64] for at in range(0, len(chunks), 64)]
-        for row, data in zip(rows, self._ids([lead + f"\n{lead}".join(r) for r in rows]), strict=True):
-            cuts = (np.flatnonzero(np.frombuffer(data, self.dtype) == self.newline) * width).tolist()
-            if len(cuts) == len(row) - 1:
-                out += [data[x:y] for x, y in zip([0, *(c + width for c in cuts)], [*cuts, len(data)], strict=True)]
-            else:
-                out += self._ids([lead + x for x in row])
+        simple = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and len(_cuts(*_bytes(pa.array([t["content"]], pa.large_string())))) == 2 for t in d.get("added_tokens") or [])
+        self.chunked = bool(plain and simple and not d.get("normalizer") and not d.get("post_processor") and not d.get("truncation"))
+        if self.chunked:
+            added = {t["id"]: t["content"].encode() for t in d.get("added_tokens") or []}
+            self.bytes = [added[i] if i in added else bytes(map(_BYTES.get, self.tokenizer.id_to_token(i) or "")) for i in range(self.tokenizer.get_vocab_size())]
+            self.width = np.array(list(map(len, self.bytes)), np.int64)
+        self.known = Cache(cache_bytes)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, chunks: pa.Array) -> list[bytes]:
+        """The ids of distinct chunks: many to a call, as a text of them all, told apart by the ids' widths."""
+        if not len(chunks):
+            return []
+        data, ends = _bytes(chunks)
+        first, last = data[ends[:-1]], ends[1:]
+        alone = ~_SPACE[first] | _blank_before(data, last) | _SPACE[data[last - 1]]
+        out: list[bytes] = [b""] * len(chunks)
+        own = np.flatnonzero(alone).tolist()
+        for i, ids in zip(own, self._ids([x.decode() for x in chunks.take(pa.array(own, pa.int64())).to_pylist()]), strict=True):
+            out[i] = ids.tobytes()
+        joins = np.flatnonzero(~alone)
+        if len(joins):
+            data, ends = _bytes(chunks.take(pa.array(joins)))
+            cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], _GROUP)), len(joins)))
+            text = data.tobytes()
+            ids = np.concatenate(self._ids([text[a:b].decode() for a, b in itertools.pairwise(ends[cuts].tolist())]))
+            at = np.concatenate(([0], np.cumsum(self.width[ids])))
+            places = np.searchsorted(at, ends)
+            if len(at) == places[-1] or (at[places] != ends).any():
+                raise ValueError("the ids' widths do not add up to the text")
+            coded, step = ids.tobytes(), self.dtype.itemsize
+            for i, (a, b) in zip(joins.tolist(), itertools.pairwise((places * step).tolist()), strict=True):
+                out[i] = coded[a:b]
         return out
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Chunks stand for a space and themselves; None marks those that can't be cut out.
-
-        A line break between two other characters is a piece of its own, and so is a
-        stop or comma after letters: chunks with those are put together from parts.
-        """
-        known, bare, marks = self.known, self.bare, self.marks
-        sound = [x for x in chunks if x and x == x.strip()]
-        known.update(dict.fromkeys(set(chunks).difference(sound)))
-        lines = {x: x.split("\n") for x in sound if "\n" in x}
-        odd = [x for x, p in lines.items() if any(not y or y != y.strip() for y in p)]
-        for x in odd:
-            del lines[x]
-        single = {x for x in sound if "\n" not in x}.union(p[0] for p in lines.values()).difference(known)
-        stops = [x for x in single if x[-1] in ".," and x[:-1].isalpha()]
-        stems = {x[:-1] for x in stops}.difference(known)
-        plain = list(single.difference(stops) | stems)
-        known.update(zip(plain, self._lines(plain, " "), strict=True))
-        known.update((x, known[x[:-1]] + marks[x[-1]]) for x in stops)
-        tails = list({y for p in lines.values() for y in p[1:]}.difference(bare))
-        bare.update(zip(tails, self._lines(tails, ""), strict=True))
-        known.update((x, known[p[0]] + b"".join(marks["\n"] + bare[y] for y in p[1:])) for x, p in lines.items())
-        known.update(zip(odd, self._ids([" " + x for x in odd]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes of self.dtype."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an array of strings, and where each text's begin, with the end of the last. A null text is empty."""
+        texts = texts.cast(pa.large_string()).fill_null("")
         if not self.chunked:
-            return self._ids(texts)
-        out: list[bytes | None] = []
-        group: list[str] = []
-        size = 0
-        for text in texts:  # small groups: their chunks stay in the processor's cache from one pass to the next
-            group.append(text)
-            size += len(text)
-            if size >= _GROUP:
-                out += self._chunked(group)
-                group, size = [], 0
-        out += self._chunked(group)
-        whole = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            out[i] = x
-        return out
+            own = self._ids(texts.to_pylist())
+            return np.concatenate([np.empty(0, self.dtype), *own]), np.cumsum([0, *map(len, own)], dtype=np.int64)
+        data, offsets = _bytes(texts)
+        cuts = _cuts(data, offsets)
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+        coded = chunks.dictionary_encode()
+        keys = coded.dictionary.to_pylist()
+        ids = self.known.get(keys)
+        fresh = [i for i, x in enumerate(ids) if x is None]
+        learnt = self._learn(coded.dictionary.take(pa.array(fresh, pa.int64())))
+        self.known.put([keys[i] for i in fresh], learnt)
+        for i, x in zip(fresh, learnt, strict=True):
+            ids[i] = x
+        ends = np.cumsum([0, *map(len, ids)], dtype=np.int64) // self.dtype.itemsize
+        lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), self.dtype)))
+        taken = lists.take(coded.indices)
+        firsts = np.searchsorted(cuts, offsets)
+        places = taken.offsets.to_numpy()
+        return taken.flatten().to_numpy(), places[firsts] - places[0]
+
+
+    def decode(self, ids: list[int]) -> str:
+        """The text that gives these ids."""
+        if not self.chunked:
+            return self.tokenizer.decode(ids, skip_special_tokens=False)
+        return b"".join(map(self.bytes.__getitem__, ids)).decode()
+
+
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an array with 64-bit offsets, and where each value begins, with the end of the last."""
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64, len(texts) + 1, texts.offset * 8) if len(texts) else np.zeros(1, np.int64)
+    return np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _blank_before(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether some rule takes the character before a place for white space, beyond the plain ones."""
+    out = _LAST[data[at - 1]]
+    some = at[out]
+    one, two, three = (np.where(some >= n, data[np.maximum(some - n, 0)], 0).astype(np.int64) for n in (1, 2, 3))
+    out[out] = np.isin(one, _WIDE) | np.isin(two << 8 | one, _WIDE) | np.isin(three << 16 | two << 8 | one, _WIDE)
+    return out
+
+
+def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places at which chunks begin, and the end: texts' starts, white space after what is surely none, signs after letters and digits."""
+    space = _SPACE[data]
+    start = np.zeros(len(data) + 1, bool)
+    start[1:-1] = space[1:] & ~space[:-1]
+    at = np.flatnonzero(start)
+    start[at[_blank_before(data, at)]] = False
+    start[1:-1] |= _SIGN[data[1:]] & _WORD[data[:-1]]
+    start[offsets] = True
+    start[-1] = True
+    return np.flatnonzero(start)
 
-    def _chunked(self, texts: list[str]) -> list[bytes | None]:
-        if len(self.bare) > _MOST // 8:
-            self.bare.clear()
-        if any(len(t) > _SLICE for t in texts):
-            return [b"".join(y) if len(t) > _SLICE and None not in (y := [self._one(s) for s in _slices(t)]) else None if len(t) > _SLICE else self._one(t) for t in texts]
-        parts = [t.split(" ") for t in texts]
-        rest = [p[1:] for p in parts]
-        every = set(chain.from_iterable(rest))
-        fresh = list(every.difference(self.known))
-        self.missed += 0.01 * (len(fresh) / max(1, len(every)) - self.missed)
-        if len(self.known) >= _MOST and self.missed > 0.7:  # other texts than it was filled by
-            self.known.clear()
-            self.seen[:] = False
-            self.missed = 0.0
-            fresh = list(every)
-        self._learn(fresh)
-        first = self._ids([p[0] for p in parts])
-        out = [self._join(p, f, r) for p, f, r in zip(parts, first, rest, strict=True)]
-        self._forget(fresh)
-        return out
 
-    def _forget(self, fresh: list[str]) -> None:
-        """Beyond half of _MOST, only chunks whose hash was met before stay, as most never come again; beyond _MOST none."""
-        if len(self.known) < _MOST // 2:
-            return
-        at = np.fromiter(map(hash, fresh), np.int64, len(fresh)) & (_SEEN - 1)
-        full = len(self.known) >= _MOST + len(fresh)
-        for i in range(len(fresh)) if full else np.flatnonzero(~self.seen[at]).tolist():
-            del self.known[fresh[i]]
-        self.seen[at] = True
-
-    def _join(self, parts: list[str], first: bytes, rest: list[str]) -> bytes | None:
-        if rest and parts[0] != parts[0].rstrip():
-            return None
-        try:
-            return first + b"".join(map(self.known.__getitem__, rest))
-        except TypeError:
-            return None
-
-    def _one(self, text: str) -> bytes | None:
-        parts = text.split(" ")
-        self._learn(list(set(parts[1:]).difference(self.known)))
-        return self._join(parts, self._ids(parts[:1])[0], parts[1:])
-
-
-def _slices(text: str):
-    """The text in parts, each but the first from a space that has no white space beside it."""
-    start = 0
-    while start < len(text):
-        end = start + _SLICE
-        while True:
-            end = text.find(" ", end)
-            if end < 0:
-                end = len(text)
-            elif text[end - 1].isspace() or text[end + 1 : end + 2].isspace() or end + 1 == len(text):
-                end += 1
-                continue
-            break
-        yield text[start:end]
-        start = end
-
-
-def encoder(definition: str) -> Encoder:
+def encoder(definition: str, controls: bool = True) -> Encoder:
     """This process's encoder of a tokenizer definition, with what it has learnt so far."""
-    return held(("encoder", hash(definition)), lambda: Encoder(definition))
+    return held(("encoder", hash(definition), controls), lambda: Encoder(definition, controls))

@@ -26,12 +26,11 @@ _SEGMENT = "part int, seq int, n_tokens long, doc_ids array<long>, payload binar
 
 def _segments(definition, end_id: int, segment_tokens: int):
     def write(batches):
-        tool, part = encoder(definition.value), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         names = ["part", "seq", "n_tokens", "doc_ids", "payload"]
         ids: list[int | None] = []
         held: list[np.ndarray] = []
         size = seq = 0
-        end = np.array([end_id], tool.dtype).tobytes()
 
         def segment():
             row = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([size], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([encode_segment(held)], pa.binary())]
@@ -39,11 +38,11 @@ def _segments(definition, end_id: int, segment_tokens: int):
 
         for batch in batches:
             tool = encoder(definition.value)
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc_id, data in zip(batch.column("doc_id").to_pylist(), tool.encode(texts), strict=True):
-                held.append(np.frombuffer(data + end, tool.dtype))
+            data, at = tool.encode(batch.column("text"))
+            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                held.append(np.append(data[a:b], tool.dtype.type(end_id)))
                 ids.append(doc_id)
-                size += len(held[-1])
+                size += b - a + 1
                 if size >= segment_tokens:
                     yield segment()
                     ids, held, size, seq = [], [], 0, seq + 1
@@ -56,7 +55,8 @@ def _segments(definition, end_id: int, segment_tokens: int):
 def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 2, segment_tokens: int = 1 << 20) -> str:
     """Write the ids of every text, end_id after each document, and return where.
 
-    `tokenizer` is a definition file of the tokenizers library, read on the driver. A null
+    `tokenizer` is a definition file of the tokenizers library, read on the driver. Ids are those of the
+    library's call without added special tokens, so a text's own strings of special tokens give those. A null
     text is empty and has the end id alone. Null doc_ids come first; rows of one doc_id
     are ordered by text hash. No rows give a table without segments.
     """

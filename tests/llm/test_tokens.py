@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -30,21 +31,35 @@ def test_blocks_decode_alone_and_damage_is_seen():
             rans.Segment(data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :])
 
 
-def test_chunks_give_the_library_s_ids(monkeypatch):
-    monkeypatch.setattr(encoding, "_SLICE", 12)
-    definition = open(tokenizer_path(), encoding="utf-8").read()
-    tool, plain = encoding.Encoder(definition), Tokenizer.from_file(tokenizer_path())
-    plain.encode_special_tokens = True
+PARTS = [" ", "  ", "\n", " \n", "\r\n", "a", "b", "'s", "the", "é", "1", "23", "!", "<|endoftext|>", "<|end", "oftext|>", "\t", "\x0b", "\x0c", "\x85", "\xa0", "\u1680", "\u180e", "\u2003", "\u200b", "\u2028", "\u202f", "\u205f", "　", "\ufeff", "\x1c", "\x1f", "\x00", "日本", "à", ".", ",", "\U0001f600"]
+
+
+@pytest.mark.parametrize("controls", [True, False])
+@pytest.mark.parametrize("cache", [1 << 26, 400_000])
+def test_chunks_give_the_library_s_ids(controls, cache):
+    tool, plain = encoding.Encoder(open(tokenizer_path(), encoding="utf-8").read(), controls, cache), Tokenizer.from_file(tokenizer_path())
+    plain.encode_special_tokens = not controls
     rng = random.Random(1)
-    parts = [" ", "  ", "\n", " \n", "a", "b", "'s", "the", "é", "1", "23", "!", "<|endoftext|>", "\t", " ", "　", "\x1c", "日本", ".", ","]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
-    for _ in range(2):
-        assert [np.frombuffer(a, "<u2").tolist() for a in tool.encode(texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    texts = ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 30))) for _ in range(4000)] + [None, "", " ", "x <|endoftext|> y", "a" * 20_000, " \n" * 9_000, "ab " * 50_000]
+    for at in (0, 1000, 2000, 3000, 0):
+        own = texts[at : at + 1500]
+        ids, ends = tool.encode(pa.array(["skipped", *own], pa.string()).slice(1))
+        got = [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        assert got == [e.ids for e in plain.encode_batch([t or "" for t in own], add_special_tokens=False)]
+        assert [tool.decode(x) for x in got] == [t or "" for t in own]
+    assert [x.tolist() for x in tool.encode(pa.array([], pa.string()))] == [[], [0]]
+
+
+def test_the_cache_stays_within_its_bytes():
+    cache = encoding.Cache(100_000)
+    for i in range(5000):
+        cache.put([b"%d" % i], [b"abcd"])
+        assert cache.get([b"0"]) == [b"abcd"]  # what is asked for stays
+        assert sum(len(k) + len(v) + 160 for g in (cache.young, cache.old) for k, v in g.items()) <= 100_000
 
 
 def want(rows):
     plain = Tokenizer.from_file(tokenizer_path())
-    plain.encode_special_tokens = True
     out, start = [], 0
     for i, t in rows:
         ids = [*plain.encode(t or "", add_special_tokens=False).ids, 2]
@@ -55,6 +70,7 @@ def want(rows):
 
 def test_files_hold_every_document(spark):
     rows = sorted(map(tuple, spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()))
+    rows += [(10**9, "a <|endoftext|>\n\n b"), (10**9 + 1, "  <|endoftext|>")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     path = token_output.write_tokens(df, tokenizer_path(), segment_tokens=5000)
     assert sorted(map(tuple, token_output.read_tokens(spark, path).collect())) == want(rows)
