@@ -1,12 +1,14 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations throughout.
 
-Base rules find seed entities of four kinds. Every token run that holds a digit or an @ is
-a candidate: an instance (its surface) that stands in lexical patterns (the word before it, or
-the label joined to it, or the word after it). A pattern is read in two ways: with the candidate's
+Base rules find seed entities of four kinds; random strings that a credential's usual label
+introduces are the seeds of a fifth kind, which no base rule has. Every token run that holds a
+digit or an @ is a candidate: an instance (its surface) that stands in lexical patterns (the word
+or label before it, in quotes or not, and the word after it). A pattern is read in two ways: with the candidate's
 shape, and as a word alone, which reaches formats that no rule knows. Scores go around the graph of
 patterns and instances: a pattern is as sure as the share of its occurrences that are
 known instances of a kind, an instance as sure as its sure patterns together; sure
-instances are known in the next round. Candidates that end up known become spans.
+instances are known in the next round. Candidates that sure patterns vouch for become spans;
+a seed of the fifth kind does so on no other ground.
 """
 
 from __future__ import annotations
@@ -17,6 +19,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 KINDS = ("email", "ip", "card", "phone")
+ALL = (*KINDS, "secret")
+# Words that label credentials.
+LABELS = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "secret_key", "auth_token", "access_token")
 # The contract's patterns with possessive quantifiers, which match the same here as
 # nothing that follows a part can begin inside it. A look-behind (or \G, the end of the match before)
 # skips starts inside a run whose first start fails alike, which keeps long runs linear.
@@ -60,6 +65,12 @@ def _holds(kind: Column, match: Column) -> Column:
     )
 
 
+def _words_beside(gap: Column) -> Column:
+    """A gap's length, its first word, and its last one, with a sign of assignment that follows it. Whole words: each regex takes one pass."""
+    last = F.regexp_extract(gap, r"(?<!\S)(\S++(?:\s++[=:]++>?+)?+)\s*+$", 1)
+    return F.struct(F.char_length(gap).alias("n"), F.regexp_extract(gap, r"^\s*+(\S++)", 1).alias("first"), F.regexp_replace(last, r"\s++", "").alias("last"))
+
+
 def _located(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(row, doc_id) of all rows, and (row, kind, start, end, match, left, right) of all matches and candidates."""
     text = F.col("text")
@@ -69,11 +80,7 @@ def _located(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     arrays = []
     for kind, rule in [*RULES.items(), ("", CANDIDATE)]:
         match, gaps = _pieces(text, rule)
-        context = F.transform(gaps, lambda x: F.struct(
-            F.char_length(x).alias("n"),
-            F.regexp_extract(F.left(x, F.lit(64)), r"^\s*(\S+)", 1).alias("first"),
-            F.regexp_extract(F.right(x, F.lit(64)), r"(\S+)\s*$", 1).alias("last"),
-        )) if not kind else F.transform(gaps, lambda x: F.struct(F.char_length(x).alias("n"), F.lit("").alias("first"), F.lit("").alias("last")))
+        context = F.transform(gaps, _words_beside if not kind else lambda x: F.struct(F.char_length(x).alias("n"), F.lit("").alias("first"), F.lit("").alias("last")))
         arrays.append(F.when(guard[kind], F.struct(F.lit(kind).alias("kind"), match.alias("matches"), context.alias("gaps"))))
     found = F.when(likely, F.filter(F.array(*arrays), lambda x: x.isNotNull() & (F.size(x["matches"]) > 0)))
     table = materialize(rows.select("row", "doc_id", found.alias("found")), "pii-matches")
@@ -88,19 +95,41 @@ def _located(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return table.select("row", "doc_id"), spans
 
 
+def _shape(surface: Column) -> Column:
+    """Classes of characters: long hexadecimal and mixed strings by class and length band, else letters as one a and digits as 9."""
+    n = F.char_length(surface)
+    plain = F.regexp_replace(F.regexp_replace(surface, r"\p{L}++", "a"), "[0-9]", "9")
+    mixed = surface.rlike("[0-9]") & surface.rlike("[A-Za-z]")
+    return (
+        F.when(mixed & surface.rlike("^[0-9A-Fa-f]{8,}+$"), F.concat(F.lit("hex"), n.cast("string")))
+        .when(mixed & surface.rlike("^[0-9A-Za-z_+/=-]{12,}+$"), F.concat(F.lit("mix"), (n - n % 4).cast("string")))
+        .otherwise(plain)
+    )
+
+
 def _candidates(spans: DataFrame) -> DataFrame:
-    """(row, start, end, surface, shape, left, right): candidates without label and outer signs."""
+    """(row, start, end, surface, shape, left, right): candidates without label and outer signs; a quote that opens one stays with the word before it."""
     own = spans.filter("kind = ''")
-    label = F.regexp_extract("match", r"^([A-Za-z_]+[=:]+)[^=:\s]", 1)
+    label = F.regexp_extract("match", r"^([A-Za-z_-]+[=:]+)[^=:\s]", 1)
     own = own.withColumn("label", label).withColumn("match", F.substring(F.col("match"), F.length("label") + 1, F.length("match")))
     # a bracket around the first digits of several, as in (017) 555-7713, belongs to the surface
-    lead = F.length(F.regexp_extract("match", rf"^(?:(?!\([0-9]++\)[ /.-]?[0-9])[{_OPEN}])*+", 0))
-    own = own.withColumn("start", F.col("start") + F.length("label") + lead).withColumn("match", F.substring(F.col("match"), lead + 1, F.length("match")))
-    surface = F.regexp_replace("match", f"[{_SHUT}]++$", "")
+    lead = F.regexp_extract("match", rf"^(?:(?!\([0-9]++\)[ /.-]?[0-9])[{_OPEN}])*+", 0)
+    own = own.withColumn("lead", lead)
+    own = own.withColumn("start", F.col("start") + F.length("label") + F.length("lead")).withColumn("match", F.substring(F.col("match"), F.length("lead") + 1, F.length("match")))
+    quoted = F.col("lead").rlike("[\"'“„«]$")
+    inside = F.regexp_extract("match", "^([^\"'”“»]++)[\"'”“»]", 1)
+    surface = F.when(quoted & (inside != ""), inside).otherwise(F.regexp_replace("match", f"[{_SHUT}]++$", ""))
     own = own.withColumn("surface", surface).withColumn("end", F.col("start") + F.char_length("surface")).filter("surface <> ''")
-    shape = F.regexp_replace(F.regexp_replace("surface", r"\p{L}++", "a"), "[0-9]", "9")
     left = F.lower(F.when(F.length("label") > 0, F.col("label")).otherwise(F.col("left")))
-    return own.select("row", "start", "end", "surface", shape.alias("shape"), left.alias("left"), F.lower("right").alias("right"))
+    left = F.when(quoted & (left != ""), F.concat(left, F.lit('"'))).otherwise(left)
+    return own.select("row", "start", "end", "surface", _shape(F.col("surface")).alias("shape"), left.alias("left"), F.lower("right").alias("right"))
+
+
+def _secrets(candidates: DataFrame) -> DataFrame:
+    """Seeds of the fifth kind: random strings of 16 characters or more after a credential's label."""
+    words = "|".join(LABELS)
+    random = F.col("shape").rlike("^(?:hex|mix)") & (F.char_length("surface") >= 16)
+    return candidates.filter(random & F.col("left").rlike(f"^(?:{words})[=:]++>?+\"?+$")).select("surface").distinct().withColumn("kind", F.lit("secret"))
 
 
 def _may(surface: Column, kind: str) -> Column:
@@ -111,8 +140,10 @@ def _may(surface: Column, kind: str) -> Column:
         "ip": surface.rlike(r"^[0-9A-Fa-fx]*+(?:[^\s0-9A-Za-z@]++[0-9A-Fa-f]*+){2,}+$"),
         "card": digits.between(7, 19),
         "phone": digits.between(7, 15),
+        "secret": surface.rlike(r"^\S{8,}+$") & surface.rlike("[0-9]") & surface.rlike(r"\p{L}"),
     }[kind]
-    return like & ~surface.rlike(f"^(?:{RULES[kind]})$") & (F.lit(kind == "email") | ~F.contains(surface, F.lit("@")))
+    refused = surface.rlike(f"^(?:{RULES[kind]})$") if kind in RULES else F.lit(False)
+    return like & ~refused & (F.lit(kind in ("email", "secret")) | ~F.contains(surface, F.lit("@")))
 
 
 def _by_word(edges: DataFrame, known: DataFrame, sure: float, support: int, unknown: float) -> DataFrame:
@@ -120,7 +151,7 @@ def _by_word(edges: DataFrame, known: DataFrame, sure: float, support: int, unkn
     rule refused count against it; unknown surfaces that could be count for a share `unknown`."""
     n, own = F.col("n"), F.coalesce("kind", F.lit(""))
     sums = []
-    for i, k in enumerate(KINDS):
+    for i, k in enumerate(ALL):
         hit, may = own == k, (own == "") & (F.col("may").bitwiseAND(1 << i) > 0)
         mass = F.sum(F.when(hit, n * F.col("confidence")).otherwise(0.0))
         against = F.sum(F.when(hit, 0.0).when(may, n * unknown).otherwise(n))
@@ -131,24 +162,25 @@ def _by_word(edges: DataFrame, known: DataFrame, sure: float, support: int, unkn
 
 
 def bootstrap(candidates: DataFrame, base: DataFrame, rounds: int = 3, sure: float = 0.8, support: int = 3, unknown: float = 0.1) -> DataFrame:
-    """(surface, kind, confidence) of instances that are no seeds but known after some rounds.
+    """(surface, kind, confidence) of instances that are no base seeds but that sure patterns vouch for after some rounds.
 
     A pattern counts where `support` distinct known instances or more stand in it. What only a word
     speaks for needs its shape's evidence too: the shape's surfaces must stand in sure words at
     least a quarter as often as the kind's known instances do, else confidence falls in proportion.
     """
-    seeds = candidates.join(base.select("row", "start", "end", "kind"), ["row", "start", "end"]).groupBy("surface").agg(F.min("kind").alias("kind"))
-    known = materialize(seeds.withColumn("confidence", F.lit(1.0)), "pii-known")
-    seeds = known
+    rules = candidates.join(base.select("row", "start", "end", "kind"), ["row", "start", "end"]).groupBy("surface").agg(F.min("kind").alias("kind"))
+    rules = materialize(rules, "pii-seeds")
+    seeds = rules.unionByName(_secrets(candidates).join(rules, "surface", "left_anti")).withColumn("confidence", F.lit(1.0))
+    known = seeds = materialize(seeds, "pii-known")
     sides = F.explode(F.array(F.concat(F.lit("<"), "left"), F.concat(F.lit(">"), "right")))
     edges = candidates.select("surface", "shape", sides.alias("word")).filter("length(word) > 1")
     edges = edges.groupBy("word", "shape", "surface").agg(F.count(F.lit(1)).alias("n"))
-    may = sum((F.when(_may(F.col("surface"), k), 1 << i).otherwise(0) for i, k in enumerate(KINDS)), F.lit(0))
+    may = sum((F.when(_may(F.col("surface"), k), 1 << i).otherwise(0) for i, k in enumerate(ALL)), F.lit(0))
     edges = materialize(edges.withColumn("may", may).withColumn("salt", F.pmod(F.hash("surface"), F.lit(_SALTS))), "pii-edges")
     totals = edges.groupBy("word", "shape").agg(F.sum("n").alias("total"))
     shapes = edges.select("shape", "surface").distinct().groupBy("shape").agg(F.count(F.lit(1)).alias("all"))
     doubt = F.sum(F.log1p(-F.least(F.col("p"), F.lit(0.999))))
-    bit = sum((F.when(F.col("kind") == k, 1 << i).otherwise(0) for i, k in enumerate(KINDS)), F.lit(0))
+    bit = sum((F.when(F.col("kind") == k, 1 << i).otherwise(0) for i, k in enumerate(ALL)), F.lit(0))
     for _ in range(rounds):
         held = edges.join(known, "surface").groupBy("word", "shape", "kind").agg(F.sum(F.col("n") * F.col("confidence")).alias("mass"), F.count(F.lit(1)).alias("seen"))
         patterns = held.filter(F.col("seen") >= support).join(totals, ["word", "shape"]).withColumn("p", F.col("mass") / F.col("total")).filter(F.col("p") >= sure)
@@ -165,8 +197,9 @@ def bootstrap(candidates: DataFrame, base: DataFrame, rounds: int = 3, sure: flo
         wide = wide.select("surface", "kind", (F.col("confidence") * F.col("fit")).alias("confidence"))
         scored = scored.unionByName(wide)
         best = scored.filter(F.col("confidence") >= sure).groupBy("surface").agg(F.max(F.struct("confidence", "kind")).alias("b")).select("surface", "b.kind", "b.confidence")
+        best = materialize(best, "pii-best")
         known = materialize(seeds.unionByName(best.join(seeds, "surface", "left_anti")), "pii-known")
-    return known.join(seeds, "surface", "left_anti")
+    return best.join(rules, "surface", "left_anti")
 
 
 def find(docs: DataFrame, **options) -> DataFrame:
@@ -187,7 +220,7 @@ def find(docs: DataFrame, **options) -> DataFrame:
     ends = F.concat(F.when(F.col("_start") > F.col("start"), F.substring("surface", F.col("_start") - F.col("start"), F.lit(1))).otherwise(""), F.substring("surface", F.col("_end") - F.col("start") + 1, F.lit(1)))
     cut = inside & ends.rlike(r"[\p{L}\p{M}\p{N}]")
     fresh = fresh.join(overlap, (F.col("row") == F.col("_row")) & (F.col("start") < F.col("_end")) & (F.col("end") > F.col("_start")) & ~cut, "left_anti").drop("surface")
-    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    rank = F.array_position(F.array(*map(F.lit, ALL)), F.col("kind"))
     both = base.select("row", "kind", "start", "end", F.lit(True).alias("rule")).unionByName(fresh.withColumn("rule", F.lit(False)))
     both = both.withColumn("s", F.struct("start", rank.alias("rank"), "end", "kind"))
     per = both.groupBy("row").agg(F.array_sort(F.collect_list(F.when(F.col("rule"), F.col("s")))).alias("base"), F.array_sort(F.collect_set("s")).alias("spans"))
@@ -200,8 +233,8 @@ def listed(spans: str) -> Column:
 
 
 def digests(found: DataFrame) -> DataFrame:
-    """Per document counts and a digest of the base spans, and all spans as text."""
+    """Per document counts and a digest of the base spans, all spans as text, and how many those are."""
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     counts = [count(k).alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
