@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import fitting, retrieval, store
+from ..shared import shared_path
 from ..sources import annotations, tables
 from .relational import _t
 
@@ -26,19 +23,10 @@ def query(sql: str | None):
     return add
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that spark.checkpoint.dir names; one of our own only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="sparvane-checkpoint")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/sparvane/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 def csv_round_trip(spark, sf_dir):
     """CSV with a header, read by an explicit schema."""
-    path = scratch(spark, "csv")
+    path = shared_path(spark, "csv")
     tables.write_csv(_t(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), path)
     return tables.read_csv(spark, path, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double")
 
@@ -46,7 +34,7 @@ def csv_round_trip(spark, sf_dir):
 @query("SELECT l_orderkey AS img_id, l_linenumber AS part_id, l_quantity AS x FROM lineitem")
 def delimited_scan(spark, sf_dir):
     """Space-separated, no header; a column that nobody asks for is not parsed."""
-    path = scratch(spark, "delimited")
+    path = shared_path(spark, "delimited")
     _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax").write.option("sep", " ").csv(path)
     return annotations.scan(spark, path, "img_id long, part_id int, x double, y double").select("img_id", "part_id", "x")
 
@@ -54,7 +42,7 @@ def delimited_scan(spark, sf_dir):
 @query("SELECT r_regionkey, r_name FROM region")
 def json_round_trip(spark, sf_dir):
     """K2."""
-    path = scratch(spark, "json")
+    path = shared_path(spark, "json")
     tables.write_json(_t(spark, sf_dir, "region"), path)
     return spark.read.schema("r_regionkey int, r_name string").json(path)
 
@@ -62,7 +50,7 @@ def json_round_trip(spark, sf_dir):
 @query("SELECT vec_id, label, len(embedding)::INTEGER AS dim, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings")
 def vector_round_trip(spark, sf_dir):
     """A vector table, found as the first of several candidates."""
-    path = scratch(spark, "vectors")
+    path = shared_path(spark, "vectors")
     tables.write_vectors(_t(spark, sf_dir, "embeddings"), path)
     v = tables.read_vectors(spark, [f"{path}-absent", path])
     total = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + x)
@@ -75,7 +63,7 @@ def search_store(spark, sf_dir):
     e = _t(spark, sf_dir, "embeddings").withColumn("img_id", F.col("vec_id").cast("int"))
     meta = e.select("img_id", F.format_string("%05d_%d.jpg", "img_id", "label").alias("filename"), F.col("label").alias("class_id"), F.col("label").cast("string").alias("class_name"))
     attrs = e.select("img_id", F.col("label").alias("attr_1"), (F.col("label") % 2).alias("attr_2"))
-    return store.build_store(meta, attrs, e.select("img_id", "embedding"), scratch(spark, "store")).select("id", "filename", "species_id", "attributes", "idx")
+    return store.build_store(meta, attrs, e.select("img_id", "embedding"), shared_path(spark, "store")).select("id", "filename", "species_id", "attributes", "idx")
 
 
 @query("""WITH p AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) r(i) GROUP BY label, i) GROUP BY label),
