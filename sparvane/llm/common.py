@@ -1,19 +1,17 @@
-"""Shared plumbing: table access, shared-folder tables, shipping the package, prefix sums."""
+"""Shared plumbing: table access, the package on the workers, column names out of the way, prefix sums."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
+from collections.abc import Callable
 from functools import reduce
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_PACKAGE = Path(__file__).resolve().parents[1]
-_SHIPPED = "sparvane.llm.shipped"
+from .. import ship as package
+from ..shared import discard, materialize, scratch, shared_path
+
+__all__ = ["discard", "guarded", "materialize", "ordered_prefix_sums", "prefix_sums", "read", "scratch", "shared_path", "ship"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,44 +19,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package, once a session.
-
-    Workers that already find the package (installed, or on PYTHONPATH) find the
-    same modules; others get the archive from the driver's file server.
-    """
-    sc = spark.sparkContext
-    if sc.getLocalProperty(_SHIPPED):
-        return
-    archive = os.path.join(tempfile.mkdtemp(prefix="sparvane"), "sparvane.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        for p in sorted(_PACKAGE.rglob("*.py")):
-            z.write(p, str(p.relative_to(_PACKAGE.parent)))
-    sc.addPyFile(archive)
-    sc.setLocalProperty(_SHIPPED, "1")
-    # Arrow batches by bytes too: a batch of long texts stays small
+    """Give the Python workers this package, and bound Arrow batches by bytes, so that a batch of long texts stays small."""
+    package.ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that spark.checkpoint.dir names.
-
-    Only where that setting is absent (tests, a laptop) is a folder made up.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="sparvane-checkpoint")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/sparvane/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: its lineage ends there,
-    so a lost executor costs a reread of files and no recomputation."""
-    path = shared_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def guarded(df: DataFrame, own: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with all columns but `own` under neutral names, so that none clashes with an operator's, and what gives a result df's names."""
+    inner = [c if c in own else f"held{i}" for i, c in enumerate(df.columns)]
+    return df.toDF(*inner), lambda out: out.select(*inner).toDF(*df.columns)
 
 
 def prefix_sums(

@@ -18,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import guarded, materialize, ship
 from .fmindex import FMIndex
 from .words import ALNUM, pieces, words
 
-_FOUND = "doc_id long, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
+_SPANS = "array<struct<start:int,end:int>>"
+_FOUND = f"doc_id long, digest string, n_words long, spans {_SPANS}, items array<string>"
 
 
 class Phrases:
@@ -57,7 +58,7 @@ class _Shard:
         self.runs: list[tuple[int, int, np.ndarray]] = []  # document, first word, symbols
         self.size = 0
 
-    def add(self, doc_id: int | None, text: bytes) -> None:
+    def add(self, key: object, text: bytes) -> None:
         ids = self.phrases.ids(text)
         edge = np.diff(np.concatenate(([0], (ids >= 0).astype(np.int8), [0])))
         first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -65,10 +66,10 @@ class _Shard:
         for a, b in zip(first[long].tolist(), end[long].tolist(), strict=True):
             self.runs.append((len(self.docs), a, ids[a:b]))
             self.size += b - a + 1
-        self.docs.append((doc_id, len(ids), text))
+        self.docs.append((key, len(ids)))
 
     def search(self) -> Iterator[tuple]:
-        """(doc_id, words, merged spans, items, text) of each document."""
+        """(key, words, merged spans, items) of each document."""
         spans: dict[int, list[tuple[int, int]]] = {}
         items: dict[int, set[str]] = {}
         if self.runs and len(self.phrases.lengths):
@@ -96,8 +97,8 @@ class _Shard:
             pairs = np.unique(np.stack((doc, which)), axis=1)
             for d, w in pairs.T.tolist():
                 items.setdefault(d, set()).update(self.phrases.items[w])
-        for d, (doc_id, n, text) in enumerate(self.docs):
-            yield doc_id, n, spans.get(d, []), sorted(items.get(d, ())), text
+        for d, (key, n) in enumerate(self.docs):
+            yield key, n, spans.get(d, []), sorted(items.get(d, ()))
 
 
 _WORD = re.compile(rb"[^ ]+")
@@ -115,37 +116,29 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[end:]])
 
 
-def _finder(phrases, shard_words: int, cut: bool):
+def _finder(phrases, shard_words: int):
     def find(batches):
         value = phrases.value
 
         def table(shard: _Shard) -> pa.RecordBatch:
             rows = list(shard.search())
             columns = [
-                pa.array([r[0] for r in rows], pa.int64()),
+                pa.array([r[0][0] for r in rows], pa.int64()),
+                pa.array([r[0][1] for r in rows], pa.string()),
                 pa.array([r[1] for r in rows], pa.int64()),
                 pa.array([[{"start": a, "end": b} for a, b in r[2]] for r in rows], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                 pa.array([r[3] for r in rows], pa.list_(pa.string())),
             ]
-            names = ["doc_id", "n_words", "spans", "items"]
-            if cut:
-                columns.append(pa.array([without_spans(r[4], r[2]) for r in rows], pa.binary()).cast(pa.string()))
-                names.append("clean_text")
-            return pa.RecordBatch.from_arrays(columns, names)
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n_words", "spans", "items"])
 
-        shard, held = _Shard(value), 0
+        shard = _Shard(value)
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
             texts = batch.column("text").cast(pa.binary())
-            for i, doc_id in enumerate(ids):
-                text = texts[i].as_py() or b""
-                shard.add(doc_id, text)
-                if not cut:
-                    shard.docs[-1] = (*shard.docs[-1][:2], b"")
-                held += len(text) if cut else 0
-                if shard.size >= shard_words or held >= 1 << 25 or len(shard.docs) >= 50_000:
+            for i, key in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist(), strict=True)):
+                shard.add(key, texts[i].as_py() or b"")
+                if shard.size >= shard_words or len(shard.docs) >= 50_000:
                     yield table(shard)
-                    shard, held = _Shard(value), 0
+                    shard = _Shard(value)
         if shard.docs:
             yield table(shard)
 
@@ -159,7 +152,7 @@ def _keeper(phrases, shard_words: int):
         shard, held, size = _Shard(phrases.value), [], 0
 
         def clean():
-            mask = pa.array([not spans for _, _, spans, _, _ in shard.search()], pa.bool_())
+            mask = pa.array([not spans for _, _, spans, _ in shard.search()], pa.bool_())
             at = 0
             for b in held:
                 yield b.filter(mask.slice(at, len(b)))
@@ -169,7 +162,6 @@ def _keeper(phrases, shard_words: int):
             texts = batch.column("text").cast(pa.binary())
             for i in range(len(batch)):
                 shard.add(None, texts[i].as_py() or b"")
-                shard.docs[-1] = (*shard.docs[-1][:2], b"")
             held.append(batch)
             size += batch.nbytes
             if shard.size >= shard_words or size >= 1 << 25:
@@ -182,29 +174,38 @@ def _keeper(phrases, shard_words: int):
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 1 << 20, block_bytes: int = 1 << 24) -> DataFrame:
-    """docs without the rows in which a benchmark window occurs; null texts stay."""
+    """docs without the rows in which a benchmark window occurs; null texts stay.
+
+    A benchmark of several blocks is searched block by block: what a block leaves is written
+    to the shared folder before the next one goes out, so one block is held at a time.
+    """
     ship(docs.sparkSession)
-    fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    out = docs
+    out, named = guarded(docs, ("text",))
+    held = None
     for block in _blocks(benchmark, window, block_bytes):
-        out = out.mapInArrow(_keeper(block, shard_words), fields)
-    return out
+        if held is not None:
+            out = materialize(out, "uncontaminated")
+            held.unpersist()
+        out, held = out.mapInArrow(_keeper(block, shard_words), out.schema), block
+    return named(out)
 
 
 def _blocks(benchmark: DataFrame, window: int, block_bytes: int):
-    """The benchmark's phrases, broadcast in blocks of bounded size."""
+    """The benchmark's phrases, broadcast in blocks of bounded size, one at a time."""
     sc = benchmark.sparkSession.sparkContext
     rows: list[tuple[str, bytes]] = []
     size = 0
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce("text", F.lit("")).alias("t"))
+    sent = False
     for item, text in items.toLocalIterator():
+        if size >= block_bytes:
+            yield sc.broadcast(Phrases(rows, window))
+            rows, size, sent = [], 0, True
         data = text.encode()
         rows.append((item, data))
         size += len(data)
-        if size >= block_bytes:
-            yield sc.broadcast(Phrases(rows, window))
-            rows, size = [], 0
-    yield sc.broadcast(Phrases(rows, window))
+    if rows or not sent:
+        yield sc.broadcast(Phrases(rows, window))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 1 << 20, block_bytes: int = 1 << 24, cut: bool = False) -> DataFrame:
@@ -213,55 +214,62 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard
     spans are merged word ranges [start, end) that occurrences of benchmark windows cover,
     items the ids (as strings, sorted, each once) of items with such a window. A null or
     empty text has no words and no spans; so has any text where the benchmark is empty.
-    A null item_id reads as an empty string. Items that share an id count as one. The
-    benchmark goes out in blocks of about block_bytes of text, each searched in all documents.
+    A null item_id reads as an empty string. Items that share an id count as one. clean_text
+    is the text without its spans, null where the text is.
+
+    The benchmark goes out in blocks of about block_bytes of text, each searched in all documents, one
+    held at a time: what a block finds is written to the shared folder before the next. Then
+    each text's spans are merged over the blocks, and cut out of the texts in a last pass.
     """
     ship(docs.sparkSession)
-    need = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = list(_blocks(benchmark, window, block_bytes))
-    schema = _FOUND + (", clean_text string" if cut and len(blocks) == 1 else "")
-    if len(blocks) == 1:
-        return need.mapInArrow(_finder(blocks[0], shard_words, cut), schema)
-    if cut:
-        raise ValueError("cut needs a benchmark of one block")
-    return _merged(need, blocks, shard_words)
-
-
-def _merged(docs: DataFrame, blocks: list, shard_words: int) -> DataFrame:
-    """The union of what each block finds. Rows of one id and one text find the same; they meet and part again."""
-
-    def pass_(block):
-        def find(batches):
-            import hashlib
-
-            for batch in batches:
-                texts = batch.column("text").cast(pa.binary()).to_pylist()
-                digest = pa.array([hashlib.md5(t or b"").hexdigest() for t in texts])
-                for out in _finder(block, shard_words, False)([batch]):
-                    done = sum(len(x) for x in sent)
-                    sent.append(out)
-                    yield pa.RecordBatch.from_arrays([*out.columns, digest.slice(done, len(out))], [*out.schema.names, "digest"])
-                sent.clear()
-
-        sent: list = []
-        return docs.mapInArrow(find, _FOUND + ", digest string")
-
-    found = pass_(blocks[0])
-    for b in blocks[1:]:
-        found = found.unionByName(pass_(b))
-    per = found.groupBy("doc_id", "digest").agg(
-        F.first("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("all"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        (F.count(F.lit(1)) / len(blocks)).cast("int").alias("copies"),
+    need = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    found: list[DataFrame] = []
+    held = None
+    for block in _blocks(benchmark, window, block_bytes):
+        if held is not None:
+            found[-1] = materialize(found[-1], "contamination")
+            held.unpersist()
+        found.append(need.mapInArrow(_finder(block, shard_words), _FOUND))
+        held = block
+    if len(found) == 1 and not cut:
+        return found[0].drop("digest")
+    per = _merged([found[0], *(materialize(f, "contamination") for f in found[1:])] if len(found) > 1 else found)
+    if not cut:
+        return per.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc_id", "n_words", "spans", "items")
+    per = per.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "n_words", "spans", "items")
+    rows = need.join(per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
+    return rows.select("doc_id", "n_words", "spans", "items", "text").mapInArrow(_cutter, f"doc_id long, n_words long, spans {_SPANS}, items array<string>, clean_text string")
+
+
+def _cutter(batches):
+    for batch in batches:
+        texts, spans = batch.column("text").to_pylist(), batch.column("spans").to_pylist()
+        clean = [t if t is None else without_spans(t.encode(), [(x["start"], x["end"]) for x in s]).decode() for t, s in zip(texts, spans, strict=True)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_words", "spans", "items")), pa.array(clean, pa.string())], ["doc_id", "n_words", "spans", "items", "clean_text"])
+
+
+def _merged(found: list[DataFrame]) -> DataFrame:
+    """(doc_id, digest, n_words, spans, items, copies): the union of what the blocks find, a row for each id and text.
+
+    Rows of one id and one text find the same, so a block keeps one of them and their number,
+    and a row repeated however often meets the other blocks once.
+    """
+    keys = ["doc_id", "digest"]
+    each = [f.groupBy(*keys).agg(F.first("n_words").alias("n_words"), F.first("spans").alias("spans"), F.first("items").alias("items"), F.count(F.lit(1)).alias("copies")) for f in found]
+    every = each[0]
+    for f in each[1:]:
+        every = every.unionByName(f)
+    per = every.groupBy(*keys).agg(
+        F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("copies").alias("copies"),
     )
     spans = F.expr(
-        "aggregate(all, cast(array() as array<struct<start:int,end:int>>), (acc, x) -> "
+        f"aggregate(all, cast(array() as {_SPANS}), (acc, x) -> "
         "CASE WHEN size(acc) > 0 AND x.start <= acc[size(acc) - 1].end "
         "THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', acc[size(acc) - 1].start, 'end', greatest(acc[size(acc) - 1].end, x.end)))) "
         "ELSE concat(acc, array(x)) END)"
     )
-    return per.select("doc_id", "n_words", spans.alias("spans"), "items", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_c")).drop("_c")
+    return per.select(*keys, "n_words", spans.alias("spans"), "items", "copies")
 
 
 def digests(found: DataFrame) -> DataFrame:

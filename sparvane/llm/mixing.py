@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, prefix_sums
+from .common import guarded, materialize, prefix_sums
 
 WORD = r"[^\x20\x09-\x0D]+"
 _KEYS = 1 << 60
@@ -34,12 +34,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     source's words; what exceeds that goes to the others by weight. That is a water level
     L with target = min(repeats * size, L * weight): sources full at the level come first
     in order of size / weight, and L is what they leave over the weight that remains.
-    A source without words gets target 0. `epochs` whole passes and `rest` words of one
+    A row of `sizes` stands for `copies` documents where it has that column. A source without words gets target 0. `epochs` whole passes and `rest` words of one
     more make up floor(target). Needs share <= repeats.
     """
     if share > repeats:
         raise ValueError("share must not exceed repeats")
-    per = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
+    if "copies" not in sizes.columns:
+        sizes = sizes.withColumn("copies", F.lit(1))
+    per = sizes.groupBy("source").agg(F.sum("copies").alias("n_docs"), F.sum(F.col("size") * F.col("copies")).alias("source_size"))
     ranked = per.withColumn("_at", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
     weigh = F.element_at(F.array(*map(F.lit, weights)), (F.col("_at") % len(weights) + 1).cast("int"))
     ranked = ranked.withColumn("_w", weigh.cast("long"))
@@ -68,11 +70,13 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (5, 2, 1)
     The order is md5(doc_id:md5(text):seed), then doc_id and text digest.
     """
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _key(F.col("doc_id"), F.col("text"), seed).alias("key"))
-    sized = materialize(sized, "mix-sizes")
+    sized = materialize(sized.groupBy("source", "key", "doc_id", "size").agg(F.count(F.lit(1)).alias("copies")), "mix-sizes")
     targets = source_targets(sized, weights, share, repeats).withColumnRenamed("source", "_source")
     rows = sized.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rows = rows.withColumn("_rank", F.col("key") / _KEYS)
-    rows = prefix_sums(rows, ["source"], [F.col("key"), F.col("doc_id")], "size", "_rank", "n_docs", "before").drop("_rank", "n_docs")
+    rows = rows.withColumn("_rank", F.col("key") / _KEYS).withColumn("_words", F.col("size") * F.col("copies"))
+    rows = prefix_sums(rows, ["source"], [F.col("key"), F.col("doc_id")], "_words", "_rank", "n_docs", "before").drop("_rank", "n_docs", "_words")
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    rows = rows.withColumn("before", F.col("before") + F.col("_copy") * F.col("size")).drop("_copy", "copies")
     last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
     return rows.withColumn("taken", F.col("epochs") * F.col("size") + last)
 
@@ -98,6 +102,7 @@ def mixture(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (5, 2
     without words come in each epoch that passes their place. The cuts, a row per source,
     are broadcast up to `most_sources` sources and joined by shuffle beyond that.
     """
+    docs, named = guarded(docs, ("doc_id", "text", "source", "n_chars"))
     cuts = materialize(_cut(mix(docs, seed, weights, share, repeats)), "mix-cuts")
     n, ties = cuts.agg(F.count(F.lit(1)), F.max("_ties")).first()
     size, digest = word_count(F.col("text")), _key(F.col("doc_id"), F.col("text"), seed)
@@ -123,4 +128,4 @@ def mixture(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (5, 2
     copies = copies.withColumn("text", F.when(short, start).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         copies = copies.withColumn("n_chars", F.when(short, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return copies.select(*docs.columns)
+    return named(copies)

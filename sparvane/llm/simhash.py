@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import discard, guarded, materialize, ship
 from .words import SPACED, words
 
 SEED, WIDTH = 42, 3
@@ -223,7 +223,8 @@ def components(edges: DataFrame, least: str = "x") -> DataFrame:
         large = materialize(norm(large), "components")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select("v", "m").filter("v <> m").unionByName(low.select(F.col("u").alias("v"), "m"))
-        now = materialize(norm(small.select(F.col("v").alias("u"), F.col("m").alias("v"))), "components")
+        last, now = now, materialize(norm(small.select(F.col("v").alias("u"), F.col("m").alias("v"))), "components")
+        discard(last, large)
         after = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == mark:
             break
@@ -255,6 +256,7 @@ def near_duplicates(docs: DataFrame, most: int = 3, block: int = 20_000) -> Data
 
 def representatives(docs: DataFrame, most: int = 3, block: int = 20_000) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id (null last), then of the least text hash."""
+    docs, renamed = guarded(docs, ("doc_id", "text"))
     named = materialize(_named(docs, most, block).select("root", "doc_id", "digest"), "simhash-named")
     kept = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("k"), F.count(F.lit(1)).alias("_n"))
     kept = materialize(kept.select(F.col("k.doc_id").alias("_id"), F.col("k.digest").alias("_digest"), "_n"), "simhash-kept")
@@ -263,4 +265,4 @@ def representatives(docs: DataFrame, most: int = 3, block: int = 20_000) -> Data
     again = named.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left_semi")
     if not again.isEmpty():  # rows of one id and one text are one document
         out = out.withColumn("_digest", F.xxhash64("text")).dropDuplicates(["doc_id", "_digest"]).drop("_digest")
-    return out
+    return renamed(out)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import guarded, materialize, ship
 from .held import held
 from .textstats import sample_by_hash, training_fold
 
@@ -319,21 +319,31 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_gram
     return Model(costs, [chosen_grams[i] for i in strong], weights, bias)
 
 
-def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
-    """(doc_id, score), with keep docs' columns and score; one row for each row of docs. A null text counts as empty."""
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score), one row for each row of docs. A null text counts as empty."""
     ship(docs.sparkSession)
-    rows = docs if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    names = rows.columns if keep else ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
-            scorer = _scorer(shared.value)
-            got = scorer.score([t or "" for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(got)], [*names, "score"])
+            got = _scorer(shared.value).score([t or "" for t in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got)], ["doc_id", "score"])
 
-    fields = ", ".join(f"`{c}` {t}" for c, t in rows.select(*names).dtypes)
-    return rows.mapInArrow(run, f"{fields}, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+
+
+def without_toxic(docs: DataFrame, model: Model, most: float = 0.5) -> DataFrame:
+    """docs' rows that score below `most`, whatever their columns are called. A null text counts as empty."""
+    ship(docs.sparkSession)
+    docs, named = guarded(docs, ("text",))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            got = _scorer(shared.value).score([t or "" for t in batch.column("text").to_pylist()])
+            yield batch.filter(pa.array(got < most))
+
+    return named(docs.mapInArrow(run, docs.schema))
 
 
 def deobfuscate(docs: DataFrame, model: Model) -> DataFrame:

@@ -56,16 +56,28 @@ def test_against_brute_force(spark, options):
     assert got == brute(docs, bench)
 
 
+BENCH = [(1, "one two three four"), (2, "three four five six"), (3, "x y z"), (None, "lonely")]
+
+
 def test_edges(spark, edge_docs, no_docs):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert D.digests(D.contamination(edge_docs, bench)).filter("contaminated").count() == 2
-    assert D.contamination(no_docs, bench).count() == 0
+    assert D.contamination(no_docs, bench).count() == 0 == D.contamination(no_docs, bench, cut=True).count()
     assert D.contamination(edge_docs, bench.limit(0)).filter("size(spans) > 0").count() == 0
     kept = D.uncontaminated(edge_docs, bench)
     assert kept.columns == edge_docs.columns and kept.count() == edge_docs.count() - 2
 
 
-def test_spans_are_cut_out(spark):
-    docs = spark.createDataFrame([(1, "Keep this. One, two; THREE four! and that")], "doc_id long, text string")
-    bench = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
-    assert D.contamination(docs, bench, cut=True).first().clean_text == "Keep this. ! and that"
+@pytest.mark.parametrize("block_bytes", [1 << 24, 10, 50])
+def test_blocks_and_clashing_columns(spark, block_bytes):
+    bench = spark.createDataFrame([(*r, "u", 2) for r in BENCH], "item_id long, text string, digest string, spans int")
+    rows = [(1, "Keep this. One, two; THREE four! and that"), (1, "Keep this. One, two; THREE four! and that"), (2, "one two three four five six."), (None, "a lonely word"), (3, None), (4, ""), (5, "x y"), (6, "x y z " * 20_000)]
+    docs = spark.createDataFrame([(*r, "d", 1, "i") for r in rows], "doc_id long, text string, digest string, spans int, items string")
+    want = {1: "Keep this. ! and that", 2: ".", None: "a  word", 3: None, 4: "", 5: "x y", 6: " "}
+    got = D.contamination(docs, bench, block_bytes=block_bytes, cut=True).collect()
+    assert sorted((str(r.doc_id), r.clean_text) for r in got) == sorted((str(i), want[i]) for i, _ in rows)
+    plain = D.contamination(docs, bench, block_bytes=block_bytes).collect()
+    assert sorted((str(r.doc_id), r.n_words, [tuple(s) for s in r.spans], r["items"]) for r in plain) == sorted((str(r.doc_id), r.n_words, [tuple(s) for s in r.spans], r["items"]) for r in got)
+    assert next(r["items"] for r in plain if r.doc_id == 2) == ["1", "2"]
+    kept = D.uncontaminated(docs, bench, block_bytes=block_bytes)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["3", "4", "5"]

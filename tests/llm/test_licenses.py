@@ -24,5 +24,17 @@ def test_plan_stays_in_the_jvm(edge_docs):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
-def test_edges(edge_docs, no_docs):
+def test_only_a_to_z_are_lower_cased(spark):
+    rows = scan(spark, ["this worK is licensed under the gnu general public license version 3".replace("K", "\u212a"), "THIS WORK IS LICENSED UNDER THE GNU GENERAL PUBLIC LICENSE VERSION 3", "\u212a\u0130 MIT License"])
+    assert rows[0].score == 1 and rows[0].n_base == 1 and not any(s.covered == 1 for s in rows[0].spans)
+    assert [s.covered for s in rows[1].spans] == [1.0] and rows[2].n_words == 3 and rows[2].labels == ["mit"]
+
+
+def test_edges(spark, edge_docs, no_docs):
+    long = "word " * 50_000 + "MIT license"
+    rows = [(None, "Apache License"), (1, "Apache License"), (1, "Apache License"), (2, None), (3, ""), (4, " \n"), (5, long)]
+    df = spark.createDataFrame([(*r, 9, "x") for r in rows], "doc_id long, text string, row int, labels string")
+    got = sorted((str(r.doc_id), r.n_words, r.n_base, r.first_word, ",".join(r.labels), r.score) for r in licenses.scan(df).collect())
+    apache = (2, 1, 0, "apache", 1.0)
+    assert got == [("1", *apache), ("1", *apache), ("2", 0, 0, None, "", 0.0), ("3", 0, 0, None, "", 0.0), ("4", 0, 0, None, "", 0.0), ("5", 50_002, 1, 50_000, "mit", 1.0), ("None", *apache)]
     assert licenses.scan(edge_docs).count() == edge_docs.count() and licenses.scan(no_docs).count() == 0

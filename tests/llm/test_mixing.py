@@ -47,3 +47,22 @@ def test_edges(edge_docs, no_docs):
 def test_cut_inside_equal_rows(spark):
     df = spark.createDataFrame([(1, "a b c d", "s")] * 7, "doc_id long, text string, source string")
     assert mixing.mixture(df).agg(F.sum(mixing.word_count(F.col("text")))).first()[0] == 42
+
+
+def test_a_row_repeated_often_is_one_row_of_the_sort(spark):
+    rows = spark.range(3000).selectExpr("cast(if(id % 3 = 0, null, id) as long) as doc_id", "if(id % 3 = 0, 'a b', repeat('w ', int(id % 5))) as text", "'s' as source")
+    m = mixing.mix(rows)
+    got = m.collect()
+    assert len(got) == 3000 and sum(r.taken for r in got) == int(got[0].target)
+    places = sorted((r.before, r.size) for r in got if r.size)
+    assert all(a + n == b for (a, n), (b, _) in zip(places, places[1:], strict=False))  # a gapless order
+    again = mixing.mixture(rows).agg(F.sum(mixing.word_count(F.col("text")))).first()[0]
+    assert again == int(got[0].target)
+
+
+def test_clashing_columns(spark):
+    rows = [(i, f"a b {i}", "st"[i % 2], 5, i, "x", 0.5, True) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int, _key long, _source string, _rest double, _tie boolean")
+    out = mixing.mixture(df)
+    assert out.columns == df.columns and out.dtypes == df.dtypes
+    assert out.select("doc_id", "_key").filter("doc_id <> _key").count() == 0

@@ -84,3 +84,8 @@ def test_one_row_of_each_component_stays(edge_docs, no_docs):
 def test_long_chain_is_one_component(spark):
     df = spark.range(500).selectExpr("id as u", "id + 1 as v")
     assert {r.root for r in S.components(df).collect()} == {0}
+
+
+def test_representatives_of_clashing_columns(spark):
+    df = spark.createDataFrame([(2, "a b c d", 1, "u"), (1, "a b c d", 2, "v"), (1, "a b c d", 2, "v")], "doc_id long, text string, _id int, _digest string")
+    assert S.representatives(df).collect() == [(1, "a b c d", 2, "v")]

@@ -76,6 +76,6 @@ def test_edges(spark, edge_docs, no_docs, labels):
     assert out.count() == edge_docs.count() and all(0 <= r.score <= 1 for r in out.collect())
     assert toxicity.score(no_docs, toxicity.train(no_docs, labels)).count() == 0
     assert len({r.score for r in toxicity.score(edge_docs, toxicity.train(edge_docs, labels.limit(0))).collect()}) == 1
-    clash = edge_docs.withColumnRenamed("score", "toxic")
-    assert toxicity.score(clash, model, keep=True).columns == [*clash.columns, "score"]
+    kept = toxicity.without_toxic(edge_docs, model, 2.0)
+    assert kept.columns == edge_docs.columns and kept.count() == edge_docs.count() and toxicity.without_toxic(edge_docs, model, 0.0).count() == 0
     assert toxicity.deobfuscate(edge_docs, model).count() == edge_docs.count()
