@@ -262,7 +262,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_gram
     """The model from all texts (characters) and at most `most_rows` labelled documents of the training fold.
 
     n-grams are chosen by how surely toxic documents have them more often (log-odds over
-    its error). Without toxic or without other documents all scores are the prior's.
+    its error), down to a score that follows from how many were tried. Without toxic or without other documents all scores are the prior's.
     """
     costs = model_costs(count_trigrams(docs))
     own = labels.filter("doc_id is not null and toxic is not null").filter(training_fold()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -297,7 +297,10 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_gram
     sums = grams.groupBy("g").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter(F.col("a") >= support)
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     surely = (F.log(a / n1) - F.log(b / n0)) / F.sqrt(1 / a + 1 / b)
-    best = sums.withColumn("z", surely).filter("z > 3").orderBy(F.desc("z"), "g").limit(most_grams)
+    sums = materialize(sums.withColumn("z", surely), "toxicity-grams")
+    # what the largest of so many scores without meaning would reach
+    bar = math.sqrt(2 * math.log(max(2, sums.count())))
+    best = sums.filter(F.col("z") > bar).orderBy(F.desc("z"), "g").limit(most_grams)
     chosen_grams = [r[0] for r in best.select("g").collect()]
     place = {g: i for i, g in enumerate(chosen_grams)}
 

@@ -1,3 +1,7 @@
+import itertools
+import math
+import random
+
 import numpy as np
 import pytest
 
@@ -63,6 +67,47 @@ def test_trigram_counts(spark):
     assert n[1, 2, 3] == 1 and n[0, 1, 2] == 2 and n[2, 0, 0] >= 1
 
 
+def reading_costs(decoder, text, spaced, doubled):
+    """Cost of every reading, least first by reading."""
+    best = {}
+    for way in itertools.product(*(decoder.options(text, i, spaced, doubled) for i in range(len(text)))):
+        a = b = 0
+        cost = sum(more for _, more in way)
+        for x, _ in way:
+            if x:
+                c = toxicity._class(x)
+                cost += decoder.costs[(a * toxicity.CLASSES + b) * toxicity.CLASSES + c]
+                a, b = b, c
+        cost += decoder.costs[(a * toxicity.CLASSES + b) * toxicity.CLASSES]
+        reading = "".join(x for x, _ in way)
+        best[reading] = min(cost, best.get(reading, cost))
+    return best
+
+
+def test_viterbi_against_all_readings(rude):
+    rng = random.Random(4)
+    for _ in range(400):
+        text = "".join(rng.choice("iidoottsa015@$!|.-e\n" if rng.random() < 0.7 else "abcdefgh ") for _ in range(rng.randint(1, 7)))
+        for spaced, doubled in ((False, False), (True, False), (False, True)):
+            cost, reading = rude.best(text, spaced, doubled)
+            every = reading_costs(rude, text, spaced, doubled)
+            assert cost == pytest.approx(min(every.values())) and every[reading] == pytest.approx(cost)
+
+
+def test_scores_against_plain_lookup(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    decoder, weight = toxicity.Decoder(model.costs), dict(zip(model.grams, model.weights.tolist(), strict=True))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert weight and len(got) == len(texts)
+    for i, t in texts.items():
+        held = set().union(*(toxicity.ngrams(w) for w in decoder.restore(t or "").split()))
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(model.bias + sum(w for g, w in weight.items() if g in held)))))
+    below = {r.doc_id for r in toxicity.without_toxic(docs, model, 0.5).collect()}
+    assert below == {i for i, s in got.items() if s < 0.5}
+
+
 def test_held_out_toxicity(spark):
     lab = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "toxic")
     rows = queries.op4_toxicity(spark, DATA).filter("held_out").join(lab, "doc_id").collect()
