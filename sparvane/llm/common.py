@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import ship as package
 from ..shared import discard, materialize, scratch, shared_path
 
-__all__ = ["discard", "guarded", "materialize", "ordered_prefix_sums", "prefix_sums", "read", "scratch", "shared_path", "ship"]
+__all__ = ["discard", "guarded", "materialize", "prefix_sums", "read", "scratch", "shared_path", "ship"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,22 +52,3 @@ def prefix_sums(
     sums = sums.select(*[F.col(k).alias(f"_r_{k}") for k in keys], "_base")
     df = df.join(sums, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]), "left")
     return df.withColumn(out, F.col("_base") + F.col("_in")).drop("_part", "_base", "_in", *[f"_r_{k}" for k in keys])
-
-
-def ordered_prefix_sums(df: DataFrame, group: list[str], order: list[str], value: str, out: str, coarse: list[str | Column] | None = None) -> DataFrame:
-    """Exclusive prefix sums of `value` in each group along `order`, however large a group is.
-
-    Rows are range-partitioned by group and `coarse` (by default `order`), so a large group spans partitions: sums
-    within a partition, plus those of the group's partitions before. `coarse` must never fall
-    along `order`; it is what the driver gets a sample of, so long texts go in by their first characters.
-    """
-    spread = df.repartitionByRange(*group, *(coarse or order)).withColumn("_pid", F.spark_partition_id())
-    spread = materialize(spread, "ordered")
-    keys = ["_pid", *group]
-    before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    sums = spread.groupBy(*keys).agg(F.sum(value).alias("_sum"))
-    sums = sums.select(*[F.col(k).alias(f"_r{k}") for k in keys], F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    spread = spread.withColumn("_in", F.coalesce(F.sum(value).over(within), F.lit(0)))
-    joined = spread.join(sums, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in keys]))
-    return joined.withColumn(out, F.col("_base") + F.col("_in")).drop("_base", "_in", "_pid", *[f"_r{k}" for k in keys])

@@ -12,6 +12,7 @@ from __future__ import annotations
 import itertools
 import json
 import os
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -141,11 +142,14 @@ class Encoder:
         return taken.flatten().to_numpy(), places[firsts] - places[0]
 
 
-    def decode(self, ids: list[int]) -> str:
-        """The text that gives these ids."""
+    def texts(self, ids: np.ndarray) -> Callable[[int, int], str]:
+        """A function that gives the text of ids[a:b]. Ids past the vocabulary have none."""
         if not self.chunked:
-            return self.tokenizer.decode(ids, skip_special_tokens=False)
-        return b"".join(map(self.bytes.__getitem__, ids)).decode()
+            return lambda a, b: self.tokenizer.decode(ids[a:b].tolist(), skip_special_tokens=False)
+        table = pa.array([*self.bytes, b""], pa.large_binary())
+        data, ends = _bytes(table.take(pa.array(np.minimum(ids, len(self.bytes)))))
+        line = data.tobytes()
+        return lambda a, b: line[ends[a] : ends[b]].decode()
 
 
 def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

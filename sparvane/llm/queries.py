@@ -108,6 +108,7 @@ PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the probe, conversation -1. A table that has a conversation -1 of its own would get the probe's rows among that one's."""
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
     return chat.digests(chat.format_chat(turns.unionByName(probe), tokenizer_path()), tokenizer_path())

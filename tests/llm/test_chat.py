@@ -15,10 +15,13 @@ def test_escapes_are_reversible(text):
 
 
 def test_read_back(spark):
-    rows = [(1, 2, "assistant", "second"), (1, 1, "user", PROBE), (1, 1, "user", PROBE), (1, 3, "assistant", None), (None, None, None, None), (2, 0, "assistant", PROBE + "\\<\\|é\U0001f600\n"), (3, 0, "a\nb<|", "x")]
+    long = "long <|im_start|> text\n" * 20_000
+    rows = [(5, 0, "user", long), (5, 1, "assistant", long), (5, 1, "assistant", long), (-1, 7, "assistant", "a row of its own"), (1, 2, "assistant", "second"), (1, 1, "user", PROBE), (1, 1, "user", PROBE), (1, 3, "assistant", None), (None, None, None, None), (2, 0, "assistant", PROBE + "\\<\\|é\U0001f600\n"), (3, 0, "a\nb<|", "x")]
     df = spark.createDataFrame([(*r, 7) for r in rows], "conv_id long, turn long, role string, text string, ids int")
+    assert len(rows) == 11
     out = {r.conv_id: r for r in chat.digests(chat.format_chat(df, tokenizer_path()), tokenizer_path()).collect()}
     order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0))
+    assert set(out) == {r[0] for r in rows}
     for conv, r in out.items():
         own = [(x[2] or "", x[3] or "") for x in order if x[0] == conv]
         said = "".join(t for role, t in own if role == "assistant")
@@ -34,6 +37,24 @@ def test_places_are_prefix_sums(spark):
         by[r.conv_id] = r.start + len(r.ids)
 
 
+def test_a_conversation_over_many_partitions(spark):
+    """Ties of turn and role go on by text, wherever the ranges are cut."""
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        df = spark.range(4000).selectExpr("if(id % 3 = 0, 9, id % 5) as conv_id", "cast(id / 40 as long) as turn", "'assistant' as role", "concat('same beginning of many a text here ', id) as text")
+        formatted = chat.format_chat(df, tokenizer_path()).collect()
+        out = {r.conv_id: r for r in chat.digests(chat.format_chat(df, tokenizer_path()), tokenizer_path()).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", True)
+    by = {}
+    for r in sorted(formatted, key=lambda r: (r.conv_id, r.start)):
+        assert r.start == by.get(r.conv_id, 0)
+        by[r.conv_id] = r.start + len(r.ids)
+    for conv, r in out.items():
+        own = [x.text for x in sorted(df.collect(), key=lambda x: (x.turn, x.text)) if x.conv_id == conv]
+        assert r.n_turns == len(own) and r.loss_sha256 == hashlib.sha256("".join(own).encode()).hexdigest()
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digests(chat.format_chat(df, tokenizer_path()), tokenizer_path()).count() == 0
