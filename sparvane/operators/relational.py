@@ -7,15 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: sides up to this many rows are broadcast; Spark chooses the join beyond it
-MOST_BROADCAST_ROWS = 100_000
-
-
-def small(df: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `most` rows, else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def ratio(numerator: Column, denominator: Column) -> Column:
     """Quotient in double; null over zero, where plain ANSI division would raise."""
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))
@@ -45,11 +36,11 @@ def last_value_per_key(facts: DataFrame, key: str, picks: dict[str, tuple[Column
 
 def exclude(df: DataFrame, key: str, blocked: DataFrame) -> DataFrame:
     """Rows whose key is not in the one-column table `blocked`."""
-    return df.join(small(blocked.select(F.col(blocked.columns[0]).alias(key)).distinct()), key, "left_anti")
+    return df.join(blocked.select(F.col(blocked.columns[0]).alias(key)).distinct(), key, "left_anti")
 
 
 def keep(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    return df.join(small(wanted.select(F.col(wanted.columns[0]).alias(key)).distinct()), key, "left_semi")
+    return df.join(wanted.select(F.col(wanted.columns[0]).alias(key)).distinct(), key, "left_semi")
 
 
 def reindex(ids: DataFrame, key: str, facts: DataFrame, fill: dict[str, object]) -> DataFrame:
@@ -73,7 +64,15 @@ def hash_rank(key: str, seed: int) -> Column:
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    return df.orderBy(hash_rank(key, seed), key).limit(n)
+    """The n rows of least hash_rank.
+
+    Of a larger table only rows below a threshold, about twice as many as are wanted, are sorted, so
+    the task that ends the sort reads about that many however many partitions there are.
+    """
+    rank, share = hash_rank(key, seed), (2 * n + 100) / max(1, df.count())
+    if share < 1:
+        df = df.filter(F.conv(F.substring(rank, 1, 12), 16, 10).cast("long") < int(share * (1 << 48)))
+    return df.orderBy(rank, key).limit(n)
 
 
 def stratified_sample(df: DataFrame, group: str, key: str, cap: int, seed: int = 42) -> DataFrame:

@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relational import small
+from ..ship import ship
 from .statistics import min_max
 from .vectors import as_double, cosine, dot, l2_squared, norm
 
-#: bytes of corpus vectors in one broadcast
+#: bytes of vectors, as doubles, in one block
 BLOCK_BYTES = 64 << 20
 
 
@@ -36,60 +37,74 @@ def top_k(corpus: DataFrame, query: Sequence[float], k: int, key: str = "vec_id"
 
 def with_metadata(hits: DataFrame, metadata: DataFrame, key: str = "vec_id") -> DataFrame:
     """Hits with their metadata; hits without a row are dropped after the top k, so fewer than k may remain."""
-    return small(hits).join(metadata, key)
+    return hits.join(metadata, key)
 
 
-def _blocks(corpus: DataFrame, key: str, vec: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The corpus as matrices of bounded size, each collected by itself."""
-    size = corpus.agg(F.sum(F.size(vec)) * 4).first()[0] or 0
-    n = max(1, -(-int(size) // BLOCK_BYTES))
-    for i in range(n):
-        part = corpus if n == 1 else corpus.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i)
-        rows = part.select(key, vec).toPandas().sort_values(key)
-        if len(rows):
-            yield rows[key].to_numpy(), np.stack(rows[vec].to_numpy()).astype(np.float64)
+def _blocks(df: DataFrame, vec: str, least: int = 1) -> int:
+    """The number of blocks of at most BLOCK_BYTES, as doubles, that a table's vectors make; `least` at least, no more than there are rows."""
+    rows, size = df.agg(F.count(F.lit(1)), F.sum(F.size(vec)) * 8).first()
+    return max(1, -(-int(size or 0) // BLOCK_BYTES), min(least, rows))
+
+
+def _dealt(df: DataFrame, key: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("block"), F.col(key)), F.lit(blocks)).cast("int")
+
+
+def _every(blocks: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+
+def _matrix(table: pa.Table, vec: str) -> np.ndarray:
+    lists = table.column(vec).combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(table), -1)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)
+
+
+def _chunks(rows: int, width: int) -> Iterator[slice]:
+    """Parts of a block of queries, whose scores against `width` rows take 32 MB at most."""
+    step = max(1, (4 << 20) // max(1, width))
+    return (slice(at, at + step) for at in range(0, rows, step))
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding", include_self: bool = True) -> DataFrame:
     """(src, dst, score, rank): the k corpus rows of greatest cosine for every query; ties go by key.
 
-    The corpus goes out in blocks of at most BLOCK_BYTES; every block is multiplied with
-    all queries in Arrow batches and leaves k rows a query, which are ranked together.
+    Queries and corpus are dealt into blocks of at most BLOCK_BYTES. A task multiplies one pair of blocks in
+    Arrow and leaves k rows a query, which are ranked together. Nothing passes the driver.
     """
     spark = queries.sparkSession
-    parts = []
-    kinds = dict(corpus.dtypes)
-    for ids, matrix in _blocks(corpus, key, vec):
-        unit = matrix / (np.linalg.norm(matrix, axis=1, keepdims=True) + 1e-8)
-        shared = spark.sparkContext.broadcast((ids, unit))
-
-        def best(batches, shared=shared):
-            ids, unit = shared.value
-            for batch in batches:
-                q = np.stack(batch[vec].to_numpy()).astype(np.float64) if len(batch) else np.empty((0, unit.shape[1]))
-                q = q / (np.linalg.norm(q, axis=1, keepdims=True) + 1e-8)
-                own = batch[key].to_numpy()
-                for at in range(0, len(own), 512):
-                    s = q[at : at + 512] @ unit.T
-                    if not include_self:
-                        s[own[at : at + 512][:, None] == ids[None, :]] = -np.inf
-                    width = min(k, s.shape[1])
-                    # all that reach the k-th best, so that ties at the edge go by key as well
-                    edge = np.partition(s, s.shape[1] - width, axis=1)[:, s.shape[1] - width]
-                    row, col = np.nonzero(s >= edge[:, None])
-                    order = np.lexsort((ids[col], -s[row, col], row))
-                    row, col = row[order], col[order]
-                    place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
-                    take = (place < width) & np.isfinite(s[row, col])
-                    row, col = row[take], col[take]
-                    yield pd.DataFrame({"src": own[at : at + 512][row], "dst": ids[col], "score": s[row, col]})
-
-        parts.append(queries.select(key, vec).mapInPandas(best, f"src {kinds[key]}, dst {kinds[key]}, score double"))
-    if not parts:
-        return spark.createDataFrame([], f"src {kinds[key]}, dst {kinds[key]}, score double, rank int")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    ship(spark)
+    n_q, n_c = _blocks(queries, vec, spark.sparkContext.defaultParallelism), _blocks(corpus, vec)
+    kind = dict(corpus.dtypes)[key]
+
+    def best(_, left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if len(left) and len(right):
+            ids, own = right.column("k").to_numpy(), left.column("k").to_numpy()
+            q, c = _unit(_matrix(left, "v")), _unit(_matrix(right, "v"))
+            for part in _chunks(len(q), len(c)):
+                s = np.round(q[part] @ c.T, 12)
+                if not include_self:
+                    s[own[part][:, None] == ids[None, :]] = -np.inf
+                width = min(k, s.shape[1])
+                # all that reach the k-th best, so that ties at the edge go by key as well
+                edge = np.partition(s, s.shape[1] - width, axis=1)[:, s.shape[1] - width]
+                row, col = np.nonzero(s >= edge[:, None])
+                order = np.lexsort((ids[col], -s[row, col], row))
+                row, col = row[order], col[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+                take = (place < width) & np.isfinite(s[row, col])
+                row, col = row[take], col[take]
+                out.append(pa.table({"src": own[part][row], "dst": ids[col], "score": s[row, col]}))
+        return pa.concat_tables(out) if out else pa.table({"src": left.column("k").slice(0, 0), "dst": left.column("k").slice(0, 0), "score": pa.array([], pa.float64())})
+
+    q = queries.select(_dealt(queries, key, n_q).alias("qb"), _every(n_c).alias("cb"), F.col(key).alias("k"), F.col(vec).alias("v"))
+    c = corpus.select(_every(n_q).alias("qb"), _dealt(corpus, key, n_c).alias("cb"), F.col(key).alias("k"), F.col(vec).alias("v"))
+    found = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInArrow(best, f"src {kind}, dst {kind}, score double")
     order = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -125,7 +140,7 @@ def normalized(vec: Column, eps: float = 1e-8) -> Column:
 def expand_query(corpus: DataFrame, query: Sequence[float], hits: DataFrame, top: int = 5, own: float = 0.6, key: str = "vec_id", vec: str = "embedding") -> list[float]:
     """L2-normalised own * query + (1 - own) * mean of the first `top` hits."""
     first = hits.orderBy("rank").limit(top).select(key)
-    row = mean_vector(corpus.join(small(first), key), [], vec).first()
+    row = mean_vector(corpus.join(first, key), [], vec).first()
     q = np.asarray(query, np.float64)
     if row is not None and row[0]:
         q = own * q + (1 - own) * np.asarray(row[0])
@@ -188,10 +203,10 @@ def rerank(
 
 def part_adjust(items: DataFrame, query_parts: DataFrame, corpus_parts: DataFrame, weights: dict[str, float], base: float = 0.7) -> DataFrame:
     """(id, score): base * score + (1 - base) / (1 + weighted sum of distances between named parts)."""
-    w = small(query_parts.select("part", F.col("vec").alias("_q")))
+    w = query_parts.select("part", F.col("vec").alias("_q"))
     distance = F.sqrt(l2_squared(F.col("vec"), F.col("_q")))
     weight = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
-    apart = corpus_parts.join(small(items.select("id")), "id", "left_semi").join(w, "part").groupBy("id").agg(F.sum(F.coalesce(weight[F.col("part")], F.lit(0.0)) * distance).alias("_d"))
+    apart = corpus_parts.join(items.select("id"), "id", "left_semi").join(w, "part").groupBy("id").agg(F.sum(F.coalesce(weight[F.col("part")], F.lit(0.0)) * distance).alias("_d"))
     return items.join(apart, "id", "left").select("id", (base * F.col("score") + (1 - base) / (1 + F.coalesce("_d", F.lit(0.0)))).alias("score"))
 
 
@@ -220,62 +235,65 @@ def root_norm(vec: Column, eps: float = 1e-8) -> Column:
     return F.transform(as_double(vec), lambda x: F.sqrt(F.greatest(x, F.lit(0.0)) / total))
 
 
-def ranked_relevance(queries: DataFrame, corpus: DataFrame, key: str = "vec_id", vec: str = "embedding", label: str = "label") -> DataFrame:
-    """(src, rank, rel, n_rel): every corpus rank of every query, its own row last, as relevant as any of its class.
-
-    A row for each pair, as full rankings need; `evaluate` does not go through it.
-    """
-    q = queries.select(F.col(key).alias("src"), F.col(vec).alias("_q"), F.col(label).alias("_ql"))
-    c = corpus.select(F.col(key).alias("dst"), F.col(vec).alias("_c"), F.col(label).alias("_cl"))
-    pairs = q.crossJoin(c).select("src", "dst", F.when(F.col("src") == F.col("dst"), F.lit(-1.0)).otherwise(dot(F.col("_q"), F.col("_c"))).alias("s"), (F.col("_ql") == F.col("_cl")).cast("int").alias("rel"))
-    order = Window.partitionBy("src").orderBy(F.desc("s"), "dst")
-    return pairs.select("src", F.row_number().over(order).alias("rank"), "rel")
+def _ahead(s: np.ndarray, ids: np.ndarray, relevant: np.ndarray, own: np.ndarray, own_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For scores `own` of rows own_ids: how many of the rows ids rank ahead by (score falling, id), and how many of those are relevant."""
+    scores, every = np.concatenate([own, s]), np.concatenate([own_ids, ids])
+    other = np.arange(len(scores)) >= len(own)
+    order = np.lexsort((other, every, -scores))  # a row itself is not ahead of itself
+    counted, hits = np.cumsum(other[order]), np.cumsum(np.concatenate([np.zeros(len(own), bool), relevant])[order])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return counted[place[: len(own)]], hits[place[: len(own)]]
 
 
 def evaluate(queries: DataFrame, corpus: DataFrame, ks: Sequence[int] = (1, 5, 10), key: str = "vec_id", vec: str = "embedding", label: str = "label") -> DataFrame:
     """(src, hit_k…, ap) per query: whether a row of its class is among the first k, and average precision.
 
-    The query's own row ranks with similarity -1 and counts as relevant. Full rankings are
-    made a query at a time against corpus blocks; what leaves a batch is one row a query.
-    A corpus of several blocks is ranked by counting, for each relevant row, those ahead of it.
+    The query's own row ranks with similarity -1 and counts as relevant. A relevant row's
+    rank is one more than the number of rows ahead of it. A task has a block of queries and two blocks of the corpus: it
+    counts, for each relevant row of the first, the rows of the second ahead of it, all and relevant ones.
+    Counts are summed over the second blocks, so no task and no driver sees a whole ranking.
     """
     spark = queries.sparkSession
-    corpus_rows = list(_blocks(corpus.select(key, vec, label), key, vec))
-    labels = dict(corpus.select(key, label).toPandas().itertuples(index=False)) if len(corpus_rows) == 1 else None
-    if labels is None:
-        ranked = ranked_relevance(queries, corpus, key, vec, label)
-        return average_precision(ranked, ks)
-    ids, matrix = corpus_rows[0]
-    classes = np.array([labels[i] for i in ids.tolist()])
-    shared = spark.sparkContext.broadcast((ids, matrix, classes))
+    ship(spark)
+    n_q, n_c = _blocks(queries, vec, spark.sparkContext.defaultParallelism), _blocks(corpus, vec)
     kind = dict(queries.dtypes)[key]
-
-    def run(batches):
-        ids, matrix, classes = shared.value
-        for batch in batches:
-            out = []
-            q = np.stack(batch[vec].to_numpy()).astype(np.float64) if len(batch) else np.empty((0, matrix.shape[1]))
-            s = q @ matrix.T
-            own = batch[key].to_numpy()
-            s[own[:, None] == ids[None, :]] = -1.0
-            for i, lab in enumerate(batch[label].to_numpy()):
-                order = np.lexsort((ids, -s[i]))
-                rel = classes[order] == lab
-                at = np.flatnonzero(rel)
-                ap = float(np.mean(np.arange(1, len(at) + 1) / (at + 1))) if len(at) else 0.0
-                out.append([own[i], *[int(rel[:k].any()) for k in ks], ap])
-            yield pd.DataFrame(out, columns=["src", *[f"hit_{k}" for k in ks], "ap"])
-
-    schema = f"src {kind}, " + ", ".join(f"hit_{k} int" for k in ks) + ", ap double"
-    return queries.select(key, vec, label).mapInPandas(run, schema)
-
-
-def average_precision(ranked: DataFrame, ks: Sequence[int] = (1, 5, 10)) -> DataFrame:
-    """The same from (src, rank, rel): running hits over ranks of relevant rows."""
-    so_far = Window.partitionBy("src").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    r = ranked.withColumn("hits", F.sum("rel").over(so_far))
-    hit = [F.max(F.when(F.col("rank") <= k, F.col("rel")).otherwise(0)).cast("int").alias(f"hit_{k}") for k in ks]
-    return r.groupBy("src").agg(*hit, F.coalesce(F.avg(F.when(F.col("rel") == 1, F.col("hits") / F.col("rank"))), F.lit(0.0)).alias("ap"))
+    schema = f"src {kind}, dst {kind}, ahead long, hits long"
+
+    def count(at, left: pa.Table, right: pa.Table) -> pa.Table:
+        names, out = ("src", "dst", "ahead", "hits"), []
+        q, a = left.filter(pc.equal(left.column("side"), 0)), left.filter(pc.equal(left.column("side"), 1))
+        same = at[1].as_py() == at[2].as_py()
+        a = right if same else a  # one product, so that a row has one score
+        if len(q) and len(a) and len(right):
+            own, ids, own_ids = (t.column("k").to_numpy() for t in (q, right, a))
+            lab, labels, own_labels = (t.column("l").to_numpy(zero_copy_only=False) for t in (q, right, a))
+            x, c, first = _matrix(q, "v"), _matrix(right, "v"), _matrix(a, "v")
+            for part in _chunks(len(x), len(c) + len(first)):
+                s = np.round(x[part] @ c.T, 12)
+                t = s if same else np.round(x[part] @ first.T, 12)
+                for i, (me, mine) in enumerate(zip(own[part], lab[part], strict=True)):
+                    s[i, ids == me] = -1.0
+                    t[i, own_ids == me] = -1.0
+                    rel = np.flatnonzero(own_labels == mine)
+                    n, hits = _ahead(s[i], ids, labels == mine, t[i, rel], own_ids[rel])
+                    out.append((np.full(len(rel), me), own_ids[rel], n, hits))
+        empty = left.column("k").slice(0, 0).to_numpy()
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [empty, empty, np.empty(0, np.int64), np.empty(0, np.int64)]
+        return pa.table(dict(zip(names, columns, strict=True)))
+
+    own = (F.col(key).alias("k"), F.col(vec).alias("v"), F.col(label).alias("l"))
+    keys = ["qb", "a", "b"]
+    q = queries.select(_dealt(queries, key, n_q).alias("qb"), _every(n_c).alias("a"), F.lit(0).alias("side"), *own).select("qb", "a", _every(n_c).alias("b"), "side", "k", "v", "l")
+    one = corpus.select(_every(n_q).alias("qb"), _dealt(corpus, key, n_c).alias("a"), F.lit(1).alias("side"), *own).select("qb", "a", _every(n_c).alias("b"), "side", "k", "v", "l")
+    two = corpus.select(_every(n_q).alias("qb"), _dealt(corpus, key, n_c).alias("b"), *own).select("qb", _every(n_c).alias("a"), "b", "k", "v", "l")
+    found = q.unionByName(one.filter("a <> b")).groupBy(*keys).cogroup(two.groupBy(*keys)).applyInArrow(count, schema)
+    each = found.groupBy("src", "dst").agg((F.sum("ahead") + 1).alias("rank"), (F.sum("hits") + 1).alias("i"))
+    hit = [F.max((F.col("rank") <= k).cast("int")).alias(f"hit_{k}") for k in ks]
+    per = each.groupBy("src").agg(*hit, F.avg(F.col("i") / F.col("rank")).alias("ap"))
+    # a query without any relevant row has no counts
+    out = queries.select(F.col(key).alias("src")).join(per, "src", "left")
+    return out.select("src", *[F.coalesce(f"hit_{k}", F.lit(0)).alias(f"hit_{k}") for k in ks], F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 
 def summary(per_query: DataFrame, ks: Sequence[int] = (1, 5, 10)) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import discard, materialize
+
 
 def class_stats(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Mean, sample deviation and count of each value per class."""
@@ -16,12 +19,46 @@ def class_stats(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> Da
     return df.groupBy(*keys).agg(*aggs)
 
 
-def distribution(df: DataFrame, value: str, threshold: float, quantiles: Sequence[float] = (0.1, 0.5, 0.9)) -> DataFrame:
+def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> dict[str, list[float]]:
+    """Exact linear quantiles of several columns, nulls left out; no list for a column without values.
+
+    Distinct values are counted, dealt by ranges of column and value and numbered by running sums
+    within and over the ranges, all columns in one go. The values around the wanted places, two for each
+    share at most, are all that leaves the executors.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("x")) for i, c in enumerate(columns)]))
+    counts = df.select(each.alias("s")).select("s.*").filter("x is not null").groupBy("c", "x").agg(F.count(F.lit(1)).alias("n"))
+    spread = materialize(counts.repartitionByRange("c", "x").withColumn("p", F.spark_partition_id()), "quantiles")
+    totals = spread.groupBy("c", "p").agg(F.sum("n").alias("n"))
+    over = Window.partitionBy("c").orderBy("p")  # a row for each range
+    totals = totals.select("c", "p", F.coalesce(F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("n").over(Window.partitionBy("c")).alias("total"))
+    before = F.sum("n").over(Window.partitionBy("c", "p").orderBy("x").rowsBetween(Window.unboundedPreceding, -1))
+    ranked = spread.withColumn("before", F.coalesce(before, F.lit(0))).join(totals, ["c", "p"]).withColumn("before", F.col("base") + F.col("before"))
+    at = [F.lit(q) * (F.col("total") - 1) for q in shares]
+    places = F.array_distinct(F.array(*[f(x).cast("long") for x in at for f in (F.floor, F.ceil)]))
+    hit = ranked.filter(F.exists(places, lambda i: (i >= F.col("before")) & (i < F.col("before") + F.col("n"))))
+    found: dict[int, list[tuple[int, int, float]]] = {}
+    sizes: dict[int, int] = {}
+    for r in hit.select("c", "before", "n", "x", "total").collect():
+        found.setdefault(r.c, []).append((r.before, r.before + r.n, r.x))
+        sizes[r.c] = r.total
+    discard(spread)
+    value = lambda c, i: next(x for a, b, x in found[c] if a <= i < b)
+
+    def linear(c: int, q: float) -> float:
+        place = q * (sizes[c] - 1)
+        low = math.floor(place)
+        a, b = value(c, low), value(c, math.ceil(place))
+        return a + (b - a) * (place - low)
+
+    return {name: [linear(c, q) for q in shares] if c in sizes else [] for c, name in enumerate(columns)}
+
+
+def distribution(df: DataFrame, value: str, threshold: float, at: Sequence[float] = (0.1, 0.5, 0.9)) -> DataFrame:
     """One row: mean, sample deviation, exact linear quantiles and the share below a threshold."""
-    q = F.percentile(value, F.array(*map(F.lit, quantiles)))
-    return df.agg(
-        F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), q.alias("_q"), F.avg((F.col(value) < threshold).cast("double")).alias("below"),
-    ).select("mean", "std", *[F.element_at("_q", i + 1).alias(f"q{round(100 * p)}") for i, p in enumerate(quantiles)], "below")
+    found = quantiles(df, [value], at)[value] or [None] * len(at)
+    named = [F.lit(x).cast("double").alias(f"q{round(100 * p)}") for p, x in zip(at, found, strict=True)]
+    return df.agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.avg((F.col(value) < threshold).cast("double")).alias("below")).select("mean", "std", *named, "below")
 
 
 def zscore_columns(df: DataFrame, values: Sequence[str], reference: DataFrame | None = None) -> DataFrame:
@@ -55,28 +92,35 @@ def entropy_bits(counts: Column) -> Column:
     return F.aggregate(counts, F.lit(0.0), lambda s, x: s - F.when(x > 0, (x / total) * F.log2(x / total + F.lit(1e-12))).otherwise(0.0))
 
 
-def quantile_edges(df: DataFrame, value: str, bins: int = 8) -> list[float]:
-    """Distinct linear quantiles of a column at 0, 1/bins, ..., 1."""
-    row = df.agg(F.percentile(value, F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).first()
-    return sorted({float(x) for x in (row[0] or [])})
+def _finite(value: str) -> Column:
+    x = F.col(value).cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 
-def discretize(df: DataFrame, value: str, out: str, bins: int = 8) -> DataFrame:
-    """Number of inner quantile edges at or below the value; with two edges or fewer, whether it exceeds the median.
+def codes(df: DataFrame, values: dict[str, str], bins: int = 8) -> DataFrame:
+    """df with a column of codes for each of `values` (column: code's name): the number of inner quantile edges at or
+    below the value; with two edges or fewer, whether it exceeds the median. Edges are the distinct linear quantiles
+    at 0, 1/bins, ..., 1.
 
     Null, NaN and infinite values take no part in the edges and get code 0.
     """
-    x = F.col(value).cast("double")
-    finite = F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
-    clean = df.withColumn("_v", finite)
-    edges = quantile_edges(clean, "_v", bins)
-    if len(edges) <= 1:
-        code = F.lit(0)
-    elif len(edges) == 2:
-        code = (F.col("_v") > F.lit(clean.agg(F.percentile("_v", 0.5)).first()[0])).cast("int")
-    else:
-        code = F.size(F.filter(F.array(*map(F.lit, edges[1:-1])), lambda e: e <= F.col("_v")))
-    return clean.withColumn(out, F.when(F.col("_v").isNull(), F.lit(0)).otherwise(code)).drop("_v")
+    found = quantiles(df.select(*[_finite(v).alias(v) for v in values]), list(values), [*(i / bins for i in range(bins + 1)), 0.5])
+    out = {}
+    for v, name in values.items():
+        edges = sorted(set(found[v][:-1]))
+        if len(edges) <= 1:
+            code = F.lit(0)
+        elif len(edges) == 2:
+            code = (_finite(v) > F.lit(found[v][-1])).cast("int")
+        else:
+            code = sum(((_finite(v) >= F.lit(e)).cast("int") for e in edges[1:-1]), F.lit(0))
+        out[name] = F.when(_finite(v).isNull(), F.lit(0)).otherwise(code)
+    return df.withColumns(out)
+
+
+def discretize(df: DataFrame, value: str, out: str, bins: int = 8) -> DataFrame:
+    """One column's codes."""
+    return codes(df, {value: out}, bins)
 
 
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -115,9 +159,7 @@ def min_max(value: str, window, constant: float) -> Column:
 
 def attribute_information(df: DataFrame, attributes: Sequence[str], label: str, bins: int = 8, weights: tuple[float, float] = (0.55, 0.45)) -> DataFrame:
     """Fisher score, mutual information, both min-max scaled over the attributes, and their weighted sum."""
-    coded = df
-    for a in attributes:
-        coded = discretize(coded, a, f"_c_{a}", bins)
+    coded = codes(df, {a: f"_c_{a}" for a in attributes}, bins)
     both = F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("double").alias("x"), F.col(f"_c_{a}").alias("code")) for a in attributes]))
     long = coded.select(F.col(label).alias("label"), both.alias("s")).select("label", "s.*")
     scores = fisher_score(long, ["attribute"], "label", "x").join(mutual_information(long, ["attribute"], "code", "label"), "attribute")

@@ -75,5 +75,5 @@ def facing(selected: DataFrame, parts: DataFrame, pool: DataFrame | None = None)
     own = R.last_value_per_key(seen, "img_id", {"_b": (n == BEAK, F.col("x")), "_t": (n == TAIL, F.col("x"))}, "_at").select("img_id", (F.col("_b") > F.col("_t")).alias("_right"))
     every = (selected if pool is None else pool).select("img_id", "class_id").join(own, "img_id")
     most = R.majority(every, "class_id", F.col("_right"), "_most")
-    marked = selected.join(own, "img_id", "left").join(R.small(most), "class_id", "left")
+    marked = selected.join(own, "img_id", "left").join(most, "class_id", "left")
     return marked.withColumn("hflip", F.coalesce(~F.col("_right"), ~F.col("_most"), F.lit(False))).drop("_right", "_most")

@@ -162,7 +162,7 @@ def flip_decision(spark, sf_dir):
     c = _t(spark, sf_dir, "customer")
     m = R.majority(c, "c_nationkey", F.col("c_acctbal") > 4500, "m")
     own = F.when(F.col("c_acctbal") > 9000, True).when(F.col("c_acctbal") < 0, False)
-    return c.join(R.small(m), "c_nationkey", "left").select("c_custkey", F.coalesce(own, F.col("m"), F.lit(False)).alias("flip"))
+    return c.join(m, "c_nationkey", "left").select("c_custkey", F.coalesce(own, F.col("m"), F.lit(False)).alias("flip"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CAST(greatest(0, least(223, trunc(l_quantity * 7 - 20))) AS INTEGER) AS x0,

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as V
-from ..operators.relational import small
 from ..operators.vectors import cosine
 
 
@@ -31,7 +30,7 @@ def _literal(v: Sequence[float]):
 def _tiers(items: DataFrame, corpus: DataFrame, query: Query) -> DataFrame:
     """(id, label, t1, t2, t3): items' scores as tier 2, cosines to the query as tiers 1 and 3."""
     own = corpus.select("id", "label", cosine(F.col("tier1"), _literal(query.tier1)).alias("t1"), cosine(F.col("tier3"), _literal(query.tier3)).alias("t3"))
-    return own.join(small(items.select("id", F.col("score").alias("t2"))), "id").select("id", "label", "t1", "t2", "t3")
+    return own.join(items.select("id", F.col("score").alias("t2")), "id").select("id", "label", "t1", "t2", "t3")
 
 
 def adaptive_search(
@@ -71,5 +70,5 @@ def adaptive_search(
 
 def species_rank(hits: DataFrame, names: DataFrame, keyword: str) -> DataFrame:
     """(rank, name) of the first hit whose class name holds a keyword; no row where none does."""
-    found = hits.join(small(names), "label").filter(F.contains(F.lower("name"), F.lit(keyword.lower())))
+    found = hits.join(names, "label").filter(F.contains(F.lower("name"), F.lit(keyword.lower())))
     return found.orderBy("rank").select("rank", "name").limit(1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,14 +27,18 @@ def grid(
     scored = scored.persist()
     runs = [(0, 1.0, 1.0), *itertools.product(dims, hu, first)]
     reduced = {d: fitting.apply_pca(scored, "t2", fitting.fit_pca(scored, "t2", d), "p") for d in {r[0] for r in runs}}
-    rows, schema = [], None  # a row per run: collected, so that no plan holds all runs
-    for i, (d, h, w) in enumerate(runs):
+
+    def run(i: int):
+        d, h, w = runs[i]
         vec = F.concat(retrieval.boost(F.transform("t1", lambda x: x * F.lit(w)), hu_places, h), F.col("p"), F.col("t3").cast("array<double>"))
         fused = reduced[d].select(F.col("id").alias("vec_id"), "label", retrieval.normalized(vec).alias("embedding"))
         one = retrieval.summary(retrieval.evaluate(fused, fused, ks), ks).select(F.lit(i).alias("run"), F.lit(d).alias("pca_dim"), F.lit(h).alias("hu_weight"), F.lit(w).alias("tier1_weight"), "*")
-        rows, schema = [*rows, *one.collect()], one.schema
+        return one.collect(), one.schema
+
+    with ThreadPoolExecutor(4) as pool:  # a row per run: collected, so that no plan holds all runs; a run's small stages leave room for others
+        done = list(pool.map(run, range(len(runs))))
     scored.unpersist()
-    out = tiers.sparkSession.createDataFrame(rows, schema)
+    out = tiers.sparkSession.createDataFrame([r for rows, _ in done for r in rows], done[0][1])
     order = Window.orderBy(F.desc(F.round("mean_ap", 12)), "run")  # a row per run
     return out.withColumn("best", F.row_number().over(order) == 1)
 

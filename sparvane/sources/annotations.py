@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.relational import small
 
 # Files and their columns.
 SCHEMAS = {
@@ -59,10 +58,10 @@ def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 def master(t: dict[str, DataFrame]) -> DataFrame:
     """img_id, filepath, class_id, class_name, x, y, width, height, is_train."""
-    out = t["images"].join(t["labels"], "img_id").join(small(t["classes"]), "class_id").join(t["boxes"], "img_id").join(t["split"], "img_id")
+    out = t["images"].join(t["labels"], "img_id").join(t["classes"], "class_id").join(t["boxes"], "img_id").join(t["split"], "img_id")
     return out.select("img_id", "filepath", "class_id", "class_name", "x", "y", "width", "height", "is_train")
 
 
 def fit_pool(master: DataFrame, kept: DataFrame) -> DataFrame:
     """All images of the classes that `kept` holds."""
-    return master.join(small(kept.select("class_id").distinct()), "class_id", "left_semi").withColumn("filename", F.col("filepath"))
+    return master.join(kept.select("class_id").distinct(), "class_id", "left_semi").withColumn("filename", F.col("filepath"))

@@ -10,8 +10,9 @@ def test_query_equals_sql(spark, agree, name):
     agree(catalog.QUERIES[name](spark, DATA), catalog.SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL) - {"weight_grid"}))
 def test_models_give_rows(spark, name):
+    """weight_grid is in test_search.py."""
     assert catalog.QUERIES[name](spark, DATA).count() > 0
 
 

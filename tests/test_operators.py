@@ -88,13 +88,6 @@ def test_graph_rows_sum_to_one(vectors):
     assert all(r.s == pytest.approx(1) for r in g.groupBy("src").agg(F.sum("w").alias("s")).collect())
 
 
-def test_evaluation_in_expressions_and_in_blocks(vectors):
-    _, df = vectors
-    a = {r.src: r for r in retrieval.evaluate(df, df).collect()}
-    b = {r.src: r for r in retrieval.average_precision(retrieval.ranked_relevance(df, df)).collect()}
-    assert all(a[k].ap == pytest.approx(b[k].ap) and a[k].hit_5 == b[k].hit_5 and 0 < a[k].ap <= 1 for k in a)
-
-
 def test_pca_agrees_with_svd(spark, vectors):
     x, df = vectors
     model = fitting.fit_pca(df, "embedding", 3)
