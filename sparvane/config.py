@@ -42,7 +42,9 @@ class Config:
     pca_dim: int = 448
     dims: tuple[int, int, int] = (512, 256, 512)
     hu_weight: float = 1.0
-    fit_rows: int = 2800
+    full_pool: bool = True  # models and z-scores from all images of the kept classes, not from the kept images alone
+    fit_rows: int = 0  # images that tier 2 is fitted on, 0 for all
+    stat_rows: int = 2800  # images of the pool that give the z-scores, by a sample in proportion to classes, 0 for all
     speed: str = "quality"
     reuse: bool = True
     rebuild: tuple[str, ...] = ()
@@ -53,13 +55,9 @@ class Config:
 
     @staticmethod
     def from_env(env: Mapping[str, str] = os.environ, **given) -> Config:
-        found = {}
-        if "SPARVANE_ROOT" in env:
-            found["root"] = env["SPARVANE_ROOT"]
-        if "SPARVANE_SPEED" in env:
-            found["speed"] = env["SPARVANE_SPEED"].strip().lower()
-        if "SPARVANE_REUSE" in env:
-            found["reuse"] = flag(env["SPARVANE_REUSE"])
-        if "SPARVANE_FIT_ROWS" in env:
-            found["fit_rows"] = int(env["SPARVANE_FIT_ROWS"])
+        found: dict[str, object] = {}
+        kinds = {"root": str, "speed": lambda v: v.strip().lower(), "reuse": flag, "relax": flag, "full_pool": flag, "fit_rows": int, "stat_rows": int, "min_images": int, "pca_dim": int, "rebuild": lambda v: tuple(x.strip() for x in v.split(",") if x.strip())}
+        for name, read in kinds.items():
+            if f"SPARVANE_{name.upper()}" in env:
+                found[name] = read(env[f"SPARVANE_{name.upper()}"])
         return replace(Config(), **found, **given)

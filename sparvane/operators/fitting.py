@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import Speed
 from ..functions import kernels as K
 from ..ship import ship
-from .relational import hash_rank
+from .relational import sample_rows
 
 
 @dataclass(frozen=True)
@@ -93,9 +93,9 @@ def apply_pca(df: DataFrame, vec: str, model: Pca | None, out: str) -> DataFrame
 
 
 def sample_matrix(df: DataFrame, key: str, vec: str, most: int, seed: int = 42) -> np.ndarray:
-    """At most `most` vectors by hash order, on the driver."""
-    rows = df.select(key, vec).orderBy(hash_rank(key, seed), key).limit(most).toPandas()
-    return np.stack(rows[vec].to_numpy()).astype(np.float64) if len(rows) else np.empty((0, 0))
+    """At most `most` vectors by hash order, on the driver, as float32."""
+    rows = sample_rows(df.select(key, F.col(vec).cast("array<float>").alias(vec)), key, most, seed).toPandas()
+    return np.stack(rows[vec].to_numpy()).astype(np.float32) if len(rows) else np.empty((0, 0))
 
 
 def fit_codebook(points: DataFrame, vec: str, k: int, rounds: int = 20, seed: int = 42) -> np.ndarray:
@@ -202,16 +202,27 @@ def _rasters(b: pd.DataFrame):
         yield i, K.Raster(np.frombuffer(data, np.uint8).reshape(h, w, 3))
 
 
-def fit_tier2(images: DataFrame, boxes: dict, speed: Speed, dims: tuple[int, int, int] = (512, 256, 512), most: int = 2800, words: int = 256, per_image: int = 400, final_dim: int = 512) -> Tier2:
-    """Fit on at most `most` images (by hash order). An image that can't be read fails the fit.
+def _reduction(wide: DataFrame, vec: str, dim: int, rows: int, most: int) -> Pca:
+    """PCA of a block: from all rows by sums where the block is up to 4096 wide; a wider one from `most` rows by hash."""
+    if rows > most and len(wide.select(vec).first()[0]) <= 4096:
+        model = fit_pca(wide, vec, dim)
+        if model is not None:
+            return model
+    return pca_of(sample_matrix(wide, "img_id", vec, most), dim)
 
-    Banks, colour words and patches are computed on the executors; the driver sees moments,
-    centres and at most `most` reduced rows.
+
+def fit_tier2(
+    images: DataFrame, boxes: dict, speed: Speed, dims: tuple[int, int, int] = (512, 256, 512), most: int = 0, words: int = 256, per_image: int = 400, final_dim: int = 512, pca_rows: int = 1200,
+) -> Tier2:
+    """Fit on all images, or on `most` of them by hash order. An image that can't be read fails the fit.
+
+    Banks, colour words, patches, blocks and their reductions are computed on the executors. The driver sees
+    moments, centres, sums of products of reduced rows, and at most pca_rows rows of a block at a time.
     """
     from .statistics import vector_moments
 
     ship(images.sparkSession)
-    pool = images.orderBy(hash_rank("img_id", 42), "img_id").limit(most).persist()
+    pool = (sample_rows(images, "img_id", most) if most else images).persist()
     names = ("colour", "lbp1", "lbp2", "lbp3", "moments")
 
     def bank(batches):
@@ -258,12 +269,19 @@ def fit_tier2(images: DataFrame, boxes: dict, speed: Speed, dims: tuple[int, int
             yield pd.DataFrame(rows, columns=["img_id", "a", "b", "c", "d"])
 
     wide = pool.mapInPandas(blocks, "img_id int, a array<double>, b array<double>, c array<double>, d array<double>").persist()
-    reduce = tuple(pca_of(sample_matrix(wide, "img_id", c, most), dim) for c, dim in zip("abc", dims, strict=True))
-    rows = wide.orderBy("img_id").toPandas()
-    joined = np.concatenate([*(p.apply(np.stack(rows[c])) for p, c in zip(reduce, "abc", strict=True)), np.stack(rows["d"])], axis=1)
-    for df in (wide, banks, pool):
+    reduce = tuple(_reduction(wide, c, dim, n, pca_rows) for c, dim in zip("abc", dims, strict=True))
+
+    def join(batches):
+        for b in batches:
+            if len(b):
+                parts = [p.apply(np.stack(b[c].to_numpy())) for p, c in zip(reduce, "abc", strict=True)]
+                yield pd.DataFrame({"img_id": b["img_id"], "v": list(np.concatenate([*parts, np.stack(b["d"].to_numpy())], axis=1))})
+
+    joined = wide.mapInPandas(join, "img_id int, v array<double>").persist()
+    final = _reduction(joined, "v", final_dim, n, pca_rows)
+    for df in (joined, wide, banks, pool):
         df.unpersist()
-    return Tier2(region, codebook, idf, mixture, None, reduce, pca_of(joined, final_dim), speed.patch_stride, speed.word_sample)
+    return Tier2(region, codebook, idf, mixture, None, reduce, final, speed.patch_stride, speed.word_sample)
 
 
 def encode_tier2(images: DataFrame, model: Tier2) -> DataFrame:
@@ -285,7 +303,7 @@ def encode_tier2(images: DataFrame, model: Tier2) -> DataFrame:
     return images.select("img_id", "height", "width", "rgb").mapInPandas(run, "img_id int, embedding array<float>, parts array<array<float>>")
 
 
-def save_tier2(spark, model: Tier2, path: str) -> None:
+def tier2_table(spark, model: Tier2) -> DataFrame:
     """A model as a table of named arrays (name, shape, values): no code is stored and none runs on loading."""
     m = model.region
     arrays = {"colours": m.colours, **{f"patterns{i}": p for i, p in enumerate(m.patterns)}, "low": m.low, "high": m.high, "codebook": model.codebook, "idf": model.idf}
@@ -295,14 +313,22 @@ def save_tier2(spark, model: Tier2, path: str) -> None:
         arrays |= {f"{name}_mean": p.mean, f"{name}_axes": p.axes}
     arrays["settings"] = np.array([m.exact_colours, m.colour_sample, m.colour_rounds, model.stride, model.word_sample])
     rows = [(k, list(v.shape), [float(x) for x in v.ravel()]) for k, v in arrays.items()]
-    spark.createDataFrame(rows, "name string, shape array<int>, values array<double>").write.mode("overwrite").parquet(path)
+    return spark.createDataFrame(rows, "name string, shape array<int>, values array<double>")
 
 
-def load_tier2(spark, path: str) -> Tier2:
-    a = {r["name"]: np.array(r["values"]).reshape(r["shape"]) for r in spark.read.parquet(path).toLocalIterator()}
+def tier2_of(table: DataFrame) -> Tier2:
+    a = {r["name"]: np.array(r["values"]).reshape(r["shape"]) for r in table.toLocalIterator()}
     ids = lambda k: a[k].astype(np.int64)
     exact, sample, rounds, stride, words = a["settings"].astype(int).tolist()
     boxes = {k.removeprefix("box_"): tuple(v.astype(int).tolist()) for k, v in a.items() if k.startswith("box_")}
     region = K.RegionModel(ids("colours"), tuple(ids(f"patterns{i}") for i in range(3)), a["low"], a["high"], boxes, bool(exact), sample, rounds)
     pca = lambda k: Pca(a[f"{k}_mean"], a[f"{k}_axes"])
     return Tier2(region, a["codebook"], a["idf"], K.Mixture(a["weights"], a["means"], a["variances"]), None, tuple(pca(f"pca{i}") for i in range(3)), pca("final"), stride, words)
+
+
+def save_tier2(spark, model: Tier2, path: str) -> None:
+    tier2_table(spark, model).write.mode("overwrite").parquet(path)
+
+
+def load_tier2(spark, path: str) -> Tier2:
+    return tier2_of(spark.read.parquet(path))

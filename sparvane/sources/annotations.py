@@ -40,6 +40,17 @@ def scan(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("sep", " ").option("mode", "PERMISSIVE").csv(path)
 
 
+def state(spark: SparkSession, root: str) -> tuple:
+    """Path, length and time of change of each annotation file that is there: what a build's first step depends on."""
+    root, jvm, out = root.rstrip("/"), spark.sparkContext._jvm, []
+    for path in [*(f"{root}/{file}" for file, _ in SCHEMAS.values()), f"{root}/attributes/attributes.txt", f"{root}/../attributes.txt"]:
+        if exists(spark, path):
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            status = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p)
+            out.append((path, status.getLen(), status.getModificationTime()))
+    return tuple(out)
+
+
 def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """All tables, with the joined `master`. The attribute names may lie in three places; response times are not read."""
     root = root.rstrip("/")

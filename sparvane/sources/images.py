@@ -55,6 +55,18 @@ def cropped(images: DataFrame, side: int = K.SIDE) -> DataFrame:
     return images.select("img_id", "height", "width", "rgb", "x", "y", "w", "h", "hflip").mapInPandas(run, FLAT)
 
 
+def whole(images: DataFrame, side: int = K.SIDE) -> DataFrame:
+    """(img_id, height, width, rgb) of whole images, resampled to a square."""
+
+    def run(batches):
+        for b in batches:
+            out = [(r.img_id, side, side, K.resize(np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3), side, side).tobytes()) for r in b.itertuples(index=False)]
+            yield pd.DataFrame(out, columns=["img_id", "height", "width", "rgb"])
+
+    ship(images.sparkSession)
+    return images.select("img_id", "height", "width", "rgb").mapInPandas(run, FLAT)
+
+
 def extract(images: DataFrame, kernel: Callable[[K.Raster], np.ndarray], name: str = "vec") -> DataFrame:
     """(img_id, name): a vector for each image. An image that a kernel can't take gives no row and no failure."""
 

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -70,7 +72,7 @@ def test_missing_file_is_named(spark, tmp_path):
 
 
 def test_build_and_search(spark, root, photos, tmp_path):
-    config = Config(root=root, min_images=3, dims=(6, 5, 6), fit_rows=12, speed="fast")
+    config = Config(root=root, min_images=3, dims=(6, 5, 6), speed="fast", stat_rows=8)
     out = build.build(spark, config, photos, str(tmp_path))
     assert out["metadata"].count() == 11 == out["tier1"].count() == out["tier3"].count() == out["tier2"].count() == out["fused"].count()
     row = out["tier2"].first()
@@ -78,8 +80,42 @@ def test_build_and_search(spark, root, photos, tmp_path):
     hits = build.search(out["store"], k=3).collect()
     assert [h["rank"] for h in hits] == [1, 2, 3] and hits[0].id == 1
     assert out["prototypes"].count() == 2 and "species" in build.report(out["metadata"])
-    again = build.Steps(spark, str(tmp_path))("tier1", root, lambda: pytest.fail("not reused"))
-    assert again.count() == 11
+    # the pool holds every photo of the kept classes, one more than is kept; statistics come from about 8 of them
+    found = {p.name.rsplit("-", 1)[0]: p for p in tmp_path.iterdir()}
+    sizes = {n: spark.read.parquet(str(p)).count() for n, p in found.items()}
+    assert sizes["pool"] == 12 and sizes["crops"] == 11 and 7 <= sizes["pool-sample"] <= 8 and sizes["pool-tier2"] == sizes["pool-sample"]
+    # the same again makes nothing; other settings make only what depends on them
+    made = []
+    real = build.Steps.__call__
+
+    def watched(self, *a):
+        out = real(self, *a)
+        made.extend(self.made)
+        self.made.clear()
+        return out
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(build.Steps, "__call__", watched)
+        build.build(spark, config, photos, str(tmp_path))
+        assert made == []
+        build.build(spark, replace(config, weights=(1.0, 1.0, 1.0)), photos, str(tmp_path))
+        assert made == ["fused"]
+        made.clear()
+        build.build(spark, replace(config, stat_rows=0), photos, str(tmp_path))
+        assert made == ["pool-sample", "pool-tier1", "pool-tier2", "pool-tier3", "fused"]
+        made.clear()
+        fewer = build.build(spark, config, photos, str(tmp_path), ["00001_p1.png"])
+        assert "metadata" in made and "tier2" in made and fewer["metadata"].count() == 10
+        made.clear()
+        build.build(spark, replace(config, rebuild=("tier3",)), photos, str(tmp_path))
+        assert made == ["tier3"]
+
+
+def test_zscores_come_from_the_pool(spark):
+    frame = lambda rows: spark.createDataFrame([(i, [float(x)]) for i, x in enumerate(rows)], "img_id int, vec array<double>")
+    out = build.fused({"t1": frame([1, 2])}, {"t1": 1.0}, pool={"t1": frame([0, 10])}).orderBy("img_id").collect()
+    assert [r.vec[0] for r in out] == pytest.approx([-0.8, -0.6])
+    assert [r.vec[0] for r in build.fused({"t1": frame([1, 2])}, {"t1": 1.0}).orderBy("img_id").collect()] == pytest.approx([-1, 1])
 
 
 def test_bad_image_is_skipped(spark):
@@ -118,5 +154,5 @@ def test_vector_stream(spark, tmp_path):
 
 
 def test_config():
-    c = Config.from_env({"SPARVANE_SPEED": "odd", "SPARVANE_REUSE": "0", "SPARVANE_FIT_ROWS": "7"})
-    assert c.profile == SPEEDS["balanced"] and not c.reuse and c.fit_rows == 7
+    c = Config.from_env({"SPARVANE_SPEED": "odd", "SPARVANE_REUSE": "0", "SPARVANE_FIT_ROWS": "7", "SPARVANE_RELAX": "on", "SPARVANE_REBUILD": "tier1, fused"})
+    assert c.profile == SPEEDS["balanced"] and not c.reuse and c.fit_rows == 7 and c.relax and c.rebuild == ("tier1", "fused")
