@@ -32,6 +32,7 @@ SUBSTITUTE, DROP_LEET, DROP_SIGN, DROP_REPEAT, BREAK, DROP_LAST, WIDE = 1.5, 9.0
 DOUBLED, DROP_DOUBLE = 6.0, 1.5
 _EDGE = ".,;:?()[]{}<>\"'`«»“”„‘’…&%#*^=~/\\-_–—¿¡"
 _DOUBLE = re.compile(r"([^\W_@$!|+])\1|([@$!|+])\2")
+_TRIPLE = re.compile(r"(.)\1\1")
 _NUMBER = re.compile(r"[+$€£¥¢]*[0-9][0-9.,:;/()%*-]*[+$€£¥¢!]*")
 _ONE, _GAP = r"(?:[^\W_]|[@$!|+€£¥¢])", re.compile(r"[\s._*-]+")
 #: three or more single characters parted by white space or signs, in punctuation or not
@@ -53,8 +54,11 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 
 
+_CLASS_BYTES = _CLASS.tobytes()
+
+
 def _class(ch: str) -> int:
-    return int(_CLASS[ord(ch)])
+    return _CLASS_BYTES[ord(ch)]
 
 
 def count_trigrams(docs: DataFrame) -> np.ndarray:
@@ -140,12 +144,26 @@ class Decoder:
             out.append(x)
         return total, "".join(reversed(out))
 
+    def line_cost(self, word: str) -> float:
+        """The model's cost of a word as it stands, which is `best` of a lattice without choices."""
+        costs, at, total = self.costs, 0, 0.0
+        for c in map(_class, word):
+            total += costs[at + c]
+            at = (at // CLASSES % CLASSES * CLASSES + c) * CLASSES
+        return total + costs[at]
+
     def token(self, token: str) -> str:
         """The reading of a lower-case token without white space."""
         core = token.strip(_EDGE)
         if core.isalpha():
-            if not _DOUBLE.search(core):
+            doubles = _DOUBLE.findall(core)
+            if not doubles:
                 return core
+            if len(doubles) == 1 and not _TRIPLE.search(core) and all(map(_class, core)):
+                # one choice in all: two readings, each without a lattice
+                at = _DOUBLE.search(core).start()
+                undone = core[:at] + core[at + 1 :]
+                return undone if self.line_cost(undone) + DROP_DOUBLE + DOUBLED < self.line_cost(core) else core
         elif sum(map(str.isalpha, core)) < 2:
             signs = LEET.keys() & set(core)
             if not signs or len(set(core)) < 2 or _NUMBER.fullmatch(core):

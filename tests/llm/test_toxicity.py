@@ -94,6 +94,23 @@ def test_viterbi_against_all_readings(rude):
             assert cost == pytest.approx(min(every.values())) and every[reading] == pytest.approx(cost)
 
 
+def test_one_double_is_read_as_by_the_lattice(rude):
+    rng = random.Random(6)
+    undone = 0
+    for _ in range(3000):
+        word = "".join(rng.choice("idotshaeeé") for _ in range(rng.randint(1, 8))) if rng.random() < 0.5 else rng.choice(["idiot", "moron", "stupid", "clown", "shit"])
+        at = rng.randrange(len(word))
+        word = word[:at] + word[at] + word[at:]
+        cost, reading = rude.best(word)
+        other, short = rude.best(word, doubled=True)
+        want = short if other + toxicity.DOUBLED < cost else reading
+        assert rude.token(word) == want
+        undone += want != word
+        if not toxicity._TRIPLE.search(word):
+            assert rude.line_cost(word) == pytest.approx(cost)
+    assert undone > 100
+
+
 def test_scores_against_plain_lookup(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     model = toxicity.train(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
