@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import rasters, relational, retrieval, statistics, storage
+from .plans import postures, rasters, relational, retrieval, statistics, storage
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = relational.QUERIES | statistics.QUERIES | retrieval.QUERIES | rasters.QUERIES | storage.QUERIES
-SQL: dict[str, str] = relational.SQL | statistics.SQL | retrieval.SQL | rasters.SQL | storage.SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = relational.QUERIES | statistics.QUERIES | retrieval.QUERIES | rasters.QUERIES | postures.QUERIES | storage.QUERIES
+SQL: dict[str, str] = relational.SQL | statistics.SQL | retrieval.SQL | rasters.SQL | postures.SQL | storage.SQL

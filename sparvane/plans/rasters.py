@@ -169,6 +169,12 @@ def raster_crop(spark, sf_dir):
     return _vectors(images.cropped(own, 8), lambda r: r.rgb.ravel())
 
 
+@query(f"WITH {_PX}, c AS (SELECT img_id, y - 2 AS y, x, unnest([0, 1, 2]) AS ch, unnest([r, g, b]) AS v FROM px WHERE x < 5 AND y >= 2) SELECT img_id, CAST((y * 5 + x) * 3 + ch AS INTEGER) AS pos, v::DOUBLE AS x FROM c WHERE v <> 0")
+def raster_part(spark, sf_dir):
+    """A part's box, cut to whole numbers inside the image."""
+    return _vectors(rasters(spark, sf_dir), lambda r: r.crop((-3.4, 2.7, 5.9, 99)).rgb.ravel())
+
+
 def _ratio(test: str) -> str:
     return f"avg(CASE WHEN {test} THEN 1.0::DOUBLE ELSE 0 END)"
 

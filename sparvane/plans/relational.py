@@ -25,15 +25,6 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("""SELECT o_orderkey, l_linenumber, c_custkey, n_name, r_name, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
-def master_join(spark, sf_dir):
-    """Five-way inner equi-join."""
-    li, o, c, n, r = (_t(spark, sf_dir, x) for x in ("lineitem", "orders", "customer", "nation", "region"))
-    out = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
-    return out.select("o_orderkey", "l_linenumber", "c_custkey", "n_name", "r_name", "l_quantity")
-
-
 @query("""SELECT l_orderkey, l_linenumber, l_extendedprice / nullif(l_quantity, 0) AS bbox_ratio, l_extendedprice * l_quantity AS bbox_area FROM lineitem""")
 def geometry_ratio_area(spark, sf_dir):
     """Ratio and area; a zero denominator gives null."""
@@ -89,24 +80,6 @@ def sentinel_landmarks(spark, sf_dir):
     return o.join(p, o.o_orderkey == p.img_id, "left").select("o_orderkey", dx.alias("dx"), leg.alias("leg_y"))
 
 
-@query(f"""SELECT o_orderkey FROM orders JOIN ({_PARTS}) ON o_orderkey = img_id
-WHERE left_eye <> right_eye AND beak AND o_orderstatus <> 'P' AND o_totalprice <= 250000""")
-def xor_predicate(spark, sf_dir):
-    """A conjunction with an exclusive or."""
-    o, p = _t(spark, sf_dir, "orders"), _parts(spark, sf_dir)
-    test = (F.col("left_eye") != F.col("right_eye")) & F.col("beak") & (F.col("o_orderstatus") != "P") & (F.col("o_totalprice") <= 250000)
-    return o.join(p, o.o_orderkey == p.img_id).filter(test).select("o_orderkey")
-
-
-@query("""SELECT p_partkey, CASE WHEN (SELECT count(*) FROM part WHERE p_type ILIKE '%brass%') > 0 THEN p_type ILIKE '%brass%' ELSE p_size <= 20 END AS likely FROM part""")
-def policy_switch(spark, sf_dir):
-    """P5: the predicate that applies depends on whether any row bears the signal."""
-    part = _t(spark, sf_dir, "part")
-    signal = T.contains_fold(F.col("p_type"), "brass")
-    test = (F.col("p_size") <= 20) if part.filter(signal).isEmpty() else signal
-    return part.select("p_partkey", test.alias("likely"))
-
-
 @query("""SELECT c_custkey, c_name FROM customer WHERE c_mktsegment NOT IN (SELECT c_mktsegment FROM customer WHERE c_custkey <= 1)""")
 def anti_blocklist(spark, sf_dir):
     """Exclusion by a lookup table."""
@@ -139,7 +112,7 @@ def key_intersection(spark, sf_dir):
 @query("""SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders""")
 def stale_difference(spark, sf_dir):
     """What exists and is not expected."""
-    return _t(spark, sf_dir, "customer").select("c_custkey").subtract(_t(spark, sf_dir, "orders").select("o_custkey"))
+    return R.exclude(_t(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", _t(spark, sf_dir, "orders").select("o_custkey"))
 
 
 @query("""SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS n FROM (SELECT o_orderpriority FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderpriority FROM orders WHERE o_orderstatus = 'O') GROUP BY 1""")
@@ -155,33 +128,6 @@ def majority_flag(spark, sf_dir):
     return R.majority(_t(spark, sf_dir, "customer"), "c_nationkey", F.col("c_acctbal") > 4500)
 
 
-@query("""SELECT c.c_custkey, coalesce(CASE WHEN c_acctbal > 9000 THEN true WHEN c_acctbal < 0 THEN false END, m, false) AS flip FROM customer c LEFT JOIN
-(SELECT c_nationkey, avg(CASE WHEN c_acctbal > 4500 THEN 1.0 ELSE 0.0 END) >= 0.5 AS m FROM customer GROUP BY 1) USING (c_nationkey)""")
-def flip_decision(spark, sf_dir):
-    """The row's own evidence, else its class's majority, else false."""
-    c = _t(spark, sf_dir, "customer")
-    m = R.majority(c, "c_nationkey", F.col("c_acctbal") > 4500, "m")
-    own = F.when(F.col("c_acctbal") > 9000, True).when(F.col("c_acctbal") < 0, False)
-    return c.join(m, "c_nationkey", "left").select("c_custkey", F.coalesce(own, F.col("m"), F.lit(False)).alias("flip"))
-
-
-@query("""SELECT l_orderkey, l_linenumber, CAST(greatest(0, least(223, trunc(l_quantity * 7 - 20))) AS INTEGER) AS x0,
-  CAST(greatest(greatest(0, least(223, trunc(l_quantity * 7 - 20))) + 1, least(224, trunc(l_extendedprice / 100))) AS INTEGER) AS x1 FROM lineitem""")
-def box_clip(spark, sf_dir):
-    """Integer box ends inside 0..224, one wide at least."""
-    x0 = F.greatest(F.lit(0), F.least(F.lit(223), (F.col("l_quantity") * 7 - 20).cast("int")))
-    x1 = F.greatest(x0 + 1, F.least(F.lit(224), (F.col("l_extendedprice") / 100).cast("int")))
-    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", x0.alias("x0"), x1.alias("x1"))
-
-
-@query("""SELECT l_orderkey, l_linenumber, round((l_extendedprice - o_totalprice * 0.1) / o_totalprice * 224, 6) AS px FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_totalprice > 1e-6""")
-def crop_coordinates(spark, sf_dir):
-    """Points in the coordinates of their box."""
-    li, o = _t(spark, sf_dir, "lineitem"), _t(spark, sf_dir, "orders").filter("o_totalprice > 1e-6")
-    px = (F.col("l_extendedprice") - F.col("o_totalprice") * 0.1) / F.col("o_totalprice") * 224
-    return li.join(o, li.l_orderkey == o.o_orderkey).select("l_orderkey", "l_linenumber", F.round(px, 6).alias("px"))
-
-
 @query("""SELECT l_orderkey, l_linenumber, CAST(l_discount >= 0.05 AS DOUBLE) AS present, round_even(l_tax * l_quantity, 4) AS r4, 224 AS target_width FROM lineitem""")
 def binarise_round_const(spark, sf_dir):
     """Threshold, rounding half to even at four digits, a constant column."""

@@ -152,13 +152,23 @@ def minmax_rerank(spark, sf_dir):
     return V.rerank(_candidates(e, _vector(e, 0)), adaptive=False).select("id", F.round("fused", 6).alias("fused"), "rank")
 
 
-@query(f"""WITH {_CAND}, f AS (SELECT id, t2, CASE WHEN label = (SELECT label FROM embeddings WHERE vec_id = 0) THEN 0.25 * n1 + 0.62 * n2 + 0.13 * n3 ELSE 0.15 * n1 + 0.70 * n2 + 0.15 * n3 END AS fused FROM s)
+_PROTO_TOP = f"""pt AS (SELECT label, list_dot_product(p, q) / ((sqrt(list_dot_product(p, p)) + 1e-8) * (sqrt(list_dot_product(q, q)) + 1e-8)) AS s FROM (SELECT label, list_transform(p, lambda x: x / (sqrt(list_dot_product(p, p)) + 1e-8)) AS p FROM ({_PROTO})), {_Q}),
+best AS (SELECT label AS bl, s AS bs, s - lead(s) OVER (ORDER BY s DESC, label) AS bm FROM pt ORDER BY s DESC, label LIMIT 1),
+sure AS (SELECT s < 0.80 OR s - coalesce(n, 0) < 0.03 AS low FROM (SELECT s, rank, lead(s) OVER (ORDER BY rank) AS n FROM ({_TOP}) WHERE rank <= 20) WHERE rank = 1)"""
+
+
+@query(f"""WITH {_CAND}, {_PROTO_TOP}, f AS (SELECT id, t2, CASE WHEN low THEN n2 WHEN bs >= 0.70 AND bm >= 0.02 AND label = bl THEN 0.25 * n1 + 0.62 * n2 + 0.13 * n3 ELSE 0.15 * n1 + 0.70 * n2 + 0.15 * n3 END AS fused FROM s, best, sure)
 SELECT id, round(fused, 6) AS fused, row_number() OVER (ORDER BY fused DESC, t2 DESC, id)::INTEGER AS rank FROM f""")
 def adaptive_rerank(spark, sf_dir):
-    """Weights that lean on a convincing class."""
+    """Weights that follow the first hits' confidence and the best prototype's score and lead."""
     e = _e(spark, sf_dir)
-    row = e.filter("vec_id = 0").select("label").first()
-    out = V.rerank(_candidates(e, _vector(e, 0)), V.rerank_weights((0.15, 0.70, 0.15)), top_label=row[0] if row else None, top_score=0.9, top_margin=0.1)
+    q = _vector(e, 0)
+    sure = V.confidence(V.top_k(e, q, 20)).first()
+    best = V.prototype_scores(V.prototypes(e), q).filter("rank = 1").first()
+    out = V.rerank(
+        _candidates(e, q), V.rerank_weights((0.15, 0.70, 0.15)), low=bool(sure and sure.low), top_label=best.label if best else None,
+        top_score=best.score if best else 0.0, top_margin=(best.margin or 0.0) if best else 0.0,
+    )
     return out.select("id", F.round("fused", 6).alias("fused"), "rank")
 
 

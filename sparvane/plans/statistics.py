@@ -167,10 +167,3 @@ def document_frequency(spark, sf_dir):
     """A17."""
     w = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("word"))
     return S.inverse_document_frequency(w, "l_orderkey", "word").withColumn("idf", F.round("idf", 8))
-
-
-@query("""SELECT l_returnflag, round(avg(l_quantity) - 1.8 * stddev_pop(l_quantity), 6) AS low, round(avg(l_quantity) + 1.8 * stddev_pop(l_quantity), 6) AS high FROM lineitem GROUP BY 1""")
-def spread_boxes(spark, sf_dir):
-    """Mean +- 1.8 population deviations."""
-    g = _t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.avg("l_quantity").alias("m"), F.stddev_pop("l_quantity").alias("s"))
-    return g.select("l_returnflag", F.round(F.col("m") - 1.8 * F.col("s"), 6).alias("low"), F.round(F.col("m") + 1.8 * F.col("s"), 6).alias("high"))
