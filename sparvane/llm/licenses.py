@@ -34,10 +34,15 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 # Base phrases and their labels.
 PHRASES: tuple[tuple[str, str], ...] = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def _lower(text: Column) -> Column:
+    """A-Z in lower case. Other letters may change as well, which phrases and templates of ASCII words cannot
+    tell, so long as none becomes ASCII: the Kelvin sign and the dotted I, the two that would, give way first."""
+    return F.lower(F.replace(F.replace(text, F.lit("\u212a"), F.lit("\u0138")), F.lit("\u0130"), F.lit("\u0131")))
+
+
 def gram_hash(words: Column, at: Column, k: int) -> Column:
     return F.xxhash64(*[F.get(words, at + i) for i in range(k)])
 
@@ -76,7 +81,7 @@ def scan(docs: DataFrame, k: int = 3, coverage: float = 0.8, gap: int = 2, templ
     spark = docs.sparkSession
     grams = template_grams(spark, k, templates)
     known = sorted({r[0] for r in grams.select("hash").collect()})
-    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), UPPER, UPPER.lower()), F.lit(WORD), F.lit(0)).alias("words"))
+    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_extract_all(_lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0)).alias("words"))
     hashes = F.when(F.size("words") >= k, F.transform(F.sequence(F.lit(0), F.size("words") - k), lambda i: gram_hash(F.col("words"), i, k)))
     hashed = words.select("doc_id", "words", hashes.alias("hashes"))
     voting = F.arrays_overlap("hashes", F.array(*map(F.lit, known)))
