@@ -1,4 +1,4 @@
-"""New images as a stream: descriptors for each file as it arrives."""
+"""New vectors as a stream."""
 
 from __future__ import annotations
 
