@@ -175,6 +175,46 @@ def raster_part(spark, sf_dir):
     return _vectors(rasters(spark, sf_dir), lambda r: r.crop((-3.4, 2.7, 5.9, 99)).rgb.ravel())
 
 
+@query(f"WITH {_PX}, k AS (SELECT img_id, list(struct_pack(r := r, g := g, b := b) ORDER BY y, x) AS l FROM px GROUP BY img_id), c AS (SELECT img_id, i, l[CAST(trunc(i * 63 / 11.0::DOUBLE) AS INTEGER) + 1] AS p FROM k, range(0, 12) t(i)), o AS (SELECT img_id, CAST(i * 3 + unnest([0, 1, 2]) AS INTEGER) AS pos, unnest([p.r, p.g, p.b])::DOUBLE AS x FROM c) SELECT * FROM o WHERE x <> 0")
+def raster_spread(spark, sf_dir):
+    """Rows at even distances, first and last among them."""
+    return _vectors(rasters(spark, sf_dir), lambda r: K.spread_rows(r.rgb.reshape(-1, 3), 12).ravel())
+
+
+# offsets of eight points on a circle of radius 1, from the right and up, as (down, right)
+_CIRCLE = ((0.0, 1.0), (-0.70711, 0.70711), (-1.0, 0.0), (-0.70711, -0.70711), (0.0, -1.0), (0.70711, -0.70711), (1.0, 0.0), (0.70711, 0.70711))
+
+
+def _at(dy: int, dx: int) -> str:
+    """A neighbour's grey level, 0 outside the image."""
+    return f"CASE WHEN y + {dy} BETWEEN 0 AND 7 AND x + {dx} BETWEEN 0 AND 7 THEN l[(y + {dy}) * 8 + x + {dx} + 1] ELSE 0 END"
+
+
+def _bit(dy: float, dx: float) -> str:
+    fy, fx = int(np.floor(dy)), int(np.floor(dx))
+    ty, tx = f"{dy - fy!r}::DOUBLE", f"{dx - fx!r}::DOUBLE"
+    row = lambda i: f"((1 - {tx}) * ({_at(fy + i, fx)}) + {tx} * ({_at(fy + i, fx + 1)}))"
+    return f"CASE WHEN (1 - {ty}) * {row(0)} + {ty} * {row(1)} - k >= 0 THEN 1 ELSE 0 END"
+
+
+_UNIFORM = f"""li AS (SELECT img_id, list(k ORDER BY y, x) AS l FROM lu GROUP BY img_id), bi AS (SELECT img_id, [{", ".join(_bit(*p) for p in _CIRCLE)}] AS b FROM lu JOIN li USING (img_id)),
+co AS (SELECT img_id, CASE WHEN list_sum(list_transform(range(1, 9), lambda i: abs(b[i] - b[i % 8 + 1]))) <= 2 THEN list_sum(b) ELSE 9 END AS code FROM bi),
+sc AS (SELECT img_id, CAST(floor(least(255, code / (max(code) OVER (PARTITION BY img_id) + 1e-8::DOUBLE) * 255)) AS INTEGER) AS pos FROM co)"""
+
+
+@query(f"WITH {_PX}, {_UNIFORM} {_rows('SELECT img_id, pos, count(*) / (64 + 1e-8::DOUBLE) AS x FROM sc GROUP BY ALL')}")
+def raster_uniform_lbp(spark, sf_dir):
+    """Rotation-invariant uniform patterns of eight interpolated points on a circle."""
+    return _vectors(rasters(spark, sf_dir), lambda r: K.uniform_lbp(r.gray, 1))
+
+
+@query(f"""WITH {_PX}, t AS (SELECT DISTINCT img_id, k AS t FROM lu), c AS (SELECT t.img_id, t, sum(CASE WHEN k <= t THEN 1 ELSE 0 END)::DOUBLE AS n1, sum(CASE WHEN k > t THEN 1 ELSE 0 END)::DOUBLE AS n2, sum(CASE WHEN k <= t THEN k ELSE 0 END)::DOUBLE AS s1, sum(CASE WHEN k > t THEN k ELSE 0 END)::DOUBLE AS s2 FROM t JOIN lu ON lu.img_id = t.img_id GROUP BY ALL),
+r AS (SELECT img_id, t, row_number() OVER (PARTITION BY img_id ORDER BY n1 * n2 * (s1 / n1 - s2 / n2) ** 2 DESC, t) AS r FROM c WHERE n2 > 0) SELECT img_id, 0::INTEGER AS pos, t::DOUBLE AS x FROM r WHERE r = 1 AND t <> 0""")
+def raster_otsu(spark, sf_dir):
+    """The grey level that parts two classes best."""
+    return _vectors(rasters(spark, sf_dir), lambda r: np.array([K.otsu(r.gray)]))
+
+
 def _ratio(test: str) -> str:
     return f"avg(CASE WHEN {test} THEN 1.0::DOUBLE ELSE 0 END)"
 
