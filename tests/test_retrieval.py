@@ -50,6 +50,46 @@ def test_evaluate_against_brute_force(spark, corpus, monkeypatch, size):
     assert [(r.src, r.hit_1, r.ap) for r in alone] == [(3, 0, 0.0)]
 
 
+@pytest.mark.parametrize("size", [64 << 20, 3000])
+def test_evaluate_ranks_ties_by_id(spark, monkeypatch, size):
+    """Many equal scores of rows of several classes, classes without a name, scores too large for quarters."""
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", size)
+    rng = np.random.default_rng(8)
+    x = rng.choice([-1.0, 0.0, 0.5, 1e8], (180, 3), p=[0.4, 0.29, 0.3, 0.01])
+    label = [None if i % 41 == 0 else "abc"[i % 3] for i in range(180)]
+    df = spark.createDataFrame([(i * 7 % 181, x[i].tolist(), label[i]) for i in range(180)], "vec_id long, embedding array<double>, label string").repartition(5)
+    ids = np.arange(180) * 7 % 181
+    s = x @ x.T
+    np.fill_diagonal(s, -1)
+    got = {r.src: r for r in retrieval.evaluate(df, df, (1, 10)).collect()}
+    assert set(got) == set(ids.tolist())
+    for i in range(180):
+        order = np.lexsort((ids, -s[i]))
+        at = np.array([n for n, j in enumerate(order) if label[i] is not None and label[j] == label[i]])
+        r = got[int(ids[i])]
+        want = (int((at < 1).any()), int((at < 10).any()), np.mean(np.arange(1, len(at) + 1) / (at + 1)) if len(at) else 0.0)
+        assert (r.hit_1, r.hit_10) == want[:2] and r.ap == pytest.approx(want[2])
+
+
+@pytest.mark.parametrize("size", [64 << 20, 3000])
+def test_evaluate_makes_no_row_for_each_pair(spark, monkeypatch, size):
+    """300 rows of one class: what the tasks that rank leave grows with queries and blocks, not with pairs."""
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", size)
+    df = spark.range(300).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id"), F.lit(0.5)).alias("embedding"), F.lit(1).alias("label"))
+    out = retrieval.evaluate(df, df, (1,))
+    assert [r.ap for r in out.collect()] == [1.0] * 300
+    plan, written = out._jdf.queryExecution().executedPlan().finalPhysicalPlan(), []
+    nodes = [plan]
+    while nodes:
+        node = nodes.pop()
+        if "InArrow" in node.nodeName() or "InPandas" in node.nodeName():
+            written.append(node.metrics().apply("pythonNumRowsReceived").value())
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName().startswith(("ShuffleQueryStage", "BroadcastQueryStage")):
+            nodes.append(node.plan())
+    assert written and max(written) <= 300 * 9
+
+
 def test_quantiles_against_numpy(spark):
     rng = random.Random(2)
     rows = [(rng.choice([rng.gauss(0, 9), 4.0, None]), float(i % 3), 5.0, None) for i in range(3000)]
