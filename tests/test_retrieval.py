@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparvane import catalog
 from sparvane.operators import relational, retrieval, statistics
 
 
@@ -71,15 +72,9 @@ def test_evaluate_ranks_ties_by_id(spark, monkeypatch, size):
         assert (r.hit_1, r.hit_10) == want[:2] and r.ap == pytest.approx(want[2])
 
 
-@pytest.mark.parametrize("size", [64 << 20, 3000])
-def test_evaluate_makes_no_row_for_each_pair(spark, monkeypatch, size):
-    """300 rows of one class: what the tasks that rank leave grows with queries and blocks, not with pairs."""
-    monkeypatch.setattr(retrieval, "BLOCK_BYTES", size)
-    df = spark.range(300).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id"), F.lit(0.5)).alias("embedding"), F.lit(1).alias("label"))
-    out = retrieval.evaluate(df, df, (1,))
-    assert [r.ap for r in out.collect()] == [1.0] * 300
-    plan, written = out._jdf.queryExecution().executedPlan().finalPhysicalPlan(), []
-    nodes = [plan]
+def python_rows(df):
+    """How many rows each step in Python left in the plan that ran."""
+    written, nodes = [], [df._jdf.queryExecution().executedPlan().finalPhysicalPlan()]
     while nodes:
         node = nodes.pop()
         if "InArrow" in node.nodeName() or "InPandas" in node.nodeName():
@@ -87,9 +82,26 @@ def test_evaluate_makes_no_row_for_each_pair(spark, monkeypatch, size):
         nodes += [node.children().apply(i) for i in range(node.children().size())]
         if node.nodeName().startswith(("ShuffleQueryStage", "BroadcastQueryStage")):
             nodes.append(node.plan())
+    return written
+
+
+@pytest.mark.parametrize("size", [64 << 20, 3000])
+def test_evaluate_makes_no_row_for_each_pair(spark, monkeypatch, size):
+    """300 rows of one class: what the tasks that rank leave grows with queries and blocks, not with pairs."""
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", size)
+    df = spark.range(300).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id"), F.lit(0.5)).alias("embedding"), F.lit(1).alias("label"))
+    out = retrieval.evaluate(df, df, (1,))
+    assert [r.ap for r in out.collect()] == [1.0] * 300
+    written = python_rows(out)
     assert written and max(written) <= 300 * 9
 
 
+def test_recall_map_leaves_a_row_a_query(spark):
+    out = catalog.QUERIES["recall_map"](spark, "/root/testdata/sf0.001")
+    out.collect()
+    assert python_rows(out) == [500]
+
+
 def test_quantiles_against_numpy(spark):
     rng = random.Random(2)
     rows = [(rng.choice([rng.gauss(0, 9), 4.0, None]), float(i % 3), 5.0, None) for i in range(3000)]
