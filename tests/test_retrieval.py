@@ -102,6 +102,13 @@ def test_recall_map_leaves_a_row_a_query(spark):
     assert python_rows(out) == [500]
 
 
+def test_a_length_is_made_once_a_vector(spark):
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<double>")
+    out = df.select(retrieval.normalized(F.transform("v", lambda x: x * 2.0)).alias("v"))
+    assert [r.v and pytest.approx(r.v) for r in out.collect()] == [[0.6, 0.8], [0.0, 0.0], None]
+    assert "/ (sqrt" not in out._jdf.queryExecution().optimizedPlan().toString().lower()  # inside the division it is made for each place
+
+
 def test_quantiles_against_numpy(spark):
     rng = random.Random(2)
     rows = [(rng.choice([rng.gauss(0, 9), 4.0, None]), float(i % 3), 5.0, None) for i in range(3000)]
