@@ -1,10 +1,12 @@
 import os
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from sparvane import shared
+from sparvane.ship import ship
 
 
 def test_tables_go_with_their_scope(spark):
@@ -33,3 +35,12 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared.shared_path(Session(), "x")
+
+
+def test_threads_ship_the_package_once(spark, monkeypatch):
+    ship(spark)
+    sent = []
+    monkeypatch.setattr(spark.sparkContext, "addPyFile", sent.append)
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda _: ship(spark), range(8)))
+    assert sent == []
