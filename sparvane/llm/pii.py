@@ -161,6 +161,12 @@ def _by_word(edges: DataFrame, known: DataFrame, sure: float, support: int, unkn
     return each.filter(F.col("s.seen") >= support).select("word", "s.kind", p.alias("p")).filter(F.col("p") >= sure)
 
 
+def _equal(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two tables hold the same rows."""
+    rows = a.withColumn("_of", F.lit(1)).unionByName(b.withColumn("_of", F.lit(-1)))
+    return rows.groupBy(*a.columns).agg(F.sum("_of").alias("_of")).filter("_of <> 0").isEmpty()
+
+
 def bootstrap(candidates: DataFrame, base: DataFrame, rounds: int = 3, sure: float = 0.8, support: int = 3, unknown: float = 0.1) -> DataFrame:
     """(surface, kind, confidence) of instances that are no base seeds but that sure patterns vouch for after some rounds.
 
@@ -198,7 +204,9 @@ def bootstrap(candidates: DataFrame, base: DataFrame, rounds: int = 3, sure: flo
         scored = scored.unionByName(wide)
         best = scored.filter(F.col("confidence") >= sure).groupBy("surface").agg(F.max(F.struct("confidence", "kind")).alias("b")).select("surface", "b.kind", "b.confidence")
         best = materialize(best, "pii-best")
-        known = materialize(seeds.unionByName(best.join(seeds, "surface", "left_anti")), "pii-known")
+        before, known = known, materialize(seeds.unionByName(best.join(seeds, "surface", "left_anti")), "pii-known")
+        if _equal(before, known):  # further rounds would give the same
+            break
     return best.join(rules, "surface", "left_anti")
 
 

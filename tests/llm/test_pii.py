@@ -241,3 +241,17 @@ def test_edges(spark, edge_docs, no_docs):
     assert got == [("1", 1, 0, "email:5:10", 1), ("1", 1, 0, "email:5:10", 1), ("2", 0, 0, "", 0), ("3", 0, 0, "", 0), ("4", 0, 1, "ip:100001:100008", 1), ("5", 0, 0, "", 0), ("None", 1, 0, "email:5:10", 1)]
     assert {(r.n_spans, r.spans) for r in pii.digests(pii.find(edge_docs)).collect()} == {(0, "")} and pii.find(edge_docs).count() == edge_docs.count()
     assert pii.find(no_docs).count() == 0
+
+
+def test_rounds_end_when_nothing_new_is_known(spark, monkeypatch):
+    """What a round knows decides the next one, so rounds after one that learnt nothing are not run; one that learns is followed by another."""
+    made, plain = [], pii.materialize
+    monkeypatch.setattr(pii, "materialize", lambda df, name: made.append(name) or plain(df, name))
+    rng = random.Random(5)
+    texts = [f"pay card {card(rng, True)} now" for _ in range(12)]
+    found = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert made.count("pii-best") == 1 and all(len(r.spans) == 1 for r in found)
+    made.clear()
+    texts += [f"pay card {card(rng, False)} now" for _ in range(2)]
+    found = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert made.count("pii-best") > 1 and all(len(r.spans) == 1 for r in found)
