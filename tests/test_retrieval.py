@@ -102,6 +102,34 @@ def test_recall_map_leaves_a_row_a_query(spark):
     assert python_rows(out) == [500]
 
 
+def test_recall_map_leaves_a_row_a_query_beyond_a_block(spark, monkeypatch):
+    within = catalog.QUERIES["recall_map"](spark, "/root/testdata/sf0.001").collect()
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 100_000)
+    out = catalog.QUERIES["recall_map"](spark, "/root/testdata/sf0.001")
+    assert out.collect() == within and python_rows(out) == [500]
+
+
+def test_forms_beyond_a_block(spark, corpus, monkeypatch):
+    df = corpus[0].filter("label < 4")
+    alone = [retrieval.evaluate(d, d).collect() for d in (df, df.withColumn("embedding", F.slice("embedding", 2, 3)))]
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 500)
+    got = retrieval.evaluate(df, df, forms=[lambda x: x, lambda x: x[:, 1:4]]).collect()
+    assert sorted(map(tuple, got)) == sorted((f, *r) for f, rows in enumerate(alone) for r in rows)
+
+
+@pytest.mark.parametrize("most", [0, 1000, 1 << 20])
+def test_a_task_holds_no_more_vectors_than_it_may(most):
+    x = np.arange(700, dtype=np.float32).reshape(100, 7)
+    arrived = retrieval._Arrived(most)
+    for part in np.split(x, [3, 3, 60]):
+        arrived.add(part)
+        assert sum(p.nbytes for p in arrived.parts) <= most
+    assert np.array_equal(np.concatenate(list(arrived)), x)
+    room = retrieval._room(100, 7, x.dtype, most)
+    room[:] = x
+    assert np.array_equal(room, x) and isinstance(room, np.memmap) == (most < x.nbytes)
+
+
 def test_a_length_is_made_once_a_vector(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<double>")
     out = df.select(retrieval.normalized(F.transform("v", lambda x: x * 2.0)).alias("v"))
