@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, licenses, mixing, pii, pu, rules, simhash, token_output, toxicity
+from . import chat, decontamination, lexical, licenses, mixing, pii, pu, rules, simhash, token_output, toxicity
 from .common import read
 from .textstats import training_fold
 
@@ -126,5 +126,25 @@ FROM t GROUP BY conv_id
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_pii": op2_pii, "op3_decontaminate": op3_decontaminate, "op4_toxicity": op4_toxicity, "op5_licenses": op5_licenses, "op6_chat": op6_chat, "op7_tokens": op7_tokens, "op8_simhash": op8_simhash, "op9_rules": op9_rules, "op10_quality": op10_quality}
-SQL: dict[str, str] = {"op1_mix": OP1_SQL, "op3_decontaminate": OP3_SQL, "op5_licenses": licenses.oracle(), "op6_chat": OP6_SQL}
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build_index(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+s AS (SELECT CAST(count(*) FILTER (len(t) > 0) AS BIGINT) AS n, CAST(sum(len(t)) AS BIGINT) AS l FROM d),
+b AS (SELECT item_id, row_number() OVER () AS i,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM benchmark),
+q AS (SELECT i, item_id, term, count(*) AS times FROM (SELECT i, item_id, unnest(t) AS term FROM b) GROUP BY ALL),
+p AS (SELECT r, doc_id, len, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, doc_id, len(t) AS len, unnest(t) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM p, s GROUP BY term, n),
+x AS (SELECT i, item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * len * n) // l)))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN w USING (term), s GROUP BY i, item_id, r, doc_id),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_pii": op2_pii, "op3_decontaminate": op3_decontaminate, "op4_toxicity": op4_toxicity, "op5_licenses": op5_licenses, "op6_chat": op6_chat, "op7_tokens": op7_tokens, "op8_simhash": op8_simhash, "op9_rules": op9_rules, "op10_quality": op10_quality, "op11_search": op11_search}
+SQL: dict[str, str] = {"op1_mix": OP1_SQL, "op3_decontaminate": OP3_SQL, "op5_licenses": licenses.oracle(), "op6_chat": OP6_SQL, "op11_search": OP11_SQL}
