@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, lexical, licenses, mixing, pii, pu, rules, simhash, token_output, toxicity
+from . import chat, counting, decontamination, lexical, licenses, mixing, pii, pu, rules, simhash, token_output, toxicity
 from .common import read
 from .textstats import training_fold
 
@@ -58,10 +58,10 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_
 FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
 """
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,5 +146,9 @@ SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_pii": op2_pii, "op3_decontaminate": op3_decontaminate, "op4_toxicity": op4_toxicity, "op5_licenses": op5_licenses, "op6_chat": op6_chat, "op7_tokens": op7_tokens, "op8_simhash": op8_simhash, "op9_rules": op9_rules, "op10_quality": op10_quality, "op11_search": op11_search}
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.count_tokens(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_pii": op2_pii, "op3_decontaminate": op3_decontaminate, "op4_toxicity": op4_toxicity, "op5_licenses": op5_licenses, "op6_chat": op6_chat, "op7_tokens": op7_tokens, "op8_simhash": op8_simhash, "op9_rules": op9_rules, "op10_quality": op10_quality, "op11_search": op11_search, "op12_token_counts": op12_token_counts}
 SQL: dict[str, str] = {"op1_mix": OP1_SQL, "op3_decontaminate": OP3_SQL, "op5_licenses": licenses.oracle(), "op6_chat": OP6_SQL, "op11_search": OP11_SQL}
