@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, counting, decontamination, lexical, licenses, mixing, pii, pu, rules, simhash, token_output, toxicity
+from . import chat, counting, decontamination, lexical, licenses, mixing, pii, pu, rules, simhash, token_output, toxicity, trie
 from .common import read
 from .textstats import training_fold
 
@@ -150,5 +150,30 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.count_tokens(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_pii": op2_pii, "op3_decontaminate": op3_decontaminate, "op4_toxicity": op4_toxicity, "op5_licenses": op5_licenses, "op6_chat": op6_chat, "op7_tokens": op7_tokens, "op8_simhash": op8_simhash, "op9_rules": op9_rules, "op10_quality": op10_quality, "op11_search": op11_search, "op12_token_counts": op12_token_counts}
-SQL: dict[str, str] = {"op1_mix": OP1_SQL, "op3_decontaminate": OP3_SQL, "op5_licenses": licenses.oracle(), "op6_chat": OP6_SQL, "op11_search": OP11_SQL}
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = r"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos,
+    sha256(coalesce(role, '')) || sha256(coalesce(text, '')) AS x, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations),
+c AS (SELECT conv_id, xor(4294967295, list_reduce(flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: [CAST(ascii(s) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END, 4294967295::BIGINT)) % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, pos, x, words FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND pos < h
+  UNION ALL SELECT t.conv_id, pos, x, words FROM t JOIN c USING (conv_id) WHERE pos >= h),
+l AS (SELECT c.conv_id, coalesce(list(x ORDER BY pos) FILTER (x IS NOT NULL), []) AS xs, coalesce(list(words ORDER BY pos) FILTER (x IS NOT NULL), []) AS ws FROM c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id),
+m AS (SELECT conv_id, d, md5(array_to_string(list_slice(xs, 1, d), '')) AS node, CASE WHEN d > 0 THEN md5(array_to_string(list_slice(xs, 1, d - 1), '')) END AS parent,
+    coalesce(ws[d], 0) AS words, d = len(xs) AS ends FROM (SELECT *, unnest(range(0, len(xs) + 1)) AS d FROM l)),
+n AS (SELECT node, d AS depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY node, d),
+k AS (SELECT parent, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+u AS (SELECT a.node, sum(CASE WHEN k.n_children IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved
+  FROM n JOIN m a ON a.conv_id = n.conv_id AND a.d <= n.depth LEFT JOIN k ON k.parent = n.node GROUP BY a.node)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs, CAST(coalesce(k.n_children, 0) AS BIGINT) AS n_children,
+  CAST(u.n_leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN u USING (node) LEFT JOIN n p ON p.node = n.parent LEFT JOIN k ON k.parent = n.node
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_pii": op2_pii, "op3_decontaminate": op3_decontaminate, "op4_toxicity": op4_toxicity, "op5_licenses": op5_licenses, "op6_chat": op6_chat, "op7_tokens": op7_tokens, "op8_simhash": op8_simhash, "op9_rules": op9_rules, "op10_quality": op10_quality, "op11_search": op11_search, "op12_token_counts": op12_token_counts, "op13_trie": op13_trie}
+SQL: dict[str, str] = {"op1_mix": OP1_SQL, "op3_decontaminate": OP3_SQL, "op5_licenses": licenses.oracle(), "op6_chat": OP6_SQL, "op11_search": OP11_SQL, "op13_trie": OP13_SQL}
