@@ -153,7 +153,7 @@ def _partial(shared):
             keys, pad = [*rows, *(k for k, _ in ends)], [None] * len(ends)
             columns = [pa.array([*(v[i] for v in rows.values()), *pad], kind) for i, kind in enumerate((pa.binary(), *[pa.int64()] * 4))]
             own = pa.array([None] * len(rows) + [c for _, c in ends], pa.int64())
-            flags = pa.array([False] * len(rows) + [True] * len(ends))
+            flags = pa.array([False] * len(rows) + [True] * len(ends), pa.bool_())
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *columns, flags, own, pa.array([part] * len(keys), pa.int32())], ["node", "parent", "depth", "words", "conv_id", "n_convs", "is_end", "end_conv", "part"])
 
         for batch in batches:
