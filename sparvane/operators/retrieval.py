@@ -45,10 +45,19 @@ def with_metadata(hits: DataFrame, metadata: DataFrame, key: str = "vec_id") ->
     return hits.join(metadata, key)
 
 
-def _blocks(df: DataFrame, vec: str, least: int = 1) -> int:
-    """The number of blocks of at most BLOCK_BYTES, as doubles, that a table's vectors make; `least` at least, no more than there are rows."""
+def _extent(df: DataFrame, vec: str) -> tuple[int, int]:
+    """A table's rows, and the bytes that its vectors take as doubles."""
     rows, size = df.agg(F.count(F.lit(1)), F.sum(F.size(vec)) * 8).first()
-    return max(1, -(-int(size or 0) // BLOCK_BYTES), min(least, rows))
+    return rows, int(size or 0)
+
+
+def _split(rows: int, size: int, least: int = 1) -> int:
+    """The number of blocks of at most BLOCK_BYTES; `least` at least, no more than there are rows."""
+    return max(1, -(-size // BLOCK_BYTES), min(least, rows))
+
+
+def _blocks(df: DataFrame, vec: str, least: int = 1) -> int:
+    return _split(*_extent(df, vec), least)
 
 
 def _dealt(df: DataFrame, key: str, blocks: int) -> Column:
@@ -75,27 +84,41 @@ def _chunks(rows: int, width: int) -> Iterator[slice]:
     return (slice(at, at + step) for at in range(0, rows, step))
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding", include_self: bool = True) -> DataFrame:
-    """(src, dst, score, rank): the k corpus rows of greatest cosine for every query; ties go by key.
+def nearest(
+    queries: DataFrame, corpus: DataFrame, k: int | None, key: str = "vec_id", vec: str = "embedding", include_self: bool = True, metric: str = "cosine",
+    corpus_key: str | None = None, corpus_vec: str | None = None,
+) -> DataFrame:
+    """(src, dst, score, rank): the k best corpus rows for every row of queries, or all of them where k is None; ties go by the corpus key.
 
-    Queries and corpus are dealt into blocks of at most BLOCK_BYTES. A task multiplies one pair of blocks in
-    Arrow and leaves k rows a query, which are ranked together. Nothing passes the driver.
+    Cosine scores fall, squared L2 distances rise with the rank. `corpus_key` and `corpus_vec` are the corpus's columns where they
+    have other names. Queries and corpus are dealt into blocks of at most BLOCK_BYTES, the larger side into as many as there are cores
+    at least. A task multiplies one pair of blocks in Arrow and leaves k rows a query, which are ranked together. Nothing passes the driver.
     """
+    if metric not in ("cosine", "l2"):
+        raise ValueError("metric is cosine or l2")
     spark = queries.sparkSession
     ship(spark)
-    n_q, n_c = _blocks(queries, vec, spark.sparkContext.defaultParallelism), _blocks(corpus, vec)
-    kind = dict(corpus.dtypes)[key]
+    corpus_key, corpus_vec = corpus_key or key, corpus_vec or vec
+    (rows_q, size_q), (rows_c, size_c) = _extent(queries, vec), _extent(corpus, corpus_vec)
+    cores = spark.sparkContext.defaultParallelism
+    n_q, n_c = (_split(rows_q, size_q, cores if size_q >= size_c else 1), _split(rows_c, size_c, cores if size_q < size_c else 1))
+    kinds = dict(queries.dtypes)[key], dict(corpus.dtypes)[corpus_key]
 
     def best(_, left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if len(left) and len(right):
             ids, own = right.column("k").to_numpy(), left.column("k").to_numpy()
-            q, c = _unit(_matrix(left, "v")), _unit(_matrix(right, "v"))
+            q, c = _matrix(left, "v"), _matrix(right, "v")
+            q, c = (_unit(q), _unit(c)) if metric == "cosine" else (q, c)
             for part in _chunks(len(q), len(c)):
-                s = np.round(q[part] @ c.T, 12)
+                s = q[part] @ c.T
+                if metric == "l2":
+                    s = 2 * s - (q[part] ** 2).sum(axis=1)[:, None] - (c**2).sum(axis=1)[None, :]
+                    np.minimum(s, 0, out=s)
+                s = np.round(s, 12)
                 if not include_self:
                     s[own[part][:, None] == ids[None, :]] = -np.inf
-                width = min(k, s.shape[1])
+                width = min(k or s.shape[1], s.shape[1])
                 # all that reach the k-th best, so that ties at the edge go by key as well
                 edge = np.partition(s, s.shape[1] - width, axis=1)[:, s.shape[1] - width]
                 row, col = np.nonzero(s >= edge[:, None])
@@ -105,13 +128,15 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id",
                 take = (place < width) & np.isfinite(s[row, col])
                 row, col = row[take], col[take]
                 out.append(pa.table({"src": own[part][row], "dst": ids[col], "score": s[row, col]}))
-        return pa.concat_tables(out) if out else pa.table({"src": left.column("k").slice(0, 0), "dst": left.column("k").slice(0, 0), "score": pa.array([], pa.float64())})
+        return pa.concat_tables(out) if out else pa.table({"src": left.column("k").slice(0, 0), "dst": right.column("k").slice(0, 0), "score": pa.array([], pa.float64())})
 
     q = queries.select(_dealt(queries, key, n_q).alias("qb"), _every(n_c).alias("cb"), F.col(key).alias("k"), F.col(vec).alias("v"))
-    c = corpus.select(_every(n_q).alias("qb"), _dealt(corpus, key, n_c).alias("cb"), F.col(key).alias("k"), F.col(vec).alias("v"))
-    found = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInArrow(best, f"src {kind}, dst {kind}, score double")
+    c = corpus.select(_every(n_q).alias("qb"), _dealt(corpus, corpus_key, n_c).alias("cb"), F.col(corpus_key).alias("k"), F.col(corpus_vec).alias("v"))
+    found = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInArrow(best, f"src {kinds[0]}, dst {kinds[1]}, score double")
     order = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(order))
+    ranked = ranked if k is None else ranked.filter(F.col("rank") <= k)
+    return ranked if metric == "cosine" else ranked.withColumn("score", F.abs("score"))
 
 
 def similarity_graph(edges: DataFrame) -> DataFrame:
@@ -122,11 +147,15 @@ def similarity_graph(edges: DataFrame) -> DataFrame:
     return both.join(total, "src").select("src", "dst", (F.col("w") / F.greatest(F.col("_t"), F.lit(1e-12))).alias("w"))
 
 
-def diffuse(graph: DataFrame, seeds: DataFrame, own: float = 0.75) -> DataFrame:
-    """(id, score): own * score + (1 - own) * the graph's weighted scores of seed neighbours; seeds only."""
-    seed = seeds.select(F.col("id").alias("dst"), F.col("score").alias("_s"))
-    spread = graph.join(seed, "dst").groupBy("src").agg(F.sum(F.col("w") * F.col("_s")).alias("_g")).withColumnRenamed("src", "id")
-    return seeds.join(spread, "id", "left").select("id", (own * F.col("score") + (1 - own) * F.coalesce("_g", F.lit(0.0))).alias("score"))
+def diffuse(graph: DataFrame, seeds: DataFrame, own: float = 0.75, by: Sequence[str] = ()) -> DataFrame:
+    """(by…, id, score): own * score + (1 - own) * the graph's weighted scores of seed neighbours; seeds only.
+
+    Seeds are a sparse matrix, a row for each value of `by` (a query) and a column for each id: the spread is its product with
+    the graph, joined on the neighbour and summed by row and node.
+    """
+    seed = seeds.select(*by, F.col("id").alias("dst"), F.col("score").alias("_s"))
+    spread = graph.join(seed, "dst").groupBy(*by, F.col("src").alias("id")).agg(F.sum(F.col("w") * F.col("_s")).alias("_g"))
+    return seeds.join(spread, [*by, "id"], "left").select(*by, "id", (own * F.col("score") + (1 - own) * F.coalesce("_g", F.lit(0.0))).alias("score"))
 
 
 def mean_vector(df: DataFrame, group: Sequence[str], vec: str, name: str = "vec") -> DataFrame:
@@ -146,14 +175,14 @@ def normalized(vec: Column, eps: float = 1e-8) -> Column:
     return _once(as_double(vec), lambda v: _once(norm(v) + F.lit(eps), lambda length: F.transform(v, lambda x: x / length)))
 
 
-def expand_query(corpus: DataFrame, query: Sequence[float], hits: DataFrame, top: int = 5, own: float = 0.6, key: str = "vec_id", vec: str = "embedding") -> list[float]:
-    """L2-normalised own * query + (1 - own) * mean of the first `top` hits."""
-    first = hits.orderBy("rank").limit(top).select(key)
-    row = mean_vector(corpus.join(first, key), [], vec).first()
-    q = np.asarray(query, np.float64)
-    if row is not None and row[0]:
-        q = own * q + (1 - own) * np.asarray(row[0])
-    return list(q / (np.linalg.norm(q) + 1e-8))
+def expand_queries(queries: DataFrame, corpus: DataFrame, hits: DataFrame, top: int = 5, own: float = 0.6, key: str = "vec_id", vec: str = "embedding", corpus_key: str | None = None, corpus_vec: str | None = None) -> DataFrame:
+    """(key, vec): for each query the L2-normalised own * query + (1 - own) * mean of its first `top` hits (src, dst, rank); the normalised query where it has none."""
+    first = hits.filter(F.col("rank") <= top).select("src", "dst")
+    found = first.join(corpus.select(F.col(corpus_key or key).alias("dst"), F.col(corpus_vec or vec).alias("_v")), "dst")
+    means = mean_vector(found, ["src"], "_v", "_mean").select(F.col("src").alias("_src"), "_mean")
+    mixed = F.zip_with(as_double(F.col(vec)), "_mean", lambda x, m: own * x + (1 - own) * m)
+    both = queries.join(means, F.col(key) == F.col("_src"), "left")
+    return both.select(F.col(key), normalized(F.coalesce(F.when(F.col("_mean").isNotNull(), mixed), as_double(F.col(vec)))).alias(vec))
 
 
 def prototypes(df: DataFrame, label: str = "label", vec: str = "embedding") -> DataFrame:
@@ -162,20 +191,24 @@ def prototypes(df: DataFrame, label: str = "label", vec: str = "embedding") -> D
     return mean_vector(df, [label], vec).join(sizes, label).select(label, "n", normalized(F.col("vec")).alias("prototype"))
 
 
-def prototype_scores(protos: DataFrame, query: Sequence[float], label: str = "label") -> DataFrame:
-    """(label, score, rank, margin): cosine to each prototype; margin is the first rank's lead on the second."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    order = Window.orderBy(F.desc("score"), label)  # a row per class
-    scored = protos.select(label, cosine(F.col("prototype"), q).alias("score"))
-    return scored.select(label, "score", F.row_number().over(order).alias("rank"), (F.col("score") - F.lead("score").over(order)).alias("margin"))
+def prototype_scores(protos: DataFrame, queries: DataFrame, label: str = "label", key: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """(src, label, score, rank, margin): every query's cosine to each prototype; margin is a rank's lead on the next."""
+    order = Window.partitionBy("src").orderBy("rank")
+    scored = nearest(queries, protos, None, key, vec, corpus_key=label, corpus_vec="prototype")
+    return scored.select("src", F.col("dst").alias(label), "score", "rank", (F.col("score") - F.lead("score").over(order)).alias("margin"))
 
 
-def confidence(scores: DataFrame, least: float = 0.80, margin: float = 0.03, external: bool = False) -> DataFrame:
-    """One row: top1, gap to the second, low (either too small) and risk (low and from outside)."""
-    order = Window.orderBy(F.desc("score"))
+def confidence(scores: DataFrame, least: float = 0.80, margin: float = 0.03, external: bool | Column = False, by: Sequence[str] = ()) -> DataFrame:
+    """A row for each query (`by`): top1, gap to the second, low (either too small) and risk (low and from outside)."""
+    order = Window.partitionBy(*by).orderBy(F.desc("score"))
     top = scores.withColumn("_n", F.lead("score").over(order)).withColumn("_r", F.row_number().over(order)).filter("_r = 1")
-    low = (F.col("score") < least) | (F.col("score") - F.coalesce("_n", F.lit(0.0)) < margin)
-    return top.select(F.col("score").alias("top1"), (F.col("score") - F.coalesce("_n", F.lit(0.0))).alias("gap"), low.alias("low"), (low & F.lit(external)).alias("risk"))
+    gap = F.col("score") - F.coalesce("_n", F.lit(0.0))
+    low = (F.col("score") < least) | (gap < margin)
+    return top.select(*by, F.col("score").alias("top1"), gap.alias("gap"), low.alias("low"), (low & _column(external)).alias("risk"))
+
+
+def _column(x: object) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
 
 
 def rerank_weights(w: tuple[float, float, float], fallback: tuple[float, float, float] = (0.10, 0.80, 0.10)) -> tuple[float, float, float]:
@@ -186,37 +219,38 @@ def rerank_weights(w: tuple[float, float, float], fallback: tuple[float, float,
 
 
 def rerank(
-    candidates: DataFrame, weights: tuple[float, float, float] = (0.15, 0.70, 0.15), group: Sequence[str] = (), low: bool = False, top_label: object = None,
-    top_score: float = 0.0, top_margin: float = 0.0, label: str = "label", adaptive: bool = True,
+    candidates: DataFrame, weights: tuple[float, float, float] = (0.15, 0.70, 0.15), group: Sequence[str] = (), low: bool | Column = False, top_label: object = None,
+    top_score: float | Column = 0.0, top_margin: float | Column = 0.0, label: str = "label", adaptive: bool = True,
 ) -> DataFrame:
-    """candidates (…, t1, t2, t3) with fused score and rank.
+    """candidates (…, t1, t2, t3) with fused score and rank, within each `group` (a query).
 
     Tiers are min-max scaled over the pool (0.5 where constant). Adaptive weights: only
-    tier 2 for unsure queries; else candidates of a convincing prototype's class lean on tier 1.
+    tier 2 for unsure queries; else candidates of a convincing prototype's class lean on tier 1. What is known of a query comes as
+    values, or as columns where it differs by group.
     """
     pool = Window.partitionBy(*group)
     scaled = candidates.withColumns({f"_n{i}": min_max(f"t{i}", pool, 0.5) for i in (1, 2, 3)})
     w1, w2, w3 = weights
-    a, b, c = F.lit(w1), F.lit(w2), F.lit(w3)
-    if adaptive and low:
-        a, b, c = F.lit(0.0), F.lit(1.0), F.lit(0.0)
-    elif adaptive and top_label is not None and top_score >= 0.70 and top_margin >= 0.02:
-        u1, u2 = min(0.35, w1 + 0.10), max(0.45, w2 - 0.08)
-        hit = F.col(label) == F.lit(top_label)
-        a, b = F.when(hit, u1).otherwise(w1), F.when(hit, u2).otherwise(w2)
-        c = F.when(hit, max(0.10, 1 - u1 - u2)).otherwise(w3)
+    u1, u2 = min(0.35, w1 + 0.10), max(0.45, w2 - 0.08)
+    unsure = F.coalesce(_column(low), F.lit(False)) if adaptive else F.lit(False)
+    led = (F.coalesce(_column(top_score), F.lit(0.0)) >= 0.70) & (F.coalesce(_column(top_margin), F.lit(0.0)) >= 0.02) & F.coalesce(F.col(label) == _column(top_label), F.lit(False)) if adaptive and top_label is not None else F.lit(False)
+    a, b, c = (F.when(unsure, x).when(led, y).otherwise(z) for x, y, z in ((0.0, u1, w1), (1.0, u2, w2), (0.0, max(0.10, 1 - u1 - u2), w3)))
     fused = scaled.withColumn("fused", a * F.col("_n1") + b * F.col("_n2") + c * F.col("_n3")).drop("_n1", "_n2", "_n3")
     order = Window.partitionBy(*group).orderBy(F.desc("fused"), F.desc("t2"), "id")
     return fused.withColumn("rank", F.row_number().over(order))
 
 
-def part_adjust(items: DataFrame, query_parts: DataFrame, corpus_parts: DataFrame, weights: dict[str, float], base: float = 0.7) -> DataFrame:
-    """(id, score): base * score + (1 - base) / (1 + weighted sum of distances between named parts)."""
-    w = query_parts.select("part", F.col("vec").alias("_q"))
+def part_adjust(items: DataFrame, query_parts: DataFrame, corpus_parts: DataFrame, weights: dict[str, float], base: float = 0.7, by: Sequence[str] = ()) -> DataFrame:
+    """(by…, id, score): base * score + (1 - base) / (1 + weighted sum of distances between named parts).
+
+    query_parts has (by…, part, vec), corpus_parts (id, part, vec); parts that one side lacks count nothing.
+    """
+    w = query_parts.select(*by, "part", F.col("vec").alias("_q"))
     distance = F.sqrt(l2_squared(F.col("vec"), F.col("_q")))
     weight = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
-    apart = corpus_parts.join(items.select("id"), "id", "left_semi").join(w, "part").groupBy("id").agg(F.sum(F.coalesce(weight[F.col("part")], F.lit(0.0)) * distance).alias("_d"))
-    return items.join(apart, "id", "left").select("id", (base * F.col("score") + (1 - base) / (1 + F.coalesce("_d", F.lit(0.0)))).alias("score"))
+    near = items.select(*by, "id").join(corpus_parts, "id").join(w, [*by, "part"])
+    apart = near.groupBy(*by, "id").agg(F.sum(F.coalesce(weight[F.col("part")], F.lit(0.0)) * distance).alias("_d"))
+    return items.join(apart, [*by, "id"], "left").select(*by, "id", (base * F.col("score") + (1 - base) / (1 + F.coalesce("_d", F.lit(0.0)))).alias("score"))
 
 
 def fuse(blocks: dict[str, float]) -> Column:

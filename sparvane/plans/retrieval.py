@@ -27,31 +27,30 @@ def _e(spark, sf_dir):
     return _t(spark, sf_dir, "embeddings")
 
 
-def _vector(df, vec_id: int) -> list[float]:
-    """One row's vector, or a row of zeros' stand-in if it is absent."""
-    row = df.filter(F.col("vec_id") == vec_id).select("embedding").first()
-    return list(row[0]) if row else [0.0]
+def _queries(e):
+    """The queries of all searches: every row whose id is divisible by 100, against all rows."""
+    return e.filter(F.col("vec_id") % 100 == 0)
 
 
-_Q = "(SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
+_Q = "(SELECT vec_id AS src, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0)"
 _COS = "list_dot_product(embedding::DOUBLE[], q) / ((sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) + 1e-8) * (sqrt(list_dot_product(q, q)) + 1e-8))"
-_TOP = f"SELECT vec_id, label, {_COS} AS s, row_number() OVER (ORDER BY {_COS} DESC, vec_id) AS rank FROM embeddings, {_Q}"
+_TOP = f"SELECT src, vec_id, label, {_COS} AS s, row_number() OVER (PARTITION BY src ORDER BY {_COS} DESC, vec_id) AS rank FROM embeddings, {_Q}"
 
 
-@query(f"SELECT vec_id, label, round(s, 6) AS score, rank::INTEGER AS rank FROM ({_TOP}) WHERE rank <= 25")
+@query(f"SELECT src, vec_id, label, round(s, 6) AS score, rank::INTEGER AS rank FROM ({_TOP}) WHERE rank <= 25")
 def vector_topk_cosine(spark, sf_dir):
     """V2, O2, J10, J12, V20, V21."""
     e = _e(spark, sf_dir)
-    hits = V.top_k(e, _vector(e, 0), 25)
-    return V.with_metadata(hits, e.select("vec_id", "label")).select("vec_id", "label", F.round("score", 6).alias("score"), "rank")
+    hits = V.nearest(_queries(e), e, 25).withColumnRenamed("dst", "vec_id")
+    return V.with_metadata(hits, e.select("vec_id", "label")).select("src", "vec_id", "label", F.round("score", 6).alias("score"), "rank")
 
 
-@query("""SELECT vec_id, round(d, 6) AS score, row_number() OVER (ORDER BY d, vec_id)::INTEGER AS rank FROM (SELECT vec_id, list_sum(list_transform(list_zip(embedding, q), lambda z: (z[1]::DOUBLE - z[2]) ** 2)) AS d
-FROM embeddings, (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)) ORDER BY d, vec_id LIMIT 25""")
+@query(f"""SELECT src, vec_id, round(d, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, vec_id) AS rank FROM (SELECT src, vec_id, list_sum(list_transform(list_zip(embedding, q), lambda z: (z[1]::DOUBLE - z[2]) ** 2)) AS d
+FROM embeddings, {_Q})) WHERE rank <= 25""")
 def vector_topk_l2(spark, sf_dir):
     """V3: squared distances."""
     e = _e(spark, sf_dir)
-    return V.top_k(e, _vector(e, 0), 25, metric="l2").select("vec_id", F.round("score", 6).alias("score"), "rank")
+    return V.nearest(_queries(e), e, 25, metric="l2").select("src", F.col("dst").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
 
 
 @query("""SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, round(embedding[i]::DOUBLE / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) + 1e-8), 6) AS x FROM embeddings, range(1, 65) r(i)""")
@@ -71,13 +70,16 @@ def class_prototypes(spark, sf_dir):
     return p.select("label", "n", F.posexplode("prototype").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
-@query(f"""SELECT label, round(s, 6) AS score, row_number() OVER (ORDER BY s DESC, label)::INTEGER AS rank, round(s - lead(s) OVER (ORDER BY s DESC, label), 6) AS margin FROM
-(SELECT label, list_dot_product(p, q) / ((sqrt(list_dot_product(p, p)) + 1e-8) * (sqrt(list_dot_product(q, q)) + 1e-8)) AS s FROM (SELECT label, list_transform(p, lambda x: x / (sqrt(list_dot_product(p, p)) + 1e-8)) AS p FROM ({_PROTO})), {_Q})""")
+_UNIT_PROTO = f"(SELECT label, list_transform(p, lambda x: x / (sqrt(list_dot_product(p, p)) + 1e-8)) AS p FROM ({_PROTO}))"
+_PROTO_TOP = f"SELECT src, label, list_dot_product(p, q) / ((sqrt(list_dot_product(p, p)) + 1e-8) * (sqrt(list_dot_product(q, q)) + 1e-8)) AS s FROM {_UNIT_PROTO}, {_Q}"
+
+
+@query(f"""SELECT src, label, round(s, 6) AS score, row_number() OVER (PARTITION BY src ORDER BY s DESC, label)::INTEGER AS rank, round(s - lead(s) OVER (PARTITION BY src ORDER BY s DESC, label), 6) AS margin FROM ({_PROTO_TOP})""")
 def prototype_scores(spark, sf_dir):
     """J14, V14, W4."""
     e = _e(spark, sf_dir)
-    s = V.prototype_scores(V.prototypes(e), _vector(e, 0))
-    return s.select("label", F.round("score", 6).alias("score"), "rank", F.round("margin", 6).alias("margin"))
+    s = V.prototype_scores(V.prototypes(e), _queries(e))
+    return s.select("src", "label", F.round("score", 6).alias("score"), "rank", F.round("margin", 6).alias("margin"))
 
 
 _KNN = """SELECT src, dst, s, row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) AS rank FROM (SELECT a.vec_id AS src, b.vec_id AS dst,
@@ -103,33 +105,35 @@ def knn_graph(spark, sf_dir):
     return V.similarity_graph(V.nearest(e, e, 25)).withColumn("w", F.round("w", 6))
 
 
-@query(f"""WITH {_UNIT}, {_GRAPH}, s AS (SELECT vec_id AS id, s AS score FROM ({_TOP}) WHERE rank <= 50)
-SELECT id, round(0.75 * score + 0.25 * coalesce((SELECT sum(g.w * t.score) FROM g JOIN s t ON g.dst = t.id WHERE g.src = s.id), 0), 6) AS score FROM s""")
+@query(f"""WITH {_UNIT}, {_GRAPH}, s AS (SELECT src, vec_id AS id, s AS score FROM ({_TOP}) WHERE rank <= 50),
+p AS (SELECT t.src, g.src AS id, sum(g.w * t.score) AS x FROM g JOIN s t ON g.dst = t.id GROUP BY 1, 2)
+SELECT src, id, round(0.75 * score + 0.25 * coalesce(x, 0), 6) AS score FROM s LEFT JOIN p USING (src, id)""")
 def graph_diffusion(spark, sf_dir):
     """V10."""
     e = _e(spark, sf_dir)
-    seeds = V.top_k(e, _vector(e, 0), 50).select(F.col("vec_id").alias("id"), "score")
-    return V.diffuse(V.similarity_graph(V.nearest(e, e, 25)), seeds).withColumn("score", F.round("score", 6))
+    seeds = V.nearest(_queries(e), e, 50).select("src", F.col("dst").alias("id"), "score")
+    return V.diffuse(V.similarity_graph(V.nearest(e, e, 25)), seeds.withColumnRenamed("src", "query"), by=["query"]).select(F.col("query").alias("src"), "id", F.round("score", 6).alias("score"))
 
 
-_EXP = f"""h AS (SELECT embedding::DOUBLE[] AS v FROM embeddings JOIN ({_TOP}) t USING (vec_id) WHERE rank <= 5), m AS (SELECT i, 0.6 * any_value(q[i]) + 0.4 * avg(v[i]) AS x FROM h, {_Q}, range(1, 65) r(i) GROUP BY i),
-x AS (SELECT list(x ORDER BY i) AS q FROM m)"""
+_EXP = f"""h AS (SELECT src, q, embedding::DOUBLE[] AS v FROM embeddings JOIN ({_TOP}) t USING (vec_id) JOIN {_Q} USING (src) WHERE rank <= 5),
+m AS (SELECT src, i, 0.6 * any_value(q[i]) + 0.4 * avg(v[i]) AS x FROM h, range(1, 65) r(i) GROUP BY src, i), x AS (SELECT src, list(x ORDER BY i) AS q FROM m GROUP BY src)"""
 
 
-@query(f"""WITH {_EXP} SELECT vec_id, round({_COS}, 6) AS score, row_number() OVER (ORDER BY {_COS} DESC, vec_id)::INTEGER AS rank FROM embeddings, x ORDER BY {_COS} DESC, vec_id LIMIT 25""")
+@query(f"""WITH {_EXP} SELECT src, vec_id, round(s, 6) AS score, rank::INTEGER AS rank FROM (SELECT src, vec_id, {_COS} AS s, row_number() OVER (PARTITION BY src ORDER BY {_COS} DESC, vec_id) AS rank FROM embeddings, x) WHERE rank <= 25""")
 def query_expansion(spark, sf_dir):
     """V8: search again with the mean of the first five hits mixed in."""
     e = _e(spark, sf_dir)
-    q = _vector(e, 0)
-    return V.top_k(e, V.expand_query(e, q, V.top_k(e, q, 20)), 25).select("vec_id", F.round("score", 6).alias("score"), "rank")
+    q = _queries(e)
+    wider = V.expand_queries(q, e, V.nearest(q, e, 20))
+    return V.nearest(wider, e, 25).select("src", F.col("dst").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
 
 
 _TIERS = "list_slice({v}, 1, 16) AS a{n}, list_slice({v}, 17, 48) AS b{n}, list_slice({v}, 49, 64) AS c{n}"
 _TC = "list_dot_product({x}1, {x}2) / ((sqrt(list_dot_product({x}1, {x}1)) + 1e-8) * (sqrt(list_dot_product({x}2, {x}2)) + 1e-8)) AS {t}"
-_CAND = f"""c AS (SELECT vec_id AS id, label, {_TC.format(x='a', t='t1')}, {_TC.format(x='b', t='t2')}, {_TC.format(x='c', t='t3')} FROM
- (SELECT vec_id, e.label, {_TIERS.format(v='embedding::DOUBLE[]', n=1)} FROM embeddings e JOIN ({_TOP}) t USING (vec_id) WHERE t.rank <= 120), (SELECT {_TIERS.format(v='q', n=2)} FROM {_Q})),
-s AS (SELECT id, label, t2, coalesce((t1 - min(t1) OVER ()) / nullif(max(t1) OVER () - min(t1) OVER (), 0), 0.5) AS n1, coalesce((t2 - min(t2) OVER ()) / nullif(max(t2) OVER () - min(t2) OVER (), 0), 0.5) AS n2,
- coalesce((t3 - min(t3) OVER ()) / nullif(max(t3) OVER () - min(t3) OVER (), 0), 0.5) AS n3 FROM c)"""
+_SCALED = "coalesce(({t} - min({t}) OVER (PARTITION BY src)) / nullif(max({t}) OVER (PARTITION BY src) - min({t}) OVER (PARTITION BY src), 0), 0.5) AS {n}"
+_CAND = f"""c AS (SELECT src, vec_id AS id, label, {_TC.format(x='a', t='t1')}, {_TC.format(x='b', t='t2')}, {_TC.format(x='c', t='t3')} FROM
+ (SELECT t.src, vec_id, e.label, {_TIERS.format(v='embedding::DOUBLE[]', n=1)} FROM embeddings e JOIN ({_TOP}) t USING (vec_id) WHERE t.rank <= 120) JOIN (SELECT src, {_TIERS.format(v='q', n=2)} FROM {_Q}) USING (src)),
+s AS (SELECT src, id, label, t2, {', '.join(_SCALED.format(t=f't{i}', n=f'n{i}') for i in (1, 2, 3))} FROM c)"""
 
 
 def _tiers(v):
@@ -137,61 +141,59 @@ def _tiers(v):
     return {k: F.slice(v, a, n) for k, (a, n) in parts.items()}
 
 
-def _candidates(e, q, k=120):
-    hits = V.top_k(e, q, k).select("vec_id")
-    own = e.join(F.broadcast(hits), "vec_id")  # k rows
-    lit = F.array(*[F.lit(float(x)) for x in q])
-    scores = {t: vectors.cosine(part, _tiers(lit)[t]) for t, part in _tiers(F.col("embedding")).items()}
-    return own.select(F.col("vec_id").alias("id"), "label", *[c.alias(t) for t, c in scores.items()])
+def _candidates(e, hits):
+    """Cosines of three slices for each hit (src, dst)."""
+    own = e.select(F.col("vec_id").alias("dst"), "label", F.col("embedding").alias("_v"))
+    query = _queries(e).select(F.col("vec_id").alias("src"), F.col("embedding").alias("_q"))
+    scores = {t: vectors.cosine(part, _tiers(F.col("_q"))[t]) for t, part in _tiers(F.col("_v")).items()}
+    return hits.select("src", "dst").join(own, "dst").join(query, "src").select("src", F.col("dst").alias("id"), "label", *[c.alias(t) for t, c in scores.items()])
 
 
-@query(f"""WITH {_CAND} SELECT id, round(0.15 * n1 + 0.70 * n2 + 0.15 * n3, 6) AS fused, row_number() OVER (ORDER BY 0.15 * n1 + 0.70 * n2 + 0.15 * n3 DESC, t2 DESC, id)::INTEGER AS rank FROM s""")
+@query(f"""WITH {_CAND} SELECT src, id, round(0.15 * n1 + 0.70 * n2 + 0.15 * n3, 6) AS fused, row_number() OVER (PARTITION BY src ORDER BY 0.15 * n1 + 0.70 * n2 + 0.15 * n3 DESC, t2 DESC, id)::INTEGER AS rank FROM s""")
 def minmax_rerank(spark, sf_dir):
     """W7, V12, O4 with fixed weights."""
     e = _e(spark, sf_dir)
-    return V.rerank(_candidates(e, _vector(e, 0)), adaptive=False).select("id", F.round("fused", 6).alias("fused"), "rank")
+    hits = V.nearest(_queries(e), e, 120)
+    return V.rerank(_candidates(e, hits), group=["src"], adaptive=False).select("src", "id", F.round("fused", 6).alias("fused"), "rank")
 
 
-_PROTO_TOP = f"""pt AS (SELECT label, list_dot_product(p, q) / ((sqrt(list_dot_product(p, p)) + 1e-8) * (sqrt(list_dot_product(q, q)) + 1e-8)) AS s FROM (SELECT label, list_transform(p, lambda x: x / (sqrt(list_dot_product(p, p)) + 1e-8)) AS p FROM ({_PROTO})), {_Q}),
-best AS (SELECT label AS bl, s AS bs, s - lead(s) OVER (ORDER BY s DESC, label) AS bm FROM pt ORDER BY s DESC, label LIMIT 1),
-sure AS (SELECT s < 0.80 OR s - coalesce(n, 0) < 0.03 AS low FROM (SELECT s, rank, lead(s) OVER (ORDER BY rank) AS n FROM ({_TOP}) WHERE rank <= 20) WHERE rank = 1)"""
+_SURE = f"""pt AS ({_PROTO_TOP}),
+best AS (SELECT * FROM (SELECT src, label AS bl, s AS bs, s - lead(s) OVER w AS bm, row_number() OVER w AS r FROM pt WINDOW w AS (PARTITION BY src ORDER BY s DESC, label)) WHERE r = 1),
+sure AS (SELECT src, s < 0.80 OR s - coalesce(n, 0) < 0.03 AS low FROM (SELECT src, s, rank, lead(s) OVER (PARTITION BY src ORDER BY rank) AS n FROM ({_TOP}) WHERE rank <= 20) WHERE rank = 1)"""
 
 
-@query(f"""WITH {_CAND}, {_PROTO_TOP}, f AS (SELECT id, t2, CASE WHEN low THEN n2 WHEN bs >= 0.70 AND bm >= 0.02 AND label = bl THEN 0.25 * n1 + 0.62 * n2 + 0.13 * n3 ELSE 0.15 * n1 + 0.70 * n2 + 0.15 * n3 END AS fused FROM s, best, sure)
-SELECT id, round(fused, 6) AS fused, row_number() OVER (ORDER BY fused DESC, t2 DESC, id)::INTEGER AS rank FROM f""")
+@query(f"""WITH {_CAND}, {_SURE}, f AS (SELECT src, id, t2, CASE WHEN low THEN n2 WHEN bs >= 0.70 AND bm >= 0.02 AND label = bl THEN 0.25 * n1 + 0.62 * n2 + 0.13 * n3 ELSE 0.15 * n1 + 0.70 * n2 + 0.15 * n3 END AS fused FROM s JOIN best USING (src) JOIN sure USING (src))
+SELECT src, id, round(fused, 6) AS fused, row_number() OVER (PARTITION BY src ORDER BY fused DESC, t2 DESC, id)::INTEGER AS rank FROM f""")
 def adaptive_rerank(spark, sf_dir):
     """Weights that follow the first hits' confidence and the best prototype's score and lead."""
     e = _e(spark, sf_dir)
-    q = _vector(e, 0)
-    sure = V.confidence(V.top_k(e, q, 20)).first()
-    best = V.prototype_scores(V.prototypes(e), q).filter("rank = 1").first()
-    out = V.rerank(
-        _candidates(e, q), V.rerank_weights((0.15, 0.70, 0.15)), low=bool(sure and sure.low), top_label=best.label if best else None,
-        top_score=best.score if best else 0.0, top_margin=(best.margin or 0.0) if best else 0.0,
-    )
-    return out.select("id", F.round("fused", 6).alias("fused"), "rank")
+    hits = V.nearest(_queries(e), e, 120)
+    sure = V.confidence(hits.filter(F.col("rank") <= 20), by=["src"]).select("src", "low")
+    best = V.prototype_scores(V.prototypes(e), _queries(e)).filter("rank = 1").select("src", F.col("label").alias("_label"), F.col("score").alias("_score"), F.col("margin").alias("_margin"))
+    known = _candidates(e, hits).join(sure, "src", "left").join(best, "src", "left")
+    out = V.rerank(known, V.rerank_weights((0.15, 0.70, 0.15)), ["src"], F.col("low"), F.col("_label"), F.col("_score"), F.col("_margin"))
+    return out.select("src", "id", F.round("fused", 6).alias("fused"), "rank")
 
 
-@query(f"""SELECT round(s, 6) AS top1, round(s - n, 6) AS gap, s < 0.80 OR s - n < 0.03 AS low, s < 0.80 OR s - n < 0.03 AS risk FROM (SELECT s, lead(s) OVER (ORDER BY rank) AS n, rank FROM ({_TOP}) WHERE rank <= 20) WHERE rank = 1""")
+@query(f"""SELECT src, round(s, 6) AS top1, round(s - n, 6) AS gap, s < 0.80 OR s - n < 0.03 AS low, s < 0.80 OR s - n < 0.03 AS risk FROM (SELECT src, s, lead(s) OVER (PARTITION BY src ORDER BY rank) AS n, rank FROM ({_TOP}) WHERE rank <= 20) WHERE rank = 1""")
 def confidence_flags(spark, sf_dir):
     """V13."""
     e = _e(spark, sf_dir)
-    c = V.confidence(V.top_k(e, _vector(e, 0), 20), external=True)
+    c = V.confidence(V.nearest(_queries(e), e, 20), external=True, by=["src"])
     return c.withColumn("top1", F.round("top1", 6)).withColumn("gap", F.round("gap", 6))
 
 
-@query(f"""WITH s AS (SELECT vec_id AS id, s AS score FROM ({_TOP}) WHERE rank <= 30),
-d AS (SELECT vec_id AS id, 1.2 * sqrt(list_sum(list_transform(range(1, 17), lambda i: (embedding[i]::DOUBLE - q[i]) ** 2))) + 1.0 * sqrt(list_sum(list_transform(range(17, 33), lambda i: (embedding[i]::DOUBLE - q[i]) ** 2))) AS d FROM embeddings, {_Q})
-SELECT id, round(0.7 * score + 0.3 / (1 + d), 6) AS score FROM s JOIN d USING (id)""")
+@query(f"""WITH s AS (SELECT src, vec_id, s AS score FROM ({_TOP}) WHERE rank <= 30),
+d AS (SELECT src, vec_id, 1.2 * sqrt(list_sum(list_transform(range(1, 17), lambda i: (embedding[i]::DOUBLE - q[i]) ** 2))) + 1.0 * sqrt(list_sum(list_transform(range(17, 33), lambda i: (embedding[i]::DOUBLE - q[i]) ** 2))) AS d FROM embeddings, {_Q})
+SELECT src, vec_id AS id, round(0.7 * score + 0.3 / (1 + d), 6) AS score FROM s JOIN d USING (src, vec_id)""")
 def part_adjustment(spark, sf_dir):
     """Named parts (here two slices of the vector) moderate a score."""
     e = _e(spark, sf_dir)
-    q = _vector(e, 0)
-    items = V.top_k(e, q, 30).select(F.col("vec_id").alias("id"), "score")
+    items = V.nearest(_queries(e), e, 30).select("src", F.col("dst").alias("id"), "score")
     parts = F.explode(F.array(F.struct(F.lit("head").alias("part"), F.slice("embedding", 1, 16).alias("vec")), F.struct(F.lit("wing").alias("part"), F.slice("embedding", 17, 16).alias("vec"))))
     corpus = e.select(F.col("vec_id").alias("id"), parts.alias("p")).select("id", "p.part", "p.vec")
-    own = corpus.filter("id = 0").select("part", "vec")
-    return V.part_adjust(items, own, corpus, {"head": 1.2, "wing": 1.0}).withColumn("score", F.round("score", 6))
+    own = _queries(e).select(F.col("vec_id").alias("src"), parts.alias("p")).select("src", "p.part", "p.vec")
+    return V.part_adjust(items, own, corpus, {"head": 1.2, "wing": 1.0}, by=["src"]).withColumn("score", F.round("score", 6))
 
 
 _RANK = """SELECT src, rel, row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) AS rank FROM (SELECT a.vec_id AS src, b.vec_id AS dst, CASE WHEN a.vec_id = b.vec_id THEN -1.0 ELSE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) END AS s, (a.label = b.label)::INTEGER AS rel FROM embeddings a, embeddings b)"""

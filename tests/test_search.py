@@ -41,6 +41,19 @@ def test_an_unsure_outsider_is_ranked_by_tier_two(corpus):
     assert [h.id for h in hits] == [t.id for t in top]
 
 
+def test_a_table_of_queries_gives_each_one_s_rows(spark, corpus):
+    """Sure and unsure queries, with and without parts and from outside, searched together as alone."""
+    graph = retrieval.similarity_graph(retrieval.nearest(corpus, corpus, 6, "id", "tier2"))
+    own = corpus.filter("id in (3, 5, 40)").select(F.col("id").alias("query"), "tier1", "tier2", "tier3", "parts", (F.col("id") == 5).alias("external"))
+    odd = spark.createDataFrame([(1000, [0.1] * 4, [1.0] * 12, [0.3] * 4, None, True), (1001, [0.1] * 4, [1.0] * 12, [0.3] * 4, None, None)], own.schema)
+    table = own.unionByName(odd)
+    got = search.search_table(corpus, table, 6, graph, {"head": 0.6, "tail": 0.4}).collect()
+    assert len(got) == 5 * 6
+    for r in table.collect():
+        alone = search.adaptive_search(corpus, search.Query(r.tier1, r.tier2, r.tier3, r.parts, bool(r.external)), 6, graph, {"head": 0.6, "tail": 0.4})
+        assert sorted((x["rank"], x.id, x.label, round(x.fused, 9)) for x in got if x.query == r.query) == sorted((x["rank"], x.id, x.label, round(x.fused, 9)) for x in alone.collect())
+
+
 def test_first_species(spark, corpus):
     hits = search.adaptive_search(corpus, query(corpus, 2), 5)
     names = spark.createDataFrame([(2, "Groove_Billed_Ani"), (1, "Other")], "label int, name string")
