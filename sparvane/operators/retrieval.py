@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -11,8 +10,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_type
 
+from ..shared import materialize
 from ..ship import ship
 from .statistics import min_max
 from .vectors import as_double, cosine, dot, l2_squared, norm
@@ -278,170 +278,203 @@ def root_norm(vec: Column, eps: float = 1e-8) -> Column:
     return F.transform(as_double(vec), lambda x: F.sqrt(F.greatest(x, F.lit(0.0)) / total))
 
 
-def _in_order(v: np.ndarray) -> np.ndarray:
-    """The stable order of v: the quick one, put right by place where values are equal."""
-    order = np.argsort(v)
-    held = v[order]
-    keys = np.concatenate([[0], np.cumsum(held[1:] != held[:-1])]) * len(v) + order
-    keys.sort()
-    return keys % len(v)
+def _before(values: np.ndarray, ids: np.ndarray, among: np.ndarray, among_ids: np.ndarray) -> np.ndarray:
+    """How many of `among` come before each of `values`, both by (value, id); equal pairs don't come before each other."""
+    n = len(values)
+    second = np.concatenate([np.zeros(n, np.int8), np.ones(len(among), np.int8)])
+    order = np.lexsort((second, np.concatenate([ids, among_ids]), np.concatenate([values, among])))
+    counts = np.cumsum(second[order])
+    out = np.empty(n, np.int64)
+    first = order < n
+    out[order[first]] = counts[first]
+    return out
 
 
-def _places(s: np.ndarray, relevant: np.ndarray, room: np.ndarray) -> np.ndarray:
-    """For scores s (whole numbers, the best least, in order of id): the places, from 0, of the rows `relevant` by (score, id), rising.
+def _ahead(values: np.ndarray, ids: np.ndarray, among: np.ndarray, among_ids: np.ndarray) -> np.ndarray:
+    """The same for many: values alone are sorted, and ids looked at where a value stands on both sides."""
+    held = np.sort(among)
+    out = np.searchsorted(held, values, "left")
+    tied = np.searchsorted(held, values, "right") > out
+    if tied.any():
+        same = np.isin(among, values[tied])
+        out[tied] += _before(values[tied], ids[tied], among[same], among_ids[same]) - np.searchsorted(np.sort(among[same]), values[tied], "left")
+    return out
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts that never fall, as steps of one byte or eight; the first byte tells which."""
+    steps = np.diff(counts, prepend=0)
+    wide = len(steps) > 0 and steps.max() > 255
+    return bytes([8 if wide else 1]) + steps.astype("<i8" if wide else "u1").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, "<i8" if data[0] == 8 else "u1", offset=1), dtype=np.int64)
+
+
+def _counted(forms: Sequence[Callable[[np.ndarray], np.ndarray]], schema: pa.Schema) -> Callable:
+    """A task's work: queries, rows of their classes (a block of each) and a block of the corpus; for each query the corpus rows ahead of each relevant row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrived = [b for b in batches if len(b)]
+        if not arrived:
+            return
+        table = pa.Table.from_batches(arrived)
+        del arrived
+        block = table.column("rb")[0].as_py()
+        q, r, c = (table.filter(pc.equal(table.column("side"), side)).sort_by("k") for side in (0, 1, 2))
+        del table
+        if not len(q) or not len(r):
+            return
+        q = q.take(pc.sort_indices(q, [("l", "ascending"), ("k", "ascending")]))
+        own, ids, others = (t.column("k").to_numpy() for t in (q, r, c))
+        several = q.column("several").to_numpy(zero_copy_only=False)
+        codes = pd.factorize(np.concatenate([t.column("l").to_numpy(zero_copy_only=False) for t in (q, r, c)]))[0]
+        mine, theirs, labels = np.split(codes, [len(q), len(q) + len(r)])
+        plain = [_matrix(t, "v") if len(t) else np.empty((0, 0)) for t in (q, r, c)]
+        out, size = [], 0
+        for f, form in enumerate(forms or [None]):
+            x, y, z = (form(m.copy()) if form and len(m) else m for m in plain)
+            m, rel = None, None
+            for part in _chunks(len(q), max(len(c), 1)):
+                scores = np.rint(-SCALE * (x[part] @ z.T)) if len(c) else np.empty((len(x[part]), 0))
+                for i, row in zip(range(*part.indices(len(q))), scores, strict=True):
+                    if m != mine[i]:
+                        m = mine[i]
+                        rel, same, rest = np.flatnonzero(theirs == m), np.flatnonzero(labels == m), np.flatnonzero(labels != m)
+                        members = y[rel]
+                    if not len(rel):
+                        continue
+                    s = np.rint(-SCALE * (members @ x[i]))
+                    s[ids[rel] == own[i]] = SCALE  # the query's own row has similarity -1
+                    for v in (s, row):
+                        v[np.isnan(v)] = -np.inf  # the greatest, as in SQL
+                    order = np.argsort(s, kind="stable")
+                    s, k = s[order], ids[rel][order]
+                    apart = _packed(_ahead(s, k, row[rest], others[rest]))
+                    within = None
+                    if several[i]:
+                        # rows of the class in this block of the corpus; one that is also in the block of relevant rows has the score it has there
+                        v, w = row[same], others[same]
+                        v[w == own[i]] = SCALE
+                        if len(w):
+                            by = np.argsort(k)
+                            at = np.minimum(np.searchsorted(k[by], w), len(k) - 1)
+                            hit = k[by][at] == w
+                            v[hit] = s[by][at[hit]]
+                        within = _packed(_before(s, k, v, w))
+                    out.append((f, own[i], block, apart, within))
+                    size += len(apart) + len(within or b"")
+                    if size > 4 << 20:
+                        yield _record(out, schema)
+                        out, size = [], 0
+        if out:
+            yield _record(out, schema)
+
+    return run
+
+
+def _record(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    Only the sequence of relevant and other rows counts, so a relevant row's score gets a quarter on top and values alone are
-    sorted. Where equal scores are both relevant and not, or a score too large for that, rows are put in order themselves.
-    room has as many places as s.
-    """
-    np.copyto(room, s)
-    room[relevant] += 0.25
-    room.sort()
-    if len(room) and -SCALE * 512 < room[0] and room[-1] < SCALE * 512 and not (room[1:] - room[:-1] == 0.25).any():
-        return np.flatnonzero(np.floor(room) != room)
-    hit = np.zeros(len(s), bool)
-    hit[relevant] = True
-    return np.flatnonzero(hit[_in_order(s)])
-
-
-class _Arrived:
-    """Matrices in the order in which they come: in memory up to `most` bytes, beyond that in a file without a name, which goes with its task."""
-
-    def __init__(self, most: int):
-        self.most, self.parts, self.rows, self.size, self.file = most, [], 0, 0, None
-
-    def add(self, x: np.ndarray) -> None:
-        self.parts.append(x)
-        self.rows, self.size = self.rows + len(x), self.size + x.nbytes
-        if self.size > self.most:
-            self.file = self.file or tempfile.TemporaryFile()
-            for part in self.parts:
-                self.file.write(np.ascontiguousarray(part))
-            self.width, self.kind, self.parts = x.shape[1], x.dtype, []
-
-    def __iter__(self) -> Iterator[np.ndarray]:
-        """All of them, once."""
-        if self.file:
-            with self.file:
-                self.file.seek(0)
-                for part in _pieces(self.rows, self.width):
-                    yield np.frombuffer(self.file.read(len(range(self.rows)[part]) * self.width * self.kind.itemsize), self.kind).reshape(-1, self.width)
-        while self.parts:
-            yield self.parts.pop(0)
-
-
-def _room(rows: int, width: int, kind: np.dtype, most: int) -> np.ndarray:
-    """A matrix to be filled: memory up to `most` bytes, beyond that a file without a name, which goes with the matrix."""
-    if rows * width * kind.itemsize <= most:
-        return np.empty((rows, width), kind)
-    with tempfile.TemporaryFile() as file:
-        return np.memmap(file, kind, "w+", shape=(rows, width))
-
-
-def _pieces(rows: int, width: int) -> Iterator[slice]:
-    """Parts of a matrix, which take 4 MB at most as doubles."""
-    step = max(1, (512 << 10) // max(1, width))
-    return (slice(at, at + step) for at in range(0, rows, step))
+
+def _summed(schema: pa.Schema) -> Callable:
+    """Rows sorted by form, query and block of relevant rows: their counts added over the corpus's blocks, then ranks and precision."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, apart, within = None, None, None
+        out: list[tuple] = []
+
+        def close() -> None:
+            place = within if within is not None else np.arange(len(apart))
+            rank = apart + place + 1
+            out.append((*at[:2], len(rank), int(rank.min()), float(((place + 1) / rank).sum())))
+
+        for b in batches:
+            for f, src, block, x, y in zip(*(b.column(c).to_pylist() for c in ("form", "src", "rb", "apart", "within")), strict=True):
+                if (f, src, block) == at:
+                    apart += _unpacked(x)
+                    within = within if y is None else within + _unpacked(y)
+                    continue
+                if at is not None:
+                    close()
+                at, apart, within = (f, src, block), _unpacked(x), None if y is None else _unpacked(y)
+            if out:
+                yield _record(out, schema)
+                out.clear()
+        if at is not None:
+            close()
+            yield _record(out, schema)
+
+    return run
 
 
 def evaluate(queries: DataFrame, corpus: DataFrame, ks: Sequence[int] = (1, 5, 10), key: str = "vec_id", vec: str = "embedding", label: str = "label", forms: Sequence[Callable[[np.ndarray], np.ndarray]] = ()) -> DataFrame:
     """(src, hit_k…, ap) per query: whether a row of its class is among the first k, and average precision.
 
-    The query's own row ranks with similarity -1 and counts as relevant. A task has a block of queries and the whole corpus, by
-    id, which lies in a file of the task's own beyond BLOCK_BYTES. It ranks a few queries at a time, whose scores take
-    32 MB or are those of one, and leaves a row a query, so no pair is a row and none is counted outside its task.
+    The query's own row ranks with similarity -1 and counts as relevant; equal scores go by id; a query whose class is null or has no row in the corpus has
+    zeros. Ranks come by counting: a task has a block of queries, a block of relevant rows (those of some classes; a class of
+    more than a block is cut) and a block of the corpus, none over BLOCK_BYTES, and counts for each query the rows of other classes ahead
+    of each relevant one, and those of its own class where that is cut. Counts are added over the corpus's blocks: what is shuffled is the
+    corpus once for each block of queries and relevant rows, and a byte or so for each query, row of its class and block of the corpus. No task holds the corpus, and
+    `_summed` holds one query's counts for one block.
     `forms` make other vectors of a matrix of the table's, row by row; each gets rows of its own, under its number in `form`.
     """
     spark = queries.sparkSession
     ship(spark)
-    n_q = _blocks(queries, vec, spark.sparkContext.defaultParallelism)
-    kind, stored = dict(queries.dtypes)[key], np.float32 if dict(corpus.dtypes)[vec] == "array<float>" else np.float64
-    most = BLOCK_BYTES  # the workers' copy of this module has the value it was written with
-    schema = pa.schema({"form": pa.int32(), "src": to_arrow_type(queries.schema[key].dataType), "n": pa.int64(), "best": pa.int64(), "total": pa.float64()})
-
-    def places(q: pa.Table, c: pa.Table, vectors: np.ndarray) -> Iterator[tuple]:
-        """(form, query, places of the relevant rows, rising); c and vectors are the corpus by id."""
-        own, ids = q.column("k").to_numpy(), c.column("k").to_numpy()
-        codes = pd.factorize(np.concatenate([t.column("l").to_numpy() for t in (q, c)]))[0]
-        mine, labels = codes[: len(q)], codes[len(q) :]
-        mine[mine < 0] = -2  # a null label, -1 here, is like none
-        by = np.argsort(labels, kind="stable")
-        held = {m: by[slice(*np.searchsorted(labels[by], [m, m + 1]))] for m in np.unique(mine)}
-        low, high = (np.searchsorted(ids, own, side) for side in ("left", "right"))
-        room, step = np.empty(len(c)), max(1, (4 << 20) // len(c))
-        scores = np.empty((min(step, len(q)), len(c)))
-        for f, form in enumerate(forms or [None]):
-            x, columns = _matrix(q, "v"), vectors
-            if form:
-                x = form(x)
-                columns = _room(len(c), x.shape[1], x.dtype, most)
-                for piece in _pieces(*vectors.shape):
-                    columns[piece] = form(vectors[piece].astype(np.float64))
-            x *= -SCALE
-            for part in (slice(at, at + step) for at in range(0, len(q), step)):
-                for piece in _pieces(*columns.shape):
-                    scores[: len(x[part]), piece] = x[part] @ np.asarray(columns[piece], np.float64).T
-                for k, m, first, last, row in zip(own[part], mine[part], low[part], high[part], scores, strict=False):
-                    np.rint(row, out=row)
-                    row[first:last] = SCALE
-                    if np.isnan(row.sum()):
-                        row[np.isnan(row)] = -np.inf  # the greatest, as in SQL
-                    yield f, k, _places(row, held[m], room)
-
-    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, corpus, arrived = [], [], _Arrived(most)
-        for b in batches:
-            q, c = (pa.Table.from_batches([b]).filter(pc.equal(b.column("side"), side)) for side in (0, 1))
-            queries.append(q)
-            corpus.append(c.select(["k", "l"]))
-            if len(c):
-                arrived.add(_matrix(c, "v", stored))
-        if not sum(map(len, queries)):
-            return
-        q, c = pa.concat_tables(queries).sort_by("k"), pa.concat_tables(corpus)
-        del queries, corpus
-        found = ((f, k, np.zeros(0, int)) for f in range(len(forms) or 1) for k in q.column("k").to_numpy())  # in a corpus without rows
-        if len(c):
-            order, at, vectors = pc.sort_indices(c, [("k", "ascending")]), 0, None
-            place = np.empty(len(c), np.int64)
-            place[order] = np.arange(len(c))
-            for x in arrived:
-                vectors = _room(len(c), x.shape[1], x.dtype, most) if vectors is None else vectors
-                vectors[place[at : at + len(x)]] = x
-                at += len(x)
-            c = c.take(order)
-            del order, place, x
-            found = places(q, c, vectors)
-        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-        out: list[tuple] = []
-        for f, k, at in found:
-            out.append((f, k, len(at), int(at[0]) + 1 if len(at) else None, float((np.arange(1, len(at) + 1) / (at + 1)).sum())))
-            if len(out) == 4096:
-                yield batch()
-                out = []
-        if out:
-            yield batch()
-
-    own = (F.col(key).alias("k"), F.col(vec).alias("v"), F.col(label).alias("l"))
-    parts = [queries.select(_dealt(queries, key, n_q).alias("task"), F.lit(0).alias("side"), *own), corpus.select(_every(n_q).alias("task"), F.lit(1).alias("side"), *own)]
-    sent = parts[0].unionByName(parts[1]).repartitionById(n_q, F.col("task"))
-    found = sent.mapInArrow(ranked, ", ".join(f"{f.name} {kind if f.name == 'src' else from_arrow_type(f.type).simpleString()}" for f in schema))
+    (rows_q, size_q), (rows_c, size_c) = _extent(queries, vec), _extent(corpus, vec)
+    n_q, n_r = _split(rows_q, size_q), _split(rows_c, size_c)
+    n_c = _split(rows_c, size_c, -(-spark.sparkContext.defaultParallelism // (n_q * n_r)))
+    # a row for each class that is asked for: into how many blocks its rows go
+    sizes = corpus.groupBy(F.col(label).alias("_l")).agg(F.sum(F.size(vec)).alias("_n")).join(queries.select(F.col(label).alias("_a")).distinct(), F.col("_l") == F.col("_a"), "left_semi")
+    sizes = materialize(sizes.select("_l", F.greatest(F.lit(1), F.ceil(8 * F.col("_n") / BLOCK_BYTES)).cast("int").alias("_cut")), "classes")
+
+    def block(i: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit("class"), F.col("_l")) + i, F.lit(n_r)).cast("int")
+
+    def sent(df: DataFrame, side: int, qb: Column, rb: Column, cb: Column, several: Column) -> DataFrame:
+        step = df
+        for name, value in (("qb", qb), ("rb", rb), ("cb", cb)):
+            step = step.withColumn(name, value)
+        return step.select(((F.col("qb") * n_r + F.col("rb")) * n_c + F.col("cb")).cast("int").alias("task"), "rb", F.lit(side).alias("side"), several.alias("several"), F.col(key).alias("k"), F.col(vec).alias("v"), F.col(label).alias("l"))
+
+    cut = F.col("_cut")
+    asked, relevant = (df.join(sizes, F.col(label) == F.col("_l")) for df in (queries, corpus))
+    parts = sent(asked, 0, _dealt(queries, key, n_q), F.explode(F.transform(F.sequence(F.lit(0), cut - 1), block)), _every(n_c), cut > 1)
+    parts = parts.unionByName(sent(relevant, 1, _every(n_q), block(F.pmod(F.xxhash64(F.lit("row"), F.col(key)), cut)), _every(n_c), cut > 1))
+    parts = parts.unionByName(sent(corpus, 2, _every(n_q), _every(n_r), _dealt(corpus, key, n_c), F.lit(False)))
+    kind, arrow = dict(queries.dtypes)[key], to_arrow_type(queries.schema[key].dataType)
+    schema = pa.schema({"form": pa.int32(), "src": arrow, "rb": pa.int32(), "apart": pa.binary(), "within": pa.binary()})
+    counted = parts.repartitionById(n_q * n_r * n_c, F.col("task")).mapInArrow(_counted(forms, schema), f"form int, src {kind}, rb int, apart binary, within binary")
+    schema = pa.schema({"form": pa.int32(), "src": arrow, "n": pa.int64(), "best": pa.int64(), "total": pa.float64()})
+    by = ["form", "src", "rb"]
+    found = counted.repartition(*by).sortWithinPartitions(*by).mapInArrow(_summed(schema), f"form int, src {kind}, n long, best long, total double")
     per = found.groupBy("form", "src").agg(F.min("best").alias("best"), F.sum("n").alias("n"), F.sum("total").alias("total"))
+    every = queries.select(F.explode(F.sequence(F.lit(0), F.lit(max(len(forms), 1) - 1))).alias("form"), F.col(key).alias("src"))
     # a query without any relevant row has none of these
     hit = [F.coalesce((F.col("best") <= k).cast("int"), F.lit(0)).alias(f"hit_{k}") for k in ks]
-    return per.select(*["form"] * bool(forms), "src", *hit, F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(0.0).alias("ap"))
+    return every.join(per, ["form", "src"], "left").select(*["form"] * bool(forms), "src", *hit, F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(0.0).alias("ap"))
 
 
 def summary(per_query: DataFrame, ks: Sequence[int] = (1, 5, 10), by: Sequence[str] = ()) -> DataFrame:
     return per_query.groupBy(*by).agg(*[F.avg(F.col(f"hit_{k}").cast("double")).alias(f"recall_at_{k}") for k in ks], F.avg("ap").alias("mean_ap"))
 
 
-def tune(df: DataFrame, blocks: Sequence[str], grid: Sequence[Sequence[float]], ks: Sequence[int] = (1, 5, 10), key: str = "vec_id", label: str = "label") -> DataFrame:
-    """(run, weights, recall_at_k…, mean_ap) for each weight tuple; the first strictly best run has best = true."""
-    runs = None
-    for i, w in enumerate(grid):
-        fused = df.select(key, label, normalized(fuse(dict(zip(blocks, w, strict=True)))).alias("_v"))
-        one = summary(evaluate(fused, fused, ks, key, "_v", label), ks).select(F.lit(i).alias("run"), F.lit(",".join(f"{x:g}" for x in w)).alias("weights"), "*")
-        runs = one if runs is None else runs.unionByName(one)
+def tune(df: DataFrame, blocks: Sequence[str], grid: Sequence[Sequence[float]], ks: Sequence[int] = (1, 5, 10), key: str = "vec_id", label: str = "label", asked: Column | None = None) -> DataFrame:
+    """(run, weights, recall_at_k…, mean_ap) for each weight tuple; the first strictly best run has best = true.
+
+    `asked` holds for the rows that are queries, all where it is None. All runs are one pass: a task weighs the blocks of its vectors for each.
+    """
+    row = df.select(*[F.size(b) for b in blocks]).first()
+    cuts = np.cumsum([0, *(row or [0] * len(blocks))])
+
+    def form(w: Sequence[float]) -> Callable[[np.ndarray], np.ndarray]:
+        return lambda x: _unit(x * np.repeat(np.asarray(w, np.float64), np.diff(cuts)))
+
+    whole = df.select(key, label, F.concat(*[as_double(F.col(b)) for b in blocks]).alias("_v"))
+    queries = df.filter(asked).select(key, label, F.concat(*[as_double(F.col(b)) for b in blocks]).alias("_v")) if asked is not None else whole
+    found = summary(evaluate(queries, whole, ks, key, "_v", label, [form(w) for w in grid]), ks, ["form"])
+    named = df.sparkSession.createDataFrame([(i, ",".join(f"{x:g}" for x in w)) for i, w in enumerate(grid)], "run int, weights string")
+    runs = named.join(found, F.col("run") == F.col("form"), "left").drop("form")
     every = Window.orderBy(F.desc(F.round("mean_ap", 12)), "run")  # a row per run
     return runs.withColumn("best", F.row_number().over(every) == 1)

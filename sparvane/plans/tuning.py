@@ -6,7 +6,7 @@ import itertools
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import shared
@@ -15,12 +15,13 @@ from ..operators import fitting, retrieval, statistics
 
 def grid(
     tiers: DataFrame, dims: Sequence[int] = (0, 256, 448), hu: Sequence[float] = (1.0, 1.5, 2.0, 3.0), first: Sequence[float] = (0.5, 1.0, 1.5, 2.0, 3.0),
-    hu_places: Sequence[int] = (), ks: Sequence[int] = (1, 5, 10),
+    hu_places: Sequence[int] = (), ks: Sequence[int] = (1, 5, 10), asked: Column | None = None,
 ) -> DataFrame:
     """A row per run: pca_dim, hu_weight, tier1_weight, recall_at_k…, mean_ap and whether it is the best.
 
     tiers has (id, label, t1, t2, t3). Tiers are z-scored, the second reduced, the first
-    boosted and weighted. Run 0 is the baseline: equal weights, nothing reduced or boosted.
+    boosted and weighted. Run 0 is the baseline: equal weights, nothing reduced or boosted. `asked` holds for the rows that are queries, all where it is None;
+    settings are fitted on all rows.
     """
     scored = tiers
     for t in ("t1", "t2", "t3"):
@@ -42,9 +43,9 @@ def grid(
 
             return fused
 
-        ends = scored.select(F.col("id").alias("vec_id"), "label", F.concat(*[F.col(t).cast("array<double>") for t in ("t1", "t2", "t3")]).alias("embedding"))
+        whole = scored.select(F.col("id").alias("vec_id"), "label", F.concat(*[F.col(t).cast("array<double>") for t in ("t1", "t2", "t3")]).alias("embedding"))
         # every run in one pass: a task makes each run's vectors of its queries and the corpus
-        found = retrieval.summary(retrieval.evaluate(ends, ends, ks, forms=[form(*r) for r in runs]), ks, ["form"]).collect()
+        found = retrieval.summary(retrieval.evaluate(whole if asked is None else whole.join(scored.filter(asked).select(F.col("id").alias("vec_id")), "vec_id", "left_semi"), whole, ks, forms=[form(*r) for r in runs]), ks, ["form"]).collect()
     by = {r["form"]: tuple(r)[1:] for r in found}  # a row per run
     rows = [(i, *r, *by.get(i, (None,) * (len(ks) + 1))) for i, r in enumerate(runs)]
     kinds = "run int, pca_dim int, hu_weight double, tier1_weight double, " + ", ".join(f"recall_at_{k} double" for k in ks) + ", mean_ap double"

@@ -5,7 +5,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparvane import catalog
 from sparvane.operators import relational, retrieval, statistics
 
 
@@ -87,26 +86,48 @@ def python_rows(df):
 
 @pytest.mark.parametrize("size", [64 << 20, 3000])
 def test_evaluate_makes_no_row_for_each_pair(spark, monkeypatch, size):
-    """300 rows of one class: what the tasks that rank leave grows with queries and blocks, not with pairs."""
+    """300 rows of one class: what the tasks that count leave is a row for each query, block of relevant rows and block of the corpus."""
     monkeypatch.setattr(retrieval, "BLOCK_BYTES", size)
     df = spark.range(300).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id"), F.lit(0.5)).alias("embedding"), F.lit(1).alias("label"))
     out = retrieval.evaluate(df, df, (1,))
     assert [r.ap for r in out.collect()] == [1.0] * 300
-    written = python_rows(out)
-    assert written and max(written) <= 300 * 9
+    blocks = 1 if size > 3000 else -(-300 * 3 * 8 // size)
+    assert max(python_rows(out)) <= 300 * blocks * max(blocks, spark.sparkContext.defaultParallelism)
 
 
-def test_recall_map_leaves_a_row_a_query(spark):
-    out = catalog.QUERIES["recall_map"](spark, "/root/testdata/sf0.001")
-    out.collect()
-    assert python_rows(out) == [500]
+@pytest.mark.parametrize("size", [64 << 20, 400])
+def test_a_task_holds_three_blocks_at_most(spark, corpus, monkeypatch, size):
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", size)
+    df, x, _ = corpus
+    seen = []
+    monkeypatch.setattr(retrieval, "_counted", lambda forms, schema: lambda batches: iter(()))
+    monkeypatch.setattr(type(df), "repartitionById", lambda self, n, task: seen.append((n, self)) or self, raising=False)
+    retrieval.evaluate(df.filter("vec_id % 10 = 0"), df)
+    n, parts = seen[0]
+    rows = parts.groupBy("task", "side").agg(F.sum(F.size("v") * 8).alias("bytes")).collect()
+    assert max(r.task for r in rows) < n
+    assert all(r.bytes <= 3 * size for r in rows)  # dealt by hashes, so about a block
+
+
+def test_one_class_over_many_blocks(spark, monkeypatch):
+    """A class with most rows and equal scores on both sides, cut over several blocks of relevant rows."""
+    rng = np.random.default_rng(3)
+    x = rng.choice([-1.0, 0.0, 0.5, 1.0], (240, 3))
+    label = np.where(np.arange(240) % 5 == 0, "b", "a")
+    df = spark.createDataFrame([(i, x[i].tolist(), str(label[i])) for i in range(240)], "vec_id long, embedding array<double>, label string").repartition(4)
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 1000)
+    got = {r.src: r for r in retrieval.evaluate(df.filter("vec_id % 3 = 0"), df, (1, 5)).collect()}
+    s = x @ x.T
+    np.fill_diagonal(s, -1)
+    assert set(got) == set(range(0, 240, 3))
+    for i, r in got.items():
+        at = np.flatnonzero(label[np.lexsort((np.arange(240), -s[i]))] == label[i])
+        assert (r.hit_1, r.hit_5) == (int(at[0] < 1), int(at[0] < 5)) and r.ap == pytest.approx(np.mean(np.arange(1, len(at) + 1) / (at + 1)))
 
 
-def test_recall_map_leaves_a_row_a_query_beyond_a_block(spark, monkeypatch):
-    within = catalog.QUERIES["recall_map"](spark, "/root/testdata/sf0.001").collect()
-    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 100_000)
-    out = catalog.QUERIES["recall_map"](spark, "/root/testdata/sf0.001")
-    assert out.collect() == within and python_rows(out) == [500]
+def test_counts_survive_packing():
+    for counts in ([], [0], [3, 3, 258], [0, 400, 10**12]):
+        assert retrieval._unpacked(retrieval._packed(np.array(counts, np.int64))).tolist() == counts
 
 
 def test_forms_beyond_a_block(spark, corpus, monkeypatch):
@@ -114,20 +135,8 @@ def test_forms_beyond_a_block(spark, corpus, monkeypatch):
     alone = [retrieval.evaluate(d, d).collect() for d in (df, df.withColumn("embedding", F.slice("embedding", 2, 3)))]
     monkeypatch.setattr(retrieval, "BLOCK_BYTES", 500)
     got = retrieval.evaluate(df, df, forms=[lambda x: x, lambda x: x[:, 1:4]]).collect()
-    assert sorted(map(tuple, got)) == sorted((f, *r) for f, rows in enumerate(alone) for r in rows)
-
-
-@pytest.mark.parametrize("most", [0, 1000, 1 << 20])
-def test_a_task_holds_no_more_vectors_than_it_may(most):
-    x = np.arange(700, dtype=np.float32).reshape(100, 7)
-    arrived = retrieval._Arrived(most)
-    for part in np.split(x, [3, 3, 60]):
-        arrived.add(part)
-        assert sum(p.nbytes for p in arrived.parts) <= most
-    assert np.array_equal(np.concatenate(list(arrived)), x)
-    room = retrieval._room(100, 7, x.dtype, most)
-    room[:] = x
-    assert np.array_equal(room, x) and isinstance(room, np.memmap) == (most < x.nbytes)
+    got = sorted(tuple(r)[:-1] + (round(r.ap, 12),) for r in got)  # blocks add in another order
+    assert got == sorted((f, *tuple(r)[:-1], round(r.ap, 12)) for f, rows in enumerate(alone) for r in rows)
 
 
 def test_a_length_is_made_once_a_vector(spark):

@@ -86,7 +86,7 @@ def test_registered_grid_is_whole(spark):
         s = v @ v.T
         np.fill_diagonal(s, -1)
         aps = []
-        for i in range(len(s)):
+        for i in np.flatnonzero(ids % 100 == 0):
             at = np.flatnonzero(label[np.lexsort((ids, -s[i]))] == label[i])
             aps.append(np.mean(np.arange(1, len(at) + 1) / (at + 1)))
         want[d, h, w] = np.mean(aps)
