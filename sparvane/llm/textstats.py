@@ -108,3 +108,15 @@ def sample_by_hash(df: DataFrame, most: int, salt: str) -> DataFrame:
     if share < 1:
         df = df.filter(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") < int(share * (1 << 48)))
     return df.orderBy(digest, "doc_id").limit(most)
+
+
+def bounded_texts(rows: DataFrame, most: int, salt: str) -> DataFrame:
+    """One row for each doc_id and text of rows (doc_id, text, …), at most about `most`, those of least hash of both.
+
+    However often an id repeats, copies are gone before anything is gathered; of more than `most` texts those below
+    a threshold stay (their number differs from `most` by chance alone), with no order and no single task.
+    """
+    key = F.xxhash64(F.lit(salt), "doc_id", F.coalesce("text", F.lit("")))
+    per = rows.withColumn("_key", key).dropDuplicates(["doc_id", "_key"])
+    n = rows.select(F.col("doc_id"), key.alias("_key")).distinct().count()
+    return (per if n <= most else per.filter(F.pmod("_key", F.lit(1 << 40)) < int(most / n * (1 << 40)))).drop("_key")

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import guarded, materialize, ship
 from .held import held
-from .textstats import sample_by_hash, training_fold
+from .textstats import bounded_texts, sample_by_hash, training_fold
 
 CLASSES = 64
 # What a sign may stand for.
@@ -37,7 +38,10 @@ _NUMBER = re.compile(r"[+$€£¥¢]*[0-9][0-9.,:;/()%*-]*[+$€£¥¢!]*")
 _ONE, _GAP = r"(?:[^\W_]|[@$!|+€£¥¢])", re.compile(r"[\s._*-]+")
 #: three or more single characters parted by white space or signs, in punctuation or not
 _SPACED = re.compile(rf"(?<!\S)[{re.escape(_EDGE)}]*+({_ONE}(?:[\s._*-]++{_ONE}){{2,}})[{re.escape(_EDGE)}!]*(?!\S)")
-_MOST = 300_000
+#: signs that end a sentence
+_LAST = "!.,?"
+#: bytes of tokens, and of what is known of them, that a worker remembers
+_MOST = 48 << 20
 
 
 def _classes() -> np.ndarray:
@@ -99,7 +103,8 @@ class Decoder:
     def __init__(self, costs: np.ndarray):
         self.costs = costs.tolist()
 
-    def options(self, text: str, i: int, spaced: bool, doubled: bool = False) -> list[tuple[str, float]]:
+    def options(self, text: str, i: int, spaced: bool, doubled: bool = False, end: int | None = None) -> list[tuple[str, float]]:
+        """What the i-th character may stand for, with costs; `end` is where the text's last signs begin, found here if not given."""
         ch = text[i]
         if _class(ch):
             if i and text[i - 1] == ch and (text[i - 2 : i - 1] == ch or text[i + 1 : i + 2] == ch):
@@ -108,7 +113,7 @@ class Decoder:
                 return [(ch, 0.0), ("", DROP_DOUBLE)]
             return [(ch, 0.0)]
         if ch in LEET:
-            drop = DROP_LAST if ch == "!" and not text[i:].strip("!.,?") else DROP_SIGN if ch * 3 in text[max(0, i - 2) : i + 3] else DROP_LEET
+            drop = DROP_LAST if ch == "!" and i >= (len(text.rstrip(_LAST)) if end is None else end) else DROP_SIGN if ch * 3 in text[max(0, i - 2) : i + 3] else DROP_LEET
             if doubled and i and text[i - 1] == ch:
                 drop = min(drop, DROP_DOUBLE)
             return [*((x, SUBSTITUTE) for x in LEET[ch]), ("", drop)]
@@ -124,9 +129,10 @@ class Decoder:
         """The cost of the best reading, and the reading. A state is the last two classes read; readings are linked backwards."""
         costs, k2 = self.costs, CLASSES
         states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        end = len(text.rstrip(_LAST))
         for i in range(len(text)):
             new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-            options = [(x, more, _class(x) if x else -1) for x, more in self.options(text, i, spaced, doubled)]
+            options = [(x, more, _class(x) if x else -1) for x, more in self.options(text, i, spaced, doubled, end)]
             for (a, b), (cost, path) in states.items():
                 base = (a * k2 + b) * k2
                 for x, more, c in options:
@@ -213,13 +219,15 @@ class Scorer:
         self.model, self.decoder = model, Decoder(model.costs)
         self.clean: set[str] = set()
         self.hot: dict[str, tuple[int, ...]] = {}
+        self.size = 0
         self.trie = ahocorasick.Automaton()
         for i, g in enumerate(model.grams):
             self.trie.add_word(g, i)
         if model.grams:
             self.trie.make_automaton()
 
-    def _learn(self, tokens: list[str]) -> None:
+    def _learn(self, tokens: list[str]) -> dict[str, tuple[int, ...]]:
+        """The n-grams of tokens that have some; all tokens are remembered, up to _MOST bytes."""
         readings = [self.decoder.token(t) for t in tokens]
         lines = ["^" + r.replace(" ", "$^") + "$" for r in readings]
         ends = np.cumsum([len(x) + 1 for x in lines])
@@ -232,8 +240,15 @@ class Scorer:
                 own.append(gram)
             for i, gram in zip(np.searchsorted(ends, np.array(at, np.int64), side="right").tolist(), own, strict=True):
                 found.setdefault(i, set()).add(gram)
-        self.clean.update(t for i, t in enumerate(tokens) if i not in found)
-        self.hot.update((tokens[i], tuple(v)) for i, v in found.items())
+        hot = {tokens[i]: tuple(v) for i, v in found.items()}
+        size = sum(map(_held_bytes, tokens)) + sum(120 + 8 * len(v) for v in hot.values())
+        if self.size + size > _MOST:
+            self.clean, self.hot, self.size = set(), {}, 0
+        if size <= _MOST:
+            self.clean.update(t for t in tokens if t not in hot)
+            self.hot |= hot
+            self.size += size
+        return hot
 
     def features(self, texts: list[str]) -> list[set[int]]:
         out = []
@@ -241,14 +256,12 @@ class Scorer:
             sets = []
             for t in texts[at : at + 256]:
                 sets.append(set(self.decoder.joined(t).split()))
-            if len(self.clean) > _MOST:
-                self.clean.clear()
-                self.hot.clear()
             odd = [s.difference(self.clean) for s in sets]
-            new = set().union(*odd).difference(self.hot)
+            known = {t: self.hot[t] for t in set().union(*odd) if t in self.hot}
+            new = set().union(*odd).difference(known)
             if new:
-                self._learn(list(new))
-            out += [set().union(*(self.hot[t] for t in s if t in self.hot)) for s in odd]
+                known |= self._learn(list(new))
+            out += [set().union(*(known[t] for t in s if t in known)) for s in odd]
         return out
 
     def score(self, texts: list[str]) -> np.ndarray:
@@ -257,6 +270,11 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _held_bytes(token: str) -> int:
+    """A remembered token's own bytes and its place in a table."""
+    return sys.getsizeof(token) + 64
+
+
 def _scorer(model: Model) -> Scorer:
     return held(("scorer", hash(model.costs.tobytes()), tuple(model.grams), model.bias), lambda: Scorer(model))
 
@@ -277,7 +295,9 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, width: int, rou
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_grams: int = 3000, support: int = 3) -> Model:
-    """The model from all texts (characters) and at most `most_rows` labelled documents of the training fold.
+    """The model from all texts (characters) and at most `most_rows` labelled documents of the training fold, those of least hash.
+
+    Rows of one doc_id are its documents: each different text of it counts once, and texts beyond `most_rows` in all are left out by hash.
 
     n-grams are chosen by how surely toxic documents have them more often (log-odds over
     its error), down to a score that follows from how many were tried. Without toxic or without other documents all scores are the prior's.
@@ -285,18 +305,23 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_gram
     costs = model_costs(count_trigrams(docs))
     own = labels.filter("doc_id is not null and toxic is not null").filter(training_fold()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = F.broadcast(sample_by_hash(own, most_rows, "toxicity").select(F.col("doc_id").alias("_id"), "toxic"))
-    rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id")).select("toxic", "text")
+    rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id")).select("doc_id", "toxic", "text")
+    rows = bounded_texts(rows, most_rows, "toxicity").select("toxic", "text")
 
     def read(batches):
         decoder = Decoder(costs)
         known: dict[str, str] = {}
+        size = 0
         for batch in batches:
             out = []
             for t in batch.column("text").to_pylist():
                 tokens = set(decoder.joined(t or "").split())
+                if size > _MOST:
+                    known, size = {}, 0
                 for x in tokens:
                     if x not in known:
                         known[x] = decoder.token(x)
+                        size += 2 * _held_bytes(x)
                 out.append(sorted({w for x in tokens for w in known[x].split()}))
             yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), pa.array(out, pa.list_(pa.string()))], ["toxic", "words"])
 

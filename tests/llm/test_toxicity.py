@@ -1,11 +1,12 @@
 import itertools
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
 
-from sparvane.llm import queries, toxicity
+from sparvane.llm import queries, textstats, toxicity
 
 DATA = "/root/testdata/sf0.01"
 
@@ -62,6 +63,38 @@ def test_spaced_runs_take_linear_time(rude):
         assert isinstance(rude.restore(text), str)
 
 
+@pytest.mark.parametrize("kind", ["wow" + "!" * 1_000_000, "a!" * 500_000, "$" * 500_000 + "ab" * 250_000, "aabbccdd" * 125_000, "ab" + "?" * 1_000_000, "QUJD0kZ+x/9a" * 83_000])
+def test_a_token_takes_linear_time(rude, kind):
+    import time
+
+    began = time.time()
+    assert isinstance(rude.restore(kind), str)
+    assert time.time() - began < 20
+
+
+def test_a_scorer_remembers_a_bounded_number_of_bytes(rude, monkeypatch):
+    model = toxicity.Model(np.array(rude.costs), ["^idi"], np.array([9.0]), -4.0)
+    scorer, fresh = toxicity.Scorer(model), toxicity.Scorer(model)
+    monkeypatch.setattr(toxicity, "_MOST", 60_000)
+    for i in range(60):
+        texts = [f"idiot {'x' * 3000}{chr(97 + i % 26)}y{chr(97 + j)} idiots" for j in range(8)]
+        assert scorer.score(texts).tolist() == fresh.score([texts[0]]).tolist() * 8
+        held = sum(map(toxicity._held_bytes, scorer.clean | scorer.hot.keys()))
+        assert held <= scorer.size <= 60_000
+
+
+def test_one_id_with_many_texts(spark):
+    """Repeated rows count once, and different texts of one id are bounded as rows."""
+    hot = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 5)
+    rows = [(hot, f"the idiot number {i % 3000} is here") for i in range(9000)] + [(i, "the good book of a week") for i in range(200, 2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    own = textstats.bounded_texts(df, 500, "t")
+    assert 350 < own.count() < 650 and textstats.bounded_texts(df, 10**6, "t").count() == 3000 + 1800
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, textstats.bounded_texts(df.repartition(7), 500, "t").collect()))
+    model = toxicity.train(df, spark.createDataFrame([(i, int(i == hot)) for i in [hot, *range(200, 2000)]], "doc_id long, toxic int"), most_rows=500)
+    assert model.grams and toxicity.Scorer(model).score(["the idiot is here", "the good book", ""]).round().tolist() == [1.0, 0.0, 0.0]
+
+
 def test_trigram_counts(spark):
     n = toxicity.count_trigrams(spark.createDataFrame([(1, "abc"), (2, "ab")], "doc_id long, text string")).reshape(64, 64, 64)
     assert n[1, 2, 3] == 1 and n[0, 1, 2] == 2 and n[2, 0, 0] >= 1
