@@ -91,7 +91,7 @@ def test_one_id_with_many_texts(spark):
     own = textstats.bounded_texts(df, 500, "t")
     assert 350 < own.count() < 650 and textstats.bounded_texts(df, 10**6, "t").count() == 3000 + 1800
     assert sorted(map(tuple, own.collect())) == sorted(map(tuple, textstats.bounded_texts(df.repartition(7), 500, "t").collect()))
-    model = toxicity.train(df, spark.createDataFrame([(i, int(i == hot)) for i in [hot, *range(200, 2000)]], "doc_id long, toxic int"), most_rows=500)
+    model = toxicity.train(df, spark.createDataFrame([(i, int(i == hot)) for i in [hot, *range(200, 2000)]], "doc_id long, toxic int"), most_rows=4000)
     assert model.grams and toxicity.Scorer(model).score(["the idiot is here", "the good book", ""]).round().tolist() == [1.0, 0.0, 0.0]
 
 
