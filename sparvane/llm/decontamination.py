@@ -27,22 +27,50 @@ _FOUND = f"doc_id long, digest string, n_words long, spans {_SPANS}, items array
 
 
 class Phrases:
-    """Windows of some benchmark items: `window` consecutive words, or all words of a shorter item."""
+    """Windows of some benchmark items: `window` consecutive words, or all words of a shorter item.
+
+    All in arrays: a row of word numbers for each different window, its length, and the items that have it as a
+    stretch of one list. A million windows of ten words take about 60 MB.
+    """
 
     def __init__(self, rows: list[tuple[str, bytes]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        seen: dict[tuple[int, ...], set[str]] = {}
+        names: dict[str, int] = {}
+        patterns, lengths, owners = [np.empty((0, window), np.int32)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
         for item, text in rows:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text, ALNUM)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                seen.setdefault(tuple(ids[i : i + window]), set()).add(item)
-        self.lengths = np.array([len(k) for k in seen], np.int64)
-        self.patterns = np.zeros((len(seen), window), np.int64)
-        for i, k in enumerate(seen):
-            self.patterns[i, : len(k)] = k
-        self.items = [sorted(v) for v in seen.values()]
+            own = words(text, ALNUM)
+            ids = np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary)) for w in own), np.int32, len(own))
+            if not len(ids):
+                continue
+            own = np.lib.stride_tricks.sliding_window_view(ids, window) if len(ids) >= window else np.pad(ids, (0, window - len(ids)))[None]
+            patterns.append(own)
+            lengths.append(np.full(len(own), min(len(ids), window), np.int32))
+            owners.append(np.full(len(own), names.setdefault(item, len(names)), np.int32))
+        self.names = list(names)
+        patterns, lengths, owners = np.concatenate(patterns), np.concatenate(lengths), np.concatenate(owners)
+        order = np.lexsort((owners, *patterns.T, lengths))
+        patterns, lengths, owners = patterns[order], lengths[order], owners[order]
+        first = np.ones(len(order), bool)  # of a window's rows
+        first[1:] = (lengths[1:] != lengths[:-1]) | (patterns[1:] != patterns[:-1]).any(axis=1)
+        fresh = first.copy()  # of a window's rows for one item
+        fresh[1:] |= owners[1:] != owners[:-1]
+        self.patterns, self.lengths = patterns[first], lengths[first].astype(np.int64)
+        self.owners = owners[fresh]
+        self.owned = np.append(np.flatnonzero(first[fresh]), len(self.owners))
         self.least = int(self.lengths.min(initial=window))
 
+    def items(self, pattern: int) -> list[str]:
+        return [self.names[i] for i in self.owners[self.owned[pattern] : self.owned[pattern + 1]].tolist()]
+
+    def among(self, present: np.ndarray) -> np.ndarray:
+        """Numbers of the windows all of whose words are present (a flag for each word)."""
+        out = [np.empty(0, np.int64)]
+        for at in range(0, len(self.patterns), 1 << 16):
+            some = self.patterns[at : at + (1 << 16)]
+            held = present[some] | (np.arange(some.shape[1]) >= self.lengths[at : at + (1 << 16), None])
+            out.append(at + np.flatnonzero(held.all(axis=1)))
+        return np.concatenate(out)
+
     def ids(self, data: bytes) -> np.ndarray:
         """Numbers of the words of a text, -1 for words of no phrase."""
         parts = [np.fromiter(map(self.vocabulary.get, p, repeat(-1)), np.int32, len(p)) for p in pieces(data, ALNUM)]
@@ -76,12 +104,15 @@ class _Shard:
             # symbols: 1 separates, words follow from 2
             text = np.concatenate([x for _, _, ids in self.runs for x in (ids + 2, [1])])
             index = FMIndex(text)
-            low, high = index.search(self.phrases.patterns + 2, self.phrases.lengths)
+            present = np.zeros(len(self.phrases.vocabulary), bool)
+            present[text[text > 1] - 2] = True
+            tried = self.phrases.among(present)
+            low, high = index.search(self.phrases.patterns[tried] + 2, self.phrases.lengths[tried])
             found = np.flatnonzero(high > low)
             counts = (high - low)[found]
             which = np.repeat(found, counts)
             within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            at = index.locate(low[which] + within)
+            at, which = index.locate(low[which] + within), tried[which]
             starts = np.cumsum([0, *(len(ids) + 1 for _, _, ids in self.runs)])
             run = np.searchsorted(starts, at, side="right") - 1
             doc = np.array([d for d, _, _ in self.runs])[run]
@@ -96,7 +127,7 @@ class _Shard:
                     own.append((a, b))
             pairs = np.unique(np.stack((doc, which)), axis=1)
             for d, w in pairs.T.tolist():
-                items.setdefault(d, set()).update(self.phrases.items[w])
+                items.setdefault(d, set()).update(self.phrases.items(w))
         for d, (key, n) in enumerate(self.docs):
             yield key, n, spans.get(d, []), sorted(items.get(d, ()))
 
@@ -173,7 +204,7 @@ def _keeper(phrases, shard_words: int):
     return keep
 
 
-def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 1 << 20, block_bytes: int = 1 << 24) -> DataFrame:
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 1 << 20, block_words: int = 1 << 20) -> DataFrame:
     """docs without the rows in which a benchmark window occurs; null texts stay.
 
     A benchmark of several blocks is searched block by block: what a block leaves is written
@@ -182,7 +213,7 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, shar
     ship(docs.sparkSession)
     out, named = guarded(docs, ("text",))
     held = None
-    for block in _blocks(benchmark, window, block_bytes):
+    for block in _blocks(benchmark, window, block_words):
         if held is not None:
             out = materialize(out, "uncontaminated")
             held.unpersist()
@@ -190,25 +221,38 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, shar
     return named(out)
 
 
-def _blocks(benchmark: DataFrame, window: int, block_bytes: int):
+def _blocks(benchmark: DataFrame, window: int, block_words: int):
     """The benchmark's phrases, broadcast in blocks of bounded size, one at a time."""
     sc = benchmark.sparkSession.sparkContext
     rows: list[tuple[str, bytes]] = []
     size = 0
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce("text", F.lit("")).alias("t"))
+    parts = 1 + (items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // (4 << 20)  # what the driver reads ahead
     sent = False
-    for item, text in items.toLocalIterator():
-        if size >= block_bytes:
-            yield sc.broadcast(Phrases(rows, window))
-            rows, size, sent = [], 0, True
-        data = text.encode()
-        rows.append((item, data))
-        size += len(data)
+    for item, text in items.repartition(int(parts)).toLocalIterator():
+        for piece in _overlapping(text.encode(), window, block_words):
+            n = len(words(piece, ALNUM))
+            if rows and size + n > block_words:
+                yield sc.broadcast(Phrases(rows, window))
+                rows, size, sent = [], 0, True
+            rows.append((item, piece))
+            size += n
     if rows or not sent:
         yield sc.broadcast(Phrases(rows, window))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 1 << 20, block_bytes: int = 1 << 24, cut: bool = False) -> DataFrame:
+def _overlapping(text: bytes, window: int, most: int) -> Iterator[bytes]:
+    """A text whole, or in pieces of at most `most` words of which neighbours share all but one of a window's, so that each window is in one of them."""
+    own = words(text, ALNUM)
+    if len(own) <= max(most, window):
+        yield text
+        return
+    step = max(most, window) - window + 1
+    for at in range(0, len(own) - window + 1, step):
+        yield b" ".join(own[at : at + step + window - 1])
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 1 << 20, block_words: int = 1 << 20, cut: bool = False) -> DataFrame:
     """(doc_id, n_words, spans, items), one row for each row of docs; with cut, clean_text too.
 
     spans are merged word ranges [start, end) that occurrences of benchmark windows cover,
@@ -217,7 +261,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard
     A null item_id reads as an empty string. Items that share an id count as one. clean_text
     is the text without its spans, null where the text is.
 
-    The benchmark goes out in blocks of about block_bytes of text, each searched in all documents, one
+    The benchmark goes out in blocks of at most block_words words (so about as many windows; a longer item is cut into pieces that share windows' words), each searched in all documents, one
     held at a time: what a block finds is written to the shared folder before the next. Then
     each text's spans are merged over the blocks, and cut out of the texts in a last pass.
     """
@@ -225,7 +269,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard
     need = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
     found: list[DataFrame] = []
     held = None
-    for block in _blocks(benchmark, window, block_bytes):
+    for block in _blocks(benchmark, window, block_words):
         if held is not None:
             found[-1] = materialize(found[-1], "contamination")
             held.unpersist()

@@ -44,7 +44,7 @@ def test_index_finds_every_place(text, pattern):
     assert at == [i for i in range(len(text) - len(pattern) + 1) if text[i : i + len(pattern)] == pattern]
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_words": 20}, {"block_bytes": 60}])
+@pytest.mark.parametrize("options", [{}, {"shard_words": 20}, {"block_words": 12}])
 def test_against_brute_force(spark, options):
     rng = random.Random(3)
     words = [*"abcdefg", "é", "B", "x1"]
@@ -68,16 +68,45 @@ def test_edges(spark, edge_docs, no_docs):
     assert kept.columns == edge_docs.columns and kept.count() == edge_docs.count() - 2
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 24, 10, 50])
-def test_blocks_and_clashing_columns(spark, block_bytes):
+@pytest.mark.parametrize("block_words", [1 << 20, 2, 10, 17])
+def test_blocks_and_clashing_columns(spark, block_words):
     bench = spark.createDataFrame([(*r, "u", 2) for r in BENCH], "item_id long, text string, digest string, spans int")
     rows = [(1, "Keep this. One, two; THREE four! and that"), (1, "Keep this. One, two; THREE four! and that"), (2, "one two three four five six."), (None, "a lonely word"), (3, None), (4, ""), (5, "x y"), (6, "x y z " * 20_000)]
     docs = spark.createDataFrame([(*r, "d", 1, "i") for r in rows], "doc_id long, text string, digest string, spans int, items string")
     want = {1: "Keep this. ! and that", 2: ".", None: "a  word", 3: None, 4: "", 5: "x y", 6: " "}
-    got = D.contamination(docs, bench, block_bytes=block_bytes, cut=True).collect()
+    got = D.contamination(docs, bench, block_words=block_words, cut=True).collect()
     assert sorted((str(r.doc_id), r.clean_text) for r in got) == sorted((str(i), want[i]) for i, _ in rows)
-    plain = D.contamination(docs, bench, block_bytes=block_bytes).collect()
+    plain = D.contamination(docs, bench, block_words=block_words).collect()
     assert sorted((str(r.doc_id), r.n_words, [tuple(s) for s in r.spans], r["items"]) for r in plain) == sorted((str(r.doc_id), r.n_words, [tuple(s) for s in r.spans], r["items"]) for r in got)
     assert next(r["items"] for r in plain if r.doc_id == 2) == ["1", "2"]
-    kept = D.uncontaminated(docs, bench, block_bytes=block_bytes)
+    kept = D.uncontaminated(docs, bench, block_words=block_words)
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["3", "4", "5"]
+
+
+def test_windows_of_items_in_arrays_and_pieces():
+    """Shared and repeated windows, short items, and items cut into pieces give the same windows and owners."""
+    rng = random.Random(2)
+    rows = [(f"i{k % 7}", " ".join(rng.choice("abc") for _ in range(rng.choice([0, 1, 2, 3, 9, 30]))).encode()) for k in range(40)]
+
+    def windows(rows):
+        out = {}
+        for block in rows:
+            p = D.Phrases(block, 4)
+            names = {i: w.decode() for w, i in p.vocabulary.items()}
+            for i in range(len(p.lengths)):
+                out.setdefault(tuple(names[x] for x in p.patterns[i, : p.lengths[i]].tolist()), set()).update(p.items(i))
+        return out
+
+    want = {}
+    for item, text in rows:
+        own = text.decode().split()
+        for i in range(max(1, len(own) - 3) if own else 0):
+            want.setdefault(tuple(own[i : i + 4]), set()).add(item)
+    assert windows([rows]) == want
+    for most in (1, 4, 5, 11):
+        assert windows([[(item, piece)] for item, text in rows for piece in D._overlapping(text, 4, most)]) == want
+    p = D.Phrases(rows, 4)
+    present = np.zeros(len(p.vocabulary), bool)
+    present[p.vocabulary[b"a"]] = present[p.vocabulary[b"b"]] = True
+    c = p.vocabulary[b"c"]
+    assert p.among(present).tolist() == [i for i in range(len(p.lengths)) if c not in p.patterns[i, : p.lengths[i]].tolist()]
