@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -13,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..shared import materialize
+from ..shared import discard, materialize
 from ..ship import ship
+from .relational import sample_rows
 from .statistics import min_max
 from .vectors import as_double, cosine, dot, l2_squared, norm
 
@@ -85,6 +87,37 @@ def _chunks(rows: int, width: int) -> Iterator[slice]:
     return (slice(at, at + step) for at in range(0, rows, step))
 
 
+def _best(left: pa.Table, right: pa.Table, k: int | None, include_self: bool, metric: str = "cosine") -> pa.Table:
+    """(src, dst, score) of the k best rows of `right` (k, v) for each row of `left` (k, v, and a least score as `floor` or not), ties by key."""
+    out = []
+    if len(left) and len(right):
+        ids, own = right.column("k").to_numpy(), left.column("k").to_numpy()
+        q, c = _matrix(left, "v"), _matrix(right, "v")
+        q, c = (_unit(q), _unit(c)) if metric == "cosine" else (q, c)
+        floor = left.column("floor").to_numpy() if "floor" in left.column_names else None
+        for part in _chunks(len(q), len(c)):
+            s = q[part] @ c.T
+            if metric == "l2":
+                s = 2 * s - (q[part] ** 2).sum(axis=1)[:, None] - (c**2).sum(axis=1)[None, :]
+                np.minimum(s, 0, out=s)
+            s = np.round(s, 12)
+            if not include_self:
+                s[own[part][:, None] == ids[None, :]] = -np.inf
+            width = min(k or s.shape[1], s.shape[1])
+            # all that reach the k-th best, so that ties at the edge go by key as well
+            edge = np.partition(s, s.shape[1] - width, axis=1)[:, s.shape[1] - width]
+            if floor is not None:
+                edge = np.maximum(edge, floor[part])
+            row, col = np.nonzero(s >= edge[:, None])
+            order = np.lexsort((ids[col], -s[row, col], row))
+            row, col = row[order], col[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+            take = (place < width) & np.isfinite(s[row, col])
+            row, col = row[take], col[take]
+            out.append(pa.table({"src": own[part][row], "dst": ids[col], "score": s[row, col]}))
+    return pa.concat_tables(out) if out else pa.table({"src": left.column("k").slice(0, 0), "dst": right.column("k").slice(0, 0), "score": pa.array([], pa.float64())})
+
+
 def nearest(
     queries: DataFrame, corpus: DataFrame, k: int | None, key: str = "vec_id", vec: str = "embedding", include_self: bool = True, metric: str = "cosine",
     corpus_key: str | None = None, corpus_vec: str | None = None,
@@ -106,30 +139,7 @@ def nearest(
     kinds = dict(queries.dtypes)[key], dict(corpus.dtypes)[corpus_key]
 
     def best(_, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        if len(left) and len(right):
-            ids, own = right.column("k").to_numpy(), left.column("k").to_numpy()
-            q, c = _matrix(left, "v"), _matrix(right, "v")
-            q, c = (_unit(q), _unit(c)) if metric == "cosine" else (q, c)
-            for part in _chunks(len(q), len(c)):
-                s = q[part] @ c.T
-                if metric == "l2":
-                    s = 2 * s - (q[part] ** 2).sum(axis=1)[:, None] - (c**2).sum(axis=1)[None, :]
-                    np.minimum(s, 0, out=s)
-                s = np.round(s, 12)
-                if not include_self:
-                    s[own[part][:, None] == ids[None, :]] = -np.inf
-                width = min(k or s.shape[1], s.shape[1])
-                # all that reach the k-th best, so that ties at the edge go by key as well
-                edge = np.partition(s, s.shape[1] - width, axis=1)[:, s.shape[1] - width]
-                row, col = np.nonzero(s >= edge[:, None])
-                order = np.lexsort((ids[col], -s[row, col], row))
-                row, col = row[order], col[order]
-                place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
-                take = (place < width) & np.isfinite(s[row, col])
-                row, col = row[take], col[take]
-                out.append(pa.table({"src": own[part][row], "dst": ids[col], "score": s[row, col]}))
-        return pa.concat_tables(out) if out else pa.table({"src": left.column("k").slice(0, 0), "dst": right.column("k").slice(0, 0), "score": pa.array([], pa.float64())})
+        return _best(left, right, k, include_self, metric)
 
     q = queries.select(_dealt(queries, key, n_q).alias("qb"), _every(n_c).alias("cb"), F.col(key).alias("k"), F.col(vec).alias("v"))
     c = corpus.select(_every(n_q).alias("qb"), _dealt(corpus, corpus_key, n_c).alias("cb"), F.col(corpus_key).alias("k"), F.col(corpus_vec).alias("v"))
@@ -140,6 +150,128 @@ def nearest(
     return ranked if metric == "cosine" else ranked.withColumn("score", F.abs("score"))
 
 
+class _Cells:
+    """Pivots as unit vectors and, once they are known, each cell's rows and radius: a few thousand rows at most."""
+
+    #: a bound that rounding to 12 digits can't cross: distances near 0 are off by a root of that
+    SLACK = 1e-5
+
+    def __init__(self, pivots: np.ndarray):
+        self.pivots = _unit(pivots)
+        self.rows = self.radius = np.zeros(len(pivots))
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        """Euclidean distances of unit vectors to the pivots, a row for each vector."""
+        squares = (x**2).sum(axis=1)[:, None] + (self.pivots**2).sum(axis=1)[None, :] - 2 * (x @ self.pivots.T)
+        return np.sqrt(np.maximum(squares, 0))
+
+    def first(self, d: np.ndarray, k: int) -> np.ndarray:
+        """A flag for each vector and cell: the nearest cells until they hold k rows."""
+        order = np.argsort(d, axis=1, kind="stable")
+        before = np.cumsum(self.rows[order], axis=1) - self.rows[order]
+        out = np.zeros(d.shape, bool)
+        np.put_along_axis(out, order, before < k, axis=1)
+        return out & (self.rows > 0)
+
+    def reached(self, d: np.ndarray, x: np.ndarray, floor: np.ndarray) -> np.ndarray:
+        """A flag for each vector and cell: whether some row of the cell may score at least `floor`.
+
+        A row c of score s = xc is sqrt(|x|^2 + |c|^2 - 2s) away, |c| at most 1, and no row of a cell is nearer than the pivot's distance less the radius.
+        """
+        most = np.sqrt(np.maximum((x**2).sum(axis=1) + 1 - 2 * floor, 0)) + self.SLACK
+        return (d - self.radius[None, :] <= most[:, None]) & (self.rows > 0)
+
+
+def nearest_pruned(
+    queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding", include_self: bool = True, pivots: int = 0, most: float = 0.5, report: dict | None = None,
+) -> DataFrame:
+    """What `nearest` gives for cosines, comparing a query only with cells of the corpus that can hold one of its k best rows.
+
+    The corpus's rows go to the nearest of some pivots (rows least by hash; the root of their number, 2,048 at most, where `pivots` is 0), and
+    each cell has a radius. Every query is compared with its nearest cells that hold k rows together; its k-th score then
+    bounds how far a better row can be, and by the triangle inequality which other cells can have one. Only those are joined. A cell of more
+    than BLOCK_BYTES is cut, and so are the queries that come to it. Where more than the share `most` of all pairs is left after the
+    first comparison, cells save nothing, and the block join of `nearest` gives the rows. `report` gets the numbers of pairs: all, compared.
+    """
+    spark = queries.sparkSession
+    ship(spark)
+    rows_c, size_c = _extent(corpus, vec)
+    rows_q = queries.count()
+    report = {} if report is None else report
+    report |= {"pairs": rows_q * rows_c, "compared": 0}
+    if not rows_c or not rows_q:
+        return nearest(queries, corpus, k, key, vec, include_self)
+    want = k if include_self else k + 1
+    chosen = sample_rows(corpus.select(key, vec), key, pivots or max(1, min(2048, math.isqrt(rows_c)))).toPandas()
+    cells = _Cells(np.stack([np.asarray(v, np.float64) for v in chosen[vec]]))
+    kind, width = dict(corpus.dtypes)[key], size_c / rows_c
+    shared = spark.sparkContext.broadcast(cells)
+
+    def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                d = shared.value.distances(_unit(_matrix(pa.Table.from_batches([b]), "v")))
+                cell = d.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([b.column("k"), b.column("v"), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(b)), cell])], ["k", "v", "cell", "away"])
+
+    vectors = corpus.select(F.col(key).alias("k"), F.col(vec).cast("array<float>" if dict(corpus.dtypes)[vec] == "array<float>" else "array<double>").alias("v"))
+    placed = materialize(vectors.mapInArrow(assigned, f"k {kind}, v {dict(vectors.dtypes)['v']}, cell int, away double"), "cells")
+    cells.rows, cells.radius = np.zeros(len(cells.pivots), np.int64), np.zeros(len(cells.pivots))
+    for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("away")).collect():  # a row for each pivot
+        cells.rows[r.cell], cells.radius[r.cell] = r.n, r.away
+    known = spark.sparkContext.broadcast(cells)
+
+    def visits(second: bool) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not len(b):
+                    continue
+                x = _unit(_matrix(pa.Table.from_batches([b]), "v"))
+                d = known.value.distances(x)
+                at = known.value.first(d, want)
+                floor = np.full(len(b), -np.inf)
+                if second:
+                    floor = b.column("floor").to_numpy(zero_copy_only=False).astype(np.float64)
+                    floor[np.isnan(floor)] = -np.inf  # fewer than k rows so far: every cell counts
+                    at = known.value.reached(d, x, floor) & ~at
+                row, cell = np.nonzero(at)
+                for part in range(0, len(row), 1 << 15):
+                    row_, cell_ = pa.array(row[part : part + (1 << 15)]), cell[part : part + (1 << 15)]
+                    yield pa.RecordBatch.from_arrays([b.column("k").take(row_), b.column("v").take(row_), pa.array(cell_.astype(np.int32)), pa.array(floor).take(row_)], ["k", "v", "cell", "floor"])
+
+        return run
+
+    asked = queries.select(F.col(key).alias("k"), F.col(vec).alias("v"))
+    visit = f"k {dict(queries.dtypes)[key]}, v {dict(queries.dtypes)[vec]}, cell int, floor double"
+
+    def compared(visiting: DataFrame, came: dict[int, int]) -> DataFrame:
+        """(src, dst, score) of visits, by cells cut into blocks of rows and of visits."""
+        cuts = [(int(c), max(1, -(-int(cells.rows[c] * width) // BLOCK_BYTES)), max(1, -(-int(n * width) // BLOCK_BYTES))) for c, n in came.items()]
+        table = spark.createDataFrame(cuts, "cell int, n_rows int, n_visits int")  # a row for each pivot at most
+        report["compared"] += sum(int(cells.rows[c]) * n for c, n in came.items())
+        one = placed.join(F.broadcast(table), "cell").select("cell", F.pmod(F.xxhash64(F.lit("row"), "k"), "n_rows").alias("rb"), F.explode(F.sequence(F.lit(0), F.col("n_visits") - 1)).alias("vb"), "k", "v")
+        two = visiting.join(F.broadcast(table), "cell").select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_rows").cast("long") - 1)).alias("rb"), F.pmod(F.xxhash64(F.lit("visit"), "k"), "n_visits").cast("int").alias("vb"), "k", "v", "floor")
+        by = ["cell", "rb", "vb"]
+        return two.groupBy(*by).cogroup(one.groupBy(*by)).applyInArrow(lambda _, a, b: _best(a, b, k, include_self), f"src {dict(queries.dtypes)[key]}, dst {kind}, score double")
+
+    def counts(visiting: DataFrame) -> dict[int, int]:
+        return {r.cell: r["count"] for r in visiting.groupBy("cell").count().collect()}  # a row for each pivot at most
+
+    order = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
+    near = asked.mapInArrow(visits(False), visit)
+    first = materialize(compared(near, counts(near)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "pruned-first")
+    floors = first.filter(F.col("rank") == k).select("src", F.col("score").alias("floor"))
+    far = asked.join(floors, F.col("k") == F.col("src"), "left").select("k", "v", "floor").mapInArrow(visits(True), visit)
+    came = counts(far.select("cell"))
+    if report["compared"] + sum(int(cells.rows[c]) * n for c, n in came.items()) > most * rows_q * rows_c:
+        report["compared"] += rows_q * rows_c
+        discard(placed, first)
+        return nearest(queries, corpus, k, key, vec, include_self)
+    more = compared(far, came)
+    every = first.select("src", "dst", "score").unionByName(more)
+    return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def similarity_graph(edges: DataFrame) -> DataFrame:
     """(src, dst, w): positive neighbour scores, added to their transpose, rows scaled to sum to 1."""
     up = edges.select("src", "dst", F.greatest(F.col("score"), F.lit(0.0)).alias("w"))

@@ -94,6 +94,13 @@ def knn_per_item(spark, sf_dir):
     return V.nearest(e, e, 25).select("src", "dst", F.round("score", 5).alias("score"), "rank")
 
 
+@query(f"WITH {_UNIT} SELECT src, dst, round(s, 5) AS score, rank::INTEGER AS rank FROM ({_KNN}) WHERE rank <= 25")
+def knn_pruned(spark, sf_dir):
+    """The same 25 neighbours, with cells that can't hold one left out of the comparison."""
+    e = _e(spark, sf_dir)
+    return V.nearest_pruned(e, e, 25).select("src", "dst", F.round("score", 5).alias("score"), "rank")
+
+
 _GRAPH = f"""k AS (SELECT src, dst, greatest(s, 0) AS w FROM ({_KNN}) WHERE rank <= 25), b AS (SELECT src, dst, sum(w) AS w FROM (SELECT * FROM k UNION ALL SELECT dst, src, w FROM k) GROUP BY 1, 2),
 g AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS w FROM b)"""
 

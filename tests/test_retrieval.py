@@ -71,6 +71,40 @@ def test_evaluate_ranks_ties_by_id(spark, monkeypatch, size):
         assert (r.hit_1, r.hit_10) == want[:2] and r.ap == pytest.approx(want[2])
 
 
+@pytest.fixture(scope="module")
+def clustered(spark):
+    """Forty tight groups, one of them a third of all rows and half copies; zero vectors; a group in the opposite direction."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16)) * 3
+    centres[39] = -centres[0]
+    group = np.where(np.arange(1500) % 3 == 0, 0, rng.integers(0, 40, 1500))
+    x = centres[group] + rng.normal(size=(1500, 16)) * 0.05
+    x[:300:6] = x[0]
+    x[[7, 70, 700]] = 0
+    return spark.createDataFrame([(i, x[i].tolist()) for i in range(1500)], "vec_id long, embedding array<double>").repartition(5).persist()
+
+
+@pytest.mark.parametrize("size", [64 << 20, 20_000])
+@pytest.mark.parametrize("include_self", [True, False])
+def test_pruned_neighbours_are_the_nearest(clustered, monkeypatch, size, include_self):
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", size)
+    report = {}
+    got = retrieval.nearest_pruned(clustered, clustered, 9, include_self=include_self, report=report)
+    want = retrieval.nearest(clustered, clustered, 9, include_self=include_self)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert report["pairs"] == 1500**2 and report["compared"] < 0.3 * report["pairs"]
+
+
+def test_pruning_without_cells_falls_back(corpus, clustered):
+    df, report = corpus[0], {}
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert same(retrieval.nearest_pruned(df, df, 7, report=report), retrieval.nearest(df, df, 7)) and report["compared"] > report["pairs"] / 2
+    some = clustered.filter("vec_id % 100 = 0")
+    assert same(retrieval.nearest_pruned(some, clustered, 1600), retrieval.nearest(some, clustered, 1600))  # more than there are
+    assert same(retrieval.nearest_pruned(some, clustered.limit(0), 3), some.limit(0)) and same(retrieval.nearest_pruned(some.limit(0), clustered, 3), some.limit(0))
+    assert same(retrieval.nearest_pruned(some, clustered, 5, pivots=1), retrieval.nearest(some, clustered, 5))
+
+
 def python_rows(df):
     """How many rows each step in Python left in the plan that ran."""
     written, nodes = [], [df._jdf.queryExecution().executedPlan().finalPhysicalPlan()]
