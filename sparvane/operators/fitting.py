@@ -13,6 +13,7 @@ from ..config import Speed
 from ..functions import kernels as K
 from ..ship import ship
 from .relational import sample_rows
+from .sums import add_up
 
 
 @dataclass(frozen=True)
@@ -46,36 +47,95 @@ def pca_of(x: np.ndarray, dim: int) -> Pca:
     return Pca(mean, _signed(axes))
 
 
-def fit_pca(pool: DataFrame, vec: str, dim: int) -> Pca | None:
-    """PCA of a vector column from partial sums of x and x x' (a d x d matrix a task, added up on the driver).
+#: columns up to which the whole matrix of products is summed
+FULL_WIDTH = 1024
 
-    None where dim <= 0 or there is nothing to reduce. Meant for d up to a few thousand; wider pools go
-    through `sample_matrix` and `pca_of`.
-    """
 
-    def sums(batches):
-        n, s, g = 0, None, None
-        for b in batches:
-            if len(b):
-                x = np.stack(b[vec].to_numpy()).astype(np.float64)
-                n, s, g = n + len(x), x.sum(0) if s is None else s + x.sum(0), x.T @ x if g is None else g + x.T @ x
-        if s is not None:
-            yield pd.DataFrame({"n": [n], "s": [s], "g": [g.ravel()]})
-
-    n, s, g = 0, 0.0, 0.0
-    for row in pool.select(vec).mapInPandas(sums, "n long, s array<double>, g array<double>").toLocalIterator():
-        n, s, g = n + row["n"], s + np.asarray(row["s"]), g + np.asarray(row["g"])
-    if not n:
+def fit_pca(pool: DataFrame, vec: str, dim: int, rotate: bool = False) -> Pca | None:
+    """PCA of a vector column from sums over all its rows, which executors add.
+
+    Up to FULL_WIDTH columns (d) these are the d x d sums of products; wider columns go through `range_finder`, with d x dim sums. None where
+    dim <= 0 or there is nothing to reduce; with `rotate`, a full turn where dim is no less than the width.
+    """
+    first = pool.select(vec).first()
+    if first is None:
+        return None
+    d = len(first[0])
+    if dim <= 0 or (dim >= d and not rotate):
         return None
-    d = len(s)
+    n, mean = _means(pool, vec, d)
     dim = min(dim, n, d)
-    if dim <= 0 or dim >= d:
+    if dim >= d and not rotate:
         return None
-    mean = s / n
-    values, axes = np.linalg.eigh(g.reshape(d, d) - n * np.outer(mean, mean))
+    if d > FULL_WIDTH and 2 * (dim + 8) < d:
+        return Pca(mean, _signed(range_finder(pool, vec, dim, n, mean)))
+
+    def products(batches):
+        g = None
+        for b in batches:
+            if len(b):
+                x = _stacked(b, vec) - mean
+                g = x.T @ x if g is None else g + x.T @ x
+        return None if g is None else g.ravel()
+
+    values, axes = np.linalg.eigh(add_up(pool.select(vec), products, d * d).reshape(d, d))
     return Pca(mean, _signed(axes[:, np.argsort(-values)[:dim]].T))
 
 
+def _stacked(b: pd.DataFrame, vec: str) -> np.ndarray:
+    return np.stack(b[vec].to_numpy()).astype(np.float64)
+
+
+def _means(pool: DataFrame, vec: str, d: int) -> tuple[int, np.ndarray]:
+    def sums(batches):
+        total = None
+        for b in batches:
+            if len(b):
+                own = np.append(_stacked(b, vec).sum(0), len(b))
+                total = own if total is None else total + own
+        return total
+
+    total = add_up(pool.select(vec), sums, d + 1)
+    return int(total[-1]), total[:-1] / max(total[-1], 1)
+
+
+def range_finder(pool: DataFrame, vec: str, dim: int, n: int, mean: np.ndarray, extra: int = 16, rounds: int = 40, tolerance: float = 1e-9, seed: int = 42) -> np.ndarray:
+    """The first `dim` principal axes of wide rows, a row each, from sums over all rows of X'(XQ) for a d x (dim + extra) matrix Q.
+
+    Q begins at random. A round takes the product on the executors, row by row without the matrix of products, and makes it orthonormal on
+    the driver; rounds end when the wanted subspace turns by less than `tolerance` (its sine), or after `rounds` of them. The axes come from the small
+    matrix Q'X'XQ. Memory: d x (dim + extra) numbers a task and on the driver.
+    """
+    d = len(mean)
+    width = min(dim + extra, n, d)
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, width)))[0]
+    axes = None
+    for _ in range(rounds):
+        shared = pool.sparkSession.sparkContext.broadcast(q)
+
+        def product(batches, shared=shared):
+            total = None
+            for b in batches:
+                if len(b):
+                    x = _stacked(b, vec) - mean
+                    own = x.T @ (x @ shared.value)
+                    total = own if total is None else total + own
+            return None if total is None else total.ravel()
+
+        z = add_up(pool.select(vec), product, d * width).reshape(d, width)
+        shared.unpersist()
+        values, turn = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
+        order = np.argsort(-values)[:dim]
+        found = (q @ turn[:, order]).T
+        own = found[values[order] > 1e-12 * values[order[0]]]  # directions without variance turn as they like
+        turned = 1.0 if axes is None else np.linalg.norm(own.T - axes.T @ (axes @ own.T), 2)
+        axes = found
+        if turned < tolerance:
+            break
+        q = np.linalg.qr(z)[0]
+    return axes
+
+
 def apply_pca(df: DataFrame, vec: str, model: Pca | None, out: str) -> DataFrame:
     """df with the projected column; the column itself without a model."""
     ship(df.sparkSession)
@@ -92,12 +152,6 @@ def apply_pca(df: DataFrame, vec: str, model: Pca | None, out: str) -> DataFrame
     return df.mapInPandas(run, f"{fields}, `{out}` array<double>")
 
 
-def sample_matrix(df: DataFrame, key: str, vec: str, most: int, seed: int = 42) -> np.ndarray:
-    """At most `most` vectors by hash order, on the driver, as float32."""
-    rows = sample_rows(df.select(key, F.col(vec).cast("array<float>").alias(vec)), key, most, seed).toPandas()
-    return np.stack(rows[vec].to_numpy()).astype(np.float32) if len(rows) else np.empty((0, 0))
-
-
 def fit_codebook(points: DataFrame, vec: str, k: int, rounds: int = 20, seed: int = 42) -> np.ndarray:
     """k-means centres by MLlib (Lloyd's algorithm), in a reproducible order."""
     from pyspark.ml.clustering import KMeans
@@ -109,7 +163,7 @@ def fit_codebook(points: DataFrame, vec: str, k: int, rounds: int = 20, seed: in
 
 
 def fit_mixture(points: DataFrame, vec: str, k: int, rounds: int = 100, floor: float = 1e-6, tolerance: float = 1e-4, starts: int = 2) -> K.Mixture:
-    """Diagonal Gaussian mixture by EM. A round sends k*(2d+1) numbers from each task to the driver, however many rows.
+    """Diagonal Gaussian mixture by EM. A round's k*(2d+1) sums are added on the executors; one copy comes to the driver.
 
     Each start takes k-means centres and variances of all rows; the likeliest end is kept.
     """
@@ -130,21 +184,19 @@ def _expect(points: DataFrame, vec: str, centres: np.ndarray, spread: np.ndarray
     likelihood, last = -np.inf, -np.inf
     for _ in range(rounds):
         def step(batches, model=model):
-            total, fit = None, 0.0
+            total = None
             for b in batches:
                 if len(b):
-                    x = np.stack(b[vec].to_numpy()).astype(np.float64)
-                    q = model.responsibilities(x)
-                    own = np.concatenate([q.sum(0)[:, None], q.T @ x, q.T @ (x * x)], axis=1)
+                    x = _stacked(b, vec)
+                    joint = model.log_joint(x)
+                    fit = np.logaddexp.reduce(joint, axis=1)
+                    q = np.exp(joint - fit[:, None])
+                    own = np.append(np.concatenate([q.sum(0)[:, None], q.T @ x, q.T @ (x * x)], axis=1), fit.sum())
                     total = own if total is None else total + own
-                    fit += float(np.logaddexp.reduce(model.log_joint(x), axis=1).sum())
-            if total is not None:
-                yield pd.DataFrame({"t": [total.ravel()], "l": [fit]})
-
-        sums, likelihood = 0.0, 0.0
-        for r in points.mapInPandas(step, "t array<double>, l double").toLocalIterator():
-            sums, likelihood = sums + np.asarray(r["t"]), likelihood + r["l"]
-        t = np.asarray(sums).reshape(k, -1)
+            return total
+
+        sums = add_up(points, step, k * (2 * centres.shape[1] + 1) + 1)
+        t, likelihood = sums[:-1].reshape(k, -1), sums[-1]
         n, d = np.maximum(t[:, 0], 1e-12), (t.shape[1] - 1) // 2
         means = t[:, 1 : d + 1] / n[:, None]
         variances = np.maximum(t[:, d + 1 :] / n[:, None] - means**2, floor)
@@ -202,22 +254,13 @@ def _rasters(b: pd.DataFrame):
         yield i, K.Raster(np.frombuffer(data, np.uint8).reshape(h, w, 3))
 
 
-def _reduction(wide: DataFrame, vec: str, dim: int, rows: int, most: int) -> Pca:
-    """PCA of a block: from all rows by sums where the block is up to 4096 wide; a wider one from `most` rows by hash."""
-    if rows > most and len(wide.select(vec).first()[0]) <= 4096:
-        model = fit_pca(wide, vec, dim)
-        if model is not None:
-            return model
-    return pca_of(sample_matrix(wide, "img_id", vec, most), dim)
-
-
 def fit_tier2(
-    images: DataFrame, boxes: dict, speed: Speed, dims: tuple[int, int, int] = (512, 256, 512), most: int = 0, words: int = 256, per_image: int = 400, final_dim: int = 512, pca_rows: int = 1200,
+    images: DataFrame, boxes: dict, speed: Speed, dims: tuple[int, int, int] = (512, 256, 512), most: int = 0, words: int = 256, per_image: int = 400, final_dim: int = 512,
 ) -> Tier2:
     """Fit on all images, or on `most` of them by hash order. An image that can't be read fails the fit.
 
-    Banks, colour words, patches, blocks and their reductions are computed on the executors. The driver sees
-    moments, centres, sums of products of reduced rows, and at most pca_rows rows of a block at a time.
+    Banks, colour words, patches, blocks and their reductions are computed on the executors, the reductions from all rows. The driver sees
+    moments, centres, and one copy of each sum.
     """
     from .statistics import vector_moments
 
@@ -269,7 +312,7 @@ def fit_tier2(
             yield pd.DataFrame(rows, columns=["img_id", "a", "b", "c", "d"])
 
     wide = pool.mapInPandas(blocks, "img_id int, a array<double>, b array<double>, c array<double>, d array<double>").persist()
-    reduce = tuple(_reduction(wide, c, dim, n, pca_rows) for c, dim in zip("abc", dims, strict=True))
+    reduce = tuple(fit_pca(wide, c, dim, rotate=True) for c, dim in zip("abc", dims, strict=True))
 
     def join(batches):
         for b in batches:
@@ -278,7 +321,7 @@ def fit_tier2(
                 yield pd.DataFrame({"img_id": b["img_id"], "v": list(np.concatenate([*parts, np.stack(b["d"].to_numpy())], axis=1))})
 
     joined = wide.mapInPandas(join, "img_id int, v array<double>").persist()
-    final = _reduction(joined, "v", final_dim, n, pca_rows)
+    final = fit_pca(joined, "v", final_dim, rotate=True)
     for df in (joined, wide, banks, pool):
         df.unpersist()
     return Tier2(region, codebook, idf, mixture, None, reduce, final, speed.patch_stride, speed.word_sample)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparvane.functions import text
-from sparvane.operators import fitting, relational, retrieval, statistics, store
+from sparvane.operators import fitting, relational, retrieval, statistics, store, sums
 
 
 def test_last_duplicate_landmark_wins(spark):
@@ -100,6 +100,34 @@ def test_pca_agrees_with_svd(spark, vectors):
     assert len(out.p) == 3
 
 
+def turned(a, b):
+    """The sine of the largest angle between two subspaces, an orthonormal axis each row."""
+    return np.linalg.norm(a.T - b.T @ (b @ a.T), 2)
+
+
+@pytest.mark.parametrize("rows, columns, dim", [(300, 1500, 12), (90, 16_384, 20), (60, 2000, 100)])
+def test_wide_pca_takes_all_rows(spark, rows, columns, dim):
+    """The subspace of an SVD of all rows, with a spectrum that falls slowly; fewer rows than axes as well."""
+    rng = np.random.default_rng(7)
+    x = (rng.normal(size=(rows, rows)) * 0.93 ** np.arange(rows)) @ rng.normal(size=(rows, columns)) + 5
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>").repartition(3)
+    model = fitting.fit_pca(df, "v", dim)
+    axes = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)[2][: len(model.axes)]
+    assert len(model.axes) == min(dim, rows) and np.allclose(model.mean, x.mean(axis=0))
+    keep = min(dim, rows - 1)  # centred rows have one direction less
+    assert turned(model.axes[:keep], axes[:keep]) < 1e-6 and np.allclose(model.axes @ model.axes.T, np.eye(len(model.axes)), atol=1e-8)
+
+
+def test_sums_are_added_slice_by_slice(spark):
+    df = spark.range(100).repartition(7)
+    width = 3 * sums.SLICE + 5
+    make = lambda batches: sum(float(b["id"].sum()) for b in batches) * np.arange(width)
+    assert np.array_equal(sums.add_up(df, make, width), 4950 * np.arange(width))
+    assert np.array_equal(sums.add_up(df, lambda batches: [b for b in batches] and None, 4), np.zeros(4))
+    rolled = lambda batches: np.full(2, sum(float(np.sin(b["id"]).sum()) for b in batches) / 3)
+    assert np.array_equal(sums.add_up(df, rolled, 2), sums.add_up(df, rolled, 2))
+
+
 def test_mixture_finds_two_clusters(spark):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(-4, 1, (300, 2)), rng.normal(4, 0.5, (300, 2))])
