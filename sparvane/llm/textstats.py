@@ -117,6 +117,9 @@ def bounded_texts(rows: DataFrame, most: int, salt: str) -> DataFrame:
     a threshold stay (their number differs from `most` by chance alone), with no order and no single task.
     """
     key = F.xxhash64(F.lit(salt), "doc_id", F.coalesce("text", F.lit("")))
-    per = rows.withColumn("_key", key).dropDuplicates(["doc_id", "_key"])
-    n = rows.select(F.col("doc_id"), key.alias("_key")).distinct().count()
-    return (per if n <= most else per.filter(F.pmod("_key", F.lit(1 << 40)) < int(most / n * (1 << 40)))).drop("_key")
+    keyed, share = rows.withColumn("_key", key), 1.0
+    if rows.select("doc_id").count() > most:  # without the texts; only then are they read for their number
+        share = most / keyed.select("doc_id", "_key").distinct().count()
+    if share < 1:
+        keyed = keyed.filter(F.pmod("_key", F.lit(1 << 40)) < int(share * (1 << 40)))
+    return keyed.dropDuplicates(["doc_id", "_key"]).drop("_key")
