@@ -170,7 +170,10 @@ def fit_mixture(points: DataFrame, vec: str, k: int, rounds: int = 100, floor: f
     from .statistics import vector_moments
 
     ship(points.sparkSession)
-    points = points.select(vec).persist()
+    points = points.select(vec)
+    size = points.agg(F.sum(F.size(vec)) * 8).first()[0] or 0
+    # rounds are many: no more tasks than there are cores, or blocks of 64 MB
+    points = points.coalesce(max(points.sparkSession.sparkContext.defaultParallelism, -(-size // (64 << 20)))).persist()
     spread = np.array([r[0] for r in vector_moments(points, vec).orderBy("pos").select("variance").collect()])
     ends = [_expect(points, vec, fit_codebook(points, vec, k, seed=42 + i), spread + floor, rounds, floor, tolerance) for i in range(starts)]
     points.unpersist()

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import discard, materialize
-
 
 def class_stats(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Mean, sample deviation and count of each value per class."""
@@ -19,39 +18,76 @@ def class_stats(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> Da
     return df.groupBy(*keys).agg(*aggs)
 
 
+#: rank error of a sketch, as a share of the rows it has seen, is at most one in so many
+ACCURACY = 10_000
+#: distinct values within the brackets that come to the driver
+WITHIN = 200_000
+
+
 def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> dict[str, list[float]]:
-    """Exact linear quantiles of several columns, nulls left out; no list for a column without values.
+    """Exact linear quantiles of several columns, nulls left out, NaN above all numbers; no list for a column without values.
 
-    Distinct values are counted, dealt by ranges of column and value and numbered by running sums
-    within and over the ranges, all columns in one go. The values around the wanted places, two for each
-    share at most, are all that leaves the executors.
+    Selection by brackets: one pass sketches all columns (mergeable, bounded memory), and values around each wanted rank bracket it.
+    A second pass counts what lies below each bracket and how often each distinct value within it occurs, about four in ACCURACY rows.
+    Were these more than WITHIN values, the brackets would be sketched again, from what they hold alone. A rank outside its bracket opens that to the side where it lies.
     """
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("x")) for i, c in enumerate(columns)]))
-    counts = df.select(each.alias("s")).select("s.*").filter("x is not null").groupBy("c", "x").agg(F.count(F.lit(1)).alias("n"))
-    spread = materialize(counts.repartitionByRange("c", "x").withColumn("p", F.spark_partition_id()), "quantiles")
-    totals = spread.groupBy("c", "p").agg(F.sum("n").alias("n"))
-    over = Window.partitionBy("c").orderBy("p")  # a row for each range
-    totals = totals.select("c", "p", F.coalesce(F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("n").over(Window.partitionBy("c")).alias("total"))
-    before = F.sum("n").over(Window.partitionBy("c", "p").orderBy("x").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = spread.withColumn("before", F.coalesce(before, F.lit(0))).join(totals, ["c", "p"]).withColumn("before", F.col("base") + F.col("before"))
-    at = [F.lit(q) * (F.col("total") - 1) for q in shares]
-    places = F.array_distinct(F.array(*[f(x).cast("long") for x in at for f in (F.floor, F.ceil)]))
-    hit = ranked.filter(F.exists(places, lambda i: (i >= F.col("before")) & (i < F.col("before") + F.col("n"))))
-    found: dict[int, list[tuple[int, int, float]]] = {}
-    sizes: dict[int, int] = {}
-    for r in hit.select("c", "before", "n", "x", "total").collect():
-        found.setdefault(r.c, []).append((r.before, r.before + r.n, r.x))
-        sizes[r.c] = r.total
-    discard(spread)
-    value = lambda c, i: next(x for a, b, x in found[c] if a <= i < b)
-
-    def linear(c: int, q: float) -> float:
-        place = q * (sizes[c] - 1)
-        low = math.floor(place)
-        a, b = value(c, low), value(c, math.ceil(place))
-        return a + (b - a) * (place - low)
-
-    return {name: [linear(c, q) for q in shares] if c in sizes else [] for c, name in enumerate(columns)}
+    wanted = {c: F.col(c).cast("double") for c in columns}
+    stats = df.select(*[x.alias(f"_{i}") for i, x in enumerate(wanted.values())])
+    share = sorted(set(shares))
+    around = [min(1.0, max(0.0, q + e)) for q in share for e in (-2 / ACCURACY, 2 / ACCURACY)]
+    first = stats.agg(*[f for i in range(len(columns)) for f in (F.count(f"_{i}").alias(f"n{i}"), F.min(f"_{i}").alias(f"low{i}"), F.max(f"_{i}").alias(f"high{i}"), F.percentile_approx(f"_{i}", around, ACCURACY).alias(f"s{i}"))]).first()
+    n = {i: first[f"n{i}"] for i in range(len(columns))}
+    # (column, rank) -> bracket; a rank's neighbour has one of its own
+    brackets: dict[tuple[int, int], tuple[float, float]] = {}
+    for i in range(len(columns)):
+        for j, q in enumerate(share):
+            for place in {f(q * (n[i] - 1)) for f in (math.floor, math.ceil)} if n[i] else ():
+                whole = n[i] <= ACCURACY
+                brackets[i, place] = (first[f"low{i}"], first[f"high{i}"]) if whole else tuple(first[f"s{i}"][2 * j : 2 * j + 2])
+    ends = {i: (first[f"low{i}"], first[f"high{i}"]) for i in range(len(columns))}
+    found: dict[tuple[int, int], float] = {}
+    while brackets:
+        spans = sorted({(i, *b) for (i, _), b in brackets.items()}, key=repr)
+        inside = [(F.col(f"_{i}") >= F.lit(low)) & (F.col(f"_{i}") <= F.lit(high)) for i, low, high in spans]
+        counts = stats.agg(*[F.count_if(F.col(f"_{i}") < F.lit(low)) for i, low, _ in spans], *[F.count_if(x) for x in inside]).first()
+        below, held = counts[: len(spans)], counts[len(spans) :]
+        wide = [k for k, (_, low, high) in enumerate(spans) if low != high]  # the others hold one value
+        values, most = [], max(WITHIN, 8 * len(spans))  # no bracket need be narrower than a few values
+        if wide:
+            which = F.explode(F.filter(F.array(*[F.when(inside[k], F.struct(F.lit(k).alias("k"), F.col(f"_{spans[k][0]}").alias("x"))) for k in wide]), lambda s: s.isNotNull()))
+            within = stats.filter(reduce(lambda a, b: a | b, [inside[k] for k in wide]))
+            values = within.select(which.alias("s")).select("s.*").groupBy("k", "x").agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()
+        left: dict[tuple[int, int], tuple[float, float]] = {}
+        if len(values) <= most:
+            runs: dict[int, list[tuple[float, int]]] = {}
+            for k, x, m in sorted(values, key=lambda r: (r.k, math.isnan(r.x), r.x)):
+                runs.setdefault(k, []).append((x, m))
+        else:
+            sketches = stats.agg(*[F.percentile_approx(F.when(x, F.col(f"_{spans[k][0]}")), [min(1.0, max(0.0, (p - below[k] + more) / max(1, held[k]) + e)) for (i, p), b in brackets.items() if (i, *b) == spans[k] for more, e in ((0, -2 / ACCURACY), (1, 2 / ACCURACY))], ACCURACY) for k, x in enumerate(inside) if k in wide]).first()
+            narrowed = {k: iter(x or ()) for k, x in zip(wide, sketches, strict=True)}
+        for (i, place), b in brackets.items():
+            k = spans.index((i, *b))
+            if place < below[k]:
+                left[i, place] = (ends[i][0], b[1])
+            elif place >= below[k] + held[k]:
+                left[i, place] = (b[0], ends[i][1])
+            elif len(values) > most and k in wide:
+                left[i, place] = (next(narrowed[k]), next(narrowed[k]))
+            else:
+                at = below[k]
+                for x, m in runs[k] if k in wide else [(b[0], held[k])]:
+                    at += m
+                    if place < at:
+                        found[i, place] = x
+                        break
+        brackets = left
+
+    def linear(i: int, q: float) -> float:
+        place = q * (n[i] - 1)
+        a, b = found[i, math.floor(place)], found[i, math.ceil(place)]
+        return a if a == b else a + (b - a) * (place - math.floor(place))
+
+    return {name: [linear(i, q) for q in shares] if n[i] else [] for i, name in enumerate(columns)}
 
 
 def distribution(df: DataFrame, value: str, threshold: float, at: Sequence[float] = (0.1, 0.5, 0.9)) -> DataFrame:
@@ -143,7 +179,11 @@ def mutual_information(pairs: DataFrame, group: Sequence[str] = (), a: str = "a"
 
 def fisher_score(long: DataFrame, group: Sequence[str], label: str, value: str) -> DataFrame:
     """Between-class over within-class scatter for each group; 0 with one class or next to no scatter within."""
-    per = long.groupBy(*group, label).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
+    return _fisher(long.groupBy(*group, label).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v")), group)
+
+
+def _fisher(per: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Fisher scores from each group's and class's rows (n), mean (m) and variance (v)."""
     total = Window.partitionBy(*group)
     overall = F.sum(F.col("n") * F.col("m")).over(total) / F.sum("n").over(total)
     per = per.withColumn("between", F.col("n") * (F.col("m") - overall) * (F.col("m") - overall)).withColumn("within", F.col("n") * F.col("v"))
@@ -159,10 +199,14 @@ def min_max(value: str, window, constant: float) -> Column:
 
 def attribute_information(df: DataFrame, attributes: Sequence[str], label: str, bins: int = 8, weights: tuple[float, float] = (0.55, 0.45)) -> DataFrame:
     """Fisher score, mutual information, both min-max scaled over the attributes, and their weighted sum."""
+    # moments of all attributes by class in one pass, without a row for each attribute
+    wide = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *[f(F.col(a).cast("double")).alias(f"{name}{i}") for i, a in enumerate(attributes) for name, f in (("m", F.avg), ("v", F.var_pop))])
+    per = wide.select(F.inline(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col("n"), F.col(f"m{i}").alias("m"), F.col(f"v{i}").alias("v")) for i, a in enumerate(attributes)])))
     coded = codes(df, {a: f"_c_{a}" for a in attributes}, bins)
-    both = F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("double").alias("x"), F.col(f"_c_{a}").alias("code")) for a in attributes]))
-    long = coded.select(F.col(label).alias("label"), both.alias("s")).select("label", "s.*")
-    scores = fisher_score(long, ["attribute"], "label", "x").join(mutual_information(long, ["attribute"], "code", "label"), "attribute")
+    both = F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.col(f"_c_{a}").alias("code")) for i, a in enumerate(attributes)]))
+    pairs = coded.select(F.col(label).alias("label"), both.alias("s")).select("label", "s.*")
+    shared = mutual_information(pairs, ["at"], "code", "label").withColumn("attribute", F.get(F.array(*map(F.lit, attributes)), F.col("at"))).drop("at")
+    scores = _fisher(per, ["attribute"]).join(shared, "attribute")
     every = Window.partitionBy()  # a row for each attribute
     scores = scores.withColumn("fisher_score_norm", min_max("fisher_score", every, 0.0)).withColumn("mutual_information_norm", min_max("mutual_information", every, 0.0))
     return scores.withColumn("combined", weights[0] * F.col("fisher_score_norm") + weights[1] * F.col("mutual_information_norm"))

@@ -194,6 +194,22 @@ def test_quantiles_against_numpy(spark):
     assert all(r.x == (0 if r.a is None else sum(e <= r.a for e in edges[1:-1])) and r.z == 0 for r in coded)
 
 
+@pytest.mark.parametrize("accuracy, within", [(10_000, 200_000), (50, 200), (50, 3)])
+def test_quantiles_by_brackets(spark, monkeypatch, accuracy, within):
+    """Coarse sketches and few values at a time: brackets are narrowed until they fit, whatever repeats."""
+    monkeypatch.setattr(statistics, "ACCURACY", accuracy)
+    monkeypatch.setattr(statistics, "WITHIN", within)
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=4000), np.where(rng.random(4000) < 0.4, 7.0, rng.integers(0, 50, 4000))
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b, strict=True)], "a double, b double").repartition(3)
+    shares = [0.5] if within == 3 else [0, 0.001, 0.25, 0.5, 0.5, 0.999, 1]
+    got = statistics.quantiles(df, ["a"] if within == 3 else ["a", "b"], shares)
+    assert got["a"] == pytest.approx(np.quantile(a, shares).tolist(), abs=1e-12)
+    assert within == 3 or got["b"] == pytest.approx(np.quantile(b, shares).tolist())
+    odd = spark.createDataFrame([(math.nan,), (1.0,), (math.inf,), (-math.inf,), (None,)], "v double")
+    assert statistics.quantiles(odd, ["v"], [0, 1 / 3, 2 / 3])["v"] == [-math.inf, 1.0, math.inf] and math.isnan(statistics.quantiles(odd, ["v"], [1])["v"][0])
+
+
 def test_edge_values_take_no_part(spark):
     df = spark.createDataFrame([(1.0,), (3.0,), (3.0,), (math.nan,), (math.inf,), (None,)], "v double")
     assert [r.code for r in statistics.discretize(df, "v", "code", 1).collect()] == [0, 0, 0, 0, 0, 0]
