@@ -18,13 +18,18 @@ def attribute_ids(names: DataFrame) -> list[int]:
     return [r[0] for r in names.filter(matches_any(F.col("attr_name"), KEYWORDS)).select("attr_id").orderBy("attr_id").collect()]
 
 
+def _visible(parts: DataFrame) -> DataFrame:
+    """Visible landmarks with their order as `_at`: source_at where the table has it, else the order in which the rows come."""
+    return parts.filter("visible = 1").withColumn("_at", F.col("source_at") if "source_at" in parts.columns else F.monotonically_increasing_id())
+
+
 def scored(master: DataFrame, attribute_labels: DataFrame, parts: DataFrame, ids: list[int]) -> DataFrame:
     """master with geometry, visibility flags, offsets and likely_perching.
 
-    All landmarks come from one aggregate of the visible parts. Which predicate decides
+    All landmarks come from one aggregate of the visible parts; of a landmark given twice the last one in the source counts. Which predicate decides
     depends on the data: attributes and landmarks, attributes alone, or the box ratio.
     """
-    seen = parts.filter("visible = 1").withColumn("_at", F.monotonically_increasing_id())
+    seen = _visible(parts)
     n = F.col("part_id")
     flags = {"leg_visible_any": n.isin(*LEGS), "wing_visible_any": n.isin(*WINGS), "left_eye_visible": n == EYES[0], "right_eye_visible": n == EYES[1], "beak_visible": n == BEAK, "tail_visible": n == TAIL}
     picks = {f"{axis}{i}": (n == i, F.col(axis)) for i in (BEAK, TAIL, *LEGS, *WINGS) for axis in ("x", "y")}
@@ -71,7 +76,7 @@ def facing(selected: DataFrame, parts: DataFrame, pool: DataFrame | None = None)
     class's majority in `pool` (by default selected) decides, and without that nothing is turned.
     """
     n = F.col("part_id")
-    seen = parts.filter("visible = 1").withColumn("_at", F.monotonically_increasing_id())
+    seen = _visible(parts)
     own = R.last_value_per_key(seen, "img_id", {"_b": (n == BEAK, F.col("x")), "_t": (n == TAIL, F.col("x"))}, "_at").select("img_id", (F.col("_b") > F.col("_t")).alias("_right"))
     every = (selected if pool is None else pool).select("img_id", "class_id").join(own, "img_id")
     most = R.majority(every, "class_id", F.col("_right"), "_most")

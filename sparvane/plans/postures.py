@@ -41,7 +41,7 @@ def tables(spark, sf_dir) -> dict[str, DataFrame]:
         "classes": _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("class_id"), F.col("n_name").alias("class_name")),
         "boxes": o.select(img, (key % 7).cast("double").alias("x"), F.lit(5.0).alias("y"), (40 + key % 20).cast("double").alias("width"), F.when(key % 50 == 0, 0.0).otherwise((30 + key % 25).cast("double")).alias("height")),
         "split": o.select(img, (key % 2).cast("int").alias("is_train")),
-        "parts": line.agg((F.max("l_extendedprice") / 2000).alias("x"), F.max("l_quantity").alias("y"), seen).select("img_id", F.element_at(F.array(*map(F.lit, _PART_IDS)), F.col("l_linenumber")).alias("part_id"), "x", "y", "visible"),
+        "parts": line.agg((F.max("l_extendedprice") / 2000).alias("x"), F.max("l_quantity").alias("y"), seen).select("img_id", F.element_at(F.array(*map(F.lit, _PART_IDS)), F.col("l_linenumber")).alias("part_id"), "x", "y", "visible", F.col("l_linenumber").alias("source_at")),
         "attribute_labels": line.agg(F.max((F.col("l_tax") > 0.02).cast("int")).alias("is_present"), (F.max(F.col("l_suppkey") % 4) + 1).cast("int").alias("certainty_id")).select("img_id", F.col("l_linenumber").alias("attr_id"), "is_present", "certainty_id"),
         "attributes": spark.createDataFrame(list(enumerate(_NAMES, 1)), "attr_id int, attr_name string"),
     }

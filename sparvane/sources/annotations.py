@@ -36,8 +36,16 @@ def first_existing(spark: SparkSession, paths: Sequence[str]) -> str:
     raise FileNotFoundError(", ".join(paths))
 
 
-def scan(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("sep", " ").option("mode", "PERMISSIVE").csv(path)
+def scan(spark: SparkSession, path: str, schema: str, position: str | None = None) -> DataFrame:
+    """A file's rows; `position` names a column that orders them as they stand in the source: by file, then by block, then within the block.
+
+    It is taken where the rows are read, so neither the splits nor what is done to the rows later change the order.
+    """
+    rows = spark.read.schema(schema).option("sep", " ").option("mode", "PERMISSIVE").csv(path)
+    if not position:
+        return rows
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return rows.select("*", place.alias(position))
 
 
 def state(spark: SparkSession, root: str) -> tuple:
@@ -52,7 +60,7 @@ def state(spark: SparkSession, root: str) -> tuple:
 
 
 def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """All tables, with the joined `master`. The attribute names may lie in three places; response times are not read."""
+    """All tables, with the joined `master`. The attribute names may lie in three places; response times are not read. `parts` has its rows' place in the source as source_at."""
     root = root.rstrip("/")
     out = {}
     for name, (file, schema) in SCHEMAS.items():
@@ -61,7 +69,7 @@ def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
             path = first_existing(spark, [path, f"{root}/attributes/attributes.txt", f"{root}/../attributes.txt"])
         elif not exists(spark, path):
             raise FileNotFoundError(path)
-        out[name] = scan(spark, path, schema)
+        out[name] = scan(spark, path, schema, "source_at" if name == "parts" else None)
     out["attribute_labels"] = out["attribute_labels"].select("img_id", "attr_id", "is_present", "certainty_id")
     out["master"] = master(out)
     return out
