@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sparvane.config import SPEEDS, Config
 from sparvane.plans import build, posture
 from sparvane.sources import annotations, images, tables
-from sparvane.streaming import images as stream
+from sparvane.streaming import vectors as stream
 
 
 @pytest.fixture(scope="module")
