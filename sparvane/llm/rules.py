@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .textstats import RATIOS, sample_by_hash, text_stats, training_fold
+from .textstats import COUNTS, RATIOS, sample_by_hash, text_stats, training_fold
 
 MIN_WORDS, MAX_REPEATS = 50, 50
 
@@ -64,11 +64,14 @@ def _best(x: dict[str, np.ndarray], bad: np.ndarray) -> tuple[float, Condition |
     return best
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray, most_rules: int = 12, most_conditions: int = 4, precision: float = 0.9, support: int = 5, seed: int = 7) -> list[Rule]:
-    """Ordered rules for bad rows. No bad rows, or no good ones, give none or one that stands for all."""
+def learn(x: dict[str, np.ndarray], bad: np.ndarray, most_rules: int = 12, most_conditions: int = 4, precision: float = 0.9, support: int = 5, seed: int = 7, grow: np.ndarray | None = None) -> list[Rule]:
+    """Ordered rules for bad rows. No bad rows, or no good ones, give none or one that stands for all.
+
+    `grow` flags the rows on which rules grow (the others prune them), two thirds by chance where it is None. Nothing else depends on the order of rows.
+    """
     rules: list[Rule] = []
     rng = np.random.default_rng(seed)
-    grow = rng.random(len(bad)) < 2 / 3
+    grow = rng.random(len(bad)) < 2 / 3 if grow is None else grow
     left = np.ones(len(bad), bool)
     while len(rules) < most_rules:
         own = left & grow
@@ -108,11 +111,19 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def fit(stats: DataFrame, labels: DataFrame, most_rows: int = 20_000, **options) -> list[Rule]:
-    """Rules from at most `most_rows` labelled rows of the training fold (least by hash)."""
+    """Rules from labelled rows of the training fold: those of at most `most_rows` ids (least by hash), and of their rows about as many.
+
+    Rows of one doc_id that differ are rows of their own, equal ones count once. Which rows grow rules and which prune them, and which stay where there are too
+    many, follows from a hash of id and statistics, so neither the order of rows nor their partitions matter.
+    """
     own = labels.filter("quality is not null and doc_id is not null").filter(training_fold()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_quality"))
     chosen = sample_by_hash(own.withColumnRenamed("_id", "doc_id"), most_rows, "rules")
-    rows = stats.join(chosen, "doc_id").orderBy("doc_id").select(*RATIOS, "_quality").toPandas()
-    return learn({c: rows[c].to_numpy() for c in RATIOS}, rows["_quality"].to_numpy() == 0, **options)
+    rows = materialize(stats.join(chosen, "doc_id").select(*RATIOS, "_quality", F.xxhash64(F.lit("rules"), "doc_id", *COUNTS, *RATIOS).alias("_key")).dropDuplicates(["_key"]), "rules-sample")
+    n = rows.count()
+    if n > most_rows:
+        rows = rows.filter(F.pmod("_key", F.lit(1 << 40)) < int(most_rows / n * (1 << 40)))
+    held = rows.orderBy("_key").toPandas()
+    return learn({c: held[c].to_numpy() for c in RATIOS}, held["_quality"].to_numpy() == 0, grow=(held["_key"].to_numpy() >> 16) % 3 != 0, **options)
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -58,3 +58,20 @@ def test_a_conversation_over_many_partitions(spark):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digests(chat.format_chat(df, tokenizer_path()), tokenizer_path()).count() == 0
+
+
+def test_null_turns_come_first_in_the_query_and_its_sql(spark, tmp_path):
+    import duckdb
+
+    from sparvane.llm import queries
+
+    rows = [(1, 2, "user", "b"), (1, None, "assistant", "a"), (1, 1, "assistant", None), (1, None, None, "c"), (2, None, "assistant", "x"), (2, 0, "assistant", "y")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"file://{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    result = con.execute(queries.OP6_SQL)
+    names = [d[0] for d in result.description]
+    want = sorted(tuple(dict(zip(names, r, strict=True))[c] for c in sorted(names)) for r in result.fetchall())
+    got = queries.op6_chat(spark, f"file://{tmp_path}")
+    assert sorted(tuple(r[c] for c in sorted(names)) for r in got.collect()) == want
+    assert {r.conv_id: r.loss_sha256 for r in got.collect()}[2] == hashlib.sha256(b"xy").hexdigest()

@@ -41,6 +41,22 @@ def test_rules_are_learnt_and_expressed(spark):
     assert rules.learn(x, np.zeros(2000, bool)) == []
 
 
+def test_rules_do_not_depend_on_the_order_of_rows(spark):
+    """Ids that repeat with other statistics, in two orders and partitionings; equal rows count once, and one id's rows are bounded."""
+    rng = np.random.default_rng(4)
+    rows = [(int(i % 150), *map(int, rng.integers(1, 900, len(textstats.COUNTS))), *map(float, rng.random(len(textstats.RATIOS)))) for i in range(1200)]
+    rows += [(3, *rows[3][1:])] * 40
+    schema = "doc_id long, " + ", ".join([f"{c} long" for c in textstats.COUNTS] + [f"{c} double" for c in textstats.RATIOS])
+    x = {c: np.array([r[1 + len(textstats.COUNTS) + k] for r in rows]) for k, c in enumerate(textstats.RATIOS)}
+    mark = x[textstats.RATIOS[0]] > 0.8
+    lab = spark.createDataFrame([(i, int(not mark[[j for j, r in enumerate(rows) if r[0] == i][0]])) for i in range(150)], "doc_id long, quality int")
+    one = rules.fit(spark.createDataFrame(rows, schema).repartition(3), lab, precision=0.1)
+    two = rules.fit(spark.createDataFrame(rows[::-1], schema).repartition(7), lab, precision=0.1)
+    assert one == two
+    few = rules.fit(spark.createDataFrame(rows + [(5, *r[1:]) for r in rows], schema), lab.filter("doc_id < 40"), most_rows=60, precision=0.1)
+    assert few == rules.fit(spark.createDataFrame([(5, *r[1:]) for r in rows] + rows, schema), lab.filter("doc_id < 40"), most_rows=60, precision=0.1)
+
+
 def test_kept_follows_the_base(spark):
     out = queries.op9_rules(spark, DATA)
     wrong = out.filter(F.col("base_failed") & F.col("kept")).count()
