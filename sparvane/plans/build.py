@@ -63,11 +63,11 @@ def build(spark: SparkSession, config: Config, photos: DataFrame, out: str, bloc
     With full_pool, tier 2 is fitted on whole photos of all images of the kept classes, and
     PCA and z-scores of the fusion come from them, or from a sample in proportion to the classes
     (stat_rows); only kept images go into the store. Each step's key holds its settings and its inputs' keys,
-    down to the annotation files' lengths and times and the plan that gives the photos.
+    down to the lengths and times of the annotation files and the photos, and the plan that gives the photos.
     """
     t = annotations.load(spark, config.root)
     steps = Steps(spark, out, config.reuse, config.rebuild)
-    files, shots = annotations.state(spark, config.root), photos.semanticHash()
+    files, shots = annotations.state(spark, config.root), (photos.semanticHash(), *images.state(photos))
 
     def metadata() -> DataFrame:
         ids = posture.attribute_ids(t["attributes"])

@@ -115,11 +115,12 @@ def stale_difference(spark, sf_dir):
     return R.exclude(_t(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", _t(spark, sf_dir, "orders").select("o_custkey"))
 
 
-@query("""SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS n FROM (SELECT o_orderpriority FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderpriority FROM orders WHERE o_orderstatus = 'O') GROUP BY 1""")
+@query("""SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS n FROM (SELECT o_orderpriority FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderpriority FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderpriority FROM orders WHERE o_orderstatus NOT IN ('F', 'O')) GROUP BY 1""")
 def union_chunks(spark, sf_dir):
     """U1, U2."""
     o = _t(spark, sf_dir, "orders")
-    return o.filter("o_orderstatus = 'F'").unionByName(o.filter("o_orderstatus = 'O'")).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    chunks = [o.filter(f"o_orderstatus {test}") for test in ("= 'F'", "= 'O'", "NOT IN ('F', 'O')")]
+    return chunks[0].unionByName(chunks[1]).unionByName(chunks[2]).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT c_nationkey, avg(CASE WHEN c_acctbal > 4500 THEN 1.0 ELSE 0.0 END) >= 0.5 AS majority FROM customer GROUP BY 1""")

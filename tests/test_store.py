@@ -94,3 +94,33 @@ def test_the_last_row_in_the_source_wins_whatever_the_splits(spark, tmp_path, si
         assert sorted(map(tuple, last.collect())) == [(i, max(400.5 + j for j in range(400) if j % 3 == i and j % 2 == 1)) for i in range(3)]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_files_replaced_under_their_path_change_the_state(spark, tmp_path):
+    from sparvane.sources import images
+
+    for name, size in (("a", 5), ("b", 9)):
+        (tmp_path / f"{name}.txt").write_text("x" * size)
+    photos = spark.read.text(f"file://{tmp_path}")
+    before = images.state(photos)
+    assert before == images.state(photos) and before[0] == 2 and images.state(spark.range(3)) == ()
+    (tmp_path / "b.txt").write_text("y" * 10)
+    assert images.state(photos) != before
+
+
+def test_a_report_of_the_whole_build(spark):
+    import numpy as np
+
+    from sparvane.plans import reports
+
+    rng = np.random.default_rng(0)
+    rows = [(i, i % 3, f"{i % 3:03d}.Some_Bird", i % 2, float(i % 3 + rng.normal() * 0.01), float(rng.random()), float(rng.random() / 2), float(i % 3)) for i in range(90)]
+    both = spark.createDataFrame(rows, "img_id int, class_id int, class_name string, is_train int, cattr_hu1 double, cattr_color_green_ratio double, cattr_centroid_y double, cattr_val_mean double")
+    meta, tier1 = both.select("img_id", "class_id", "class_name", "is_train"), both.drop("class_id", "class_name", "is_train")
+    assert reports.dataset_summary(meta).first().asDict() == {"images": 90, "classes": 3, "train": 45, "test": 45, "mean": 30.0, "least": 30, "most": 30}
+    assert reports.dataset_summary(meta.limit(0)).first().images == 0
+    info = reports.information(tier1, meta)
+    assert reports.difference_attributes(info) == ["cattr_hu1", "cattr_color_green_ratio"]  # what tells of the picture alone is left out
+    assert reports.similarity_attributes(tier1.columns) == ["cattr_hu1", "cattr_color_green_ratio", "cattr_val_mean"]
+    text = reports.feature_report(meta, tier1, {"tier3": spark.createDataFrame([([0.0] * 7,)], "vec array<double>")})
+    assert all(x in text for x in ("Attributes for difference", "| cattr_hu1 |", "| tier3 | 7 |", "Classes by cattr_centroid_y", "| difference | 2 |"))
