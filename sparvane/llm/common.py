@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import ship as package
 from ..shared import discard, materialize, scratch, shared_path
 
-__all__ = ["discard", "guarded", "materialize", "prefix_sums", "read", "scratch", "shared_path", "ship"]
+__all__ = ["copies_of", "discard", "guarded", "materialize", "prefix_sums", "read", "scratch", "shared_path", "ship"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,3 +52,9 @@ def prefix_sums(
     sums = sums.select(*[F.col(k).alias(f"_r_{k}") for k in keys], "_base")
     df = df.join(sums, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]), "left")
     return df.withColumn(out, F.col("_base") + F.col("_in")).drop("_part", "_base", "_in", *[f"_r_{k}" for k in keys])
+
+
+def copies_of(df: DataFrame, copies: str, number: str, most: int = 1 << 16) -> DataFrame:
+    """df with each row `copies` times (a long column, from 1) and their `number` from 0: by ranges first, so that no array holds more than `most` of them."""
+    ranges = df.withColumn("_from", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.expr(f"({copies} - 1) div {most}")), lambda i: i * most)))
+    return ranges.withColumn(number, F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + most, F.col(copies)) - 1))).drop("_from")

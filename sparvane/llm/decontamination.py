@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import guarded, materialize, ship
+from .common import copies_of, guarded, materialize, ship
 from .fmindex import FMIndex
 from .words import ALNUM, pieces, words
 
@@ -279,7 +279,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard
         return found[0].drop("digest")
     per = _merged([found[0], *(materialize(f, "contamination") for f in found[1:])] if len(found) > 1 else found)
     if not cut:
-        return per.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc_id", "n_words", "spans", "items")
+        return copies_of(per, "copies", "_copy").select("doc_id", "n_words", "spans", "items")
     per = per.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "n_words", "spans", "items")
     rows = need.join(per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
     return rows.select("doc_id", "n_words", "spans", "items", "text").mapInArrow(_cutter, f"doc_id long, n_words long, spans {_SPANS}, items array<string>, clean_text string")

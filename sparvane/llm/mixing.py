@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import guarded, materialize, prefix_sums
+from .common import copies_of, guarded, materialize, prefix_sums
 
 WORD = r"[^\x20\x09-\x0D]+"
 _KEYS = 1 << 60
@@ -75,7 +75,7 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (5, 2, 1)
     rows = sized.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rows = rows.withColumn("_rank", F.col("key") / _KEYS).withColumn("_words", F.col("size") * F.col("copies"))
     rows = prefix_sums(rows, ["source"], [F.col("key"), F.col("doc_id")], "_words", "_rank", "n_docs", "before").drop("_rank", "n_docs", "_words")
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    rows = copies_of(rows, "copies", "_copy")
     rows = rows.withColumn("before", F.col("before") + F.col("_copy") * F.col("size")).drop("_copy", "copies")
     last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
     return rows.withColumn("taken", F.col("epochs") * F.col("size") + last)

@@ -66,3 +66,11 @@ def test_clashing_columns(spark):
     out = mixing.mixture(df)
     assert out.columns == df.columns and out.dtypes == df.dtypes
     assert out.select("doc_id", "_key").filter("doc_id <> _key").count() == 0
+
+
+def test_copies_come_by_ranges(spark):
+    from sparvane.llm.common import copies_of
+
+    df = spark.createDataFrame([("a", 1), ("b", 7), ("c", 200_000), ("d", 6)], "k string, n long")
+    got = {r.k: (r.rows, r.low, r.high, r.different) for r in copies_of(df, "n", "i", 6).groupBy("k").agg(F.count("*").alias("rows"), F.min("i").alias("low"), F.max("i").alias("high"), F.countDistinct("i").alias("different")).collect()}
+    assert got == {k: (n, 0, n - 1, n) for k, n in (("a", 1), ("b", 7), ("c", 200_000), ("d", 6))}
