@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..ship import ship
 
@@ -48,8 +49,11 @@ def add_up(df: DataFrame, make: Callable[[Iterator[pd.DataFrame]], np.ndarray |
         if at is not None:
             yield pd.DataFrame({"slice": [at], "v": [total]})
 
-    parts = df.mapInPandas(cut, "slice int, part int, v array<double>")
-    sums = parts.repartition("slice").sortWithinPartitions("slice", "part").mapInPandas(add, "slice int, v array<double>")
+    # no more tasks than there are slices: rounds of a fit are many, and their sums often narrow
+    slices = -(-width // SLICE)
+    tasks = min(slices, max(df.sparkSession.sparkContext.defaultParallelism, slices // 8))
+    parts = df.mapInPandas(cut, "slice int, part int, v array<double>").repartitionById(tasks, F.col("slice") % tasks)
+    sums = parts.sortWithinPartitions("slice", "part").mapInPandas(add, "slice int, v array<double>")
     out = np.zeros(width)
     for r in sums.collect():
         out[r.slice * SLICE : r.slice * SLICE + len(r.v)] = r.v
