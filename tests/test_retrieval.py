@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparvane.operators import relational, retrieval, statistics
+from sparvane.plans import retrieval as plans
 
 
 @pytest.fixture(scope="module")
@@ -159,6 +160,19 @@ def test_one_class_over_many_blocks(spark, monkeypatch):
         assert (r.hit_1, r.hit_5) == (int(at[0] < 1), int(at[0] < 5)) and r.ap == pytest.approx(np.mean(np.arange(1, len(at) + 1) / (at + 1)))
 
 
+def test_registered_evaluations_ask_with_every_row(spark):
+    """Every row is a query, in the queries and in their SQL."""
+    data = "/root/testdata/sf0.001"
+    e = spark.read.parquet(f"{data}/embeddings.parquet")
+    per = plans.average_precision(spark, data).collect()
+    assert sorted(r.src for r in per) == sorted(r.vec_id for r in e.select("vec_id").collect())
+    got = plans.recall_map(spark, data).first()
+    assert got.mean_ap == pytest.approx(np.mean([r.ap for r in per]), abs=1e-6) and got.recall_at_1 == pytest.approx(np.mean([r.hit_1 for r in per]), abs=1e-6)
+    want = {r.weights: r for r in retrieval.tune(e.select("vec_id", "label", F.slice("embedding", 1, 16).alias("a"), F.slice("embedding", 17, 48).alias("b")), ["a", "b"], [(0.5, 1.0), (1.0, 1.0), (2.0, 1.0)]).collect()}
+    assert all(r.mean_ap == pytest.approx(want[r.weights].mean_ap, abs=1e-6) for r in plans.weight_tuning(spark, data).collect())
+    assert not any("% 100" in plans.SQL[q] for q in ("average_precision", "recall_map", "weight_tuning"))
+
+
 def test_counts_survive_packing():
     for counts in ([], [0], [3, 3, 258], [0, 400, 10**12]):
         assert retrieval._unpacked(retrieval._packed(np.array(counts, np.int64))).tolist() == counts
