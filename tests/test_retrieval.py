@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,6 +179,63 @@ def test_counts_survive_packing():
         assert retrieval._unpacked(retrieval._packed(np.array(counts, np.int64))).tolist() == counts
 
 
+def test_counts_take_bits_where_they_rise_slowly():
+    """A block's counts for a row of the class each: about a bit for each row that is counted, not a byte."""
+    counts = np.cumsum(np.random.default_rng(1).integers(0, 4, 10_000))
+    data = retrieval._packed(counts)
+    assert len(data) <= (counts[-1] + len(counts)) // 8 + 2 < len(counts) / 2 and (retrieval._unpacked(data) == counts).all()
+
+
+def test_counts_stay_in_their_task(spark, monkeypatch):
+    """Queries are cut before the corpus: with one block of the corpus no counts are shuffled, only totals."""
+    monkeypatch.setattr(retrieval, "LEAST_QUERIES", 10)
+    df = spark.range(300).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id"), F.lit(0.5)).alias("embedding"), (F.col("id") % 2).cast("int").alias("label"))
+    out = retrieval.evaluate(df, df, (1,))
+    assert len(out.collect()) == 300 and python_rows(out) == [300]
+
+
+def test_batches_are_bounded_in_bytes(spark, corpus):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    retrieval.evaluate(corpus[0], corpus[0])
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8m"
+
+
+def test_tuning_sends_floats_as_they_are(spark, corpus, monkeypatch):
+    seen = []
+    whole = retrieval.evaluate
+    monkeypatch.setattr(retrieval, "evaluate", lambda q, c, *a: seen.append((dict(q.dtypes)["_v"], dict(c.dtypes)["_v"])) or whole(q, c, *a))
+    df = corpus[0].select("vec_id", "label", F.slice("embedding", 1, 2).alias("a"), F.slice("embedding", 3, 4).alias("b"))
+    floats, doubles = (retrieval.tune(d, ["a", "b"], [(0.3, 1.0), (2.0, 1.0)]).collect() for d in (df, df.select("vec_id", "label", *[F.col(c).cast("array<double>").alias(c) for c in "ab"])))
+    assert seen == [("array<float>",) * 2, ("array<double>",) * 2] and floats == doubles
+
+
+def test_each_pair_of_blocks_is_a_task(spark, corpus, monkeypatch):
+    """Which shuffle partitions are merged makes no task longer."""
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 600)
+    seen = []
+    whole = type(corpus[0]).repartitionById
+    monkeypatch.setattr(type(corpus[0]), "repartitionById", lambda self, n, task: seen.append((n, self.select("task").distinct().count())) or whole(self, n, task))
+    got = retrieval.nearest(corpus[0], corpus[0], 7).collect()
+    assert len(got) == 90 * 7 and seen[0][0] >= 64 and seen[0][1] > 0.9 * seen[0][0]
+
+
+@pytest.mark.parametrize("metric, include_self", [("cosine", True), ("cosine", False), ("l2", True)])
+def test_best_of_groups_against_a_sort(metric, include_self):
+    """Enough rows that groups' best scores bound the k-th, with ties at the edge."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(-2, 3, (1500, 3)).astype(np.float64)
+    t = pa.table({"k": np.arange(1500)[::-1], "v": pa.array(x.tolist())})
+    got = retrieval._best(t.slice(0, 40), t, 5, include_self, metric).to_pydict()
+    u = retrieval._unit(x) if metric == "cosine" else x
+    ids = np.arange(1500)[::-1]
+    want = []
+    for i in range(40):
+        s = np.round(u @ u[i] if metric == "cosine" else np.minimum(2 * x @ x[i] - (x**2).sum(axis=1) - (x[i] ** 2).sum(), 0), 12)
+        s[i] = s[i] if include_self else -np.inf
+        want += [(ids[i], ids[j]) for j in np.lexsort((ids, -s))[:5]]
+    assert list(zip(got["src"], got["dst"], strict=True)) == want
+
+
 def test_forms_beyond_a_block(spark, corpus, monkeypatch):
     df = corpus[0].filter("label < 4")
     alone = [retrieval.evaluate(d, d).collect() for d in (df, df.withColumn("embedding", F.slice("embedding", 2, 3)))]
