@@ -282,6 +282,18 @@ def test_quantiles_by_brackets(spark, monkeypatch, accuracy, within):
     assert statistics.quantiles(odd, ["v"], [0, 1 / 3, 2 / 3])["v"] == [-math.inf, 1.0, math.inf] and math.isnan(statistics.quantiles(odd, ["v"], [1])["v"][0])
 
 
+def test_codes_make_a_value_finite_once(spark):
+    """Repeated for every edge, the tests made a method too long for the JVM to compile."""
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=500), rng.integers(0, 2, 500)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)] + [(math.nan, 1.0), (math.inf, None)], "x double, y double")
+    out = statistics.codes(df, {"x": "cx", "y": "cy"})
+    assert out.columns == ["x", "y", "cx", "cy"] and out._jdf.queryExecution().optimizedPlan().toString().lower().count("isnan(x") <= 2
+    edges = np.quantile(x, np.arange(1, 8) / 8)
+    half = np.median([*y, 1.0])
+    assert [(r.cx, r.cy) for r in out.collect()] == [*((int((edges <= a).sum()), int(b > half)) for a, b in zip(x, y, strict=True)), (0, int(1.0 > half)), (0, 0)]
+
+
 def test_edge_values_take_no_part(spark):
     df = spark.createDataFrame([(1.0,), (3.0,), (3.0,), (math.nan,), (math.inf,), (None,)], "v double")
     assert [r.code for r in statistics.discretize(df, "v", "code", 1).collect()] == [0, 0, 0, 0, 0, 0]
