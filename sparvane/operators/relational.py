@@ -23,15 +23,27 @@ def largest_offset(points: Sequence[Column], origin: Column, size: Column, missi
     return F.when(best.isNotNull() & (size > 0), (best - origin) / size).otherwise(F.lit(missing))
 
 
+def _flags(flags: dict[str, Column]) -> list[Column]:
+    return [F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in flags.items()]
+
+
+def _last(picks: dict[str, tuple[Column, Column]], position: str) -> list[Column]:
+    return [F.max_by(F.when(c, v), F.when(c, F.col(position))).alias(n) for n, (c, v) in picks.items()]
+
+
 def presence_flags(facts: DataFrame, key: str, flags: dict[str, Column]) -> DataFrame:
     """One row per key with a boolean for each condition that any of its facts meets: one shuffle for all flags."""
-    return facts.groupBy(key).agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in flags.items()])
+    return facts.groupBy(key).agg(*_flags(flags))
 
 
 def last_value_per_key(facts: DataFrame, key: str, picks: dict[str, tuple[Column, Column]], position: str) -> DataFrame:
     """One row per key; each pick is (condition, value), of which the last row by position wins."""
-    aggs = [F.max_by(F.when(c, v), F.when(c, F.col(position))).alias(n) for n, (c, v) in picks.items()]
-    return facts.groupBy(key).agg(*aggs)
+    return facts.groupBy(key).agg(*_last(picks, position))
+
+
+def flags_and_last(facts: DataFrame, key: str, flags: dict[str, Column], picks: dict[str, tuple[Column, Column]], position: str) -> DataFrame:
+    """What `presence_flags` and `last_value_per_key` give, in one aggregate."""
+    return facts.groupBy(key).agg(*_flags(flags), *_last(picks, position))
 
 
 def exclude(df: DataFrame, key: str, blocked: DataFrame) -> DataFrame:

@@ -33,8 +33,7 @@ def scored(master: DataFrame, attribute_labels: DataFrame, parts: DataFrame, ids
     n = F.col("part_id")
     flags = {"leg_visible_any": n.isin(*LEGS), "wing_visible_any": n.isin(*WINGS), "left_eye_visible": n == EYES[0], "right_eye_visible": n == EYES[1], "beak_visible": n == BEAK, "tail_visible": n == TAIL}
     picks = {f"{axis}{i}": (n == i, F.col(axis)) for i in (BEAK, TAIL, *LEGS, *WINGS) for axis in ("x", "y")}
-    points = R.last_value_per_key(seen, "img_id", picks, "_at").select("img_id", *[F.col(k).alias(f"_{k}") for k in picks])
-    marks = R.presence_flags(seen, "img_id", flags).join(points, "img_id")
+    marks = R.flags_and_last(seen, "img_id", flags, {f"_{k}": pick for k, pick in picks.items()}, "_at")
     hits = attribute_labels.filter(F.col("attr_id").isin(ids) & (F.col("is_present") == 1) & (F.col("certainty_id") >= 3)).select("img_id").distinct().withColumn("attr_perching", F.lit(True))
     out = master.join(marks, "img_id", "left").join(hits, "img_id", "left")
     out = out.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in [*flags, "attr_perching"]})

@@ -169,3 +169,17 @@ def test_text_functions(spark):
     line = spark.range(1).select(text.progress(F.lit("T2: 42%|## | 264/629 [00:08<00:12, 29.71it/s]")).alias("p")).first().p
     assert (line.percent, line.done, line.total, line.eta) == (42, 264, 629, "00:12") and math.isclose(line.rate, 29.71)
     assert text.numbers("1, 5,,10", int) == [1, 5, 10]
+
+
+def test_landmarks_take_one_aggregate(spark):
+    """Flags and places of landmarks come together: the master is joined with them and with the attributes, and nothing else is."""
+    from sparvane.plans import posture
+
+    master = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 20.0), (2, 0.0, 0.0, 10.0, 20.0)], "img_id int, x double, y double, width double, height double")
+    labels = spark.createDataFrame([(1, 5, 1, 4)], "img_id int, attr_id int, is_present int, certainty_id int")
+    parts = spark.createDataFrame([(1, posture.BEAK, 1.0, 2.0, 1, 1), (1, posture.BEAK, 3.0, 2.0, 1, 2), (1, posture.TAIL, 9.0, 12.0, 1, 3), (1, 7, 1.0, 1.0, 0, 4)], "img_id int, part_id int, x double, y double, visible int, source_at int")
+    out = posture.scored(master, labels, parts, [5])
+    got = {r.img_id: (r.beak_visible, r.tail_visible, r.left_eye_visible, r.beak_tail_dx_norm, r.attr_perching) for r in out.collect()}
+    assert got == {1: (True, True, False, 0.6, True), 2: (False, False, False, -1.0, False)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and plan.count("max_by") and plan.count("Aggregate") == 2
