@@ -62,12 +62,13 @@ def _table(freq: np.ndarray) -> bytes:
 
 def encode(docs: list[np.ndarray], lanes: int = LANES, block: int = BLOCK) -> bytes:
     """The segment of these documents' ids."""
-    ids = np.concatenate(docs).astype(np.int64) if docs else np.empty(0, np.int64)
+    ids = np.concatenate(docs) if docs else np.empty(0, np.int64)
+    ids = ids if ids.dtype in (np.uint16, np.uint32) else ids.astype(np.int64)
     block = min(block, max(1, -(-len(ids) // lanes)) * lanes)
     n, n_blocks = len(ids), -(-len(ids) // block)
     freq = frequencies(np.bincount(ids)) if n else np.zeros(1, np.int64)
     start = np.cumsum(freq) - freq
-    filled = np.full(n_blocks * block, int(freq.argmax()), np.int64)
+    filled = np.full(n_blocks * block, int(freq.argmax()), ids.dtype)
     filled[:n] = ids
     steps = block // lanes
     rows = filled.reshape(n_blocks, steps, lanes)

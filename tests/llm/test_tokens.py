@@ -59,6 +59,50 @@ def test_the_cache_stays_within_its_bytes():
         assert sum(len(k) + len(v) + 160 for g in (cache.young, cache.old) for k, v in g.items()) <= 100_000
 
 
+def test_short_chunks_have_keys_of_their_own():
+    rng = random.Random(3)
+    chunks = sorted({bytes(rng.choice(b"\0 ab\xff") for _ in range(n)) for n in range(1, 18) for _ in range(300)})
+    rng.shuffle(chunks)
+    data, ends = encoding._bytes(pa.array([b"xyz", *chunks], pa.large_binary()).slice(1))
+    low, high, short = encoding._keys(data, ends)
+    assert short.tolist() == [len(c) <= 15 for c in chunks]
+    keys = set(zip(low[short].tolist(), high[short].tolist(), strict=True))
+    assert len(keys) == short.sum()
+    assert all((a | (b & (1 << 56) - 1) << 64).to_bytes(15, "little")[: b >> 56] == c for a, b, c in zip(low.tolist(), high.tolist(), chunks, strict=True) if len(c) <= 15)
+
+
+def test_a_table_gives_what_was_put_or_nothing():
+    rng = np.random.default_rng(4)
+    table, sure = encoding.Table(3000, np.dtype("<u2")), {}
+    assert table.rows.nbytes <= 3000
+    for _ in range(200):
+        low = rng.choice(500, rng.integers(0, 40), replace=False).astype("<u8")
+        high, counts = (low % 15 + 1).astype("<u8") << np.uint64(56), rng.integers(1, 12, len(low))
+        ids = rng.integers(0, 1 << 16, counts.sum()).astype("<u2")
+        table.put(low, high, ids, counts)
+        sure |= dict(zip(low.tolist(), np.split(ids, np.cumsum(counts)[:-1]), strict=True)) if len(low) else {}
+        every = np.arange(600, dtype="<u8")
+        rows, n = table.get(every, (every % 15 + 1) << np.uint64(56))
+        held = [i for i in range(600) if n[i]]
+        assert len(held) <= len(table.rows) and (n[500:] == 0).all()
+        assert not len(low) or n[low[-1]]  # what came last is there
+        assert all(n[i] == encoding._ELSEWHERE if len(sure[i]) > 8 else rows[i][: n[i]].tolist() == sure[i].tolist() for i in held)
+
+
+def test_known_words_are_not_encoded_again():
+    tool, rng, asked = encoding.Encoder(open(tokenizer_path(), encoding="utf-8").read(), cache_bytes=4 << 20), random.Random(5), []
+    library = tool._ids
+    tool._ids = lambda texts: asked.extend(texts) or library(texts)
+    words = list({"".join(rng.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(30_000)})
+    spent = []
+    for _ in range(2):
+        before = sum(map(len, asked))
+        for at in range(0, len(words), 5000):
+            tool.encode(pa.array([" " + " ".join(words[at : at + 5000])]))
+        spent.append(sum(map(len, asked)) - before)
+    assert spent[0] == 9 * len(words) and spent[1] < spent[0] / 2
+
+
 def want(rows):
     plain = Tokenizer.from_file(tokenizer_path())
     out, start = [], 0
