@@ -106,20 +106,20 @@ class Segment:
         body = memoryview(data)[_HEAD.size :]
         if magic != MAGIC or zlib.crc32(body) != crc:
             raise Damaged("magic or checksum")
-        pairs = np.frombuffer(zlib.decompress(body[:table]), "<u4").reshape(-1, 2).astype(np.int64)
+        pairs = np.frombuffer(zlib.decompress(body[:table]), "<u4").reshape(-1, 2)
         at = table + lengths
         self.lengths = np.frombuffer(zlib.decompress(body[table:at]), "<u4").astype(np.int64)
         self.points = np.frombuffer(body, _POINT, self.blocks, at)
         at += self.blocks * _POINT.itemsize
         self.states = np.frombuffer(body, "<u8", self.blocks * self.lanes, at).reshape(self.blocks, self.lanes)
         self.words = np.frombuffer(body, "<u4", offset=at + self.states.nbytes)
-        self.symbols, freq = pairs[:, 0], pairs[:, 1]
+        self.symbols, freq = pairs[:, 0].copy(), pairs[:, 1].astype(np.int64)
         self.slot = np.repeat(np.arange(len(freq), dtype=np.uint16 if len(freq) < 1 << 16 else np.uint32), freq)
         self.freq = freq.astype(np.uint64)
         self.start = (np.cumsum(freq) - freq).astype(np.uint64)
 
     def decode(self, first: int = 0, end: int | None = None) -> np.ndarray:
-        """The ids of blocks [first, end), by default of all."""
+        """The ids of blocks [first, end), by default of all, as uint32."""
         end = self.blocks if end is None else end
         n, steps = end - first, self.block // self.lanes
         points = self.points[first:end]
@@ -141,7 +141,7 @@ class Segment:
         ids = self.symbols[rows.reshape(-1)]
         ids = ids[: max(0, min(self.n - first * self.block, n * self.block))]
         for i, p in enumerate(points):
-            if zlib.crc32(ids[i * self.block : (i + 1) * self.block].astype("<u4").tobytes()) != p["crc"]:
+            if zlib.crc32(ids[i * self.block : (i + 1) * self.block].tobytes()) != p["crc"]:
                 raise Damaged(f"block {first + i}")
         return ids
 

@@ -78,7 +78,7 @@ def _documents(with_ids: bool):
             for i in range(len(batch)):
                 row = batch.slice(i, 1)
                 s = Segment(row.column("payload")[0].as_py())
-                ids = s.decode().astype("<u4")
+                ids = s.decode()
                 ends = np.cumsum(s.lengths)
                 starts = ends - s.lengths
                 n = len(starts)
