@@ -194,6 +194,37 @@ def test_counts_stay_in_their_task(spark, monkeypatch):
     assert len(out.collect()) == 300 and python_rows(out) == [300]
 
 
+def test_ranks_are_whole_in_their_task(spark, monkeypatch):
+    """However many blocks the corpus has, no counts of a query and a block are shuffled: one Python step, a row for each query."""
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 900)
+    df = spark.range(300).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id"), F.lit(0.5)).alias("embedding"), (F.col("id") % 2).cast("int").alias("label"))
+    out = retrieval.evaluate(df, df, (1,))
+    assert len(out.collect()) == 300 and python_rows(out) == [300]
+
+
+def test_a_task_reads_its_corpus_in_parts(monkeypatch, tmp_path):
+    """Queries, then blocks of the corpus with ties, in a file of which a few rows are read at a time; the file goes."""
+    monkeypatch.setenv("SPARK_LOCAL_DIRS", str(tmp_path))
+    monkeypatch.setattr(retrieval._Held, "STEP", 7 * 3 * 8)
+    monkeypatch.setattr(retrieval, "LEAST_SCORED", 4)
+    rng = np.random.default_rng(2)
+    x, ids, label = rng.choice([-1.0, 0.0, 0.5, 1.25], (100, 3)), rng.permutation(100), rng.integers(0, 3, 100)
+    table = pa.table({"side": pa.array([0] * 10, pa.int32()), "k": ids[:10], "v": pa.array(x[:10].tolist()), "l": label[:10]})
+    table = pa.concat_tables([table, pa.table({"side": pa.array([1 + i // 30 for i in range(100)], pa.int32()), "k": ids, "v": pa.array(x.tolist()), "l": label})])
+    schema = pa.schema({"form": pa.int32(), "src": pa.int64(), "n": pa.int64(), "best": pa.int64(), "total": pa.float64()})
+    forms = [lambda m: m * 1.0, lambda m: m[:, 1:]]
+    seen = []
+    for b in retrieval._counted(forms, schema)(iter(table.to_batches(16))):
+        seen += [tuple(r.values()) for r in b.to_pylist()]
+    assert [r[:2] for r in seen] == [(f, k) for f in range(2) for k in ids[:10]] and not list(tmp_path.iterdir())
+    for f, k, n, best, total in seen:
+        i, y = ids.tolist().index(k), forms[f](x)
+        s = y @ y[i]
+        s[i] = -1
+        at = np.flatnonzero(label[np.lexsort((ids, -s))] == label[i]) + 1
+        assert (n, best) == (len(at), at[0]) and total == pytest.approx((np.arange(1, len(at) + 1) / at).sum())
+
+
 def test_batches_are_bounded_in_bytes(spark, corpus):
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     retrieval.evaluate(corpus[0], corpus[0])
